@@ -86,10 +86,16 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(MIN_BLOCKS, -(-int(total) // block_bytes))
 
 
-def with_block(docs: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, text and a block number that depends on nothing but the two."""
+def with_block(docs: DataFrame, blocks: int, extra: bool = False) -> DataFrame:
+    """doc_id, text and a block number that depends on nothing but the two.
+
+    With extra, all other columns ride along in one struct of that name, so
+    that no name of theirs can clash.
+    """
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    return docs.select("doc_id", "text", block.alias("block"))
+    rest = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    more = [F.struct(*rest).alias("extra")] if extra and rest else []
+    return docs.select("doc_id", "text", block.alias("block"), *more)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -168,29 +174,26 @@ def pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def hash_chunks(block: np.ndarray, keys: np.ndarray, counts: np.ndarray, buckets: int, second: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows of packed keys, one for each block and hash bucket that occur."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    block = np.broadcast_to(block, keys.shape)
-    order = np.lexsort((bucket, block))
-    bucket, block = bucket[order], block[order]
-    starts = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(block) != 0)]) if len(keys) else np.zeros(0, int)
-    ends = np.r_[starts[1:], len(keys)].astype(int) if len(starts) else starts
-    cut = lambda x: pa.array([pack(x[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(bucket[starts], pa.int32()),
-            pa.array(block[starts], pa.int32()),
-            cut(keys[order]),
-            cut((second if second is not None else np.zeros(len(keys), np.uint64)[:0].repeat(0))[order] if second is not None else keys[:0]),
-            cut(counts[order].astype(np.uint32)),
-        ],
-        names=["bucket", "block", "keys", "keys2", "counts"],
-    )
+def hash_chunks(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, keys2: np.ndarray | None = None) -> pa.Table:
+    """A block's keys and counts, packed into one row for each hash bucket of the key space."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    starts = np.flatnonzero(np.r_[len(keys) > 0, np.diff(bucket) != 0])
+    ends = np.r_[starts[1:], len(keys)].astype(int)
+
+    def cut(x: np.ndarray | None) -> pa.Array:
+        if x is None:
+            return pa.array([b""] * len(starts), pa.binary())
+        x = x[order]
+        return pa.array([pack(x[a:b]) for a, b in zip(starts, ends, strict=False)], pa.binary())
+
+    columns = [pa.array(bucket[starts], pa.int32()), pa.array([block] * len(starts), pa.int32()), cut(keys), cut(keys2), cut(counts.astype(np.uint32))]
+    return pa.table(columns, names=["bucket", "block", "keys", "keys2", "counts"])
 
 
 CHUNK_SCHEMA = "bucket int, block int, keys binary, keys2 binary, counts binary"
-TOTAL_SCHEMA = "block int, keys binary, keys2 binary, totals binary, spare long"
+TOTAL_SCHEMA = "block int, keys binary, keys2 binary, totals binary"
 
 
 def unpack(column: pa.ChunkedArray, kind: type = np.uint64) -> list[np.ndarray]:
@@ -226,10 +229,10 @@ def key_totals(packed: DataFrame, least: int) -> DataFrame:
         good = good[np.argsort(block[good], kind="stable")]
         at = block[good]
         cuts = np.flatnonzero(np.r_[len(at) > 0, np.diff(at) != 0])
-        ends = np.r_[cuts[1:], len(at)].astype(int)
-        rows = [(int(at[a]), pack(key[good[a:b]]), pack(key2[good[a:b]]) if two else b"", pack(total[good[a:b]]), 0) for a, b in zip(cuts, ends, strict=True)]
-        names = ["block", "keys", "keys2", "totals", "spare"]
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.table([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=names)
+        spans = [good[a:b] for a, b in zip(cuts, np.r_[cuts[1:], len(at)].astype(int), strict=False)]
+        packed_by_block = [[pack(x[i]) for i in spans] for x in (key, total)]
+        second = [pack(key2[i]) if two else b"" for i in spans]
+        columns = [pa.array(at[cuts], pa.int32()), *(pa.array(x, pa.binary()) for x in (packed_by_block[0], second, packed_by_block[1]))]
+        return pa.table(columns, names=["block", "keys", "keys2", "totals"])
 
     return packed.groupBy("bucket").applyInArrow(totals, TOTAL_SCHEMA)
