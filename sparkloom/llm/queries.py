@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op9_nearest_neighbours
 from .mixing import OP10_SQL, op10_source_mixing
 from .packing import op4_packing
+from .simhash import op3_simhash_near_dedup
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_packing": op4_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
