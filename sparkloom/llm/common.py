@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A Java and Python regular expression for one word.
@@ -32,6 +32,11 @@ MIN_BLOCKS = 96
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def row_crc(column: str = "doc_id") -> Column:
+    """CRC-32 of a column's text; of the empty text where it is null."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -174,8 +179,11 @@ def pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def hash_chunks(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, keys2: np.ndarray | None = None) -> pa.Table:
-    """A block's keys and counts, packed into one row for each hash bucket of the key space."""
+def hash_chunks(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, keys2: np.ndarray | None = None, kind: int = 0) -> pa.Table:
+    """A block's keys and counts, packed into one row for each hash bucket of the key space.
+
+    Keys of different kinds are counted apart.
+    """
     bucket = (keys % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
@@ -188,31 +196,35 @@ def hash_chunks(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int,
         x = x[order]
         return pa.array([pack(x[a:b]) for a, b in zip(starts, ends, strict=False)], pa.binary())
 
-    columns = [pa.array(bucket[starts], pa.int32()), pa.array([block] * len(starts), pa.int32()), cut(keys), cut(keys2), cut(counts.astype(np.uint32))]
-    return pa.table(columns, names=["bucket", "block", "keys", "keys2", "counts"])
+    kinds, blocks = (pa.array([x] * len(starts), pa.int32()) for x in (kind, block))
+    columns = [kinds, pa.array(bucket[starts], pa.int32()), blocks, cut(keys), cut(keys2), cut(counts.astype(np.uint32))]
+    return pa.table(columns, names=["kind", "bucket", "block", "keys", "keys2", "counts"])
 
 
-CHUNK_SCHEMA = "bucket int, block int, keys binary, keys2 binary, counts binary"
-TOTAL_SCHEMA = "block int, keys binary, keys2 binary, totals binary"
+CHUNK_SCHEMA = "kind int, bucket int, block int, keys binary, keys2 binary, counts binary"
+TOTAL_SCHEMA = "kind int, block int, keys binary, keys2 binary, totals binary, n_keys long, n_counts long"
 
 
 def unpack(column: pa.ChunkedArray, kind: type = np.uint64) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def key_totals(packed: DataFrame, least: int) -> DataFrame:
+def key_totals(packed: DataFrame, least: tuple[int, ...]) -> DataFrame:
     """Sum the counts of equal keys over all blocks and tell each block its keys' totals.
 
-    One group is one hash bucket of the key space.  A block sends a key once
-    at most for each task's slice, so a very common key has few entries here.
-    Keys whose total is under least are left out.
+    One group is one kind and hash bucket of the key space.  A block sends a
+    key once, so a very common key has no more entries here than there are
+    blocks.  Keys of kind k whose total is under least[k] are left out.  A row
+    with a null block has the number of a group's keys that stay and the sum
+    of their totals.
     """
 
     def totals(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py()
         keys = unpack(table.column("keys"))
         sizes = np.array([len(k) for k in keys], np.int64)
         block = np.repeat(table.column("block").to_numpy(), sizes)
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        key = np.concatenate(keys)
         key2 = np.concatenate(unpack(table.column("keys2")))
         count = np.concatenate(unpack(table.column("counts"), np.uint32)).astype(np.int64)
         two = len(key2) == len(key)
@@ -225,14 +237,30 @@ def key_totals(packed: DataFrame, least: int) -> DataFrame:
         starts = np.flatnonzero(np.r_[len(key) > 0, new])
         sums = np.add.reduceat(count, starts) if len(starts) else count
         total = np.repeat(sums, np.diff(np.r_[starts, len(key)]))
-        good = np.flatnonzero(total >= least)
+        kept = sums[sums >= least[kind]]
+        good = np.flatnonzero(total >= least[kind])
         good = good[np.argsort(block[good], kind="stable")]
         at = block[good]
         cuts = np.flatnonzero(np.r_[len(at) > 0, np.diff(at) != 0])
         spans = [good[a:b] for a, b in zip(cuts, np.r_[cuts[1:], len(at)].astype(int), strict=False)]
-        packed_by_block = [[pack(x[i]) for i in spans] for x in (key, total)]
-        second = [pack(key2[i]) if two else b"" for i in spans]
-        columns = [pa.array(at[cuts], pa.int32()), *(pa.array(x, pa.binary()) for x in (packed_by_block[0], second, packed_by_block[1]))]
-        return pa.table(columns, names=["block", "keys", "keys2", "totals"])
-
-    return packed.groupBy("bucket").applyInArrow(totals, TOTAL_SCHEMA)
+        n = len(spans)
+        columns = [
+            pa.array([kind] * (n + 1), pa.int32()),
+            pa.array([*at[cuts].tolist(), None], pa.int32()),
+            pa.array([*(pack(key[i]) for i in spans), None], pa.binary()),
+            pa.array([*(pack(key2[i]) if two else b"" for i in spans), None], pa.binary()),
+            pa.array([*(pack(total[i]) for i in spans), None], pa.binary()),
+            pa.array([None] * n + [len(kept)], pa.int64()),
+            pa.array([None] * n + [int(kept.sum())], pa.int64()),
+        ]
+        return pa.table(columns, names=["kind", "block", "keys", "keys2", "totals", "n_keys", "n_counts"])
+
+    return packed.groupBy("kind", "bucket").applyInArrow(totals, TOTAL_SCHEMA)
+
+
+def places(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of each x in known, which is sorted; -1 where it is not."""
+    if not len(known):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_SCHEMA, Scratch, block_count, chunks, hash_chunks, key_totals, mix, join_hashes, ngram_hashes, read, split_words, unpack, with_block, word_hashes
+from .common import CHUNK_SCHEMA, Scratch, block_count, chunks, hash_chunks, key_totals, join_hashes, mix, ngram_hashes, places, read, split_words, unpack, with_block, word_hashes
 
 #: Words of a window in the registered query.
 WINDOW = 35
@@ -108,14 +108,6 @@ class _Words:
         return ngram_hashes(self.hashes, window, 2), ngram_hashes(self.hashes, window, 3)
 
 
-def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Place of each x in known, which is sorted; -1 where it is not."""
-    if not len(known):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-    return np.where(known[at] == x, at, -1)
-
-
 def _pairs(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     both = np.empty(len(k1), [("a", np.uint64), ("b", np.uint64)])
     both["a"], both["b"] = k1, k2
@@ -142,7 +134,7 @@ def _window_keys(window: int, buckets: int):
         for part in chunks(docs.combine_chunks().to_batches()) if len(known) else ():
             words = _Words(part.column("text"))
             at, keys = words.anchors(window)
-            at = at[_member(keys, known) >= 0]
+            at = at[places(keys, known) >= 0]
             near = np.zeros(len(words.hashes) + 1, np.int64)
             np.add.at(near, np.maximum(at - reach, 0), 1)
             np.add.at(near, at + 1, -1)
@@ -158,7 +150,7 @@ def _window_keys(window: int, buckets: int):
 def _covered(words: _Words, known: np.ndarray, known2: np.ndarray, window: int) -> np.ndarray:
     k1, k2 = words.windows(window)
     start = np.flatnonzero(words.whole(window))
-    at = _member(k1[start], known)
+    at = places(k1[start], known)
     start, at = start[at >= 0], at[at >= 0]
     same = known2[at] == k2[start]
     while not same.all():  # several second halves under one first half
@@ -211,9 +203,9 @@ def repeated_windows(docs: DataFrame, window: int, blocks: int, scratch: Scratch
     """For each block the packed 128-bit hashes of its windows that occur twice or more in all."""
     parts = with_block(docs, blocks)
     first = parts.groupBy("block").applyInArrow(_first_keys(window, blocks), CHUNK_SCHEMA)
-    shared = scratch.save(key_totals(first, 2).select("block", "keys"), "anchors")
+    shared = scratch.save(key_totals(first, (2,)).filter("block is not null").select("block", "keys"), "anchors")
     second = parts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_window_keys(window, blocks), CHUNK_SCHEMA)
-    return scratch.save(key_totals(second, 2).select("block", "keys", "keys2"), "windows")
+    return scratch.save(key_totals(second, (2,)).filter("block is not null").select("block", "keys", "keys2"), "windows")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
