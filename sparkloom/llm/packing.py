@@ -13,17 +13,19 @@ and a lost task is done again from its own slice.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, read
+from .common import chunks, read, split_words
 
 #: Tokens of a full sequence.
 LENGTH = 2048
@@ -38,7 +40,10 @@ END_ID = 1
 SHARD_BYTES = 6 << 20
 
 #: Words whose ids a task keeps at hand.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
+
+#: Marks that may close a word: none is part of a contraction or a special token's end.
+MARKS, DIGITS = ",.!?%&$#*|;:()", "0123456789"
 
 
 def piece_cost(n: int) -> float:
@@ -105,38 +110,67 @@ def assign(sizes: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int,
 
 
 class WordEncoder:
-    """Ids of texts, word by word: the tokenizer never joins across white space."""
+    """Ids of texts, word by word.
+
+    The tokenizer lower-cases, never joins across white space, and always cuts
+    between a letter or digit and the marks after it.  So a word's stem and
+    its closing marks are looked up apart, and each is encoded once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index = {"": 0}
+        self.size, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode parts: pure letters many in a text, the others each for itself."""
+        plain = [p for p in parts if p.isalpha() and (p.isascii() or unicodedata.normalize("NFC", p).lower().isalpha())]
+        found: dict[str, list[int]] = {}
+        lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids, cut = e.ids, np.flatnonzero(np.diff(e.word_ids)) + 1
+            if len(cut) + 1 == len(line):
+                edges = [0, *cut.tolist(), len(ids)]
+                found.update((w, ids[a:b]) for w, a, b in zip(line, edges[:-1], edges[1:], strict=True))
+        rest = [p for p in parts if p not in found]
+        found.update((w, e.ids) for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
+        first = len(self.index)
+        self.index.update(zip(found, range(first, first + len(found)), strict=True))
+        self.size = np.concatenate([self.size, np.fromiter(map(len, found.values()), np.int64, len(found))])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found.values()), np.uint32)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the texts, each ended by END_ID."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.ascii_split_whitespace(texts)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        offsets -= offsets[0]
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
-        own = [self.known[w] for w in words]
-        size = np.array([len(x) for x in own], np.int64)
-        begin = np.cumsum(size) - size
-        flat = np.concatenate([np.zeros(0, np.uint32), *own])
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = size[codes]
+        offsets, codes, words = split_words(texts, lower=True)
+        parts = []
+        for w in words.to_pylist():
+            stem = w.rstrip(MARKS)
+            if stem == w or not (stem and (stem[-1].lower()[-1].isalpha() or stem[-1] in DIGITS)):
+                stem = w
+            parts += [stem, w[len(stem) :]]
+        if len(self.index) > CACHE_WORDS:
+            self._clear()
+        new = [p for p in dict.fromkeys(parts) if p not in self.index]
+        if new:
+            self._learn(new)
+        part = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts)).reshape(-1, 2)[codes].ravel()
+        begin = np.cumsum(self.size) - self.size
+        n = self.size[part]
         at = np.cumsum(n) - n
-        ids = flat[np.repeat(begin[codes] - at, n) + np.arange(int(n.sum()))]
-        edge = np.concatenate([[0], np.cumsum(n)])[offsets]
-        out = np.insert(ids, edge[1:], END_ID)
-        return edge + np.arange(len(edge)), out
+        ids = self.flat[np.repeat(begin[part] - at, n) + np.arange(int(n.sum()))]
+        edge = np.concatenate([[0], np.cumsum(n)])[2 * offsets]
+        return edge + np.arange(len(edge)), np.insert(ids, edge[1:], END_ID)
+
+
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that its words last over tasks."""
+    return WordEncoder(path)
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -159,11 +193,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, shard_
         raise ValueError("the length of a sequence is a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, base = WordEncoder(tokenizer), TaskContext.get().partitionId() << 40
+        base = TaskContext.get().partitionId() << 40
         for part in chunks(batches, most=shard_bytes):
             offsets, ids = [np.zeros(1, np.int64)], []
             for small in chunks([part]):
-                o, i = encoder.encode(small.column("text"))
+                o, i = encoder(tokenizer).encode(small.column("text"))
                 offsets.append(o[1:] + offsets[-1][-1])
                 ids.append(i)
             edge, flat = np.concatenate(offsets), np.concatenate(ids)
