@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,7 +44,10 @@ SHARD_BYTES = 6 << 20
 CACHE_WORDS = 600_000
 
 #: Marks that may close a word: none is part of a contraction or a special token's end.
-MARKS, DIGITS = ",.!?%&$#*|;:()", "0123456789"
+MARKS = ",.!?%&$#*|;:()"
+
+#: A stem that ends so is cut from the marks after it: ASCII and Latin letters and digits.
+STEM_END = "[a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]$"
 
 
 def piece_cost(n: int) -> float:
@@ -124,11 +128,19 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index = {"": 0}
+        self.stems = pa.array([""], pa.large_string())
+        self.stem_at = np.zeros(1, np.int64)
+        self.marks = {0: 0}
         self.size, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode parts: pure letters many in a text, the others each for itself."""
+    def _add(self, ids: list[list[int]]) -> np.ndarray:
+        at = len(self.size) + np.arange(len(ids))
+        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
+        return at
+
+    def _encode(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts: pure letters many in a text, the others each for itself."""
         plain = [p for p in parts if p.isalpha() and (p.isascii() or unicodedata.normalize("NFC", p).lower().isalpha())]
         found: dict[str, list[int]] = {}
         lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
@@ -139,26 +151,42 @@ class WordEncoder:
                 found.update((w, ids[a:b]) for w, a, b in zip(line, edges[:-1], edges[1:], strict=True))
         rest = [p for p in parts if p not in found]
         found.update((w, e.ids) for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
-        first = len(self.index)
-        self.index.update(zip(found, range(first, first + len(found)), strict=True))
-        self.size = np.concatenate([self.size, np.fromiter(map(len, found.values()), np.int64, len(found))])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found.values()), np.uint32)])
+        return [found[p] for p in parts]
+
+    def _stem_places(self, stems: pa.Array) -> np.ndarray:
+        at = pc.index_in(stems, value_set=self.stems)
+        if at.null_count:
+            new = stems.filter(at.is_null()).unique()
+            self.stem_at = np.concatenate([self.stem_at, self._add(self._encode(new.to_pylist()))])
+            self.stems = pa.concat_arrays([self.stems, new])
+            at = pc.index_in(stems, value_set=self.stems)
+        return self.stem_at[at.to_numpy(zero_copy_only=False)]
+
+    def _mark_places(self, words: pa.Array, length: np.ndarray) -> np.ndarray:
+        """Of the last `length` bytes of each word, eight at most, read as one number."""
+        end = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1 : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+        key = np.zeros(len(words), np.uint64)
+        for j in range(8):
+            own = np.flatnonzero(length > j)
+            key[own] |= data[end[own] - 1 - j].astype(np.uint64) << np.uint64(8 * j)
+        distinct, at = np.unique(key, return_inverse=True)
+        new = [k for k in distinct.tolist() if k not in self.marks]
+        if new:
+            text = [k.to_bytes(8, "big").lstrip(b"\0").decode() for k in new]
+            self.marks.update(zip(new, self._add(self._encode(text)).tolist(), strict=True))
+        return np.array([self.marks[k] for k in distinct.tolist()], np.int64)[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the texts, each ended by END_ID."""
         offsets, codes, words = split_words(texts, lower=True)
-        parts = []
-        for w in words.to_pylist():
-            stem = w.rstrip(MARKS)
-            if stem == w or not (stem and (stem[-1].lower()[-1].isalpha() or stem[-1] in DIGITS)):
-                stem = w
-            parts += [stem, w[len(stem) :]]
-        if len(self.index) > CACHE_WORDS:
+        if len(self.stems) > CACHE_WORDS:
             self._clear()
-        new = [p for p in dict.fromkeys(parts) if p not in self.index]
-        if new:
-            self._learn(new)
-        part = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts)).reshape(-1, 2)[codes].ravel()
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        length = pc.subtract(pc.binary_length(words), pc.binary_length(stems)).to_numpy(zero_copy_only=False).astype(np.int64)
+        apart = pc.match_substring_regex(stems, STEM_END).to_numpy(zero_copy_only=False) & (length <= 8)
+        length[~apart] = 0
+        part = np.stack([self._stem_places(pc.if_else(pa.array(apart), stems, words)), self._mark_places(words, length)], axis=1)[codes].ravel()
         begin = np.cumsum(self.size) - self.size
         n = self.size[part]
         at = np.cumsum(n) - n
