@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op9_nearest_neighbours
+from .language_id import op5_language_id
 from .language_model import op7_lm_scoring
 from .mixing import OP10_SQL, op10_source_mixing
 from .packing import op4_packing
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_packing": op4_packing,
+    "op5_language_id": op5_language_id,
     "op7_lm_scoring": op7_lm_scoring,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
