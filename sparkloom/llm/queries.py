@@ -13,9 +13,11 @@ from .mixing import OP10_SQL, op10_source_mixing
 from .packing import op4_packing
 from .simhash import op3_simhash_near_dedup
 from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
