@@ -182,10 +182,30 @@ def pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte plane by byte plane: what is alike comes together."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """One byte for each count if all fit, else eight."""
+    return pack(counts.astype(np.uint8 if not len(counts) or counts.max() < 256 else np.int64))
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == n else np.int64).astype(np.int64)
+
+
 def hash_chunks(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, keys2: np.ndarray | None = None, kind: int = 0) -> pa.Table:
     """A block's keys and counts, packed into one row for each hash bucket of the key space.
 
-    Keys of different kinds are counted apart.
+    Keys are ascending.  Those of different kinds are counted apart.
     """
     bucket = (keys % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
@@ -193,14 +213,10 @@ def hash_chunks(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int,
     starts = np.flatnonzero(np.r_[len(keys) > 0, np.diff(bucket) != 0])
     ends = np.r_[starts[1:], len(keys)].astype(int)
 
-    def cut(x: np.ndarray | None) -> pa.Array:
-        if x is None:
-            return pa.array([b""] * len(starts), pa.binary())
-        x = x[order]
-        return pa.array([pack(x[a:b]) for a, b in zip(starts, ends, strict=False)], pa.binary())
-
+    spans = [order[a:b] for a, b in zip(starts, ends, strict=False)]
+    cut = lambda x, how: pa.array([how(x[i]) if x is not None else b"" for i in spans], pa.binary())
     kinds, blocks = (pa.array([x] * len(starts), pa.int32()) for x in (kind, block))
-    columns = [kinds, pa.array(bucket[starts], pa.int32()), blocks, cut(keys), cut(keys2), cut(counts.astype(np.uint32))]
+    columns = [kinds, pa.array(bucket[starts], pa.int32()), blocks, cut(keys, pack_sorted), cut(keys2, pack), cut(counts, pack_counts)]
     return pa.table(columns, names=["kind", "bucket", "block", "keys", "keys2", "counts"])
 
 
@@ -208,8 +224,12 @@ CHUNK_SCHEMA = "kind int, bucket int, block int, keys binary, keys2 binary, coun
 TOTAL_SCHEMA = "kind int, block int, keys binary, keys2 binary, totals binary, n_keys long, n_counts long"
 
 
-def unpack(column: pa.ChunkedArray, kind: type = np.uint64) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+def unpack(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def unpack_keys(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [unpack_sorted(x) for x in column.to_pylist()]
 
 
 def key_totals(packed: DataFrame, least: tuple[int, ...]) -> DataFrame:
@@ -224,12 +244,12 @@ def key_totals(packed: DataFrame, least: tuple[int, ...]) -> DataFrame:
 
     def totals(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
-        keys = unpack(table.column("keys"))
+        keys = unpack_keys(table.column("keys"))
         sizes = np.array([len(k) for k in keys], np.int64)
         block = np.repeat(table.column("block").to_numpy(), sizes)
         key = np.concatenate(keys)
         key2 = np.concatenate(unpack(table.column("keys2")))
-        count = np.concatenate(unpack(table.column("counts"), np.uint32)).astype(np.int64)
+        count = np.concatenate([unpack_counts(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes.tolist(), strict=True)])
         two = len(key2) == len(key)
         order = np.lexsort((key2, key)) if two else np.argsort(key, kind="stable")
         key, block, count = key[order], block[order], count[order]
@@ -250,9 +270,9 @@ def key_totals(packed: DataFrame, least: tuple[int, ...]) -> DataFrame:
         columns = [
             pa.array([kind] * (n + 1), pa.int32()),
             pa.array([*at[cuts].tolist(), None], pa.int32()),
-            pa.array([*(pack(key[i]) for i in spans), None], pa.binary()),
+            pa.array([*(pack_sorted(key[i]) for i in spans), None], pa.binary()),
             pa.array([*(pack(key2[i]) if two else b"" for i in spans), None], pa.binary()),
-            pa.array([*(pack(total[i]) for i in spans), None], pa.binary()),
+            pa.array([*(pack_counts(total[i]) for i in spans), None], pa.binary()),
             pa.array([None] * n + [len(kept)], pa.int64()),
             pa.array([None] * n + [int(kept.sum())], pa.int64()),
         ]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_SCHEMA, Scratch, block_count, chunks, hash_chunks, join_hashes, key_totals, mix, places, read, row_crc, split_words, unpack, with_block, word_hashes
+from .common import CHUNK_SCHEMA, Scratch, block_count, chunks, hash_chunks, join_hashes, key_totals, mix, places, read, row_crc, split_words, unpack_counts, unpack_keys, with_block, word_hashes
 
 #: Documents with this remainder of crc32(doc_id) are not learned from.
 FOLDS, HELD_OUT = 7, 2
@@ -79,7 +79,8 @@ class _Block:
 
     def __init__(self, totals: pa.Table, documents: int):
         kinds = totals.column("kind").to_numpy()
-        keys, counts = unpack(totals.column("keys")), unpack(totals.column("totals"), np.int64)
+        keys = unpack_keys(totals.column("keys"))
+        counts = [unpack_counts(x, len(k)) for x, k in zip(totals.column("totals").to_pylist(), keys, strict=True)]
         self.known = []
         for kind in (0, 1):
             own = np.flatnonzero(kinds == kind)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_SCHEMA, Scratch, block_count, chunks, hash_chunks, key_totals, join_hashes, mix, ngram_hashes, places, read, split_words, unpack, with_block, word_hashes
+from .common import CHUNK_SCHEMA, Scratch, block_count, chunks, hash_chunks, key_totals, join_hashes, mix, ngram_hashes, places, read, split_words, unpack, unpack_keys, with_block, word_hashes
 
 #: Words of a window in the registered query.
 WINDOW = 35
@@ -129,7 +129,7 @@ def _window_keys(window: int, buckets: int):
 
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
         block = docs.column("block")[0].as_py() if docs.num_rows else -1
-        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *unpack(hits.column("keys"))]))
+        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *unpack_keys(hits.column("keys"))]))
         found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
         for part in chunks(docs.combine_chunks().to_batches()) if len(known) else ():
             words = _Words(part.column("text"))
@@ -166,7 +166,7 @@ def _covered(words: _Words, known: np.ndarray, known2: np.ndarray, window: int)
 
 def _remove(window: int, with_text: bool, extra: pa.DataType | None):
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        known = np.concatenate([np.zeros(0, np.uint64), *unpack(hits.column("keys"))])
+        known = np.concatenate([np.zeros(0, np.uint64), *unpack_keys(hits.column("keys"))])
         known2 = np.concatenate([np.zeros(0, np.uint64), *unpack(hits.column("keys2"))])
         order = np.lexsort((known2, known))
         known, known2 = known[order], known2[order]
