@@ -194,12 +194,15 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """One byte for each count if all fit, else eight."""
-    return pack(counts.astype(np.uint8 if not len(counts) or counts.max() < 256 else np.int64))
+    """One byte for each count; those of 255 and more follow at the end in full."""
+    large = counts >= 255
+    return pack(np.where(large, 255, counts).astype(np.uint8)) + pack(counts[large].astype(np.int64))
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if len(data) == n else np.int64).astype(np.int64)
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, np.int64, offset=n) if len(data) > n else 0
+    return counts
 
 
 def hash_chunks(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, keys2: np.ndarray | None = None, kind: int = 0) -> pa.Table:
