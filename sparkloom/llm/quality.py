@@ -12,6 +12,7 @@ the driver.  The list becomes one ordered CASE expression.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,36 +37,56 @@ def _count(text: Column, signs: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, signs, ""))).cast("long")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where the optimizer copies the whole."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _repeated(hashes: Column) -> Column:
+    """Words that lie in windows which occur twice or more, from the words' hashes."""
+    k = REPEAT_WINDOW
+
+    def twins(ranked: Column) -> Column:
+        """Starts of windows that have an equal one beside them in order, ascending."""
+        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        own = F.transform(ranked, lambda x, i: F.when(same(x, F.get(ranked, i - 1)) | same(x, F.get(ranked, i + 1)), x["i"]))
+        return F.array_sort(F.filter(own, lambda x: x.isNotNull()))
+
+    def covered(starts: Column) -> Column:
+        steps = F.transform(starts, lambda x, i: F.least(F.lit(k), F.coalesce(F.get(starts, i + 1) - x, F.lit(k))))
+        return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
+
+    def counted(windows: Column) -> Column:
+        ranked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        # only texts with two equal windows are looked at further
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_let(_let(ranked, twins), covered))
+
+    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), lambda i: F.xxhash64(F.slice(hashes, i, F.lit(k))))
+    return F.when(F.size(hashes) < k, F.lit(0)).otherwise(_let(windows, counted))
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
     """docs with the whole-text statistics of each text; a null text counts as empty."""
+
+    def words(w: Column) -> Column:
+        of = lambda h: F.struct(F.size(h).alias("n"), F.size(F.array_distinct(h)).alias("distinct"), _repeated(h).alias("repeated"))
+        return _let(F.transform(w, lambda x: F.xxhash64(x)), of)
+
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.withColumn("_text", text).withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    d = d.withColumn("_lines", lines).withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
-    n = F.size("_words")
-    k = REPEAT_WINDOW
-    windows = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice("_hash", i, F.lit(k)))))
-    d = d.withColumn("_windows", windows)
-    # only texts with an equal pair of windows are looked at further
-    some = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    ranked = F.when(some, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    d = d.withColumn("_ranked", ranked)
-    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-    twin = F.transform("_ranked", lambda x, i: F.when(same(x, F.get("_ranked", i - 1)) | same(x, F.get("_ranked", i + 1)), x["i"]))
-    d = d.withColumn("_starts", F.array_sort(F.filter(twin, lambda x: x.isNotNull())))
-    covered = F.transform("_starts", lambda x, i: F.least(F.lit(k), F.coalesce(F.get("_starts", i + 1) - x, F.lit(k))))
-    repeated = F.coalesce(F.aggregate(covered, F.lit(0).cast("int"), lambda a, x: a + x), F.lit(0))
+    filled = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = _let(filled, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("equal")))
+    d = docs.withColumn("_words", _let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), words)).withColumn("_lines", lines)
     d = d.select(
         *(docs[c] for c in docs.columns),
-        n.cast("long").alias("n_words"),
-        F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
-        _count(F.col("_text"), SYMBOLS).alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated.cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        _count(F.col("_text"), UPPER).alias("n_upper"),
-        _count(F.col("_text"), "!").alias("n_exclaims"),
-        F.size(F.array_distinct("_hash")).cast("long").alias("n_distinct"),
+        F.col("_words.n").cast("long").alias("n_words"),
+        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
+        _count(text, SYMBOLS).alias("n_symbols"),
+        F.col("_lines.equal").cast("long").alias("n_dup_lines"),
+        F.col("_words.repeated").cast("long").alias("n_repeat_words"),
+        F.col("_lines.n").cast("long").alias("n_lines"),
+        _count(text, UPPER).alias("n_upper"),
+        _count(text, "!").alias("n_exclaims"),
+        F.col("_words.distinct").cast("long").alias("n_distinct"),
     )
     return d.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
@@ -181,7 +202,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample
     few = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * sample)
     few = scratch.save(few, "labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    rows = with_rates(text_statistics(rows)).filter(~F.col("base_failed"))
+    rows = scratch.save(with_rates(text_statistics(rows)), "rated").filter(~F.col("base_failed"))
     part = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(3))
     return scratch.save(rows.select("rates", (1 - F.col("quality")).alias("bad"), part.alias("part")), "sample")
 

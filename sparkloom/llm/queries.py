@@ -11,6 +11,7 @@ from .language_id import op5_language_id
 from .language_model import op7_lm_scoring
 from .mixing import OP10_SQL, op10_source_mixing
 from .packing import op4_packing
+from .quality import op6_quality_rules
 from .simhash import op3_simhash_near_dedup
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .toxicity import op2_toxicity
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
+    "op6_quality_rules": op6_quality_rules,
     "op7_lm_scoring": op7_lm_scoring,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
