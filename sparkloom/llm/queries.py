@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op9_nearest_neighbours
+from .html_text import op8_html_extraction
 from .language_id import op5_language_id
 from .language_model import op7_lm_scoring
 from .mixing import OP10_SQL, op10_source_mixing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_html_extraction": op8_html_extraction,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
 }
