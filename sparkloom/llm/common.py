@@ -205,14 +205,19 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
+def bucket_order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys by hash bucket, ascending in each: their buckets, and the order."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    return bucket[order], order
+
+
 def hash_chunks(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, keys2: np.ndarray | None = None, kind: int = 0) -> pa.Table:
     """A block's keys and counts, packed into one row for each hash bucket of the key space.
 
     Keys are ascending.  Those of different kinds are counted apart.
     """
-    bucket = (keys % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
+    bucket, order = bucket_order(keys, buckets)
     starts = np.flatnonzero(np.r_[len(keys) > 0, np.diff(bucket) != 0])
     ends = np.r_[starts[1:], len(keys)].astype(int)
 
@@ -224,7 +229,7 @@ def hash_chunks(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int,
 
 
 CHUNK_SCHEMA = "kind int, bucket int, block int, keys binary, keys2 binary, counts binary"
-TOTAL_SCHEMA = "kind int, block int, keys binary, keys2 binary, totals binary, n_keys long, n_counts long"
+TOTAL_SCHEMA = "kind int, bucket int, block int, totals binary, size long, n_keys long, n_counts long"
 
 
 def unpack(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -235,53 +240,74 @@ def unpack_keys(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [unpack_sorted(x) for x in column.to_pylist()]
 
 
-def key_totals(packed: DataFrame, least: tuple[int, ...]) -> DataFrame:
-    """Sum the counts of equal keys over all blocks and tell each block its keys' totals.
-
-    One group is one kind and hash bucket of the key space.  A block sends a
-    key once, so a very common key has no more entries here than there are
-    blocks.  Keys of kind k whose total is under least[k] are left out.  A row
-    with a null block has the number of a group's keys that stay and the sum
-    of their totals.
+def _group_totals(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Entries of a bucket's chunks in key order: (chunk sizes, order, key, key2 or none, totals, sums by key)."""
+    keys = unpack_keys(table.column("keys"))
+    sizes = np.array([len(k) for k in keys], np.int64)
+    key, key2 = np.concatenate(keys), np.concatenate(unpack(table.column("keys2")))
+    count = np.concatenate([unpack_counts(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes.tolist(), strict=True)])
+    two = len(key2) == len(key)
+    order = np.lexsort((key2, key)) if two else np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    new = np.diff(key) != 0
+    if two:
+        key2 = key2[order]
+        new |= np.diff(key2) != 0
+    starts = np.flatnonzero(np.r_[len(key) > 0, new])
+    sums = np.add.reduceat(count, starts) if len(starts) else count
+    return sizes, order, key, key2, np.repeat(sums, np.diff(np.r_[starts, len(key)])), sums
+
+
+def repeated_keys(packed: DataFrame, least: int = 2) -> DataFrame:
+    """For each block, packed, its keys whose counts over all blocks come to `least`.
+
+    One group is one hash bucket of the key space.  A block sends a key once,
+    so a very common key has no more entries here than there are blocks.
     """
 
-    def totals(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
-        keys = unpack_keys(table.column("keys"))
-        sizes = np.array([len(k) for k in keys], np.int64)
-        block = np.repeat(table.column("block").to_numpy(), sizes)
-        key = np.concatenate(keys)
-        key2 = np.concatenate(unpack(table.column("keys2")))
-        count = np.concatenate([unpack_counts(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes.tolist(), strict=True)])
-        two = len(key2) == len(key)
-        order = np.lexsort((key2, key)) if two else np.argsort(key, kind="stable")
-        key, block, count = key[order], block[order], count[order]
-        new = np.diff(key) != 0
-        if two:
-            key2 = key2[order]
-            new |= np.diff(key2) != 0
-        starts = np.flatnonzero(np.r_[len(key) > 0, new])
-        sums = np.add.reduceat(count, starts) if len(starts) else count
-        total = np.repeat(sums, np.diff(np.r_[starts, len(key)]))
-        kept = sums[sums >= least[kind]]
-        good = np.flatnonzero(total >= least[kind])
+    def run(table: pa.Table) -> pa.Table:
+        sizes, order, key, key2, total, _ = _group_totals(table)
+        block = np.repeat(table.column("block").to_numpy(), sizes)[order]
+        good = np.flatnonzero(total >= least)
         good = good[np.argsort(block[good], kind="stable")]
         at = block[good]
         cuts = np.flatnonzero(np.r_[len(at) > 0, np.diff(at) != 0])
         spans = [good[a:b] for a, b in zip(cuts, np.r_[cuts[1:], len(at)].astype(int), strict=False)]
-        n = len(spans)
+        second = [pack(key2[i]) if len(key2) == len(key) else b"" for i in spans]
+        columns = [pa.array(at[cuts], pa.int32()), pa.array([pack_sorted(key[i]) for i in spans], pa.binary()), pa.array(second, pa.binary())]
+        return pa.table(columns, names=["block", "keys", "keys2"])
+
+    return packed.groupBy("kind", "bucket").applyInArrow(run, "block int, keys binary, keys2 binary")
+
+
+def key_totals(packed: DataFrame, least: tuple[int, ...]) -> DataFrame:
+    """For each chunk the totals of its keys over all blocks, in the chunk's order.
+
+    A block that makes its chunks again can tell the totals by their places,
+    so no key travels back.  Totals of kind k under least[k] are zero.  A row
+    with a null block has the number of a group's keys that stay and the sum
+    of their totals.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, bucket = (table.column(c)[0].as_py() for c in ("kind", "bucket"))
+        sizes, order, _, _, total, sums = _group_totals(table)
+        placed = np.empty_like(total)
+        placed[order] = np.where(total >= least[kind], total, 0)
+        parts = np.split(placed, np.cumsum(sizes)[:-1])
+        kept, n = sums[sums >= least[kind]], len(parts)
         columns = [
             pa.array([kind] * (n + 1), pa.int32()),
-            pa.array([*at[cuts].tolist(), None], pa.int32()),
-            pa.array([*(pack_sorted(key[i]) for i in spans), None], pa.binary()),
-            pa.array([*(pack(key2[i]) if two else b"" for i in spans), None], pa.binary()),
-            pa.array([*(pack_counts(total[i]) for i in spans), None], pa.binary()),
+            pa.array([bucket] * (n + 1), pa.int32()),
+            pa.array([*table.column("block").to_pylist(), None], pa.int32()),
+            pa.array([*map(pack_counts, parts), None], pa.binary()),
+            pa.array([*map(len, parts), None], pa.int64()),
             pa.array([None] * n + [len(kept)], pa.int64()),
             pa.array([None] * n + [int(kept.sum())], pa.int64()),
         ]
-        return pa.table(columns, names=["kind", "block", "keys", "keys2", "totals", "n_keys", "n_counts"])
+        return pa.table(columns, names=["kind", "bucket", "block", "totals", "size", "n_keys", "n_counts"])
 
-    return packed.groupBy("kind", "bucket").applyInArrow(totals, TOTAL_SCHEMA)
+    return packed.groupBy("kind", "bucket").applyInArrow(run, TOTAL_SCHEMA)
 
 
 def places(x: np.ndarray, known: np.ndarray) -> np.ndarray:

@@ -10,17 +10,19 @@ their mass goes to the lower orders.
 
 Counts are gathered by hash block: a block of documents sends each distinct
 key once, the key's owner sums them up, and the blocks that sent it get the
-total back.  Nothing grows with the corpus in one task or on the driver.
+total back, told by its place.  Nothing grows with the corpus in one task or on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_SCHEMA, Scratch, block_count, chunks, hash_chunks, join_hashes, key_totals, mix, places, read, row_crc, split_words, unpack_counts, unpack_keys, with_block, word_hashes
+from .common import CHUNK_SCHEMA, Scratch, block_count, bucket_order, chunks, hash_chunks, join_hashes, key_totals, mix, read, row_crc, split_words, unpack_counts, with_block, word_hashes
 
 #: Documents with this remainder of crc32(doc_id) are not learned from.
 FOLDS, HELD_OUT = 7, 2
@@ -51,58 +53,48 @@ class _Tokens:
         self.size = np.diff(self.edge)
 
 
-def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(keys, return_inverse=True)
-    return key, np.bincount(at, counts, len(key)).astype(np.int64)
+def _block_tokens(docs: pa.Table) -> Iterator[tuple[pa.RecordBatch, _Tokens]]:
+    for part in chunks(docs.combine_chunks().to_batches()):
+        yield part, _Tokens(part.column("text"))
+
+
+class _Block:
+    """A block's documents with the places of their tokens among its distinct keys."""
+
+    def __init__(self, docs: pa.Table):
+        self.parts = list(_block_tokens(docs))
+        self.keys, self.at = zip(*(np.unique(np.concatenate([getattr(t, name) for _, t in self.parts]), return_inverse=True) for name in ("word", "pair")), strict=True)
+        self.size = np.concatenate([t.size for _, t in self.parts])
+        self.edge = np.concatenate([[0], np.cumsum(self.size)])
+        self.held_out = np.concatenate([p.column("held_out").to_numpy(zero_copy_only=False) for p, _ in self.parts])
+        self.learn = np.repeat(~self.held_out, self.size)
+
+    def counts(self, totals: pa.Table, buckets: int, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training counts of each token, of its context and of the pair."""
+        totals = totals.sort_by("bucket")
+        kinds, found = totals.column("kind").to_numpy(), []
+        data, sizes = totals.column("totals").to_pylist(), totals.column("size").to_pylist()
+        for kind, (keys, at) in enumerate(zip(self.keys, self.at, strict=True)):
+            own = np.concatenate([unpack_counts(data[i], sizes[i]) for i in np.flatnonzero(kinds == kind)])
+            placed = np.empty(len(keys), np.int64)
+            placed[bucket_order(keys, buckets)[1]] = own
+            found.append(placed[at])
+        context = np.r_[0, found[0][:-1]]
+        context[self.edge[:-1]] = documents
+        return found[0], context, found[1]
 
 
 def _counts(buckets: int):
     def run(docs: pa.Table) -> pa.Table:
-        block = docs.column("block")[0].as_py()
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        for part in chunks(docs.combine_chunks().to_batches()):
-            t = _Tokens(part.column("text"))
-            learn = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), t.size).astype(np.int64)
-            for kind, keys in enumerate((t.word, t.pair)):
-                found[kind].append(_sum_by(keys, learn))
+        number, block = docs.column("block")[0].as_py(), _Block(docs)
         tables = []
-        for kind, x in enumerate(found):
-            key, count = _sum_by(*(np.concatenate(c) for c in zip(*x, strict=True)))
-            tables.append(hash_chunks(block, key, count, buckets, kind=kind))
+        for kind, (keys, at) in enumerate(zip(block.keys, block.at, strict=True)):
+            tables.append(hash_chunks(number, keys, np.bincount(at, block.learn, len(keys)).astype(np.int64), buckets, kind=kind))
         return pa.concat_tables(tables)
 
     return run
 
 
-class _Block:
-    """What a block knows of its words and pairs."""
-
-    def __init__(self, totals: pa.Table, documents: int):
-        kinds = totals.column("kind").to_numpy()
-        keys = unpack_keys(totals.column("keys"))
-        counts = [unpack_counts(x, len(k)) for x, k in zip(totals.column("totals").to_pylist(), keys, strict=True)]
-        self.known = []
-        for kind in (0, 1):
-            own = np.flatnonzero(kinds == kind)
-            key = np.concatenate([np.zeros(0, np.uint64), *(keys[i] for i in own)])
-            count = np.concatenate([np.zeros(0, np.int64), *(counts[i] for i in own)])
-            order = np.argsort(key)
-            self.known.append((key[order], count[order]))
-        self.documents = documents
-
-    def look(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        key, count = self.known[kind]
-        at = places(keys, key)
-        return np.where(at >= 0, np.append(count, 0)[at], 0)
-
-    def of(self, t: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of each token, its context and the pair."""
-        word = self.look(0, t.word)
-        context = np.r_[0, word[:-1]]
-        context[t.edge[:-1]] = self.documents
-        return word, context, self.look(1, t.pair)
-
-
 def context_bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
 
@@ -117,19 +109,14 @@ def _cell_value(cell: np.ndarray) -> np.ndarray:
     return np.where(cell > 0, 2.0 ** (-(cell - 1) / 2), 0.0)
 
 
-def _deleted(documents: int, tokens: int):
+def _deleted(buckets: int, documents: int, tokens: int):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        known, codes, counts = _Block(totals, documents), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for part in chunks(docs.combine_chunks().to_batches()):
-            learn = ~part.column("held_out").to_numpy(zero_copy_only=False)
-            t = _Tokens(part.column("text"))
-            word, context, pair = (x[np.repeat(learn, t.size)] for x in known.of(t))
-            high = np.maximum(pair - 1, 0) / np.maximum(context - 1, 1)
-            low = (word - 1) / max(tokens - 1, 1)
-            code, count = np.unique((context_bucket(context - 1) * CELLS + _cell(high)) * CELLS + _cell(low), return_counts=True)
-            codes.append(code)
-            counts.append(count)
-        return pa.table([pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts).astype(np.int64))], names=["cell", "n"])
+        block = _Block(docs)
+        word, context, pair = (x[block.learn] for x in block.counts(totals, buckets, documents))
+        high = np.maximum(pair - 1, 0) / np.maximum(context - 1, 1)
+        low = (word - 1) / max(tokens - 1, 1)
+        cell, n = np.unique((context_bucket(context - 1) * CELLS + _cell(high)) * CELLS + _cell(low), return_counts=True)
+        return pa.table([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
     return run
 
@@ -157,21 +144,17 @@ def learn_weights(cells: list[tuple[int, int]], vocabulary: int) -> np.ndarray:
     return weights
 
 
-def _scores(documents: int, tokens: int, vocabulary: int, weights: np.ndarray):
+def _scores(buckets: int, documents: int, tokens: int, vocabulary: int, weights: np.ndarray):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        known, out = _Block(totals, documents), []
-        for part in chunks(docs.combine_chunks().to_batches()):
-            t = _Tokens(part.column("text"))
-            word, context, pair = known.of(t)
-            w = weights[context_bucket(context)]
-            p = w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (word / max(tokens, 1)) + w[:, 2] / (vocabulary + 1)
-            base = np.log10((word + 1) / (tokens + vocabulary + 1))
-            begin = t.edge[:-1]
-            total = lambda x: np.add.reduceat(x, begin) if len(begin) else x[:0]  # noqa: E731, B023
-            names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-            columns = [part.column("doc_id"), part.column("held_out"), t.size, total((word > 0).astype(np.int64)), total(base), total(np.log10(p))]
-            out.append(pa.table(columns, names=names))
-        return pa.concat_tables(out)
+        block = _Block(docs)
+        word, context, pair = block.counts(totals, buckets, documents)
+        w = weights[context_bucket(context)]
+        p = w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (word / max(tokens, 1)) + w[:, 2] / (vocabulary + 1)
+        base = np.log10((word + 1) / (tokens + vocabulary + 1))
+        total = lambda x: np.add.reduceat(x, block.edge[:-1])
+        ids = pa.chunked_array([part.column("doc_id") for part, _ in block.parts])
+        columns = [ids, pa.array(block.held_out), block.size, total((word > 0).astype(np.int64)), total(base), total(np.log10(p))]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -198,12 +181,12 @@ def interpolated_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HEL
     sums = totals.filter("kind = 0 and block is null").agg(F.sum("n_keys"), F.sum("n_counts")).first()
     vocabulary, tokens = int(sums[0] or 0), int(sums[1] or 0)
     documents = source.filter(~F.col("held_out")).count()
-    known = totals.filter("block is not null").select("kind", "block", "keys", "totals").groupBy("block")
-    cells = parts.groupBy("block").cogroup(known).applyInArrow(_deleted(documents, tokens), "cell long, n long")
+    known = totals.filter("block is not null").select("kind", "bucket", "block", "totals", "size").groupBy("block")
+    cells = parts.groupBy("block").cogroup(known).applyInArrow(_deleted(blocks, documents, tokens), "cell long, n long")
     cells = scratch.save(cells.groupBy("cell").agg(F.sum("n").alias("n")), "cells")
     weights = learn_weights([tuple(r) for r in cells.orderBy("cell").collect()], vocabulary)
     out = parts.groupBy("block").cogroup(known).applyInArrow(
-        _scores(documents, tokens, vocabulary, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _scores(blocks, documents, tokens, vocabulary, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

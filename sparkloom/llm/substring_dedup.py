@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_SCHEMA, Scratch, block_count, chunks, hash_chunks, key_totals, join_hashes, mix, ngram_hashes, places, read, split_words, unpack, unpack_keys, with_block, word_hashes
+from .common import CHUNK_SCHEMA, Scratch, block_count, chunks, hash_chunks, join_hashes, mix, ngram_hashes, places, read, repeated_keys, split_words, unpack, unpack_keys, with_block, word_hashes
 
 #: Words of a window in the registered query.
 WINDOW = 35
@@ -203,9 +203,9 @@ def repeated_windows(docs: DataFrame, window: int, blocks: int, scratch: Scratch
     """For each block the packed 128-bit hashes of its windows that occur twice or more in all."""
     parts = with_block(docs, blocks)
     first = parts.groupBy("block").applyInArrow(_first_keys(window, blocks), CHUNK_SCHEMA)
-    shared = scratch.save(key_totals(first, (2,)).filter("block is not null").select("block", "keys"), "anchors")
+    shared = scratch.save(repeated_keys(first).select("block", "keys"), "anchors")
     second = parts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_window_keys(window, blocks), CHUNK_SCHEMA)
-    return scratch.save(key_totals(second, (2,)).filter("block is not null").select("block", "keys", "keys2"), "windows")
+    return scratch.save(repeated_keys(second), "windows")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
