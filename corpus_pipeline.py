@@ -1,20 +1,70 @@
-"""A corpus pipeline: each stage is one operator over all that its predecessor kept."""
+"""A corpus pipeline: each stage is one operator over all that its predecessor kept.
+
+Languages are identified and texts without one go; one document of each
+near-duplicate group stays; passages that repeat go; sources are mixed to
+their weights; what is left is packed into training sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkloom.llm import language_id, mixing, packing, simhash, substring_dedup
 from sparkloom.llm.common import Scratch, read
 
-STAGES: list = []
+#: Least share of the likelihood for a language to be accepted.
+SURE = 0.5
+
+#: Words of a passage that may not occur twice.
+PASSAGE_WORDS = 50
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found, with it in lang."""
+    found = language_id.identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    kept = found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= SURE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.drop_near_duplicates(docs).select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur again; those of which nothing is left go."""
+    out = substring_dedup.dedup_substrings(docs, PASSAGE_WORDS).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("source_mixing", mix_sources),
+    ("packing", pack),
+]
 
-#: Learned stages have no SQL form; the tests hold the pipeline against brute force.
+#: Learned stages and a tokenizer have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
+    """The last stage's rows for the documents of a folder; stages before it are written to the shared folder."""
+    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

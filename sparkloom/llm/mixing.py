@@ -63,20 +63,12 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """How many words of each document the mix takes.
+def find_thresholds(slim: DataFrame, scratch: Scratch, weights: tuple[int, ...], most: int) -> DataFrame:
+    """For each source s: source_size, target, whole copies, the hash `top` at which its
+    budget runs out, the words of that hash and how many of them fit.
 
-    docs: doc_id, text, source; other columns are ignored.  Returns doc_id,
-    size (words of the text; a null text has none), source_size, target, and
-    taken, `most` times size at the most.  Every document is taken
-    floor(target / source_size) times, and once more if its hash is under the
-    source's threshold; of the one document at the threshold its first words
-    fill the budget.  Equal rows share a hash and are taken alike.  A null
-    source is a source.  A source without words has target 0.  An empty table
-    gives an empty result.
+    slim: source, size, h.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    slim = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_hash("doc_id", "text").alias("h")), "sizes")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights, most)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -103,11 +95,58 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     # lo is now one hash, of which the words that fit are taken
     edge = state.select(F.col("source").alias("s"), F.col("lo").alias("top"), F.least(F.col("budget"), F.col("words").cast("double")).alias("fits"), "words")
     plan = plan.join(edge, _same(plan["source"], edge["s"]), "left")
-    plan = scratch.save(plan.select(F.col("source").alias("s"), "source_size", "target", "copies", "top", "fits", "words"), "thresholds")
-    out = slim.join(plan, _same(slim["source"], plan["s"]))
+    return scratch.save(plan.select(F.col("source").alias("s"), "source_size", "target", "copies", "top", "fits", "words"), "thresholds")
+
+
+def _taken() -> Column:
     part = F.floor(F.col("size") * F.col("fits") / F.col("words"))
     more = F.when(F.col("h") < F.col("top"), F.col("size")).when((F.col("h") == F.col("top")) & (F.col("words") > 0), part).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + more).cast("long").alias("taken"))
+    return (F.col("size") * F.col("copies") + more).cast("long")
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """The mix itself: docs with each row as often as `mix_sources` takes it.
+
+    A part of a copy is a row with the text's first words, joined by one
+    space, and n_chars of that, if docs has the column.  Rows without words
+    are not in the mix.  Columns are those of docs.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    marks = F.struct(word_count(docs["text"]).alias("size"), order_hash("doc_id", "text").alias("h"))
+    slim = scratch.save(docs.select("source", marks.alias("m")).select("source", "m.size", "m.h"), "sizes")
+    plan = find_thresholds(slim, scratch, weights, most)
+    plan = plan.select("s", F.struct("copies", "top", "fits", "words").alias("_plan"))
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
+    out = docs.select(row, marks.alias("_marks")).join(plan, _same(F.col("_row.source"), F.col("s")))
+    out = out.select("_row", "_marks.*", "_plan.*").select("_row", "size", _taken().alias("taken")).filter("taken > 0")
+    full, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    out = out.select("_row", F.explode(copies).alias("first"))
+    begin = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), 1, F.col("first").cast("int")), " ")
+    text = F.when(F.col("first") > 0, begin).otherwise(F.col("_row.text"))
+    own = {"text": text}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("first") > 0, F.length(begin).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return out.select(*(own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    docs: doc_id, text, source; other columns are ignored.  Returns doc_id,
+    size (words of the text; a null text has none), source_size, target, and
+    taken, `most` times size at the most.  Every document is taken
+    floor(target / source_size) times, and once more if its hash is under the
+    source's threshold; of the one document at the threshold its first words
+    fill the budget.  Equal rows share a hash and are taken alike.  A null
+    source is a source.  A source without words has target 0.  An empty table
+    gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    slim = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_hash("doc_id", "text").alias("h")), "sizes")
+    plan = find_thresholds(slim, scratch, weights, most)
+    out = slim.join(plan, _same(slim["source"], plan["s"]))
+    return out.select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

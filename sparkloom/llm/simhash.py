@@ -270,5 +270,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int
     return marked.join(classes, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
+    """docs with one document of each linked group: that of the smallest doc_id.
+
+    Rows that repeat a doc_id count once.  If a group has no id at all, the
+    documents without an id stay, one for each text.
+    """
+    marks = near_duplicates(docs, shingle, distance)
+    kept = marks.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    alone = marks.filter(F.col("doc_id").isNull() & F.col("component_id").isNull())
+    if not alone.head(1):
+        return out
+    bare = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    return out.unionByName(bare)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import CHUNK_SCHEMA, Scratch, block_count, chunks, hash_chunks, join_hashes, mix, ngram_hashes, places, read, repeated_keys, split_words, unpack, unpack_keys, with_block, word_hashes
 
@@ -164,7 +165,7 @@ def _covered(words: _Words, known: np.ndarray, known2: np.ndarray, window: int)
     return np.cumsum(cover)[:-1] > 0
 
 
-def _remove(window: int, with_text: bool, extra: pa.DataType | None):
+def _remove(window: int, with_text: bool, extra: bool):
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
         known = np.concatenate([np.zeros(0, np.uint64), *unpack_keys(hits.column("keys"))])
         known2 = np.concatenate([np.zeros(0, np.uint64), *unpack(hits.column("keys2"))])
@@ -187,12 +188,12 @@ def _remove(window: int, with_text: bool, extra: pa.DataType | None):
                 kept = b" ".join(text[words.codes[a:b][~cut] if n else words.codes[a:b]].tolist())
                 out.append(kept.decode() if with_text else hashlib.sha256(kept).hexdigest())
             ids.append(part.column("doc_id"))
-            if extra is not None:
+            if extra:
                 rest.append(part.column("extra"))
         columns = [pa.chunked_array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())]
         names = ["doc_id", "n_words", "n_removed", "text" if with_text else "kept_sha256"]
-        if extra is not None:
-            columns.append(pa.chunked_array(rest, extra))
+        if extra:
+            columns.append(pa.chunked_array(rest, docs.schema.field("extra").type))
             names.append("extra")
         return pa.table(columns, names=names)
 
@@ -232,15 +233,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False
     taken = ("doc_id", "text", "n_words", "n_removed")
     source = docs.select("doc_id", "text", *(docs[c] for c in docs.columns if c not in taken))
     parts = with_block(source, blocks, extra=not digest)
-    kinds = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "text string")
-    extra = None
-    if "extra" in parts.columns:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = parts.schema["extra"].dataType
-        extra, kinds = to_arrow_type(kind, timezone="UTC"), f"{kinds}, extra {kind.simpleString()}"
+    kinds = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_words", "n_removed")])
+    kinds.add("kept_sha256" if digest else "text", T.StringType())
+    extra = "extra" in parts.columns
+    if extra:
+        kinds.add(parts.schema["extra"])
     out = parts.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_remove(window, not digest, extra), kinds)
-    return out.select("doc_id", "n_words", "n_removed", "text", "extra.*") if extra is not None else out
+    return out.select("doc_id", "n_words", "n_removed", "text", "extra.*") if extra else out
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
