@@ -6,6 +6,7 @@ import ast
 import operator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,8 +99,6 @@ def arithmetic(text: str | None) -> float | None:
 
 def countdown_reward(rows: DataFrame) -> DataFrame:
     """rows (answer text, numbers array, target) with reward: 1 if the answer uses the numbers once each and hits the target."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def value(formulas: pd.Series) -> pd.Series:
         return formulas.map(arithmetic)
