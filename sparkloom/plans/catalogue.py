@@ -1,12 +1,21 @@
-"""All registered queries outside the corpus package."""
+"""All registered queries outside the corpus package, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import annotation, detection, learning, segmentation, traces
+from ..streaming import executor
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+for _module in (detection, annotation, segmentation, traces, learning, executor):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Boxes matched, and their detection measures."""
+    return detection.detection_summary(spark, sf_dir)

@@ -124,12 +124,12 @@ def rl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("rec", text.alias("prompt"), show("lesion").alias("lesion_ordinals"), show("other").alias("non_lesion_ordinals"), key.alias("oracle_key_z"))
 
 
-_PTR = f"""WITH RECURSIVE {plain(CALLS)}, r AS (SELECT DISTINCT rec, 0::BIGINT AS pos, '' AS name, 0 AS z, 0 AS delta, NULL::INT AS prev, NULL::INT AS ptr, false AS clamped, false AS ok FROM calls
+POINTER_SQL = f"""WITH RECURSIVE {plain(CALLS)}, r AS (SELECT DISTINCT rec, 0::BIGINT AS pos, '' AS name, 0 AS z, 0 AS delta, NULL::INT AS prev, NULL::INT AS ptr, false AS clamped, false AS ok FROM calls
   UNION ALL SELECT c.rec, c.pos, c.name, c.z, c.delta, r.ptr, CASE WHEN c.name = 'get_slice' THEN c.z WHEN c.name = 'scroll' AND r.ptr IS NOT NULL AND c.delta <> 0 THEN least(9, greatest(0, r.ptr + c.delta)) ELSE r.ptr END,
     coalesce(c.name = 'scroll' AND c.delta <> 0 AND (r.ptr + c.delta < 0 OR r.ptr + c.delta > 9), false),
     CASE WHEN c.name = 'scroll' THEN r.ptr IS NOT NULL AND c.delta <> 0 WHEN c.name IN ('add_bbox', 'add_point') THEN coalesce(r.ptr = c.z, false) ELSE c.name <> 'malformed' END
   FROM r JOIN calls c ON c.rec = r.rec AND c.pos = r.pos + 1), s AS (SELECT * FROM r WHERE pos > 0)"""
-_NAV = f"""{_PTR}, o AS (SELECT *, sum(CASE WHEN name IN ('add_bbox', 'add_point') THEN 1 ELSE 0 END) OVER (PARTITION BY rec, ptr ORDER BY pos) AS overlay FROM s WHERE ok AND ptr IS NOT NULL),
+_NAV = f"""{POINTER_SQL}, o AS (SELECT *, sum(CASE WHEN name IN ('add_bbox', 'add_point') THEN 1 ELSE 0 END) OVER (PARTITION BY rec, ptr ORDER BY pos) AS overlay FROM s WHERE ok AND ptr IS NOT NULL),
 n AS (SELECT *, lag(overlay) OVER w AS last, row_number() OVER w - 1 AS before FROM o WHERE name IN ('get_slice', 'scroll') WINDOW w AS (PARTITION BY rec, ptr ORDER BY pos)),
 v AS (SELECT *, last IS NULL OR last <> overlay AS changed FROM n)"""
 _REW = f"""{_NAV}, st AS (SELECT rec, sum(CASE WHEN name = 'scroll' THEN CASE WHEN clamped THEN -0.02 WHEN abs(delta) <= 2 THEN 0.01 ELSE 0 END
@@ -143,8 +143,8 @@ od AS (SELECT rec, a, unnest(range(10)) AS i FROM cs), oa AS (SELECT *, a + 3 *
 _ADV = "(o_totalprice - avg(o_totalprice) OVER w) / nullif(stddev_pop(o_totalprice) OVER w, 0)"
 
 SQL = {
-    "pointer_fold": f"{_PTR} SELECT rec, pos, name, coalesce(ptr, -1) AS ptr, clamped, ok FROM s",
-    "history_sets": f"""{_PTR}, k AS (SELECT * FROM s WHERE ok), h AS (SELECT a.rec, a.pos, count(DISTINCT b.ptr) FILTER (b.name IN ('get_slice', 'scroll')) AS n_visited, count(DISTINCT b.ptr) FILTER (b.name = 'add_bbox') AS n_annotated
+    "pointer_fold": f"{POINTER_SQL} SELECT rec, pos, name, coalesce(ptr, -1) AS ptr, clamped, ok FROM s",
+    "history_sets": f"""{POINTER_SQL}, k AS (SELECT * FROM s WHERE ok), h AS (SELECT a.rec, a.pos, count(DISTINCT b.ptr) FILTER (b.name IN ('get_slice', 'scroll')) AS n_visited, count(DISTINCT b.ptr) FILTER (b.name = 'add_bbox') AS n_annotated
       FROM k a JOIN k b ON a.rec = b.rec AND b.pos <= a.pos GROUP BY ALL) SELECT rec, pos, n_visited, n_annotated, 10 - n_visited AS n_unvisited FROM h""",
     "overlay_change": f"{_NAV} SELECT rec, pos, ptr, changed FROM v",
     "revisit_flags": f"{_NAV} SELECT rec, count(*) FILTER (before > 0) AS revisits, count(*) FILTER (before > 0 AND NOT changed) AS unchanged, count(*) FILTER (clamped) AS clamped FROM v GROUP BY rec",

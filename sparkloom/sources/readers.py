@@ -1,0 +1,140 @@
+"""Readers for records, metadata, masks and volumes."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+META = (
+    "videos map<string, struct<expressions: map<string, struct<exp: string, obj_id: string>>, frames: array<string>, height: int, width: int>>"
+)
+OBJECTS = "videos map<string, struct<objects: map<string, struct<category: string, frames: array<string>>>>>"
+CATALOG = "labels map<string, string>, train array<struct<image: string>>, test array<struct<image: string>>"
+TRAJECTORY = "tools string, messages array<struct<role: string, content: string>>, images array<string>"
+GROUNDING = "messages array<struct<role: string, content: string>>, images array<string>, objects struct<ref: array<string>, bbox: array<array<int>>>"
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files, numbered from 0 in each file."""
+    d = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    return d
+
+
+def read_records(spark: SparkSession, path: str, schema: str, most: int | None = None, strict: bool = False) -> DataFrame:
+    """JSON lines with file and line number.
+
+    Blank lines are left out.  most: only the first lines of each file, counted
+    with blank ones.  strict: an unreadable line is an error, else its fields
+    are null.
+    """
+    if strict:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    d = read_lines(spark, path)
+    if most is not None:
+        d = d.filter(F.col("line") < most)
+    d = d.filter(F.trim("value") != "")
+    return d.select("file", "line", F.from_json("value", schema).alias("r")).select("file", "line", "r.*")
+
+
+def image_paths(images: F.Column) -> F.Column:
+    """Paths of images that are given as strings or as {"path": ...} texts."""
+    return F.transform(images, lambda x: F.coalesce(F.get_json_object(x, "$.path"), x))
+
+
+def read_expressions(spark: SparkSession, path: str) -> DataFrame:
+    """(vid, eid, caption, obj_id, frames, img_h, img_w) from nested metadata."""
+    d = spark.read.schema(META).option("multiLine", True).json(path)
+    d = d.select(F.explode("videos").alias("vid", "v"))
+    d = d.select("vid", "v.frames", F.col("v.height").alias("img_h"), F.col("v.width").alias("img_w"), F.explode("v.expressions").alias("eid", "e"))
+    return d.select("vid", "eid", F.col("e.exp").alias("caption"), F.col("e.obj_id").alias("obj_id"), "frames", "img_h", "img_w")
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(vid, obj_id, category)."""
+    d = spark.read.schema(OBJECTS).option("multiLine", True).json(path).select(F.explode("videos").alias("vid", "v"))
+    return d.select("vid", F.explode("v.objects").alias("obj_id", "o")).select("vid", "obj_id", "o.category")
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(code, split, image) of the train and test items of dataset catalogs, one file for each code."""
+    d = spark.read.schema(CATALOG).option("multiLine", True).json(path)
+    d = d.withColumn("code", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)).filter(F.size("labels") > 0)
+    each = lambda split: d.select("code", F.lit(split).alias("split"), F.explode(split).alias("i")).select("code", "split", "i.image")
+    return each("train").unionByName(each("test"))
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, file, place, width, height, data): images by file name in their folder."""
+    d = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    name = F.element_at(F.split("origin", "/"), -1)
+    folder = F.element_at(F.split("origin", "/"), -2)
+    from pyspark.sql import Window as W
+
+    return d.select(folder.alias("folder"), name.alias("file"), "width", "height", "data").withColumn("place", F.row_number().over(W.partitionBy("folder").orderBy("file")) - 1)
+
+
+def read_volumes(spark: SparkSession, path: str, level: float | None = None, width: float | None = None) -> DataFrame:
+    """(file, z, height, width, pixels): slices of .npy volumes along their first axis.
+
+    With level and width the values are cut to the window and scaled to 0..255.
+    """
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                volume = np.load(io.BytesIO(content), allow_pickle=False)
+                volume = volume[0] if volume.ndim == 4 else volume
+                if level is not None and width is not None:
+                    low = level - width / 2
+                    volume = ((np.clip(volume, low, low + width) - low) / width * 255).astype(np.uint8)
+                rows += [(file, z, s.shape[0], s.shape[1], s.astype(np.float64).ravel().tolist()) for z, s in enumerate(volume)]
+            yield pd.DataFrame(rows, columns=["file", "z", "height", "width", "pixels"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    return files.mapInPandas(run, "file string, z int, height int, width int, pixels array<double>")
+
+
+class Registry:
+    """Named datasets: a reader and a preparation, `name#n` takes n rows in the order of a hash."""
+
+    def __init__(self) -> None:
+        self.entries: dict[str, tuple[Callable[[SparkSession], DataFrame], Callable[[DataFrame], DataFrame]]] = {}
+
+    def register(self, name: str, reader: Callable[[SparkSession], DataFrame], prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
+        self.entries[name] = reader, prepare
+
+    def load(self, spark: SparkSession, name: str, seed: int = 42) -> DataFrame:
+        name, _, rows = name.partition("#")
+        reader, prepare = self.entries[name]
+        d = prepare(reader(spark))
+        if not rows:
+            return d
+        key = F.md5(F.concat(F.lit(f"{seed}|"), F.to_json(F.struct(*d.columns))).cast("binary"))
+        return d.withColumn("_h", key).orderBy("_h").limit(int(rows)).drop("_h")
+
+
+def normalize_chat(d: DataFrame) -> DataFrame:
+    """messages from the columns of the usual chat formats.
+
+    messages as they are; conversations of from/value; query, response and
+    system; or instruction, input and output.
+    """
+    have = set(d.columns)
+    col = lambda *names: F.coalesce(*(F.col(n) for n in names if n in have), F.lit(None).cast("string"))
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    user = F.coalesce(col("query", "prompt", "question"), F.concat_ws("\n", *(F.col(n) for n in ("instruction", "input") if n in have)))
+    built = F.filter(F.array(message("system", col("system")), message("user", user), message("assistant", col("response", "output", "answer"))), lambda m: m["content"].isNotNull() & (m["content"] != ""))
+    options = [built]
+    if "conversations" in have:
+        role = lambda x: F.when(x.isin("human", "user"), "user").when(x.isin("gpt", "assistant"), "assistant").otherwise(x)
+        options.insert(0, F.transform("conversations", lambda m: F.struct(role(m["from"]).alias("role"), m["value"].alias("content"))))
+    if "messages" in have:
+        options.insert(0, F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
+    return d.withColumn("messages", F.coalesce(*options))
