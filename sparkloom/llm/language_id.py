@@ -195,7 +195,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in listed[edge[w] : edge[w + 1]]:
                     for k in range(0, len(r), LONGEST):
                         seen[r[k : k + LONGEST]] = seen.get(r[k : k + LONGEST], 0) + int(count[w])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
 
 def learn_pieces(docs: DataFrame, pieces: list[str], sample: int = SAMPLE_DOCUMENTS) -> tuple[list[str], np.ndarray]:
@@ -233,7 +233,7 @@ def learn_pieces(docs: DataFrame, pieces: list[str], sample: int = SAMPLE_DOCUME
                             at = np.flatnonzero(length == size)
                             total += model.expected([marked[k] for k in at], n[at])
                         hit = np.flatnonzero(total)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit)), pa.array(hit, pa.int32()), pa.array(total[hit])], names=["lang", "piece", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(total[hit])], names=["lang", "piece", "n"])
 
             rows = words.mapInArrow(expected, schema).groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
             count = np.full(table.shape, PRIOR)
@@ -276,7 +276,7 @@ def identify(docs: DataFrame, vocabulary: str, folds: int = FOLDS, held_out: int
                 score = np.where(known, share, 0.0)
             else:
                 pred, score = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score)], names=names)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=names)
 
     return source.mapInArrow(run, kinds)
 

@@ -160,6 +160,8 @@ def learn_rules(sample: DataFrame) -> list[list[Condition]]:
     points = sample.select(*(F.percentile_approx(f"rates.{r}", shares, 10_000).alias(r) for r in RATES)).first()
     cuts = {r: sorted(set(points[r] or [])) for r in RATES}
     rules: list[list[Condition]] = []
+    if not any(cuts.values()):
+        return rules
     rest = sample
     while len(rules) < RULES:
         rows, rule = rest.filter("part < 2"), []

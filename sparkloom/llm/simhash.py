@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -274,16 +275,21 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance
     """docs with one document of each linked group: that of the smallest doc_id.
 
     Rows that repeat a doc_id count once.  If a group has no id at all, the
-    documents without an id stay, one for each text.
+    documents without an id stay, one for each fingerprint.
     """
     marks = near_duplicates(docs, shingle, distance)
     kept = marks.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    alone = marks.filter(F.col("doc_id").isNull() & F.col("component_id").isNull())
+    alone = marks.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("__fp")).distinct()
     if not alone.head(1):
         return out
-    bare = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return out.unionByName(bare)
+
+    @F.pandas_udf("string")
+    def mark(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{x:016x}" for x in fingerprints(texts.tolist(), shingle).tolist()])
+
+    bare = docs.filter(F.col("doc_id").isNull()).withColumn("__fp", mark("text"))
+    return out.unionByName(bare.join(alone, "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
