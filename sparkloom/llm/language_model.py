@@ -3,9 +3,9 @@
 P(w | v) = a[b] c(vw)/c(v) + b[b] c(w)/N + c[b] / (V + 1), where b is the
 bucket of the context's frequency c(v), a power of two.  The maximum-likelihood
 counts come from all training documents.  The weights of each bucket are
-learned by expectation-maximisation on deleted counts: every training token
-is held out of the counts in turn, and what its estimates then are is kept as
-a histogram of bounded size.  Pairs seen once are not stored (`PAIR_LEAST`):
+learned by expectation-maximisation on held-out counts: the documents of every
+block are scored with the block's own counts deleted from the totals, and what
+the estimates then are is kept as a histogram of bounded size.  Pairs seen once are not stored (`PAIR_LEAST`):
 their mass goes to the lower orders.
 
 Counts are gathered by hash block: a block of documents sends each distinct
@@ -112,10 +112,17 @@ def _cell_value(cell: np.ndarray) -> np.ndarray:
 def _deleted(buckets: int, documents: int, tokens: int):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
         block = _Block(docs)
-        word, context, pair = (x[block.learn] for x in block.counts(totals, buckets, documents))
-        high = np.maximum(pair - 1, 0) / np.maximum(context - 1, 1)
-        low = (word - 1) / max(tokens - 1, 1)
-        cell, n = np.unique((context_bucket(context - 1) * CELLS + _cell(high)) * CELLS + _cell(low), return_counts=True)
+        word, context, pair = block.counts(totals, buckets, documents)
+        own_word, own_pair = (np.bincount(at, block.learn, len(keys)).astype(np.int64)[at] for keys, at in zip(block.keys, block.at, strict=True))
+        own_context = np.r_[0, own_word[:-1]]
+        own_context[block.edge[:-1]] = int((~block.held_out).sum())
+        left = pair - own_pair
+        left[left < PAIR_LEAST] = 0
+        context = context - own_context
+        high = left / np.maximum(context, 1)
+        low = (word - own_word) / max(tokens - int(block.learn.sum()), 1)
+        code = (context_bucket(context) * CELLS + _cell(high)) * CELLS + _cell(low)
+        cell, n = np.unique(code[block.learn], return_counts=True)
         return pa.table([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
     return run
