@@ -17,25 +17,31 @@ GROUNDING = "messages array<struct<role: string, content: string>>, images array
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): the lines of text files, numbered from 0 in each file."""
-    d = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return d
+    """(file, line, value): the lines of text files, numbered from 0 in each file.
+
+    Numbering takes a file as a whole; `read_records` without numbers does not.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
 
 
-def read_records(spark: SparkSession, path: str, schema: str, most: int | None = None, strict: bool = False) -> DataFrame:
-    """JSON lines with file and line number.
+def read_records(spark: SparkSession, path: str, schema: str, most: int | None = None, numbered: bool = False, strict: bool = False) -> DataFrame:
+    """JSON lines with their file, and with their line number if numbered.
 
     Blank lines are left out.  most: only the first lines of each file, counted
-    with blank ones.  strict: an unreadable line is an error, else its fields
+    with blank ones.  Without the two, large files are split among tasks.  strict: an unreadable line is an error, else its fields
     are null.
     """
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    d = read_lines(spark, path)
-    if most is not None:
-        d = d.filter(F.col("line") < most)
+    if most is None and not numbered:
+        d = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    else:
+        d = read_lines(spark, path)
+        d = d.filter(F.col("line") < most) if most is not None else d
+    names = [c for c in d.columns if c != "value"]
     d = d.filter(F.trim("value") != "")
-    return d.select("file", "line", F.from_json("value", schema).alias("r")).select("file", "line", "r.*")
+    return d.select(*names, F.from_json("value", schema).alias("r")).select(*names, "r.*")
 
 
 def image_paths(images: F.Column) -> F.Column:
