@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annotation, detection, learning, segmentation, traces
+from . import annotation, detection, learning, records, segmentation, traces
 from ..streaming import executor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (detection, annotation, segmentation, traces, learning, executor):
+for _module in (detection, annotation, segmentation, traces, learning, records, executor):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.SQL)
 

@@ -99,14 +99,14 @@ _IOU = """CASE WHEN greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * grea
   ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))
   ELSE 0.0 END"""
 _PAIRS = f"WITH RECURSIVE {plain(LR)}, pairs AS (SELECT a.rec, a.g, b.p, {_IOU} AS iou FROM gt a JOIN pr b USING (rec))"
-_GLOBAL = f"""{_PAIRS},
+GLOBAL_SQL = f"""{_PAIRS},
 cand AS (SELECT rec, g, p, iou, row_number() OVER (PARTITION BY rec ORDER BY iou DESC, g, p) AS k FROM pairs),
 r AS (SELECT rec, 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS ps, false AS hit, 0::BIGINT AS g, 0::BIGINT AS p, 0.0::DOUBLE AS iou FROM cand WHERE k = 1
   UNION ALL SELECT c.rec, c.k, CASE WHEN NOT list_contains(gs, c.g) AND NOT list_contains(ps, c.p) THEN list_append(gs, c.g) ELSE gs END,
     CASE WHEN NOT list_contains(gs, c.g) AND NOT list_contains(ps, c.p) THEN list_append(ps, c.p) ELSE ps END,
     NOT list_contains(gs, c.g) AND NOT list_contains(ps, c.p), c.g, c.p, c.iou FROM r JOIN cand c ON c.rec = r.rec AND c.k = r.k + 1),
 m AS (SELECT rec, g, p, iou FROM r WHERE hit)"""
-_AP = f"""{_GLOBAL}, t AS (SELECT 0.5 + 0.05 * unnest(range(10)) AS threshold),
+_AP = f"""{GLOBAL_SQL}, t AS (SELECT 0.5 + 0.05 * unnest(range(10)) AS threshold),
 n AS (SELECT (SELECT count(*) FROM gt) AS ng, (SELECT count(*) FROM pr) AS np, (SELECT count(*) FROM m) AS nm),
 h AS (SELECT threshold, (SELECT count(*) FROM m WHERE iou >= threshold) AS hits FROM t),
 ap AS (SELECT threshold, coalesce(list_sum(list_transform(range(1, hits + 1), lambda k: k::DOUBLE / (greatest(np - nm, 0) + k))), 0) / ng AS ap FROM h, n)"""
@@ -117,7 +117,7 @@ _MOVE = lambda v, s, i: f"trunc({v} + ({_U(i)} * 2 - 1) * ({s}) * 0.05)::BIGINT"
 
 SQL = {
     "pair_iou": f"{_PAIRS} SELECT rec, g, p, round(iou, 6) AS iou FROM pairs",
-    "greedy_match_global": f"{_GLOBAL} SELECT rec, g, p, round(iou, 6) AS iou FROM m",
+    "greedy_match_global": f"{GLOBAL_SQL} SELECT rec, g, p, round(iou, 6) AS iou FROM m",
     "greedy_match_sequential": f"""{_PAIRS}, seq AS (SELECT rec, p, dense_rank() OVER (PARTITION BY rec ORDER BY p) AS k, g, iou FROM pairs),
       r AS (SELECT DISTINCT rec, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS tp, 0.0::DOUBLE AS s FROM seq
         UNION ALL SELECT rec, k, CASE WHEN best.iou >= {THRESHOLD} THEN list_append(used, best.g) ELSE used END, tp + CASE WHEN best.iou >= {THRESHOLD} THEN 1 ELSE 0 END,
@@ -125,7 +125,7 @@ SQL = {
         FROM (SELECT r.rec, r.k + 1 AS k, r.used, r.tp, r.s, (SELECT max_by({{'g': q.g, 'iou': q.iou}}, (q.iou, -q.g)) FROM seq q WHERE q.rec = r.rec AND q.k = r.k + 1 AND q.iou > 0 AND NOT list_contains(r.used, q.g)) AS best
           FROM r WHERE EXISTS (SELECT 1 FROM seq q WHERE q.rec = r.rec AND q.k = r.k + 1)))
       SELECT rec, max(k)::BIGINT AS n_pr, max(tp)::BIGINT AS tp, round(max(s), 6) AS iou_sum FROM r GROUP BY rec""",
-    "detection_summary": f"""{_GLOBAL}, n AS (SELECT (SELECT count(*) FROM gt) AS n_gt, (SELECT count(*) FROM pr) AS n_pr, (SELECT count(*) FROM m) AS matched,
+    "detection_summary": f"""{GLOBAL_SQL}, n AS (SELECT (SELECT count(*) FROM gt) AS n_gt, (SELECT count(*) FROM pr) AS n_pr, (SELECT count(*) FROM m) AS matched,
       (SELECT count(*) FROM m WHERE iou >= {THRESHOLD}) AS tp, (SELECT sum(iou) FROM m) AS s), q AS (SELECT *, tp::DOUBLE / n_pr AS p, tp::DOUBLE / n_gt AS r FROM n)
       SELECT n_gt, n_pr, matched, tp, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1, round(s / matched, 6) AS mean_iou, round(s / n_gt, 6) AS mean_iou_gt FROM q""",
     "ap_curve": f"{_AP} SELECT round(threshold, 2)::DOUBLE AS threshold, round(ap, 6) AS ap FROM ap",
