@@ -32,8 +32,8 @@ SHARE = 0.5
 #: Fewest candidates of a block for a query, as far as it has them.
 LEAST = 1000
 
-#: Vectors and queries in a block.
-BLOCK_ROWS, QUERY_ROWS = 20_000, 4_000
+#: Vectors and queries in a block at most, and numbers in a block of vectors.
+BLOCK_ROWS, QUERY_ROWS, BLOCK_VALUES = 20_000, 4_000, 8_000_000
 
 SEED = 20_240_601
 
@@ -145,8 +145,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
     """
     part = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable("v")).withColumn("dim", F.size("v"))
     x, y = part(vectors), part(queries)
-    n, m = x.count(), y.count()
-    rows, columns = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // QUERY_ROWS))
+    n, widest = x.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    rows, columns = max(1, -(-n // max(1, min(BLOCK_ROWS, BLOCK_VALUES // widest)))), max(1, -(-y.count() // QUERY_ROWS))
     x = x.withColumn("xb", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("yb", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     y = y.withColumn("yb", F.pmod(F.xxhash64("vec_id"), F.lit(columns)).cast("int")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     keys = ("dim", "xb", "yb")
