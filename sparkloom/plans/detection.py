@@ -106,7 +106,7 @@ r AS (SELECT rec, 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS ps, false
     CASE WHEN NOT list_contains(gs, c.g) AND NOT list_contains(ps, c.p) THEN list_append(ps, c.p) ELSE ps END,
     NOT list_contains(gs, c.g) AND NOT list_contains(ps, c.p), c.g, c.p, c.iou FROM r JOIN cand c ON c.rec = r.rec AND c.k = r.k + 1),
 m AS (SELECT rec, g, p, iou FROM r WHERE hit)"""
-_AP = f"""{GLOBAL_SQL}, t AS (SELECT 0.5 + 0.05 * unnest(range(10)) AS threshold),
+_AP = f"""{GLOBAL_SQL}, t AS (SELECT 0.5::DOUBLE + 0.05::DOUBLE * unnest(range(10)) AS threshold),
 n AS (SELECT (SELECT count(*) FROM gt) AS ng, (SELECT count(*) FROM pr) AS np, (SELECT count(*) FROM m) AS nm),
 h AS (SELECT threshold, (SELECT count(*) FROM m WHERE iou >= threshold) AS hits FROM t),
 ap AS (SELECT threshold, coalesce(list_sum(list_transform(range(1, hits + 1), lambda k: k::DOUBLE / (greatest(np - nm, 0) + k))), 0) / ng AS ap FROM h, n)"""
