@@ -28,11 +28,8 @@ def average_precision(matches: DataFrame, n_gt: int, n_pr: int, thresholds: tupl
     The sum over hits k of k / (unmatched + k), over the true boxes.  This is
     not the usual average precision: misses never fall behind hits.
     """
-    t = matches.select("iou").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    base = matches.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
-    hits = t.filter(F.col("iou") >= F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("hits"))
-    matched = matches.agg(F.count("*").alias("matched"))
-    s = base.join(hits, "threshold", "left").crossJoin(matched).withColumn("hits", F.coalesce("hits", F.lit(0)))
+    hits = F.array(*(F.struct(F.lit(t).alias("threshold"), F.count_if(F.col("iou") >= t).alias("hits")) for t in thresholds))
+    s = matches.agg(F.count("*").alias("matched"), hits.alias("t")).select("matched", F.explode("t").alias("t")).select("matched", "t.*")
     terms = F.when(F.col("hits") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("hits"))).otherwise(F.array().cast("array<bigint>"))
     missed = F.greatest(F.lit(n_pr) - F.col("matched"), F.lit(0))
     total = F.aggregate(terms, F.lit(0.0), lambda a, k: a + k / (missed + k))
