@@ -41,25 +41,15 @@ def dice_hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy((F.col("gt_area") > 0).alias("gt_positive")).agg(F.count("*").alias("n"), F.round(F.avg("dice"), 6).alias("mean"), F.round(F.median("dice"), 6).alias("median"), hit(0.5), hit(0.7), hit(0.8))
 
 
-def _few(spark: SparkSession, sf_dir: str, sql: str, top: int = 60) -> DataFrame:
-    """Small masks of some records, moved near the origin of a 64 pixel image."""
-    d = view(spark, sf_dir, sql).filter(F.col("rec") % 40 == 0)
-    near = lambda c, o: F.least(F.col(c) - F.col(o) + F.col("z") % 5, F.lit(top))
-    return d.select("rec", "z", near("x1", "x1").alias("x1"), near("y1", "y1").alias("y1"), near("x2", "x1").alias("x2"), near("y2", "y1").alias("y2"))
-
-
 def hd95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = 64
-    a = masks.box_runs(_few(spark, sf_dir, _TRUE), KEYS, side)
-    b = masks.box_runs(_few(spark, sf_dir, _PRED), KEYS, side)
-    return masks.hausdorff(a, b, KEYS, side, side).withColumn("hd95", F.round("hd95", 6))
+    return masks.hausdorff(*_runs(spark, sf_dir), KEYS).withColumn("hd95", F.round("hd95", 6))
 
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = 64
-    d = _few(spark, sf_dir, _TRUE)
-    both = d.select("rec", (F.col("x1") + F.col("z") * 9 % 31).alias("x1"), (F.col("y1") + F.col("z") * 17 % 29).alias("y1"), "z").withColumn("x2", F.col("x1") + 5).withColumn("y2", F.col("y1") + 4)
-    return masks.component_boxes(masks.box_runs(both, ["rec"], side).distinct(), ["rec"], side, side)
+    """Parts of each record's boxes, shrunk and moved near the origin of a 64 pixel image so that some touch."""
+    side, z = 64, F.col("z")
+    d = view(spark, sf_dir, _TRUE).select("rec", (z % 5 + z * 9 % 31).alias("x1"), (z % 5 + z * 17 % 29).alias("y1")).withColumn("x2", F.col("x1") + 5).withColumn("y2", F.col("y1") + 4)
+    return masks.component_boxes(masks.box_runs(d, ["rec"], side).distinct(), ["rec"], side, side)
 
 
 def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
