@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import language_id, mixing, packing, simhash, substring_dedup
+from sparkloom.llm import language_id, mixing, near_dup, packing, substring_dedup
 from sparkloom.llm.common import Scratch, read
 
 #: Least share of the likelihood for a language to be accepted.
@@ -29,8 +29,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs).select(*docs.columns)
+    """One document of each group whose five-word shingles are similar to 0.8 or more."""
+    return near_dup.drop_near_duplicates(docs).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
