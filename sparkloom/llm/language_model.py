@@ -5,8 +5,7 @@ bucket of the context's frequency c(v), a power of two.  The maximum-likelihood
 counts come from all training documents.  The weights of each bucket are
 learned by expectation-maximisation on held-out counts: the documents of every
 block are scored with the block's own counts deleted from the totals, and what
-the estimates then are is kept as a histogram of bounded size.  Pairs seen once are not stored (`PAIR_LEAST`):
-their mass goes to the lower orders.
+the estimates then are is kept as a histogram of bounded size.
 
 Counts are gathered by hash block: a block of documents sends each distinct
 key once, the key's owner sums them up, and the blocks that sent it get the
@@ -27,9 +26,6 @@ from .common import CHUNK_SCHEMA, Scratch, block_count, bucket_order, chunks, ha
 #: Documents with this remainder of crc32(doc_id) are not learned from.
 FOLDS, HELD_OUT = 7, 2
 
-#: Least count of a word pair in the model.
-PAIR_LEAST = 2
-
 #: Context buckets, and histogram cells for each estimate at two to the octave.
 BUCKETS, CELLS = 24, 64
 
@@ -117,7 +113,6 @@ def _deleted(buckets: int, documents: int, tokens: int):
         own_context = np.r_[0, own_word[:-1]]
         own_context[block.edge[:-1]] = int((~block.held_out).sum())
         left = pair - own_pair
-        left[left < PAIR_LEAST] = 0
         context = context - own_context
         high = left / np.maximum(context, 1)
         low = (word - own_word) / max(tokens - int(block.learn.sum()), 1)
@@ -184,7 +179,7 @@ def interpolated_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HEL
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", fold.alias("held_out"))
     parts = with_block(source, blocks, extra=True).select("doc_id", "text", "block", "extra.held_out")
     first = parts.groupBy("block").applyInArrow(_counts(blocks), CHUNK_SCHEMA)
-    totals = scratch.save(key_totals(first, (1, PAIR_LEAST)), "totals")
+    totals = scratch.save(key_totals(first, (1, 1)), "totals")
     sums = totals.filter("kind = 0 and block is null").agg(F.sum("n_keys"), F.sum("n_counts")).first()
     vocabulary, tokens = int(sums[0] or 0), int(sums[1] or 0)
     documents = source.filter(~F.col("held_out")).count()

@@ -4,7 +4,7 @@ import random
 import zlib
 
 import corpus_pipeline
-from sparkloom.llm import near_dup
+from sparkloom.llm import language_model, near_dup
 
 
 def _jaccard(a, b, k=5):
@@ -41,3 +41,14 @@ def test_near_duplicates_without_ids(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     kept = near_dup.drop_near_duplicates(d).collect()
     assert sorted(x["doc_id"] or 0 for x in kept) == [0, 0, 4, 5] and near_dup.drop_near_duplicates(d.limit(0)).count() == 0
+
+
+def test_language_model_keeps_pairs_seen_once(spark):
+    held = iter([i for i in range(100_000, 101_000) if zlib.crc32(str(i).encode()) % 7 == 2])
+    train = iter([i for i in range(1, 5000) if zlib.crc32(str(i).encode()) % 7 != 2])
+    rows = [(next(train), f"a{i} b{i}") for i in range(60) for _ in range(3)]
+    rows += [(next(train), t) for t in ("x y q", "x q", "z q")]
+    near, far = next(held), next(held)
+    d = spark.createDataFrame([*rows, (near, "x y"), (far, "x z")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in language_model.interpolated_scores(d).collect()}
+    assert score[near] > score[far] + 0.1
