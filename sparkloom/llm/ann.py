@@ -61,11 +61,11 @@ class PrefixForest:
         self.sorted = np.take_along_axis(strings, self.order, axis=1)
         self.count = len(units)
 
-    def candidates(self, queries: np.ndarray, least: int) -> list[np.ndarray]:
+    def candidates(self, queries: np.ndarray, least: int, group: np.ndarray | None = None) -> list[np.ndarray]:
         """For each query the rows that share a prefix with it in some tree.
 
         The common depth is the greatest at which `least` rows do, or zero,
-        where all rows do.
+        where all rows do.  With a group number for each row, groups are counted.
         """
         trees = len(self.sorted)
         strings = _strings(queries, self.planes, trees, self.bits)
@@ -87,7 +87,7 @@ class PrefixForest:
             for d in range(depth, -1, -1):
                 for t in range(trees):
                     seen[self.order[t, low[d, t, q] : high[d, t, q]]] = True
-                n = int(seen.sum())
+                n = int(seen.sum()) if group is None else len(np.unique(group[seen]))
                 if n >= least:
                     break
             found.append(np.flatnonzero(seen))
@@ -109,16 +109,25 @@ def _search(k: int, share: float, trees: int, bits: int):
         nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
         ux, uy = x / nx[:, None], y / ny[:, None]
         forest = PrefixForest(ux, trees, bits)
+        distinct, group = np.unique(ids, return_inverse=True)
+        single = len(distinct) == len(ids)
         out: list[list[np.ndarray]] = []
         for a in range(0, len(y), 256):
-            for i, rows in enumerate(forest.candidates(uy[a : a + 256], max(LEAST, k + 1, int(share * len(x)))), a):
+            for i, rows in enumerate(forest.candidates(uy[a : a + 256], max(LEAST, k + 1, int(share * len(distinct))), None if single else group), a):
                 rows = rows[ids[rows] != own[i]]
                 near = ux[rows] @ uy[i]
                 if len(rows) > 4 * k:  # ties at the edge stay in
-                    edge = np.partition(near, -k)[-k] - 1e-9
+                    best = near
+                    if not single:  # the edge is that of the nearest rows of k vec_ids
+                        best = np.full(len(distinct), -np.inf)
+                        np.maximum.at(best, group[rows], near)
+                    edge = np.partition(best, -min(k, len(best)))[-min(k, len(best))] - 1e-9
                     rows = rows[near >= edge]
                 score = (x[rows] * y[i]).sum(axis=1) / (nx[rows] * ny[i])
-                best = np.lexsort((ids[rows], -score))[:k]
+                best = np.lexsort((ids[rows], -score))
+                if not single:
+                    best = best[np.sort(np.unique(ids[rows[best]], return_index=True)[1])]
+                best = best[:k]
                 out.append([np.full(len(best), own[i]), ids[rows[best]], score[best]])
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -3,8 +3,10 @@
 import random
 import zlib
 
+import numpy as np
+
 import corpus_pipeline
-from sparkloom.llm import language_model, near_dup
+from sparkloom.llm import ann, language_model, near_dup
 
 
 def _jaccard(a, b, k=5):
@@ -52,3 +54,21 @@ def test_language_model_keeps_pairs_seen_once(spark):
     d = spark.createDataFrame([*rows, (near, "x y"), (far, "x z")], "doc_id long, text string")
     score = {r["doc_id"]: r["score"] for r in language_model.interpolated_scores(d).collect()}
     assert score[near] > score[far] + 0.1
+
+
+def test_nearest_with_repeated_ids(spark):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((1400, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(i, (x[i] + e).tolist()) for i in range(40) for e in r.standard_normal((30, 8)) * 0.01]
+    rows += [(0, x[0].tolist())] * 1500
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    y = spark.createDataFrame([(0, x[0].tolist()), (5000, x[1].tolist()), (5001, x[0].tolist())], v.schema)
+    got = {}
+    for row in ann.nearest(v, y, share=1.0).collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"]))
+    ids, m = np.array([i for i, _ in rows]), np.array([e for _, e in rows])
+    for q, e in ((0, x[0]), (5000, x[1]), (5001, x[0])):
+        cos = m @ e / np.linalg.norm(m, axis=1) / np.linalg.norm(e)
+        best = sorted((-cos[ids == i].max(), i) for i in set(ids.tolist()) - {q})[:5]
+        assert sorted(got[q]) == [(k + 1, i) for k, (_, i) in enumerate(best)]
