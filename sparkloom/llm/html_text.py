@@ -32,7 +32,9 @@ TRAINING_PAGES, SEED = 1200, 7
 
 # HTML's elements by what they do to a page's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript iframe object svg math canvas audio video head title select textarea".split())
+SILENT = frozenset("script style template noscript iframe object svg canvas audio video head title select textarea".split())
+#: What an open head may hold; anything else ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -145,6 +147,8 @@ class Forest:
             tag = m.group(2)
             if tag is None:
                 part = m.group()
+                if open_tags[-1] == "head" and part[:2] not in ("<!", "<?") and part.strip():
+                    close("head")
                 if silent or part[:2] in ("<!", "<?"):
                     continue
                 pieces.append(part)
@@ -158,6 +162,8 @@ class Forest:
                 elif tag == "br":
                     pieces.append(" ")
                 continue
+            if "head" in open_tags and tag not in HEAD:
+                close("head")
             if tag in VOID:
                 if tag == "hr":
                     flush()

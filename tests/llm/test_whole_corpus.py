@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from sparkloom.llm import ann, language_model, near_dup
+from sparkloom.llm import ann, html_text, language_model, near_dup
 
 
 def _jaccard(a, b, k=5):
@@ -72,3 +72,16 @@ def test_nearest_with_repeated_ids(spark):
         cos = m @ e / np.linalg.norm(m, axis=1) / np.linalg.norm(e)
         best = sorted((-cos[ids == i].max(), i) for i in set(ids.tolist()) - {q})[:5]
         assert sorted(got[q]) == [(k + 1, i) for k, (_, i) in enumerate(best)]
+
+
+def _texts(source):
+    forest = html_text.Forest()
+    forest.read(0, source)
+    return [t for t in forest.text if t]
+
+
+def test_open_head_ends_at_body():
+    for start in ("<body><p>", "<p>", "<body>", "<div><p>", "<img src=x>", ""):
+        assert _texts(f"<html><head><meta charset=x><title>T</title><script>s</script>{start}Words stay.") == ["Words stay."]
+    assert _texts("<html><head><title>T</title> <style>p</style></head><body>a<p>b") == ["a", "b"]
+    assert _texts("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</article>") == ["so x=2 holds"]
