@@ -27,8 +27,8 @@ SYMBOLS, SPACES, UPPER = "#*$%&|<>", " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVW
 #: Labelled documents of each class in the sample, about; thresholds tried for each statistic.
 SAMPLE_DOCUMENTS, CUTS = 4000, 32
 
-#: Rules and conditions of a rule at most; least share of bad documents among those a rule covers, and least documents.
-RULES, CONDITIONS, PRECISION, COVER = 6, 3, 0.9, 5
+#: Conditions of a rule at most; least share of bad documents among those a rule covers, and least documents.
+CONDITIONS, PRECISION, COVER = 3, 0.9, 5
 
 RATES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "exclaim_rate", "distinct_rate", "line_words", "n_words")
 
@@ -163,7 +163,7 @@ def learn_rules(sample: DataFrame) -> list[list[Condition]]:
     if not any(cuts.values()):
         return rules
     rest = sample
-    while len(rules) < RULES:
+    while True:  # each rule takes COVER rows or more out of the sample
         rows, rule = rest.filter("part < 2"), []
         while len(rule) < CONDITIONS:
             new, p, n = best_condition(rows, cuts)

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from sparkloom.llm import ann, html_text, language_model, near_dup
+from sparkloom.llm import ann, html_text, language_model, near_dup, quality
 
 
 def _jaccard(a, b, k=5):
@@ -85,3 +85,17 @@ def test_open_head_ends_at_body():
         assert _texts(f"<html><head><meta charset=x><title>T</title><script>s</script>{start}Words stay.") == ["Words stay."]
     assert _texts("<html><head><title>T</title> <style>p</style></head><body>a<p>b") == ["a", "b"]
     assert _texts("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</article>") == ["so x=2 holds"]
+
+
+def test_more_than_six_quality_rules(spark):
+    r = random.Random(8)
+    names = quality.RATES
+    rows = []
+    for i in range(900):
+        rates, bad = {n: r.random() for n in names}, int(i % 10 < 9 and i % 2)
+        if bad:
+            rates[names[i // 2 % 9]] = 9 + r.random()
+        rows.append((rates, bad, i // 18 % 3))
+    schema = f"rates struct<{','.join(f'{n}:double' for n in names)}>, bad int, part int"
+    rules = quality.learn_rules(spark.createDataFrame(rows, schema).cache())
+    assert len(rules) > 6 and {c[0] for rule in rules for c in rule} == set(names)
