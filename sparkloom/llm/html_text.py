@@ -42,6 +42,7 @@ BLOCKS = frozenset(
 )
 CLOSES_P = BLOCKS - {"button", "caption", "dd", "dt", "legend", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = frozenset("ul ol dl menu table select".split())
 BARRIERS = frozenset("table ul ol dl menu article section div body html td th".split())
 
 # Words in class, id and role that speak for and against main text.
@@ -65,18 +66,93 @@ KINDS = {
 }
 TEXT_KIND = 10
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_NAMES = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+#: A tag whose quotes all stand around values; anything else is read attribute by attribute.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"'=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++)[^>\"'=]*+)*+)>")
+_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_NAME = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)?(\s*+=\s*+)?")
+_VALUE = re.compile(r"[^\s>]*+")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role|aria-label|itemprop)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)", re.I)
 _TOKEN = re.compile(r"[a-z]+")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 
+#: Attribute texts up to this length are worth keeping with their tokens.
+CACHED_ATTRIBUTES = 300
 
-@functools.lru_cache(maxsize=50_000)
-def _tokens(attributes: str) -> tuple[int, int]:
+
+def _name_tokens(attributes: str) -> tuple[int, int]:
     """Good and bad tokens among an element's names."""
     found = set(_TOKEN.findall(" ".join(_NAMES.findall(attributes)).lower()))
     return len(found & GOOD), len(found & BAD)
 
 
+_cached_tokens = functools.lru_cache(maxsize=50_000)(_name_tokens)
+
+
+def _tokens(attributes: str) -> tuple[int, int]:
+    return _cached_tokens(attributes) if len(attributes) <= CACHED_ATTRIBUTES else _name_tokens(attributes)
+
+
+def _tag_end(source: str, at: int) -> int:
+    """Place after the > that ends a tag whose attributes start at `at`; the text's end if none does.
+
+    A quote opens a value only right after an equals sign, as in HTML.
+    """
+    while True:
+        m = _NAME.match(source, at)
+        at = m.end()
+        if at >= len(source):
+            return at
+        if source[at] == ">":
+            return at + 1
+        if m.group(2) is None:
+            continue
+        if source[at] in "\"'":
+            at = source.find(source[at], at + 1) + 1
+            if not at:
+                return len(source)
+        else:
+            at = _VALUE.match(source, at).end()
+
+
+def markup(source: str) -> Iterator[tuple[str, str, bool, str, int]]:
+    """(text, tag, closing, attributes, place after it) for a page's parts; either text or tag is empty.
+
+    Every character is looked at a bounded number of times, whatever is left
+    open.  Comments, declarations and a tag that the page ends in are left out.
+    The reader may send a place to go on from.
+    """
+    at, end = 0, len(source)
+    while at < end:
+        if source[at] != "<":
+            stop = source.find("<", at)
+            stop = end if stop < 0 else stop
+            yield source[at:stop], "", False, "", stop
+            at = stop
+            continue
+        m = _TAG.match(source, at)
+        if m:
+            at = m.end()
+            go = yield "", m.group(2).lower(), bool(m.group(1)), m.group(3), at
+            at = at if go is None else go
+            continue
+        m = _START.match(source, at)
+        if m:
+            begin, at = m.end(), _tag_end(source, m.end())
+            if source[at - 1] != ">" or at == begin:
+                return
+            go = yield "", m.group(2).lower(), bool(m.group(1)), source[begin : at - 1], at
+            at = at if go is None else go
+        elif source.startswith("<!--", at):
+            short = next((k for k in (">", "->") if source.startswith(k, at + 4)), None)
+            stop = at + 4 + len(short) if short else source.find("-->", at + 4) + 3
+            at = stop if stop > at + 3 else end
+        elif source.startswith(("<!", "<?", "</"), at):
+            at = source.find(">", at) + 1 or end
+        else:
+            yield "<", "", False, "", at + 1
+            at += 1
+
+
 class Forest:
     """The nodes of many pages as columns; parents come before their children."""
 
@@ -105,6 +181,7 @@ class Forest:
         """Add a page's tree."""
         root = self._node(page, -1, 0, (0, 0))
         open_tags, open_nodes = ["html"], [root]
+        places: dict[str, list[int]] = {"html": [0]}
         pieces: list[str] = []
         linked = links = silent = 0
 
@@ -120,49 +197,46 @@ class Forest:
         def close(tag: str) -> None:
             """End the innermost open element of that name, and all within it."""
             nonlocal links, silent
-            flush_first = True
             while True:
                 top = open_tags.pop()
+                places[top].pop()
                 if top in BLOCKS:
-                    if flush_first:
-                        flush()
+                    flush()
                     open_nodes.pop()
                 links -= top == "a"
                 silent -= top in SILENT
                 if top == tag:
                     return
 
+        def innermost(tags: frozenset[str] | tuple[str, ...]) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
         def within(tags: tuple[str, ...], stop: frozenset[str]) -> str | None:
-            for top in reversed(open_tags):
-                if top in tags:
-                    return top
-                if top in stop:
-                    return None
-            return None
-
-        at, end = 0, len(source)
-        while at < end:
-            m = _PART.match(source, at)
-            at = m.end()
-            tag = m.group(2)
-            if tag is None:
-                part = m.group()
-                if open_tags[-1] == "head" and part[:2] not in ("<!", "<?") and part.strip():
+            """The innermost open one of the tags, unless a stop lies inside it."""
+            at = innermost(tags)
+            return open_tags[at] if at > innermost(stop) else None
+
+        parts, go = markup(source), None
+        while True:
+            try:
+                text, tag, closing, attributes, at = parts.send(go)
+            except StopIteration:
+                break
+            go = None
+            if not tag:
+                if open_tags[-1] == "head" and text.strip():
                     close("head")
-                if silent or part[:2] in ("<!", "<?"):
-                    continue
-                pieces.append(part)
-                if links:
-                    linked += len(part)
+                if not silent:
+                    pieces.append(text)
+                    linked += len(text) if links else 0
                 continue
-            tag = tag.lower()
-            if m.group(1):
-                if tag in open_tags and tag != "html":
+            if closing:
+                if places.get(tag) and tag != "html":
                     close(tag)
                 elif tag == "br":
                     pieces.append(" ")
                 continue
-            if "head" in open_tags and tag not in HEAD:
+            if places.get("head") and tag not in HEAD:
                 close("head")
             if tag in VOID:
                 if tag == "hr":
@@ -170,19 +244,15 @@ class Forest:
                 elif not silent:
                     pieces.append(" ")
                 continue
-            if tag in ("html", "body") and tag in open_tags:
+            if tag in ("html", "body") and places.get(tag):
                 continue
             if tag in CLOSES_P and within(("p",), BARRIERS):
                 close("p")
-            if tag in SAME:
-                old = within(SAME[tag], frozenset(("ul", "ol", "dl", "menu", "table", "select")))
-                while old:
-                    close(old)
-                    old = within(SAME[tag], frozenset(("ul", "ol", "dl", "menu", "table", "select")))
-            attributes = m.group(3)
+            while tag in SAME and (old := within(SAME[tag], LISTS)):
+                close(old)
             if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
-                at = source.find(">", stop.start()) + 1 or end if stop else end
+                stop = _RAW_ENDS[tag].search(source, at)
+                go = (source.find(">", stop.start()) + 1 or len(source)) if stop else len(source)
                 continue
             if attributes.endswith("/") and tag not in BLOCKS and tag not in SILENT and tag != "a":
                 continue
@@ -190,6 +260,7 @@ class Forest:
                 flush()
                 node = self._node(page, open_nodes[-1], KINDS.get(tag, 0), _tokens(attributes) if attributes else (0, 0))
                 open_nodes.append(node)
+            places.setdefault(tag, []).append(len(open_tags))
             open_tags.append(tag)
             links += tag == "a"
             silent += tag in SILENT
@@ -407,9 +478,11 @@ def extract_main_text(pages: DataFrame, training_pages: int = TRAINING_PAGES, se
     text: the kept blocks in page order, each with its character references
     decoded and white space turned into single spaces, joined by a line
     break; empty if there are none.  n_chars: its code points.  A null or
-    empty html gives an empty text; broken markup is read as far as it goes.
-    Equal rows get equal results.  Null ids and urls stay.  Other columns are
-    ignored.  An empty table gives an empty result.
+    empty html gives an empty text; broken markup is read as HTML parsers do,
+    and a tag that the page ends in is no text.  Long pages are read whole, in
+    time that follows their length.  Equal rows get equal results.  Null ids
+    and urls stay.  Other columns are ignored.  An empty table gives an empty
+    result.
     """
     state = pages.sparkSession.sparkContext.broadcast(train(training_pages, seed))
 
