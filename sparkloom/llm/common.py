@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A Java and Python regular expression for one word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,8 +27,8 @@ CHUNK_BYTES = 3 << 20
 #: Target UTF-8 bytes of text in one hash block of documents.
 BLOCK_BYTES = 6 << 20
 
-#: Fewest hash blocks, so that small inputs still spread over a cluster.
-MIN_BLOCKS = 96
+#: Fewest hash blocks, so that small inputs still spread over a cluster, and their number from which they grow.
+MIN_BLOCKS, MOST_BLOCKS = 96, 2_000_000
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -44,6 +45,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Parquet tables in the folder that all executors share.
 
+    The folder is the session's spark.checkpoint.dir.  Where it is unset, a
+    local master gets a temporary one and any other master an error, since
+    executors do not see each other's disks.
+
     Each write cuts the lineage: a lost executor costs only the step at hand.
     Shuffle files of a step go away when its table is written.  The folder
     goes away when the driver's JVM ends.
@@ -53,6 +58,8 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -85,22 +92,68 @@ class Scratch:
         self._delete(f"{self.root}/{name}")
 
 
-def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_marks(docs: DataFrame) -> Column:
+    """Two hashes, row1 and row2, of a row's columns but for maps and variants: equal rows have equal ones."""
+    own = [docs[f"`{f.name}`"] for f in docs.schema if _hashable(f.dataType)]
+    return F.struct(F.xxhash64(F.lit(1), *own).alias("row1"), F.xxhash64(F.lit(2), *reversed(own)).alias("row2"))
+
+
+def keep_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs with the first row of each label: the smallest doc_id, then the least hash; null ids last.
+
+    marked: doc_id, row1, row2 and label of every row of docs.  Equal rows
+    have one hash and stand for one another.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row1", "row2")
+    first = marked.groupBy("label").agg(F.min(order).alias("w")).select("w.row1", "w.row2").distinct()
+    again = marked.groupBy("row1", "row2").agg(F.count("*").alias("n")).filter("n > 1").select("row1", "row2")
+    first = first.join(again.withColumn("again", F.lit(True)), ["row1", "row2"], "left")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), row_marks(docs).alias("_mark")).select("_row", "_mark.*")
+    single = rows.join(first.filter("again is null").select("row1", "row2"), ["row1", "row2"], "left_semi")
+    equal = rows.join(first.filter("again").select("row1", "row2"), ["row1", "row2"], "left_semi").dropDuplicates(["row1", "row2"])
+    return single.unionByName(equal).select("_row.*")
+
+
+def block_bytes(total: int) -> int:
+    """Bytes of text in a block: more as the input grows, so that a key of all blocks has a bounded number of entries."""
+    return min(max(BLOCK_BYTES, total // MOST_BLOCKS), 4 * BLOCK_BYTES)
+
+
+def block_count(docs: DataFrame) -> int:
     """Hash blocks for these documents: their number follows the bytes of text."""
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(MIN_BLOCKS, -(-int(total) // block_bytes))
+    total = int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    return max(MIN_BLOCKS, -(-total // block_bytes(total)))
 
 
-def with_block(docs: DataFrame, blocks: int, extra: bool = False) -> DataFrame:
+def with_block(docs: DataFrame, blocks: int, scratch: Scratch, extra: bool = False) -> DataFrame:
     """doc_id, text and a block number that depends on nothing but the two.
 
     With extra, all other columns ride along in one struct of that name, so
-    that no name of theirs can clash.
+    that no name of theirs can clash.  Equal rows of more text than a block
+    holds would fall into one; they are dealt out to several, and what they
+    are dealt out to is written down, so that every later step sees the same.
     """
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    rest = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    own = F.xxhash64("doc_id", "text")
+    rest = [docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")]
     more = [F.struct(*rest).alias("extra")] if extra and rest else []
-    return docs.select("doc_id", "text", block.alias("block"), *more)
+    block = lambda *salt: F.pmod(F.xxhash64("doc_id", "text", *salt), F.lit(blocks)).cast("int").alias("block")
+    sizes = docs.select(own.alias("h"), F.octet_length("text").cast("long").alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    heavy = scratch.save(sizes.filter((F.col("bytes") > BLOCK_BYTES) & (F.col("n") > 1)), "heavy")
+    if not heavy.head(1):
+        return docs.select("doc_id", "text", block(), *more)
+    shares = heavy.select("h", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("shares"))
+    salted = docs.select("doc_id", "text", own.alias("h"), F.monotonically_increasing_id().alias("place"), *more).join(shares, "h", "left")
+    salt = F.coalesce(F.pmod(F.col("place"), F.col("shares")), F.lit(0))
+    salted = salted.select("doc_id", "text", F.when(salt == 0, block()).otherwise(block(salt)).alias("block"), *(["extra"] if more else []))
+    return scratch.save(salted, "blocks")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -8,11 +8,14 @@ forward-backward pass over the words of a bounded sample gives each piece's
 expected count.  A text's words are taken as independent.
 
 Words are runs of letters in lower case, opened by the vocabulary's mark for
-the start of a word.  A run of over LONGEST letters counts as several.
+the start of a word.  Words up to QUICK characters go through the pass many at
+once; longer ones, as in scripts without spaces, one by one in logarithms, so
+that no length is too long.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,8 @@ EM_ROUNDS, PRIOR = 3, 0.05
 #: Probability of a letter that is no piece, in every language.
 UNKNOWN = 1e-7
 
-#: Letters in a word at most; each letter's share in the scale that keeps products in range.
-LONGEST, SCALE = 48, 1e4
+#: Characters up to which products stay in range, with each one's share in the scale for that.
+QUICK, SCALE = 49, 1e4
 
 #: Words whose probabilities a worker keeps at hand.
 CACHE_WORDS = 300_000
@@ -148,11 +151,55 @@ class Segmenter:
             b[start, rows] += b[end, rows] * step
         return out
 
+    @functools.cached_property
+    def log_pieces(self) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.log(self.probability)
+
+    def long_forward(self, word: str) -> tuple[np.ndarray, list[tuple[list[int], list[int]]]]:
+        """Logs of the sums over the segmentations of a word's beginnings, and for each end the spans' starts and pieces."""
+        codes, n = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64), len(word)
+        spans: list[tuple[list[int], list[int]]] = [([], []) for _ in range(n + 1)]
+        for size, (known, piece) in self.by_length.items():
+            if size > n:
+                continue
+            h = np.zeros(n - size + 1, np.uint64)
+            for i in range(size):
+                h = h * _BASE + codes[i : n - size + 1 + i]
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            for start in np.flatnonzero(known[at] == h).tolist():
+                spans[start + size][0].append(start)
+                spans[start + size][1].append(int(piece[at[start]]))
+        f = np.zeros((n + 1, self.probability.shape[1]))
+        for end in range(1, n + 1):
+            start, piece = spans[end]
+            f[end] = f[end - 1] + np.log(UNKNOWN)
+            if start:
+                f[end] = np.logaddexp(f[end], np.logaddexp.reduce(f[start] + self.log_pieces[piece], axis=0))
+        return f, spans
+
+    def long_expected(self, word: str) -> np.ndarray:
+        """Expected counts of the pieces in one word, for a single language."""
+        f, spans = self.long_forward(word)
+        f, n, p = f[:, 0], len(word), self.log_pieces[:, 0]
+        b = np.full(n + 1, -np.inf)
+        b[n] = 0.0
+        out = np.zeros(len(self.pieces))
+        for end in range(n, 0, -1):
+            b[end - 1] = np.logaddexp(b[end - 1], b[end] + np.log(UNKNOWN))
+            start, piece = spans[end]
+            if start:
+                np.add.at(out, piece, np.exp(f[start] + p[piece] + b[end] - f[n]))
+                b[start] = np.logaddexp(b[start], b[end] + p[piece])
+        return out
+
     def log_probability(self, words: list[str]) -> np.ndarray:
         """Natural log of each marked word's probability in each language."""
         out = np.zeros((len(words), self.probability.shape[1]))
         length = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(length).tolist():
+        for i in np.flatnonzero(length > QUICK).tolist():
+            out[i] = self.long_forward(words[i])[0][-1]
+        for n in np.unique(length[length <= QUICK]).tolist():
             at = np.flatnonzero(length == n)
             f, _ = self.forward([words[i] for i in at])
             out[at] = np.log(f[-1]) - n * np.log(SCALE)
@@ -167,11 +214,7 @@ class Segmenter:
         at = pc.index_in(runs, value_set=self.known)
         if at.null_count:
             new = runs.filter(at.is_null()).unique()
-            listed = new.to_pylist()
-            parts = [[START + r[i : i + LONGEST] for i in range(0, len(r), LONGEST)] for r in listed]
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            score = self.log_probability([w for p in parts for w in p])
-            self.scores = np.concatenate([self.scores, np.add.reduceat(score, np.cumsum(size) - size, axis=0)])
+            self.scores = np.concatenate([self.scores, self.log_probability([START + r for r in new.to_pylist()])])
             self.known = pa.concat_arrays([self.known, new])
             at = pc.index_in(runs, value_set=self.known)
         by_run = np.concatenate([np.zeros((1, self.scores.shape[1])), np.cumsum(self.scores[at.to_numpy(zero_copy_only=False)], axis=0)])
@@ -193,8 +236,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[str, int] = {}
             for w in np.flatnonzero(count).tolist():
                 for r in listed[edge[w] : edge[w + 1]]:
-                    for k in range(0, len(r), LONGEST):
-                        seen[r[k : k + LONGEST]] = seen.get(r[k : k + LONGEST], 0) + int(count[w])
+                    seen[r] = seen.get(r, 0) + int(count[w])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
 
@@ -229,7 +271,9 @@ def learn_pieces(docs: DataFrame, pieces: list[str], sample: int = SAMPLE_DOCUME
                             continue
                         model, n = Segmenter(pieces, table[:, i : i + 1]), own.column("n").to_numpy()
                         length, total = np.fromiter(map(len, marked), np.int64, len(marked)), np.zeros(len(pieces))
-                        for size in np.unique(length).tolist():
+                        for k in np.flatnonzero(length > QUICK).tolist():
+                            total += model.long_expected(marked[k]) * n[k]
+                        for size in np.unique(length[length <= QUICK]).tolist():
                             at = np.flatnonzero(length == size)
                             total += model.expected([marked[k] for k in at], n[at])
                         hit = np.flatnonzero(total)
@@ -253,8 +297,9 @@ def identify(docs: DataFrame, vocabulary: str, folds: int = FOLDS, held_out: int
     predicted language's share among the learned ones' likelihoods.  A null
     text, one without letters, and any text where no language was learned,
     are `und` with score 0.  Equal likelihoods give the first language in
-    code-point order.  Columns of docs of these three names are replaced.
-    An empty table gives an empty result.
+    code-point order.  Equal rows get equal results.  Long texts are read
+    whole.  Columns of docs of these three names are replaced.  An empty table
+    gives an empty result.
     """
     fold = row_crc() % folds == held_out
     taught = docs.filter(~fold & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")

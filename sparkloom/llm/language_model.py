@@ -177,7 +177,7 @@ def interpolated_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HEL
     scratch, blocks = Scratch(docs.sparkSession, "language_model"), block_count(docs)
     fold = (row_crc() % folds) == held_out
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", fold.alias("held_out"))
-    parts = with_block(source, blocks, extra=True).select("doc_id", "text", "block", "extra.held_out")
+    parts = with_block(source, blocks, scratch, extra=True).select("doc_id", "text", "block", "extra.held_out")
     first = parts.groupBy("block").applyInArrow(_counts(blocks), CHUNK_SCHEMA)
     totals = scratch.save(key_totals(first, (1, 1)), "totals")
     sums = totals.filter("kind = 0 and block is null").agg(F.sum("n_keys"), F.sum("n_counts")).first()

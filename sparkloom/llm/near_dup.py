@@ -1,9 +1,13 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
-
-MinHash bands propose candidates; each candidate pair is verified on the whole
-shingle sets.  Equal sets are one class.  A bucket's classes are first held
-against its least one; what that leaves apart is then held against every other
-class of the bucket that is not yet linked to it, whatever the bucket's size.
+"""SimHash near-duplicates at a similarity of word shingles, with an exact way for the rest.
+
+Texts of equal shingle sets are one class.  The classes' SimHash fingerprints
+go through the Gray-order index of `simhash`; the links that it finds are
+verified by the Jaccard similarity of the whole shingle sets.  Texts of a
+similarity of 0.8 differ in ten bits of 64 on average, which no index over 64
+bits finds without comparing most pairs.  So MinHash bands propose the pairs
+that the index has left apart: a bucket's classes are held against its least
+one, and what that leaves apart against every other class of the bucket that
+is not yet linked to it, whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -11,16 +15,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, join_hashes, mix, ngram_hashes, split_words, word_hashes
+from .common import Scratch, chunks, join_hashes, keep_rows, mix, ngram_hashes, row_marks, split_words, word_hashes
 from .components import connected_components
+from .simhash import bit_fingerprints, fingerprint_links
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
+#: Bits in which the fingerprints of the index's links differ at most.
+DISTANCE = 3
+
 #: Bands and rows of a band: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^30 = 0.99999.
 BANDS, ROWS = 30, 5
 
@@ -76,8 +83,9 @@ def _marks(shingle: int):
             grams, edge = shingle_sets(part.column("text"), shingle)
             bands = band_keys(grams, edge)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.diff(edge) > 0)] * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            columns = [part.column("doc_id"), pa.array(set_keys(grams, edge).view(np.int64)), pa.array(np.diff(edge), pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "bands"])
+            columns = [part.column("doc_id"), part.column("row1"), part.column("row2"), pa.array(set_keys(grams, edge).view(np.int64)), pa.array(np.diff(edge), pa.int64())]
+            columns += [pa.array(bit_fingerprints(grams, edge).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row1", "row2", "key", "n", "fp", "bands"])
 
     return run
 
@@ -98,64 +106,88 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return d.filter(shared / (F.size("ga") + F.size("gb") - shared) >= similarity).select("a", "b")
 
 
+def _alike(m: Column, n: Column, similarity: float) -> Column:
+    """Sets of more unequal sizes cannot be so similar."""
+    return F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
+
+
+def _index_pairs(classes: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Pairs (a, b) of set keys that the Gray-order index links; each fingerprint's least class stands for it."""
+    least = scratch.save(classes.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("least")).select("fp", "least.*"), "prints")
+    links = fingerprint_links(least.select("fp"), DISTANCE, scratch)
+    a, b = (least.select(F.col("fp").alias(s), F.col("key").alias(f"k{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
+    near = links.join(a, "a").join(b, "b").filter(_alike(F.col("na"), F.col("nb"), similarity)).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    same = classes.join(least.select("fp", F.col("key").alias("a"), F.col("n").alias("na")), "fp").filter((F.col("a") != F.col("key")) & _alike(F.col("na"), F.col("n"), similarity))
+    return near.unionByName(same.select("a", F.col("key").alias("b"))).distinct()
+
+
 def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) between set keys that connect all verified pairs."""
-    bands = marked.filter("n > 0").dropDuplicates(["key"]).select("key", "n", F.posexplode("bands").alias("band", "hash"))
+    spark = docs.sparkSession
+    classes = scratch.save(marked.filter("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp")), "distinct")
+    first = scratch.save(_index_pairs(classes, scratch, similarity), "index")
+    bands = marked.filter("n > 0").select("key", "n", F.posexplode("bands").alias("band", "hash")).distinct()
     bands = scratch.save(bands, "bands")
-    shared = bands.groupBy("band", "hash").agg(F.min(F.struct("key", "n")).alias("least"), F.max("key").alias("most")).filter("least.key <> most")
+    shared = bands.groupBy("band", "hash").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most")
     shared = scratch.save(shared.select("band", "hash", "least"), "shared")
     found = scratch.save(bands.join(shared, ["band", "hash"]), "candidates")
+    scratch.drop("bands")
+    wanted = found.select("key").union(first.select("a")).union(first.select("b")).distinct()
     sets = docs.select("text").mapInArrow(_sets(shingle), "key long, grams array<long>")
-    sets = scratch.save(sets.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
-    # sets of more unequal sizes cannot be so similar
-    alike = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
-    stars = found.filter((F.col("key") != F.col("least.key")) & alike(F.col("n"), F.col("least.n"))).select(F.col("least.key").alias("a"), F.col("key").alias("b"))
-    stars = scratch.save(stars.distinct(), "stars")
-    links = scratch.save(_verified(stars, sets, similarity), "links")
-    labels = connected_components(links, Scratch(docs.sparkSession, "near_dup_stars")).select(F.col("node").alias("key"), "label")
-    found = found.join(labels, "key", "left").select("band", "hash", "key", "n", F.coalesce("label", "key").alias("label"))
-    apart = found.groupBy("band", "hash").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band", "hash")
-    rest = scratch.save(found.join(apart, ["band", "hash"], "left_semi"), "rest")
+    sets = scratch.save(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    links = scratch.save(_verified(first, sets, similarity), "links-index")
+
+    def apart(name: str) -> DataFrame:
+        """The candidates of buckets whose classes are not all connected yet, with their labels."""
+        labels = connected_components(links, Scratch(spark, "near_dup_stars")).select(F.col("node").alias("key"), "label")
+        d = found.join(labels, "key", "left").select("band", "hash", "key", "n", "least", F.coalesce("label", "key").alias("label"))
+        open_ = d.groupBy("band", "hash").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band", "hash")
+        return scratch.save(d.join(open_, ["band", "hash"], "left_semi"), name)
+
+    rest = apart("rest-index")
+    heads = rest.filter(F.col("key") == F.col("least")).select("band", "hash", F.col("n").alias("m"), F.col("label").alias("head"))
+    stars = rest.filter(F.col("key") != F.col("least")).join(heads, ["band", "hash"]).filter((F.col("label") != F.col("head")) & _alike(F.col("m"), F.col("n"), similarity))
+    stars = scratch.save(stars.select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), "stars")
+    links = links.unionByName(scratch.save(_verified(stars, sets, similarity), "links-stars"))
+    rest = apart("rest-stars")
     x, y = (rest.select("band", "hash", *(F.col(c).alias(c + s) for c in ("key", "n", "label"))) for s in ("1", "2"))
-    pairs = x.join(y, ["band", "hash"]).filter((F.col("key1") < F.col("key2")) & (F.col("label1") != F.col("label2")) & alike(F.col("n1"), F.col("n2")))
+    pairs = x.join(y, ["band", "hash"]).filter((F.col("key1") < F.col("key2")) & (F.col("label1") != F.col("label2")) & _alike(F.col("n1"), F.col("n2"), similarity))
     pairs = pairs.select(F.col("key1").alias("a"), F.col("key2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return links.unionByName(scratch.save(_verified(pairs, sets, similarity), "more-links"))
+    return links.unionByName(scratch.save(_verified(pairs, sets, similarity), "links-rest"))
+
+
+def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, row1, row2 (the row's hash), key and label (of its group) of every row."""
+    scratch = Scratch(docs.sparkSession, "near_dup")
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row_marks(docs).alias("m")).select("doc_id", "text", "m.*")
+    schema = "doc_id long, row1 long, row2 long, key long, n long, fp long, bands array<long>"
+    marked = scratch.save(source.mapInArrow(_marks(shingle), schema), "marks")
+    labels = connected_components(_links(docs, marked, scratch, shingle, similarity), Scratch(docs.sparkSession, "near_dup_labels"))
+    classes = marked.select("key").distinct().join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
+    classes = scratch.save(classes.select("key", F.coalesce("label", "key").alias("label")), "classes")
+    return marked.join(classes, "key").select("doc_id", "row1", "row2", "key", "label")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, key (a hash of the shingle set) and component_id, the smallest doc_id of the linked documents.
+    """doc_id, key (a hash of the shingle set), label and component_id, the smallest doc_id of the linked documents.
 
     Documents link at a Jaccard similarity of `similarity` or more over
-    distinct shingles; texts without words link to each other only.  A null
-    doc_id is no component_id unless its component has no other.
+    distinct shingles of lower-cased (A-Z) words; a shorter text is one
+    shingle, and texts without words, null ones among them, link to each other
+    only.  A null doc_id is no component_id unless its component has no other.
+    Rows that repeat a doc_id count each by its text.  Other columns are
+    ignored.  An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "near_dup")
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    marked = scratch.save(source.mapInArrow(_marks(shingle), "doc_id long, key long, n long, bands array<long>"), "marks")
-    classes = marked.groupBy("key").agg(F.min("doc_id").alias("least"))
-    labels = connected_components(_links(source, marked, scratch, shingle, similarity), Scratch(docs.sparkSession, "near_dup_labels"))
-    classes = classes.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    classes = scratch.save(classes, "classes")
-    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "key").join(classes.join(least, "label").select("key", "label", "component_id"), "key").select("doc_id", "key", "label", "component_id")
+    marked = _marked(docs, shingle, similarity)
+    least = marked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return marked.join(least, "label").select("doc_id", "key", "label", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each linked group: that of the smallest doc_id.
+    """docs with one row of each linked group: that of the smallest doc_id.
 
-    Rows that repeat a doc_id count once.  If a group has no id at all, one
-    of its documents stays.
+    A null doc_id comes last; of rows that share the smallest id, one chosen
+    by a hash of the row stays, the same in every run.  Rows of one doc_id
+    whose texts do not link are in different groups, and each may stay.
     """
-    marks = near_duplicates(docs, shingle, similarity)
-    kept = marks.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    alone = marks.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).groupBy("label").agg(F.min("key").alias("__key")).select("__key")
-    if not alone.head(1):
-        return out
-
-    @F.pandas_udf("long")
-    def mark(texts: pd.Series) -> pd.Series:
-        return pd.Series(set_keys(*shingle_sets(pa.array(texts, pa.string()), shingle)).view(np.int64))
-
-    bare = docs.filter(F.col("doc_id").isNull()).withColumn("__key", mark("text"))
-    return out.unionByName(bare.join(alone, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key"))
+    return keep_rows(docs, _marked(docs, shingle, similarity))

@@ -19,13 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, read
+from .common import Scratch, chunks, keep_rows, read, row_marks
 from .components import connected_components
 
 SHINGLE_WORDS, DISTANCE, SEED = 3, 2, 42
@@ -59,6 +58,12 @@ def _bit_counts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def bit_fingerprints(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each run of hashes: a bit is set if it is in over half of them."""
+    bits = _bit_counts(hashes, edge) * 2 > np.diff(edge)[:, None]
+    return (bits * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
 def fingerprints(texts: list[str | None], shingle: int = SHINGLE_WORDS) -> np.ndarray:
     """64-bit SimHash of each text: a bit is set if it is in over half of the shingles' XXH64."""
     offsets, values = [0], []
@@ -74,21 +79,21 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE_WORDS) -> np.nd
                 begin = end - size
                 values += [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(begin[: 1 - shingle].tolist(), end[shingle - 1 :].tolist(), strict=True)]
         offsets.append(len(values))
-    edge = np.array(offsets)
-    counts = _bit_counts(np.array(values, np.uint64), edge)
-    bits = counts * 2 > np.diff(edge)[:, None]
-    return (bits * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    return bit_fingerprints(np.array(values, np.uint64), np.array(offsets))
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE_WORDS, marks: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; with marks also row1 and row2, the row's hash."""
+    names = ["doc_id", "row1", "row2"] if marks else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             fp = fingerprints(part.column("text").to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(fp)], names=[*names, "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *([row_marks(docs).alias("m")] if marks else []))
+    source = source.select("doc_id", "text", "m.*") if marks else source
+    return source.mapInArrow(run, ", ".join(f"{n} long" for n in (*names, "fp")))
 
 
 def split_mask(mask: int, parts: int) -> list[int]:
@@ -246,6 +251,18 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _components(marked: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """(fp, label, component_id) of every distinct fingerprint of marked: doc_id, fp."""
+    classes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    links = fingerprint_links(classes.select("fp"), distance, scratch)
+    labels = connected_components(links, scratch).select(F.col("node").alias("fp"), "label")
+    linked = classes.join(labels, "fp")
+    least = linked.groupBy("label").agg(F.min("least").alias("component"))
+    linked = linked.select("fp", "label").join(least, "label").select("fp", "label", "component")
+    found = classes.join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component", "least").alias("component_id"))
+    return scratch.save(found, "components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint and component_id of every document.
 
@@ -256,40 +273,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int
     of the linked documents.
 
     A null text has no words.  Equal rows share a component.  A null doc_id
-    stays and is no component_id unless its component has no other.  Other
-    columns are ignored.  An empty table gives an empty result.
+    stays and is no component_id unless its component has no other.  Long
+    texts are read whole.  Other columns are ignored.  An empty table gives an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(with_fingerprint(docs, shingle), "fingerprints")
-    classes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = fingerprint_links(classes.select("fp"), distance, scratch)
-    labels = connected_components(links, scratch).select(F.col("node").alias("fp"), "label")
-    linked = classes.join(labels, "fp")
-    least = linked.groupBy("label").agg(F.min("least").alias("component"))
-    linked = linked.select("fp", "label").join(least, "label").select("fp", "component")
-    classes = scratch.save(classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "components")
+    classes = _components(marked, distance, scratch)
     return marked.join(classes, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each linked group: that of the smallest doc_id.
+    """docs with one row of each linked group: that of the smallest doc_id.
 
-    Rows that repeat a doc_id count once.  If a group has no id at all, the
-    documents without an id stay, one for each fingerprint.
+    A null doc_id comes last; of rows that share the smallest id, one chosen
+    by a hash of the row stays, the same in every run.  Rows of one doc_id
+    whose texts do not link are in different groups, and each may stay.
     """
-    marks = near_duplicates(docs, shingle, distance)
-    kept = marks.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    alone = marks.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("__fp")).distinct()
-    if not alone.head(1):
-        return out
-
-    @F.pandas_udf("string")
-    def mark(texts: pd.Series) -> pd.Series:
-        return pd.Series([f"{x:016x}" for x in fingerprints(texts.tolist(), shingle).tolist()])
-
-    bare = docs.filter(F.col("doc_id").isNull()).withColumn("__fp", mark("text"))
-    return out.unionByName(bare.join(alone, "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked = scratch.save(with_fingerprint(docs, shingle, marks=True), "fingerprints")
+    return keep_rows(docs, marked.join(_components(marked, distance, scratch), "fp"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,9 +200,9 @@ def _remove(window: int, with_text: bool, extra: bool):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int, blocks: int, scratch: Scratch) -> DataFrame:
+def repeated_windows(parts: DataFrame, window: int, blocks: int, scratch: Scratch) -> DataFrame:
     """For each block the packed 128-bit hashes of its windows that occur twice or more in all."""
-    parts = with_block(docs, blocks)
+    parts = parts.select("doc_id", "text", "block")
     first = parts.groupBy("block").applyInArrow(_first_keys(window, blocks), CHUNK_SCHEMA)
     shared = scratch.save(repeated_keys(first).select("block", "keys"), "anchors")
     second = parts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_window_keys(window, blocks), CHUNK_SCHEMA)
@@ -229,10 +229,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False
     if window < 2 * parse_loss(1) + 1:
         raise ValueError(f"a window needs {2 * parse_loss(1) + 1} words at least")
     scratch, blocks = Scratch(spark, "substring_dedup"), block_count(docs)
-    hits = repeated_windows(docs, window, blocks, scratch)
     taken = ("doc_id", "text", "n_words", "n_removed")
-    source = docs.select("doc_id", "text", *(docs[c] for c in docs.columns if c not in taken))
-    parts = with_block(source, blocks, extra=not digest)
+    source = docs.select("doc_id", "text", *(docs[f"`{c}`"] for c in docs.columns if c not in taken))
+    parts = with_block(source, blocks, scratch, extra=not digest)
+    hits = repeated_windows(parts, window, blocks, scratch)
     kinds = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_words", "n_removed")])
     kinds.add("kept_sha256" if digest else "text", T.StringType())
     extra = "extra" in parts.columns
