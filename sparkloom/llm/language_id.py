@@ -42,8 +42,8 @@ UNKNOWN = 1e-7
 #: Characters up to which products stay in range, with each one's share in the scale for that.
 QUICK, SCALE = 49, 1e4
 
-#: Words whose probabilities a worker keeps at hand.
-CACHE_WORDS = 300_000
+#: Words whose probabilities a worker keeps at hand, and words that go through one pass together.
+CACHE_WORDS, PASS_WORDS = 200_000, 20_000
 
 START, UNDETERMINED = "▁", "und"
 
@@ -117,8 +117,8 @@ class Segmenter:
                 if len(rows):
                     yield start, end, rows, piece[at[rows]]
 
-    def forward(self, words: list[str]) -> tuple[np.ndarray, list]:
-        """Scaled sums over the segmentations of each word's beginnings, and the spans met."""
+    def forward(self, words: list[str], keep: bool = True) -> tuple[np.ndarray, list]:
+        """Scaled sums over the segmentations of each word's beginnings, and the spans met if they are kept."""
         n = len(words[0])
         f = np.zeros((n + 1, len(words), self.probability.shape[1]))
         f[0] = 1
@@ -127,7 +127,8 @@ class Segmenter:
             while at < end:  # a letter may always stand alone
                 at += 1
                 f[at] += f[at - 1] * (UNKNOWN * SCALE)
-            spans.append((start, end, rows, piece))
+            if keep:
+                spans.append((start, end, rows, piece))
             f[end, rows] += f[start, rows] * self.probability[piece] * SCALE ** (end - start)
         while at < n:
             at += 1
@@ -200,9 +201,10 @@ class Segmenter:
         for i in np.flatnonzero(length > QUICK).tolist():
             out[i] = self.long_forward(words[i])[0][-1]
         for n in np.unique(length[length <= QUICK]).tolist():
-            at = np.flatnonzero(length == n)
-            f, _ = self.forward([words[i] for i in at])
-            out[at] = np.log(f[-1]) - n * np.log(SCALE)
+            alike = np.flatnonzero(length == n)
+            for at in np.array_split(alike, -(-len(alike) // PASS_WORDS)):
+                f, _ = self.forward([words[i] for i in at], keep=False)
+                out[at] = np.log(f[-1]) - n * np.log(SCALE)
         return out
 
     def text_scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

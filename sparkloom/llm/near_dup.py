@@ -31,6 +31,15 @@ DISTANCE = 3
 #: Bands and rows of a band: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^30 = 0.99999.
 BANDS, ROWS = 30, 5
 
+#: Hash values of a signature, and how many agree at the least: at a similarity of 0.8 all but 2 in 10 million pairs have more.
+VALUES, AGREE = BANDS * ROWS, 0.63
+
+#: Classes of a bucket that one task compares with each other, or with as many others.
+NODE_CLASSES = 1024
+
+#: UTF-8 bytes of text that one numpy pass handles together.
+MARK_BYTES = 1 << 20
+
 SEED = 20_240_603
 
 
@@ -64,35 +73,95 @@ def set_keys(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(grams: np.ndarray, edge: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A hash for each band of each set that is not empty: sets x bands."""
+def min_hashes(grams: np.ndarray, edge: np.ndarray, values: int = VALUES) -> np.ndarray:
+    """The least hash of each set that is not empty under each of many hash functions: sets x values."""
     start = edge[:-1][np.diff(edge) > 0]
-    out = np.zeros((len(start), bands), np.uint64)
-    if not len(start):
-        return out
-    odd = np.random.default_rng(SEED).integers(0, 1 << 64, (2, bands * rows), np.uint64) | np.uint64(1)
-    for i in range(bands * rows):
-        least = np.minimum.reduceat((grams ^ odd[0, i]) * odd[1, i], start)
-        out[:, i // rows] = join_hashes(out[:, i // rows], least)
+    out = np.zeros((len(start), values), np.uint64)
+    odd = np.random.default_rng(SEED).integers(0, 1 << 64, (2, values), np.uint64) | np.uint64(1)
+    for i in range(values if len(start) else 0):
+        out[:, i] = np.minimum.reduceat((grams ^ odd[0, i]) * odd[1, i], start)
+    return out
+
+
+def band_keys(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A hash for each band of least hashes: sets x bands."""
+    out = np.zeros((len(least), least.shape[1] // rows), np.uint64)
+    for i in range(least.shape[1]):
+        out[:, i // rows] = join_hashes(out[:, i // rows], least[:, i])
     return out
 
 
 def _marks(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, most=MARK_BYTES):
             grams, edge = shingle_sets(part.column("text"), shingle)
-            bands = band_keys(grams, edge)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.diff(edge) > 0)] * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
+            full = np.diff(edge) > 0
+            least = min_hashes(grams, edge)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(full)] * BANDS, pa.int32()), pa.array(band_keys(least).ravel().view(np.int64)))
+            # one byte of each least hash; the product's high bits are the well mixed ones
+            low = (least >> np.uint64(40)).astype(np.uint8)
+            place = np.cumsum(full) - 1
+            signs = pa.array([low[k].tobytes() if f else b"" for k, f in zip(place.tolist(), full.tolist(), strict=True)], pa.binary())
             columns = [part.column("doc_id"), part.column("row1"), part.column("row2"), pa.array(set_keys(grams, edge).view(np.int64)), pa.array(np.diff(edge), pa.int64())]
-            columns += [pa.array(bit_fingerprints(grams, edge).view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row1", "row2", "key", "n", "fp", "bands"])
+            columns += [pa.array(bit_fingerprints(grams, edge).view(np.int64)), lists, signs]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row1", "row2", "key", "n", "fp", "bands", "signs"])
+
+    return run
+
+
+def _likely(similarity: float):
+    """For rows (band, hash, a, b, side, key, n, label, signs) sorted by node: pairs of different labels that may be similar.
+
+    In a node of two chunks only pairs across them are compared.
+    """
+    agree = int(AGREE / SIMILARITY * similarity * VALUES)
+
+    def pairs(side: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((key, side))
+        side, key, n, label, signs = side[order], key[order], n[order], label[order], signs[order]
+        two = side[0] != side[-1]
+        first, second = [], []
+        for i in range(int((side == side[0]).sum()) if two else len(key)):
+            j = int((side == side[0]).sum()) if two else i + 1
+            at = np.flatnonzero((label[j:] != label[i]) & (np.minimum(n[j:], n[i]) >= similarity * np.maximum(n[j:], n[i]) - 1e-9)) + j
+            at = at[(signs[at] == signs[i]).sum(axis=1) >= agree]
+            first.append(np.full(len(at), key[i]))
+            second.append(key[at])
+        x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (first, second))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            numbers = [rows.column(c).to_numpy() for c in ("band", "hash", "a", "b")]
+            edge = np.r_[0, np.flatnonzero(np.any([np.diff(c) != 0 for c in numbers], axis=0)) + 1, rows.num_rows]
+            side, key, n, label = (rows.column(c).to_numpy() for c in ("side", "key", "n", "label"))
+            signs = np.frombuffer(b"".join(rows.column("signs").to_pylist()), np.uint8).reshape(-1, VALUES)
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                if e - s > 1:
+                    yield pairs(side[s:e], key[s:e], n[s:e], label[s:e], signs[s:e])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) < 8 * NODE_CLASSES:
+                continue
+            rows = pa.Table.from_batches(held)
+            numbers = [rows.column(c).to_numpy() for c in ("band", "hash", "a", "b")]
+            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in numbers], axis=0)) + 1
+            if len(cuts):  # the last node may go on in the next batch
+                yield from flush(rows.slice(0, int(cuts[-1])))
+                held = rows.slice(int(cuts[-1])).combine_chunks().to_batches()
+        if held:
+            yield from flush(pa.Table.from_batches(held))
 
     return run
 
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, most=MARK_BYTES):
             grams, edge = shingle_sets(part.column("text"), shingle)
             lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(grams.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(set_keys(grams, edge).view(np.int64)), lists], names=["key", "grams"])
@@ -121,6 +190,21 @@ def _index_pairs(classes: DataFrame, scratch: Scratch, similarity: float) -> Dat
     return near.unionByName(same.select("a", F.col("key").alias("b"))).distinct()
 
 
+def _compared(rest: DataFrame, marked: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each bucket's classes with different labels whose signatures agree enough.
+
+    A bucket's classes are dealt to chunks, and each two chunks of a bucket to
+    a node, so that no task holds more than two chunks of one.
+    """
+    signs = marked.join(rest.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("signs").alias("signs"))
+    sizes = rest.groupBy("band", "hash").agg(F.ceil(F.count("*") / NODE_CLASSES).cast("int").alias("chunks"))
+    d = rest.join(sizes, ["band", "hash"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    nodes = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("a"), F.greatest("chunk", k).alias("b")))
+    d = d.withColumn("node", F.explode(nodes)).select("band", "hash", "node.a", "node.b", F.col("chunk").alias("side"), "key", "n", "label").join(signs, "key")
+    at = ["band", "hash", "a", "b"]
+    return d.repartition(*at).sortWithinPartitions(*at).select(*at, "side", "key", "n", "label", "signs").mapInArrow(_likely(similarity), "a long, b long")
+
+
 def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) between set keys that connect all verified pairs."""
     spark = docs.sparkSession
@@ -150,9 +234,7 @@ def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, s
     stars = scratch.save(stars.select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), "stars")
     links = links.unionByName(scratch.save(_verified(stars, sets, similarity), "links-stars"))
     rest = apart("rest-stars")
-    x, y = (rest.select("band", "hash", *(F.col(c).alias(c + s) for c in ("key", "n", "label"))) for s in ("1", "2"))
-    pairs = x.join(y, ["band", "hash"]).filter((F.col("key1") < F.col("key2")) & (F.col("label1") != F.col("label2")) & _alike(F.col("n1"), F.col("n2"), similarity))
-    pairs = pairs.select(F.col("key1").alias("a"), F.col("key2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = scratch.save(_compared(rest, marked, scratch, similarity).distinct().join(stars, ["a", "b"], "left_anti"), "likely")
     return links.unionByName(scratch.save(_verified(pairs, sets, similarity), "links-rest"))
 
 
@@ -160,7 +242,7 @@ def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, row1, row2 (the row's hash), key and label (of its group) of every row."""
     scratch = Scratch(docs.sparkSession, "near_dup")
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row_marks(docs).alias("m")).select("doc_id", "text", "m.*")
-    schema = "doc_id long, row1 long, row2 long, key long, n long, fp long, bands array<long>"
+    schema = "doc_id long, row1 long, row2 long, key long, n long, fp long, bands array<long>, signs binary"
     marked = scratch.save(source.mapInArrow(_marks(shingle), schema), "marks")
     labels = connected_components(_links(docs, marked, scratch, shingle, similarity), Scratch(docs.sparkSession, "near_dup_labels"))
     classes = marked.select("key").distinct().join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
