@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The forms that boxes and calls take in a text.
 DECIMAL, SIGNED = r"(\d+(?:\.\d+)?)", r"([-+]?\d*\.?\d+)"
 UNSIGNED_BOX = rf"\[\s*{DECIMAL}\s*,\s*{DECIMAL}\s*,\s*{DECIMAL}\s*,\s*{DECIMAL}\s*\]"
 PLAIN_BOX = rf"\[\s*{SIGNED}\s*,\s*{SIGNED}\s*,\s*{SIGNED}\s*,\s*{SIGNED}\s*\]"
@@ -22,7 +23,6 @@ KEYWORDS = {
     "organ": ("organ", "kidney", "liver", "spleen", "filtering", "responsible", "pair of", "essential for", "producing urine", "eliminating waste"),
 }
 
-BOX_JSON = "array<struct<bbox_2d:array<double>,bbox:array<double>,box:array<double>>>"
 
 
 def boxes_of(text: Column, pattern: str) -> Column:
@@ -38,15 +38,19 @@ def plain_boxes(text: Column) -> Column:
 
 
 def json_boxes(text: Column) -> Column:
-    """Boxes of the JSON list between the first [ and the last ]; null unless all items are boxes."""
+    """Boxes of the JSON list between the first [ and the last ]; null unless all items are boxes.
+
+    An item is a list of four numbers or an object with one under bbox_2d,
+    bbox or box; a list may have both kinds.
+    """
     body = F.regexp_extract(text, r"(?s)\[.*\]", 0)
-    pairs = F.regexp_replace(body, "'", '"')
+    items = F.from_json(F.regexp_replace(body, "'", '"'), "array<string>")
+    named = lambda x: F.from_json(x, "bbox_2d array<double>, bbox array<double>, box array<double>")
+    numbers = lambda x: F.when(x.startswith("["), F.from_json(x, "array<double>")).otherwise(F.coalesce(named(x)["bbox_2d"], named(x)["bbox"], named(x)["box"]))
+    lists = F.transform(items, numbers)
+    whole = lambda x: F.coalesce(F.size(x) == 4, F.lit(False)) & F.forall(x, lambda v: v.isNotNull())
     four = lambda a: F.struct(*(F.get(a, i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))
-    items = F.from_json(pairs, BOX_JSON)
-    named = F.transform(items, lambda x: F.coalesce(x["bbox_2d"], x["bbox"], x["box"]))
-    lists = F.from_json(pairs, "array<array<double>>")
-    good = lambda a: (F.size(a) > 0) & F.forall(a, lambda x: F.coalesce(F.size(x) == 4, F.lit(False)) & F.forall(x, lambda v: v.isNotNull()))
-    return F.when(good(named), F.transform(named, four)).when(good(lists), F.transform(lists, four))
+    return F.when((F.size(lists) > 0) & F.forall(lists, lambda x: F.coalesce(whole(x), F.lit(False))), F.transform(lists, four))
 
 
 def cascade_boxes(text: Column) -> Column:
@@ -76,14 +80,34 @@ def reasoning(text: Column) -> Column:
 
 
 def sampled_slices(text: Column) -> Column:
-    """The numbers of "Sampled Z list ...: [..]"; null if there is none."""
+    """The whole numbers of "Sampled Z list ...: [..]"; null if there is no list.  What is no number is left out."""
     body = F.regexp_extract(text, r"Sampled Z list[^:]*:\s*\[([^\]]*)\]", 1)
-    return F.when(F.trim(body) != "", F.transform(F.split(body, ","), lambda x: F.trim(x).cast("int")))
+    return F.when(F.trim(body) != "", F.filter(F.transform(F.split(body, ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull()))
 
 
 def marked_slices(text: Column) -> Column:
-    """All Z=n of a text, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"Z=(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    """All Z=n of a text, in order; those beyond the range of an int are left out."""
+    return _numbers(text, r"Z=(\d+)")
+
+
+def listed_slices(text: Column) -> Column:
+    """All Z=n that a colon follows: the slices of a prompt, not those of its analysis."""
+    return _numbers(text, r"Z=(\d+):")
+
+
+def _numbers(text: Column, pattern: str) -> Column:
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+
+
+def caption_of(text: Column) -> Column:
+    """The target structure that a prompt names; null if it names none."""
+    found = F.regexp_extract(text, r'target structure is:\s*"([^"]+)"', 1)
+    return F.when(found != "", found)
+
+
+def first_volume(paths: Column) -> Column:
+    """Volume name of the first path that is a rendered slice; null if none is."""
+    return F.get(F.filter(F.transform(paths, volume_of_render), lambda v: v != ""), F.lit(0))
 
 
 def volume_of_render(path: Column) -> Column:

@@ -58,10 +58,11 @@ def overlay_changes(steps: DataFrame) -> DataFrame:
     """For each valid navigation: visits of that slice before, and whether its overlay changed since the last.
 
     A slice's overlay is the number of annotations drawn on it so far; a first
-    visit counts as changed.
+    visit counts as changed.  A scroll by 0 is refused, yet it looks at the
+    slice in view again.
     """
     at = W.partitionBy("rec", "ptr").orderBy("pos")
-    d = steps.filter("ok and ptr is not null")
+    d = steps.filter("ptr is not null and (ok or name = 'scroll')")
     drawn = F.sum(F.when(F.col("name").isin("add_bbox", "add_point"), 1).otherwise(0)).over(at.rowsBetween(W.unboundedPreceding, 0))
     nav = d.withColumn("overlay", drawn).filter(F.col("name").isin("get_slice", "scroll"))
     last = F.lag("overlay").over(at)
@@ -106,20 +107,26 @@ def first_failure(rules: list[tuple[Column, str]]) -> Column:
 
 
 def validate_traces(steps: DataFrame) -> DataFrame:
-    """(rec, reason) by the look-then-write rules of a trace, the first broken one."""
+    """(rec, reason) by the look-then-write rules of a trace, the first broken one.
+
+    An annotation, box or point, must be on the slice that the last move went
+    to, if that was a get_slice; a scroll or a propagation since then lifts
+    the rule.
+    """
+    moves = ("get_slice", "scroll", "run_medsam2")
     first = F.min(F.when(F.col("name").isin("get_slice", "scroll"), F.struct("pos", "name")))["name"]
     last = F.max(F.struct("pos", "name"))["name"]
     seen = W.partitionBy("rec").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    looked = F.last(F.when(F.col("name") == "get_slice", F.col("z")), ignorenulls=True).over(seen)
-    moved = F.last(F.when(F.col("name").isin("get_slice", "scroll"), F.struct("name", "z")), ignorenulls=True).over(seen)
-    d = steps.withColumn("looked", looked).withColumn("moved", moved)
-    wrong = (F.col("name") == "add_bbox") & (F.col("moved.name") == "get_slice") & (F.col("looked") != F.col("z"))
+    moved = F.last(F.when(F.col("name").isin(*moves), F.struct("name", "z")), ignorenulls=True).over(seen)
+    d = steps.withColumn("moved", moved)
+    wrong = F.col("name").isin("add_bbox", "add_point") & (F.col("moved.name") == "get_slice") & (F.col("moved.z") != F.col("z"))
     g = d.groupBy("rec").agg(
-        F.count_if(F.col("name") == "malformed").alias("bad"), F.count_if((F.col("name") == "scroll") & (F.col("delta") == 0)).alias("still"),
+        F.count_if(F.col("name") == "malformed").alias("bad"), F.count_if(F.col("name") == "run_medsam2").alias("runs"), F.count_if((F.col("name") == "scroll") & (F.col("delta") == 0)).alias("still"),
         F.count_if(wrong).alias("blind"), F.count_if(F.col("name") == "finish").alias("ends"), first.alias("first"), last.alias("last"),
     )
     rules = [
-        (F.col("bad") > 0, "malformed call"), (F.col("still") > 0, "scroll by 0"), (F.coalesce(F.col("first") != "get_slice", F.lit(False)), "first navigation is not get_slice"),
-        (F.col("blind") > 0, "add_bbox on a slice not viewed"), (F.col("ends") != 1, "not one finish"), (F.col("last") != "finish", "finish is not last"),
+        (F.col("bad") > 0, "malformed call"), (F.col("runs") > 1, "run_medsam2 more than once"), (F.col("still") > 0, "scroll by 0"),
+        (F.coalesce(F.col("first") != "get_slice", F.lit(False)), "first navigation is not get_slice"), (F.col("blind") > 0, "annotation of a slice not viewed"),
+        (F.col("ends") != 1, "not one finish"), (F.col("last") != "finish", "finish is not last"),
     ]
     return g.select("rec", first_failure(rules).alias("reason"))

@@ -62,14 +62,22 @@ def online_contrastive(pairs: DataFrame, margin: float = 0.5) -> DataFrame:
     )
 
 
-def info_nce(scores: DataFrame, temperature: float = 0.1, margin: float | None = None) -> DataFrame:
-    """(query, loss) from rows query, doc, sim, positive (one for each query).
+def info_nce(scores: DataFrame, temperature: float = 0.1, margin: float | None = None, negatives: int | None = None, in_group: bool = False) -> DataFrame:
+    """(query, loss) from rows query, doc, sim, positive (one for each query) and, if looked at, kind and place.
 
     With a margin, documents more similar than the positive by over it are
-    taken for unlabelled matches and left out.
+    taken for unlabelled matches and left out.  kind says what a row compares:
+    qd (as without the column), qq or dd, blocks that add to the denominators.
+    place numbers a query's own negatives; in_group leaves only those, and
+    `negatives` no more than the first so many of them.
     """
-    own = scores.groupBy("query").agg(F.max(F.when(F.col("positive"), F.col("sim"))).alias("pos"))
-    d = scores.join(own, "query")
+    d = scores if "place" in scores.columns else scores.withColumn("place", F.lit(None).cast("int"))
+    if in_group:
+        d = d.filter(F.col("positive") | F.col("place").isNotNull())
+    if negatives is not None:
+        d = d.filter(F.col("positive") | F.col("place").isNull() | (F.col("place") < negatives))
+    own = d.groupBy("query").agg(F.max(F.when(F.col("positive"), F.col("sim"))).alias("pos"))
+    d = d.join(own, "query").filter("pos is not null")
     if margin is not None:
         d = d.filter(F.col("positive") | (F.col("sim") <= F.col("pos") + margin))
     d = d.select("query", "pos", (F.col("sim") / temperature).alias("logit"))
@@ -78,6 +86,42 @@ def info_nce(scores: DataFrame, temperature: float = 0.1, margin: float | None =
     return d.groupBy("query").agg((F.first("top") + F.log(F.sum(F.exp(F.col("logit") - F.col("top")))) - F.first("pos") / temperature).alias("loss"))
 
 
+def score_blocks(queries: DataFrame, docs: DataFrame, batch: str, own: bool = True, with_queries: bool = False, with_docs: bool = False) -> DataFrame:
+    """(query, doc, kind, sim, positive) of each batch: queries against documents and, if asked, queries against
+    the other queries (qq), and a query's positive document against the other documents (dd).
+
+    queries: batch, query, v; docs: batch, doc, v, of (the query that it is
+    the positive of, null for negatives).  A batch is bounded.
+    """
+    q = queries.select(F.col(batch).alias("batch"), "query", F.col("v").alias("a"))
+    d = docs.select(F.col(batch).alias("batch"), "doc", "of", F.col("v").alias("b"))
+    out = q.join(d, "batch").select("query", "doc", F.lit("qd").alias("kind"), cosine(F.col("a"), F.col("b")).alias("sim"), F.coalesce(F.col("of") == F.col("query"), F.lit(False)).alias("positive"))
+    if with_queries:
+        other = q.select("batch", F.col("query").alias("doc"), F.col("a").alias("b"))
+        out = out.unionByName(q.join(other, "batch").filter("query <> doc").select("query", "doc", F.lit("qq").alias("kind"), cosine(F.col("a"), F.col("b")).alias("sim"), F.lit(False).alias("positive")))
+    if with_docs:
+        first = d.filter("of is not null").select("batch", F.col("of").alias("query"), F.col("doc").alias("mine"), F.col("b").alias("a"))
+        rows = first.join(d.select("batch", "doc", "b"), "batch").filter("mine <> doc")
+        out = out.unionByName(rows.select("query", "doc", F.lit("dd").alias("kind"), cosine(F.col("a"), F.col("b")).alias("sim"), F.lit(False).alias("positive")))
+    return out
+
+
+def embedding_groups(rows: DataFrame, position: str, label: str, by: str | None = None, negatives: int | None = None) -> DataFrame:
+    """grp, place and role of rows in the order anchor, positive, negatives: a label 1 is a group's positive.
+
+    The row before a positive is its anchor.  Of more than `negatives`
+    negatives the first stay.  by: a column whose values are batches.
+    """
+    at = W.partitionBy(by).orderBy(position) if by else W.orderBy(position)
+    after = F.lead(label).over(at)
+    d = rows.withColumn("_anchor", F.coalesce(after == 1, F.lit(False))).withColumn("grp", F.sum(F.col("_anchor").cast("int")).over(at))
+    keys = [by, "grp"] if by else ["grp"]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(position)) - 3
+    role = F.when(place == -2, "anchor").when(place == -1, "positive").otherwise("negative")
+    d = d.withColumn("place", place).withColumn("role", role).drop("_anchor")
+    return d if negatives is None else d.filter(F.col("place") < negatives)
+
+
 def bce_with_logits(logit: Column, label: Column) -> Column:
     return F.greatest(logit, F.lit(0.0)) - logit * label + F.log1p(F.exp(-F.abs(logit)))
 
@@ -113,3 +157,33 @@ def span_weighted(tokens: DataFrame, weight: float = 3.0) -> DataFrame:
     live = tokens.filter("label <> -100")
     w = F.when(F.col("in_span"), F.lit(weight)).otherwise(F.lit(1.0))
     return live.groupBy("rec").agg(F.avg("loss").alias("ce"), (F.sum(F.col("loss") * w) / F.sum(w)).alias("weighted"))
+
+
+def box_weighted(tokens: DataFrame, weight: float = 3.0, share: float = 0.05) -> DataFrame:
+    """One row: token loss with tokens in box spans counted `weight` times, and a share of the coordinates' smooth-L1.
+
+    tokens: loss, label, in_span, and coord, truth: a coordinate token's
+    predicted and true value in thousandths, null elsewhere.
+    """
+    live = tokens.filter("label <> -100")
+    w = F.when(F.col("in_span"), F.lit(weight)).otherwise(F.lit(1.0))
+    near = F.avg(smooth_l1((F.col("coord") - F.col("truth")) / 1000.0))
+    return live.agg((F.sum(F.col("loss") * w) / F.sum(w) + share * F.coalesce(near, F.lit(0.0))).alias("loss"))
+
+
+def loss_weights(content: Column, rules: list[tuple[str, float]], rest: float = 1.0) -> Column:
+    """An array of (text, weight): a message cut where a rule's pattern matches, first rules first.
+
+    A matched stretch has its rule's weight, what lies between the rest's.
+    """
+    cut = F.array(F.struct(content.alias("text"), F.lit(None).cast("double").alias("weight")))
+    for pattern, weight in rules:
+
+        def split(piece: Column, pattern: str = pattern, weight: float = weight) -> Column:
+            hits = F.regexp_extract_all(piece["text"], F.lit(f"({pattern})"), F.lit(1))
+            between = F.split(F.regexp_replace(piece["text"], pattern, "\u0000"), "\u0000", -1)
+            parts = F.transform(between, lambda t, i: F.array(F.struct(t.alias("text"), F.lit(None).cast("double").alias("weight")), F.struct(F.get(hits, i).alias("text"), F.lit(weight).cast("double").alias("weight"))))
+            return F.when(piece["weight"].isNotNull(), F.array(piece)).otherwise(F.filter(F.flatten(parts), lambda p: p["text"].isNotNull() & (p["text"] != "")))
+
+        cut = F.flatten(F.transform(cut, split))
+    return F.transform(cut, lambda p: F.struct(p["text"].alias("text"), F.coalesce(p["weight"], F.lit(rest)).alias("weight")))

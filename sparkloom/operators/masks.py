@@ -1,8 +1,10 @@
 """Binary masks as runs of pixels, column after column.
 
 A run table has the mask's key columns, start and length; an absent mask has
-no rows.  Set algebra is an interval join within a key; numeric kernels that
-no expression covers run as Arrow functions over one mask at a time.
+no rows.  The runs of one mask do not overlap.  Set algebra of two masks is
+one shuffle by key: their runs, tagged by side, are swept in order.  Numeric
+kernels that no expression covers run as Arrow functions over one mask at a
+time.
 """
 
 from __future__ import annotations
@@ -11,8 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import dice, mask_iou, ratio
 
@@ -39,26 +44,71 @@ def tight_boxes(runs: DataFrame, keys: list[str], height: int = SIDE) -> DataFra
     )
 
 
+def _swept(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Every key of either mask with its runs in order: structs of start, end and side."""
+    side = lambda d, k: d.select(*keys, F.struct("start", (F.col("start") + F.col("length")).alias("end"), F.lit(k).alias("side")).alias("r"))
+    return side(a, 0).unionByName(side(b, 1)).groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("runs"))
+
+
+def _overlap(runs: Column) -> Column:
+    """Pixels in both masks: each run against the last earlier one of the other side."""
+    begin = F.struct(F.lit(-1).cast("bigint").alias("e0"), F.lit(-1).cast("bigint").alias("e1"), F.lit(0).cast("bigint").alias("shared"))
+
+    def step(s: Column, r: Column) -> Column:
+        first = r["side"] == 0
+        other = F.when(first, s["e1"]).otherwise(s["e0"])
+        more = F.greatest(F.least(other, r["end"]) - r["start"], F.lit(0))
+        return F.struct(F.when(first, r["end"]).otherwise(s["e0"]).alias("e0"), F.when(first, s["e1"]).otherwise(r["end"]).alias("e1"), (s["shared"] + more).alias("shared"))
+
+    return F.aggregate(runs, begin, step)["shared"]
+
+
+def _side_area(runs: Column, side: int) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, r: n + F.when(r["side"] == side, r["end"] - r["start"]).otherwise(F.lit(0)))
+
+
 def shared_areas(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixels that masks of the same key share."""
-    p = a.select(*keys, F.col("start").alias("s1"), (F.col("start") + F.col("length")).alias("e1"))
-    q = b.select(*keys, F.col("start").alias("s2"), (F.col("start") + F.col("length")).alias("e2"))
-    # runs lie within a pixel column, so the column is a second equi-key
-    column = lambda c: F.floor(F.col(c) / SIDE)
-    p, q = p.withColumn("col", column("s1")), q.withColumn("col", column("s2"))
-    both = p.join(q, [*keys, "col"]).filter((F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")))
-    return both.groupBy(*keys).agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).cast("bigint").alias("shared"))
+    """Pixels that masks of the same key share, for keys where they share any."""
+    return _swept(a, b, keys).select(*keys, _overlap(F.col("runs")).alias("shared")).filter("shared > 0")
 
 
 def mask_scores(truth: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """Dice, IoU, precision and recall for every key of either side; a missing side is an empty mask."""
-    a = mask_areas(truth, keys).withColumnRenamed("area", "gt_area")
-    b = mask_areas(pred, keys).withColumnRenamed("area", "pred_area")
-    d = a.join(b, keys, "full_outer").join(shared_areas(truth, pred, keys), keys, "left").fillna(0, ["gt_area", "pred_area", "shared"])
+    runs = F.col("runs")
+    d = _swept(truth, pred, keys).select(*keys, _side_area(runs, 0).alias("gt_area"), _side_area(runs, 1).alias("pred_area"), _overlap(runs).alias("shared"))
+    return _measures(d, keys)
+
+
+def _measures(d: DataFrame, keys: list[str]) -> DataFrame:
     g, p, s = (F.col(c) for c in ("gt_area", "pred_area", "shared"))
     return d.select(*keys, g, p, s, dice(s, g, p).alias("dice"), mask_iou(s, g, p).alias("iou"), ratio(s, p).alias("precision"), ratio(s, g).alias("recall"))
 
 
+def combine(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Runs of the pixels in both masks (and), either (or), one (xor) or only the first (minus).
+
+    The sorted edges of both cut the pixels into stretches; a stretch stays if
+    the sides that cover it fit.  Neighbouring stretches are one run.
+    """
+    test = {"and": lambda x, y: x & y, "or": lambda x, y: x | y, "xor": lambda x, y: x != y, "minus": lambda x, y: x & ~y}[how]
+    edge = lambda r, at, by: F.struct(r[at].alias("at"), F.when(r["side"] == 0, by).otherwise(0).alias("x"), F.when(r["side"] == 1, by).otherwise(0).alias("y"))
+    edges = F.array_sort(F.concat(F.transform("runs", lambda r: edge(r, "start", 1)), F.transform("runs", lambda r: edge(r, "end", -1))))
+    state = "struct<at:bigint,x:int,y:int,open:bigint,out:array<struct<start:bigint,length:bigint>>>"
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(None).alias("open"), F.array().alias("out")).cast(state)
+
+    def step(s: Column, e: Column) -> Column:
+        on = test(s["x"] > 0, s["y"] > 0)
+        moved = e["at"] > s["at"]
+        # a stretch that has just ended begins or closes a run
+        open_ = F.when(moved, F.when(on, F.coalesce(s["open"], s["at"])).otherwise(F.lit(None))).otherwise(s["open"])
+        closed = moved & ~on & s["open"].isNotNull()
+        out = F.when(closed, F.concat(s["out"], F.array(F.struct(s["open"].alias("start"), (s["at"] - s["open"]).alias("length"))))).otherwise(s["out"])
+        return F.struct(e["at"].alias("at"), (s["x"] + e["x"]).alias("x"), (s["y"] + e["y"]).alias("y"), open_.alias("open"), out.alias("out")).cast(state)
+
+    last = lambda s: F.when(s["open"].isNotNull(), F.concat(s["out"], F.array(F.struct(s["open"].alias("start"), (s["at"] - s["open"]).alias("length"))))).otherwise(s["out"])
+    return _swept(a, b, keys).select(*keys, F.explode(F.aggregate(edges, begin, step, last)).alias("r")).select(*keys, "r.*")
+
+
 def volume_scores(slices: DataFrame, keys: list[str]) -> DataFrame:
     """The same over the stacked slices of a volume."""
     v = slices.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("gt_area", "pred_area", "shared")), F.count("*").alias("n_slices"), F.avg("dice").alias("mean_dice"))
@@ -66,6 +116,29 @@ def volume_scores(slices: DataFrame, keys: list[str]) -> DataFrame:
     return v.select(*keys, "n_slices", "mean_dice", dice(s, g, p).alias("dice"), ratio(s, p).alias("precision"), ratio(s, g).alias("recall"))
 
 
+def case_scores(truth: DataFrame, pred: DataFrame, annotated: DataFrame, keys: list[str], slice_key: str, width: int = SIDE, height: int = SIDE) -> tuple[DataFrame, DataFrame]:
+    """Measures of the annotated slices, and of the volumes of these slices stacked in order.
+
+    annotated: keys and slice_key of the slices that have a true mask; one
+    without a predicted mask is scored against an empty one, predicted masks
+    of other slices do not count.  Both tables have dice, precision, recall
+    and hd95, which is null where only one of the masks is empty.
+    """
+    both = [*keys, slice_key]
+    t, p = (d.join(annotated.select(*both).distinct(), both, "left_semi") for d in (truth, pred))
+    base = annotated.select(*both).distinct()
+    slices = base.join(mask_scores(t, p, both), both, "left").fillna(0, ["gt_area", "pred_area", "shared"])
+    slices = _measures(slices.select(*both, "gt_area", "pred_area", "shared"), both)
+    far = base.join(hausdorff(t, p, both, width, height).select(*both, "hd95", "undefined"), both, "left")
+    # neither mask has a pixel: the distance is 0
+    far = far.select(*both, F.when(F.col("undefined").isNull(), 0.0).otherwise(F.col("hd95")).alias("hd95"))
+    slices = slices.join(far, both)
+    volume = _measures(slices.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("gt_area", "pred_area", "shared"))), keys)
+    counts = slices.groupBy(*keys).agg(F.count("*").alias("n_slices"), F.avg("dice").alias("mean_dice"))
+    deep = volume_hausdorff(t, p, base, keys, slice_key, width, height)
+    return slices, volume.join(counts, keys).join(deep, keys)
+
+
 def run_counts(runs: DataFrame, keys: list[str], pixels: int) -> DataFrame:
     """Alternating lengths of background and mask, the uncompressed run-length form."""
     r = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("r"))
@@ -114,21 +187,36 @@ def surface(mask: np.ndarray) -> np.ndarray:
     return mask & ~inner
 
 
+def squared_distances(points: np.ndarray) -> np.ndarray:
+    """Squared distance of each cell of an array to the nearest true one, axis by axis.
+
+    Along an axis a cell takes the least of its neighbours' values plus the
+    squared step; steps end once they cannot lower the largest value left.
+    """
+    d = np.where(points, 0.0, np.inf)
+    for axis in range(points.ndim):
+        own = np.moveaxis(d, axis, 0)
+        best = own.copy()
+        for step in range(1, len(own)):
+            if step * step >= best.max(initial=0):
+                break
+            np.minimum(best[step:], own[:-step] + step * step, out=best[step:])
+            np.minimum(best[:-step], own[step:] + step * step, out=best[:-step])
+        d = np.moveaxis(best, 0, axis)
+    return d
+
+
 def hausdorff_95(a: np.ndarray, b: np.ndarray) -> float:
-    """95th percentile of the distances from either surface to the other; inf if one mask is empty."""
+    """95th percentile of the distances from either surface to the other, in any dimension; inf if one mask is empty."""
     if not a.any() and not b.any():
         return 0.0
     if not a.any() or not b.any():
         return float("inf")
     # nothing lies outside the box around both masks, so its edge is surface where the whole image has one
-    rows, cols = (np.flatnonzero((a | b).any(axis=i)) for i in (1, 0))
-    box = np.s_[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1]
-    p, q = (np.argwhere(surface(m[box])).astype(np.float64) for m in (a, b))
-
-    def nearest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.sqrt(((c[:, None] - v[None]) ** 2).sum(axis=2).min(axis=1)) for c in np.array_split(u, max(1, len(u) * len(v) // 2_000_000))])
-
-    return float(np.percentile(np.concatenate([nearest(p, q), nearest(q, p)]), 95))
+    both = a | b
+    box = tuple(slice(at[0], at[-1] + 1) for at in (np.flatnonzero(both.any(axis=tuple(j for j in range(both.ndim) if j != i))) for i in range(both.ndim)))
+    p, q = (surface(m[box]) for m in (a, b))
+    return float(np.percentile(np.sqrt(np.concatenate([squared_distances(q)[p], squared_distances(p)[q]])), 95))
 
 
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -175,38 +263,180 @@ def _one_row(runs: DataFrame, keys: list[str], name: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias(name))
 
 
-def _read(cell, width: int, height: int) -> np.ndarray:
-    if cell is None or len(cell) == 0:
-        return np.zeros((height, width), bool)
-    return dense(np.array([r["start"] for r in cell]), np.array([r["length"] for r in cell]), width, height)
+def _masks(column: pa.Array, width: int, height: int) -> Iterator[np.ndarray]:
+    """The dense masks of a list column of runs, one after the other."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    edge, runs = column.offsets.to_numpy(), column.values
+    start, length = (runs.field(n).to_numpy(zero_copy_only=False) for n in ("start", "length"))
+    for i, ok in enumerate(column.is_valid().to_numpy(zero_copy_only=False)):
+        a, b = (edge[i], edge[i + 1]) if ok else (0, 0)
+        yield dense(start[a:b], length[a:b], width, height)
+
+
+def _with(schema: str, keys: DataFrame) -> str:
+    return ", ".join([*(f"{n} {t}" for n, t in keys.dtypes), schema])
+
+
+def _distance_columns(batch: pa.RecordBatch, keys: list[str], values: list[float]) -> pa.RecordBatch:
+    ok = np.isfinite(values)
+    columns = [batch.column(k) for k in keys]
+    columns += [pa.array([v if o else None for v, o in zip(values, ok, strict=True)], pa.float64()), pa.array(~ok)]
+    return pa.RecordBatch.from_arrays(columns, names=[*keys, "hd95", "undefined"])
 
 
 def hausdorff(truth: DataFrame, pred: DataFrame, keys: list[str], width: int = SIDE, height: int = SIDE) -> DataFrame:
     """hd95 of each key's two masks; null and undefined = true where one is empty."""
     d = _one_row(truth, keys, "a").join(_one_row(pred, keys, "b"), keys, "full_outer")
-    fields = ", ".join(f"{n} {t}" for n, t in d.select(*keys).dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            value = [hausdorff_95(_read(a, width, height), _read(b, width, height)) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-            out = pdf[keys].copy()
-            out["hd95"] = [v if np.isfinite(v) else None for v in value]
-            out["undefined"] = [not np.isfinite(v) for v in value]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(_masks(batch.column("a"), width, height), _masks(batch.column("b"), width, height), strict=True)
+            yield _distance_columns(batch, keys, [hausdorff_95(x, y) for x, y in pairs])
 
-    return d.mapInPandas(run, f"{fields}, hd95 double, undefined boolean")
+    return d.mapInArrow(run, _with("hd95 double, undefined boolean", d.select(*keys)))
+
+
+def volume_hausdorff(truth: DataFrame, pred: DataFrame, slices: DataFrame, keys: list[str], slice_key: str, width: int = SIDE, height: int = SIDE) -> DataFrame:
+    """hd95 of each volume's stacked slices, one step of depth from slice to slice of `slices`.
+
+    A volume is one row: its runs, with the place of their slice.  Runs do not
+    cross pixel columns, so a volume is dense only within its own box.
+    """
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(slice_key)) - 1
+    at = slices.select(*keys, slice_key, place.alias("depth"))
+    deep = lambda d, name: d.join(at, [*keys, slice_key]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("depth", "start", "length"))).alias(name))
+    d = slices.select(*keys).distinct().join(deep(truth, "a"), keys, "left").join(deep(pred, "b"), keys, "left")
+
+    def volume(runs: np.ndarray, low: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        out = np.zeros(shape, bool)
+        for z, x, y, n in zip(*(runs - np.array([*low, 0])[:, None]), strict=True):
+            out[z, x, y : y + n] = True
+        return out
+
+    def boxes(column: pa.Array) -> Iterator[np.ndarray]:
+        """Depth, pixel column, first row and length of each volume's runs."""
+        edge, runs = column.offsets.to_numpy(), column.values
+        depth, start, length = (runs.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("depth", "start", "length"))
+        for i, ok in enumerate(column.is_valid().to_numpy(zero_copy_only=False)):
+            s = slice(edge[i], edge[i + 1]) if ok else slice(0, 0)
+            yield np.stack([depth[s], start[s] // height, start[s] % height, length[s]])
+
+    def distance(p: np.ndarray, q: np.ndarray) -> float:
+        if not p.size or not q.size:
+            return 0.0 if p.size == q.size else float("inf")
+        both = np.concatenate([p, q], axis=1)
+        low = both[:3].min(axis=1)
+        high = np.r_[both[:2].max(axis=1) + 1, (both[2] + both[3]).max()]
+        return hausdorff_95(volume(p, low, high - low), volume(q, low, high - low))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _distance_columns(batch, keys, [distance(p, q) for p, q in zip(boxes(batch.column("a")), boxes(batch.column("b")), strict=True)])
+
+    return d.mapInArrow(run, _with("hd95 double, undefined boolean", d.select(*keys)))
+
+
+def _mapped(runs: DataFrame, keys: list[str], change, width: int, height: int) -> DataFrame:
+    """Runs of change(mask, seed) for each mask; the seed hangs on the key alone."""
+    d = _one_row(runs, keys, "a").withColumn("seed", F.xxhash64(*keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, lengths = [], [], []
+            for i, (mask, seed) in enumerate(zip(_masks(batch.column("a"), width, height), batch.column("seed").to_pylist(), strict=True)):
+                s, n = runs_of(change(mask, seed & (1 << 63) - 1))
+                rows.append(np.full(len(s), i))
+                starts.append(s)
+                lengths.append(n)
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            columns = [batch.column(k).take(at) for k in keys] + [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in (starts, lengths)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "start", "length"])
+
+    return d.mapInArrow(run, _with("start bigint, length bigint", d.select(*keys)))
+
+
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of a dense mask's runs, none across pixel columns."""
+    flat = np.zeros((mask.shape[1], mask.shape[0] + 2), np.int8)
+    flat[:, 1:-1] = mask.T
+    step = np.diff(flat, axis=1)
+    column, row = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1]
+    return column * mask.shape[0] + row, end - row
+
+
+def morph(runs: DataFrame, keys: list[str], times: int, grow: bool, width: int = SIDE, height: int = SIDE) -> DataFrame:
+    """Runs of the masks grown or shrunk by `times` pixels in the four directions."""
+    return _mapped(runs, keys, lambda mask, _: dilate(mask, times) if grow else erode(mask, times), width, height)
+
+
+def simulated(runs: DataFrame, keys: list[str], width: int = SIDE, height: int = SIDE) -> DataFrame:
+    """Masks as a segmenter might give them: half grown by 1 to 3 pixels, half shrunk by 1 or 2, by a hash of the key."""
+
+    def change(mask: np.ndarray, seed: int) -> np.ndarray:
+        return dilate(mask, 1 + seed // 2 % 3) if seed % 2 == 0 else erode(mask, 1 + seed // 2 % 2)
+
+    return _mapped(runs, keys, change, width, height)
+
+
+def corrected(runs: DataFrame, keys: list[str], width: int = SIDE, height: int = SIDE) -> DataFrame:
+    """True masks as they come back from a correction: as they are, or grown by a pixel, by a hash of the key."""
+    return _mapped(runs, keys, lambda mask, seed: dilate(mask, seed % 2), width, height)
 
 
 def component_boxes(runs: DataFrame, keys: list[str], width: int = SIDE, height: int = SIDE) -> DataFrame:
     """A row for each connected part of each mask."""
     d = _one_row(runs, keys, "a")
-    fields = ", ".join(f"{n} {t}" for n, t in d.select(*keys).dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, cell in zip(pdf[keys].itertuples(index=False), pdf["a"], strict=True):
-                rows += [(*key, i, *box) for i, box in enumerate(components(_read(cell, width, height)))]
-            yield pd.DataFrame(rows, columns=[*keys, "part", "x1", "y1", "x2", "y2"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, k, *box) for i, mask in enumerate(_masks(batch.column("a"), width, height)) for k, box in enumerate(components(mask))]
+            at, *rest = (pa.array([f[j] for f in found], pa.int64()) for j in range(6))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *rest], names=[*keys, "part", "x1", "y1", "x2", "y2"])
+
+    return d.mapInArrow(run, _with("part bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint", d.select(*keys)))
 
-    return d.mapInPandas(run, f"{fields}, part bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+
+def to_compressed(counts: list[int] | np.ndarray) -> str:
+    """Alternating lengths as the compressed text of the usual run-length files.
+
+    From the fourth on a length is written as its difference from the one two
+    before; each number goes out in groups of five bits, the lowest first, with
+    a sixth that says whether more follow, as characters from "0" on.
+    """
+    out = []
+    for i, c in enumerate(counts):
+        value = int(c) - (int(counts[i - 2]) if i > 2 else 0)
+        more = True
+        while more:
+            low, value = value & 31, value >> 5
+            more = value != (-1 if low & 16 else 0)
+            out.append(chr(48 + (low | (32 if more else 0))))
+    return "".join(out)
+
+
+def from_compressed(text: str) -> list[int]:
+    """Alternating lengths from the compressed text."""
+    counts: list[int] = []
+    value = shift = 0
+    for char in text:
+        bits = ord(char) - 48
+        value |= (bits & 31) << shift
+        shift += 5
+        if not bits & 32:
+            if bits & 16:
+                value -= 1 << shift
+            counts.append(value + (counts[-2] if len(counts) > 2 else 0))
+            value = shift = 0
+    return counts
+
+
+@F.pandas_udf(T.StringType())
+def compress_counts(counts: pd.Series) -> pd.Series:
+    return counts.map(to_compressed, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def expand_counts(texts: pd.Series) -> pd.Series:
+    return texts.map(from_compressed, na_action="ignore")

@@ -5,46 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import wording
+from ..functions.text import count_of
+from ..functions.wording import fill, listed
 from .agent import first_failure
-from .annotations import trend
+from .annotations import key_place, trend
 
-#: The wording of the trend in a record's analysis, and the IoU to pass a review.
-TRENDS = {
-    "symmetric": "gradually increases from both ends toward the middle — near-symmetric ellipsoid",
-    "upper": "continuously grows from bottom to top — lesion skewed toward upper slices",
-    "lower": "largest at the bottom, shrinking upward — lesion skewed toward lower slices",
-}
-IOU_PASS = 0.75
 
 
-def _list(values: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(values.cast("array<string>"), ", "), F.lit("]"))
+def spatial_text(caption: Column, sampled: Column, areas: Column, form: str = "boxes") -> Column:
+    """The analysis that opens a trajectory; null where no sampled slice shows the target.
 
-
-def spatial_text(caption: Column, sampled: Column, areas: Column) -> Column:
-    """The analysis that opens a trajectory; null where no sampled slice shows the target."""
+    form: boxes or masks, by what the record annotates.
+    """
     pick = lambda on: F.filter(F.transform(sampled, lambda z, i: F.when((F.get(areas, i) > 0) == on, z)), lambda z: z.isNotNull())
     seen, missed = pick(True), pick(False)
-    peak = -F.array_max(F.transform(areas, lambda a, i: F.struct(a.alias("a"), (-i).alias("i"))))["i"]
-    words = F.create_map(*(F.lit(x) for pair in TRENDS.items() for x in pair))[trend(peak)]
-    skipped = F.when(F.size(missed) > 0, F.concat(F.lit("Z="), _list(missed), F.lit(" — target not visible on these slices, skipping annotation.\n"))).otherwise("")
-    s = lambda c: c.cast("string")
-    out = F.concat(
-        F.lit("Global spatial analysis:\n\nTarget: "), caption, F.lit("\n\nTarget visible at Z="), s(F.get(seen, F.lit(0))), F.lit("~"), s(F.try_element_at(seen, F.lit(-1))),
-        F.lit(" ("), s(F.size(seen)), F.lit(" of "), s(F.size(sampled)), F.lit(" sampled slices contain the target). Z="), s(F.get(sampled, peak)),
-        F.lit(" has the largest cross-section (key slice). Cross-sectional area trend: "), words, F.lit(".\n"), skipped, F.lit("\nProceeding to annotate all target-containing slices:"),
+    peak = key_place(areas)
+    words = F.create_map(*(F.lit(x) for pair in wording.TRENDS.items() for x in pair))[trend(peak)]
+    skipped = F.when(F.size(missed) > 0, fill(wording.MISSED[form], missed=listed(missed))).otherwise("")
+    out = fill(
+        wording.SPATIAL, caption=caption, low=F.get(seen, F.lit(0)), high=F.try_element_at(seen, F.lit(-1)), seen=F.size(seen), n=F.size(sampled), key=F.get(sampled, peak),
+        key_note=wording.KEY_NOTES[form], trend=words, missed=skipped,
     )
     return F.when(F.size(seen) > 0, out)
 
 
-def review_text(boxes: Column) -> Column:
+def review_text(boxes: Column, form: str = "boxes") -> Column:
     """PASS and FAIL lines for an ordered array of (z, iou), and what is done again."""
     value = lambda b: F.format_string("%.2f", b["iou"])
-    bad = lambda b: b["iou"] < IOU_PASS
-    line = lambda b: F.concat(F.lit("  Z="), b["z"].cast("string"), F.when(bad(b), F.concat(F.lit(": FAIL (IoU="), value(b), F.lit(f" < {IOU_PASS}) — re-annotating."))).otherwise(F.concat(F.lit(": PASS (IoU="), value(b), F.lit(")"))))
+    bad = lambda b: b["iou"] < wording.IOU_PASS
+    line = lambda b: F.when(bad(b), fill(wording.REVIEW_FAIL[form], z=b["z"], iou=value(b))).otherwise(fill(wording.REVIEW_PASS, z=b["z"], iou=value(b)))
     again = F.filter(boxes, bad)
-    tail = F.when(F.size(again) > 0, F.concat(F.lit("\n\nCorrecting "), F.size(again).cast("string"), F.lit(" slice(s): Z="), _list(F.transform(again, lambda b: b["z"])), F.lit("."))).otherwise("")
-    return F.concat(F.lit("Review complete. Checking bbox quality:\n"), F.array_join(F.transform(boxes, line), "\n"), tail)
+    tail = F.when(F.size(again) > 0, fill(wording.REVIEW_TAIL[form], n=F.size(again), zs=listed(F.transform(again, lambda b: b["z"])))).otherwise("")
+    return F.concat(F.lit(wording.REVIEW_HEAD[form] + "\n"), F.array_join(F.transform(boxes, line), "\n"), tail)
 
 
 def validate_records(messages: DataFrame, images: DataFrame, names: tuple[str, ...] = ("add_bbox", "finish_bbox_annotation")) -> DataFrame:
@@ -73,6 +66,57 @@ def validate_records(messages: DataFrame, images: DataFrame, names: tuple[str, .
     return g.select("rec", first_failure(rules).alias("reason"))
 
 
+_CALL = "name string, arguments struct<z_index: int, delta: int, key_z: int, bbox: array<double>, points: array<array<double>>, labels: array<int>>"
+
+
+def validate_entries(entries: DataFrame, form: str) -> DataFrame:
+    """entries with reason: the first rule that a record's messages break, ok if none.
+
+    form: boxes, masks or navigation.  Messages and images are arrays of the
+    row, so nothing is shuffled.
+    """
+    names = {
+        "boxes": ("add_bbox", "finish_bbox_annotation"), "masks": ("add_bbox", "run_medsam2", "add_point", "finish_3d_segmentation"),
+        "navigation": ("get_slice", "scroll", "add_bbox", "run_medsam2", "add_point", "finish_3d_segmentation"),
+    }[form]
+    finish = names[-1]
+    role = lambda r: F.filter("messages", lambda m: m["role"] == r)
+    calls, answers = F.transform(role("tool_call"), lambda m: m["content"]), F.size(role("tool_response"))
+    d = entries.withColumn("_calls", F.transform(calls, lambda c: F.struct(F.try_parse_json(c).isNotNull().alias("json"), F.from_json(c, _CALL).alias("c"))))
+    any_ = lambda test: F.exists("_calls", test)
+    box = lambda x: x["c"]["arguments"]["bbox"]
+    corner = lambda x, i: F.get(box(x), F.lit(i))
+    good = lambda x: F.coalesce((F.size(box(x)) == 4) & (corner(x, 0) < corner(x, 2)) & (corner(x, 1) < corner(x, 3)), F.lit(False))
+    points = lambda x: F.coalesce((F.size(x["c"]["arguments"]["points"]) == F.size(x["c"]["arguments"]["labels"])) & (F.size(x["c"]["arguments"]["points"]) > 0), F.lit(False))
+    named = lambda n: F.filter("_calls", lambda x: x["c"]["name"] == n)
+    marks = F.aggregate("messages", F.lit(0).cast("bigint"), lambda n, m: n + F.coalesce(count_of(m["content"], "<image>"), F.lit(0)))
+    last = F.try_element_at("_calls", F.lit(-1))["c"]["name"]
+    expected = F.size(F.filter("_calls", lambda x: ~F.coalesce(x["c"]["name"] == finish, F.lit(False))))
+    moves = F.filter("_calls", lambda x: x["c"]["name"].isin("get_slice", "scroll"))
+
+    def walk(s: Column, x: Column) -> Column:
+        name, z = x["c"]["name"], x["c"]["arguments"]["z_index"]
+        blind = name.isin("add_bbox", "add_point") & s["z"].isNotNull() & (z != s["z"])
+        at = F.when(name == "get_slice", z).when(name.isin("scroll", "run_medsam2"), F.lit(None).cast("int")).otherwise(s["z"])
+        return F.struct(at.alias("z"), (s["blind"] | F.coalesce(blind, F.lit(False))).alias("blind"))
+
+    blind = F.aggregate("_calls", F.struct(F.lit(None).cast("int").alias("z"), F.lit(False).alias("blind")), walk)["blind"]
+    rules = [
+        (marks != F.size("images"), "image count"), (any_(lambda x: ~x["json"]), "tool call is not JSON"), (any_(lambda x: ~F.coalesce(x["c"]["name"].isin(*names), F.lit(False))), "unknown tool"),
+        (F.size("_calls") == 0, "no tool calls"),
+    ]
+    if form == "navigation":
+        rules += [(F.coalesce(last != finish, F.lit(True)), "finish is not last"), (F.size(named("run_medsam2")) != 1, "not one run_medsam2")]
+        rules += [(any_(lambda x: (x["c"]["name"] == "scroll") & F.coalesce(x["c"]["arguments"]["delta"] == 0, F.lit(False))), "scroll by 0")]
+    rules += [(any_(lambda x: (x["c"]["name"] == "add_bbox") & ~good(x)), "box corners"), (any_(lambda x: (x["c"]["name"] == "add_point") & ~points(x)), "points and labels")]
+    if form == "navigation":
+        rules += [(F.coalesce(F.get(moves, F.lit(0))["c"]["name"] == "scroll", F.lit(False)), "first navigation is not get_slice"), (blind, "annotation of a slice not viewed")]
+    else:
+        rules += [(F.coalesce(last != finish, F.lit(True)), "finish is not last")]
+    rules += [(expected != answers, "responses missing")]
+    return d.withColumn("reason", first_failure(rules)).drop("_calls")
+
+
 def compare_sources(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys of either source with a verdict: equal, different, only first, only second."""
     d = a.select(*keys, F.col(value).alias("va")).join(b.select(*keys, F.col(value).alias("vb")), keys, "full_outer")

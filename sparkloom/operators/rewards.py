@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .masks import mask_scores
+
 
 @dataclass(frozen=True)
 class RewardKnobs:
@@ -47,11 +49,26 @@ def navigation_style(navigation: DataFrame, knobs: RewardKnobs = KNOBS) -> DataF
 
 
 def coverage(annotated: Column, lesion: Column, other: Column, knobs: RewardKnobs = KNOBS) -> Column:
-    """Recall on lesion slices (1 without any) less a share of the other slices annotated."""
+    """Recall on lesion slices (1 without any) less a penalty for each other slice annotated."""
     hit = lambda s: F.size(F.array_intersect(annotated, s)).cast("double")
     recall = F.when(F.size(lesion) == 0, F.lit(1.0)).otherwise(hit(lesion) / F.size(lesion))
-    false = F.when(F.size(other) == 0, F.lit(0.0)).otherwise(hit(other) / F.size(other))
-    return recall - knobs.false_positive * false
+    return recall - knobs.false_positive * hit(other)
+
+
+def dice_rewards(cases: DataFrame, truth: DataFrame, pred: DataFrame, key_z: str = "key_z") -> DataFrame:
+    """(rec, r_dice, r_key_dice) from the run tables of true and final masks, keyed by rec and z.
+
+    cases: rec, sampled and the key slice.  r_dice is the mean Dice over the
+    sampled slices that either side has a mask of, repeated slices counted
+    each time; r_key_dice that of the key slice, if it has a true mask.  Both
+    are 0 where nothing counts.
+    """
+    scores = mask_scores(truth, pred, ["rec", "z"]).select("rec", F.col("z").cast("bigint").alias("z"), "dice", "gt_area")
+    each = cases.select("rec", F.col(key_z).cast("bigint").alias("key"), F.explode_outer(F.transform("sampled", lambda z: z.cast("bigint"))).alias("z"))
+    d = each.join(scores, ["rec", "z"], "left")
+    mean = d.groupBy("rec").agg(F.coalesce(F.avg("dice"), F.lit(0.0)).alias("r_dice"))
+    key = cases.select("rec", F.col(key_z).cast("bigint").alias("z")).join(scores.filter("gt_area > 0"), ["rec", "z"], "left")
+    return mean.join(key.select("rec", F.coalesce("dice", F.lit(0.0)).alias("r_key_dice")), "rec")
 
 
 def efficiency(calls: Column, knobs: RewardKnobs = KNOBS) -> Column:
@@ -63,13 +80,38 @@ def clipped_gain(before: Column, after: Column, knobs: RewardKnobs = KNOBS) -> C
 
 
 def combined(gate: Column, s: Column, soft: bool = False, knobs: RewardKnobs = KNOBS) -> Column:
-    """The whole reward from columns r_dice, r_key_dice, r_bbox_iou, r_dice_gain, r_coverage, r_nav_style, r_efficiency."""
-    c = F.col
+    """The whole reward from columns r_dice, r_key_dice, r_bbox_iou, r_dice_gain, r_coverage, r_nav_style, r_efficiency.
+
+    A missing or unreadable component counts as 0, as does the gate.
+    """
+    c = lambda name: safe(F.col(name))
+    gate = safe(gate)
     shaped = knobs.iou * c("r_bbox_iou") + knobs.gain * c("r_dice_gain") + knobs.coverage * c("r_coverage") + knobs.nav * c("r_nav_style")
     total = knobs.dice * c("r_dice") + knobs.key_dice * c("r_key_dice") + s * shaped + c("r_efficiency")
     return F.when(gate > 0, total).otherwise(total * knobs.soft_gate if soft else F.lit(0.0))
 
 
+COMPONENTS = ("r_dice", "r_key_dice", "r_bbox_iou", "r_dice_gain", "r_coverage", "r_nav_style", "r_efficiency")
+
+
+def safe(value: Column, default: float = 0.0) -> Column:
+    """A number from whatever a rollout reported; the default where it is none."""
+    return F.coalesce(value.cast("string").try_cast("double"), F.lit(default))
+
+
+def reward_or_nan(infos: Column, reward: Column) -> Column:
+    """The reward where a rollout reported anything, else not a number."""
+    return F.when(infos.isNull(), F.lit(float("nan"))).otherwise(reward)
+
+
+def weighted_sum(weights: dict[str, float]) -> Column:
+    """The weighted sum of reward columns; one that is null or not a number adds nothing."""
+    out = F.lit(0.0)
+    for name, weight in weights.items():
+        out = out + F.lit(float(weight)) * F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return out
+
+
 def group_advantage(rows: DataFrame, group: str, reward: str) -> DataFrame:
     """advantage: the reward's distance from its group's mean in population deviations; null if all are equal."""
     w = W.partitionBy(group)

@@ -77,7 +77,7 @@ def lookup_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lookup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     table = view(spark, sf_dir, f"WITH {ANNOS} SELECT vid, caption, eid, o_orderkey FROM an WHERE o_orderkey % 2 = 0")
-    rows = view(spark, sf_dir, f"WITH {ANNOS} SELECT o_orderkey AS rec, vid, caption FROM an WHERE o_orderkey % 5 = 1")
+    rows = view(spark, sf_dir, f"WITH {ANNOS} SELECT o_orderkey AS rec, vid, caption FROM an")
     return an.lookup_last(rows, table, ["vid", "caption"], "o_orderkey")
 
 
@@ -185,15 +185,13 @@ def correction_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CAPTIONS = """WITH cp AS (SELECT p_partkey AS id, CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN 'Non-malignant cyst' WHEN 1 THEN 'renal ORGAN filtering' WHEN 2 THEN 'fluid pouch'
   WHEN 3 THEN concat('bone ', p_name) WHEN 4 THEN 'kidney tumor' WHEN 5 THEN 'a pair of organs' ELSE p_type END AS caption FROM {part})"""
-_CAT = """CASE WHEN regexp_matches(lower(caption), 'tumor|tumour|cancer|mass|abnormal|malignant|carcinoma|lesion|metastasis|cluster of cells|uncontrolled cell|arising from|tissue formed') THEN 'lesion'
-  WHEN regexp_matches(lower(caption), 'cyst|fluid|pouch|cystic|encapsulated|non-malignant') THEN 'cyst'
-  WHEN regexp_matches(lower(caption), 'organ|kidney|liver|spleen|filtering|responsible|pair of|essential for|producing urine|eliminating waste') THEN 'organ' ELSE 'other' END"""
+_CAT = "CASE " + " ".join(f"WHEN regexp_matches(lower(caption), '{'|'.join(words)}') THEN '{name}'" for name, words in text.KEYWORDS.items()) + " ELSE 'other' END"
 _HASH = lambda keys, salt: f"('0x' || substr(md5(concat_ws('|', '{SEED}', {keys}, '{salt}')), 1, 7))::BIGINT::DOUBLE / {1 << 28}.0"
 _SLUG = lambda c, n: f"CASE WHEN trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'x' ELSE substr(trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-'), 1, {n}) END"
-_BOX = r"\[\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*\]"
+_BOX = text.UNSIGNED_BOX
 _FMT = "format('{:.2f},{:.2f},{:.2f},{:.2f}', "
 _AN = f"WITH {plain(ANNOS)}"
-_LOOK = f"""{_AN}, t AS (SELECT vid, caption, arg_max(eid, o_orderkey) AS eid FROM an WHERE o_orderkey % 2 = 0 GROUP BY ALL), q AS (SELECT o_orderkey AS rec, vid, caption FROM an WHERE o_orderkey % 5 = 1)"""
+_LOOK = f"""{_AN}, t AS (SELECT vid, caption, arg_max(eid, o_orderkey) AS eid FROM an WHERE o_orderkey % 2 = 0 GROUP BY ALL), q AS (SELECT o_orderkey AS rec, vid, caption FROM an)"""
 
 SQL = {
     "ordered_annotations": f"{_AN} SELECT vid, eid, row_number() OVER (ORDER BY vid, eid::BIGINT) - 1 AS anno_id FROM an",

@@ -40,8 +40,7 @@ def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt, pr = _boxes(spark, sf_dir)
-    return metrics.average_precision(_global(spark, sf_dir), gt.count(), pr.count())
+    return metrics.average_precision_of(_global(spark, sf_dir), *_boxes(spark, sf_dir))
 
 
 def ap_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +58,11 @@ def nearest_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def offset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = matching.nearest_centers(*_boxes(spark, sf_dir))
-    each = [f(c).alias(f"{n}_{c}") for c in ("dx", "dy") for n, f in (("median", F.median), ("most", F.max), ("least", F.min))]
-    return d.agg(F.count("*").alias("n"), F.round(F.avg("dx"), 6).alias("mean_dx"), F.round(F.avg("dy"), 6).alias("mean_dy"), *each)
+    each = [f(c).alias(f"{n}_{c}") for c in ("dx", "dy") for n, f in (("most", F.max), ("least", F.min))]
+    out = d.agg(F.count("*").alias("n"), F.round(F.avg("dx"), 6).alias("mean_dx"), F.round(F.avg("dy"), 6).alias("mean_dy"), *each)
+    for c in ("dx", "dy"):
+        out = metrics.with_quantiles(out, d, c, [], {f"median_{c}": 0.5})
+    return out
 
 
 def sanitize_scale_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

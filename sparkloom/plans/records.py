@@ -11,7 +11,7 @@ from ..operators import matching, metrics, records, trajectory
 from .detection import GLOBAL_SQL
 from .fixtures import ANNOS, CALLS, GT, LR, PR, plain, view
 
-_CASE = f"""WITH {ANNOS} SELECT o_orderkey AS rec, caption, CAST(o_custkey % 40 AS INT) AS a, o_orderkey AS k FROM an WHERE o_orderkey % 20 = 0"""
+_CASE = f"""WITH {ANNOS} SELECT o_orderkey AS rec, caption, CAST(o_custkey % 40 AS INT) AS a, o_orderkey AS k FROM an"""
 
 
 def spatial_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def loss_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expand_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = view(spark, sf_dir, "SELECT o_orderkey AS id, CAST(o_custkey % 4 AS INT) AS k FROM {orders} WHERE o_orderkey % 10 = 0")
+    d = view(spark, sf_dir, "SELECT o_orderkey AS id, CAST(o_custkey % 4 AS INT) AS k FROM {orders}")
     out = trajectory.expand_placeholders(F.array(F.lit(5), F.lit(-1), F.lit(6), F.lit(-1), F.lit(-1)), -1, F.array(F.col("k"), F.lit(2)))
     return d.select("id", F.array_join(out.cast("array<string>"), ",").alias("ids"))
 
@@ -90,7 +90,7 @@ def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "spatial_text": f"""WITH {plain(ANNOS)}, od AS (SELECT o_orderkey AS rec, caption, (o_custkey % 40)::INT + 3 * i AS z, (o_orderkey * 7 + i * 13) % 5 AS area, i FROM an, (SELECT unnest(range(10)) AS i) WHERE o_orderkey % 20 = 0),
+    "spatial_text": f"""WITH {plain(ANNOS)}, od AS (SELECT o_orderkey AS rec, caption, (o_custkey % 40)::INT + 3 * i AS z, (o_orderkey * 7 + i * 13) % 5 AS area, i FROM an, (SELECT unnest(range(10)) AS i)),
       g AS (SELECT rec, caption, list(z ORDER BY i) FILTER (area > 0) AS has, list(z ORDER BY i) FILTER (area = 0) AS non, arg_max(i, (area, -i)) AS p, arg_max(z, (area, -i)) AS key FROM od GROUP BY ALL)
       SELECT rec, 'Global spatial analysis:' || chr(10) || chr(10) || 'Target: ' || caption || chr(10) || chr(10) || 'Target visible at Z=' || has[1] || '~' || has[-1] || ' (' || len(has) || ' of 10 sampled slices contain the target). Z=' || key ||
         ' has the largest cross-section (key slice). Cross-sectional area trend: ' || CASE WHEN abs(p - 4) <= 1 THEN 'gradually increases from both ends toward the middle — near-symmetric ellipsoid'
@@ -106,7 +106,7 @@ SQL = {
       SELECT CASE WHEN a.v IS NULL THEN 'only second' WHEN b.v IS NULL THEN 'only first' WHEN a.v = b.v THEN 'equal' ELSE 'different' END AS verdict, count(*) AS n FROM a FULL JOIN b USING (rec, z) GROUP BY ALL""",
     "key_continuity": "WITH q AS (SELECT o_custkey AS grp, o_orderkey % 9 AS place FROM orders) SELECT grp, count(DISTINCT place) AS found, 9 - count(DISTINCT place) AS missing, count(*) - count(DISTINCT place) AS repeated FROM q GROUP BY grp",
     "loss_scope": "SELECT role, count(*) FILTER (coalesce(CASE WHEN turn % 5 = 0 THEN false END, role IN ('assistant', 'tool_call'))) AS scored, count(*) AS n FROM conversations GROUP BY role",
-    "expand_media": "SELECT o_orderkey AS id, '5,' || repeat('-1,', (o_custkey % 4)::INT) || '6,-1,-1,-1' AS ids FROM orders WHERE o_orderkey % 10 = 0",
+    "expand_media": "SELECT o_orderkey AS id, '5,' || repeat('-1,', (o_custkey % 4)::INT) || '6,-1,-1,-1' AS ids FROM orders",
     "fill_placeholders": "SELECT n_nationkey::BIGINT AS id, 'see ' || n_name || ' and [1], not <bbox>.' AS text FROM nation",
     "answer_match": "SELECT 1.0::DOUBLE AS score, count(*) AS n FROM part",
     "sample_records": "SELECT p_partkey, p_name FROM part WHERE p_size > 10 ORDER BY md5('42|' || p_partkey), p_partkey LIMIT 50",

@@ -10,6 +10,7 @@ from .fixtures import LR, plain, view
 
 _TRUE = f"WITH {LR} SELECT rec, g AS z, x1, y1, x2, y2 FROM gt"
 _PRED = f"WITH {LR} SELECT rec, p AS z, x1, y1, x2, y2 FROM pr WHERE x1 >= 0 AND y1 >= 0"
+_PARTS = f"WITH {LR} SELECT rec, g % 5 + g * 9 % 31 AS x1, g % 5 + g * 17 % 29 AS y1, g % 5 + g * 9 % 31 + 5 AS x2, g % 5 + g * 17 % 29 + 4 AS y2 FROM gt"
 KEYS = ["rec", "z"]
 
 
@@ -36,19 +37,63 @@ def mask_dice_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dice_hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = masks.mask_scores(*_runs(spark, sf_dir), KEYS)
+    d = masks.mask_scores(*_runs(spark, sf_dir), KEYS).withColumn("gt_positive", F.col("gt_area") > 0)
     hit = lambda t: F.round(F.count_if(F.col("dice") >= t) / F.count("*"), 6).alias(f"hit_{int(t * 10)}")
-    return d.groupBy((F.col("gt_area") > 0).alias("gt_positive")).agg(F.count("*").alias("n"), F.round(F.avg("dice"), 6).alias("mean"), F.round(F.median("dice"), 6).alias("median"), hit(0.5), hit(0.7), hit(0.8))
+    g = d.groupBy("gt_positive").agg(F.count("*").alias("n"), F.round(F.avg("dice"), 6).alias("mean"), F.round(F.stddev_pop("dice"), 6).alias("std"), hit(0.5), hit(0.7), hit(0.8))
+    return metrics.with_quantiles(g, d, "dice", ["gt_positive"], {"median": 0.5}).withColumn("median", F.round("median", 6))
 
 
 def hd95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.hausdorff(*_runs(spark, sf_dir), KEYS).withColumn("hd95", F.round("hd95", 6))
 
 
+def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes of the slices with a true mask, stacked in the order of z."""
+    truth, pred = _runs(spark, sf_dir)
+    annotated = view(spark, sf_dir, _TRUE).select("rec", "z")
+    _, volumes = masks.case_scores(truth, pred, annotated, ["rec"], "z")
+    return volumes.select("rec", "n_slices", *(F.round(c, 6).alias(c) for c in ("mean_dice", "dice", "precision", "recall")), F.col("hd95").isNull().alias("no_hd95"))
+
+
+def slice_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, pred = _runs(spark, sf_dir)
+    slices, _ = masks.case_scores(truth, pred, view(spark, sf_dir, _TRUE).select("rec", "z"), ["rec"], "z")
+    return slices.select("rec", "z", *(F.round(c, 6).alias(c) for c in ("dice", "precision", "recall", "hd95")))
+
+
+def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _runs(spark, sf_dir)
+    out = None
+    for how in ("and", "or", "xor", "minus"):
+        d = masks.combine(a, b, KEYS, how).agg(F.lit(how).alias("how"), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("pixels"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def mask_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)[0]
+    grown, shrunk = (masks.mask_areas(masks.morph(runs, KEYS, 2, how), KEYS) for how in (True, False))
+    return grown.withColumnRenamed("area", "grown").join(shrunk.withColumnRenamed("area", "shrunk"), KEYS)
+
+
+def simulated_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of the simulated masks, and of those that come back from a correction."""
+    runs = _runs(spark, sf_dir)[0]
+    first, second = masks.mask_areas(masks.simulated(runs, KEYS), KEYS), masks.mask_areas(masks.corrected(runs, KEYS), KEYS)
+    return first.withColumnRenamed("area", "simulated").join(second.withColumnRenamed("area", "corrected"), KEYS)
+
+
+def rle_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks through the compressed text and back."""
+    counts = masks.run_counts(_runs(spark, sf_dir)[0], KEYS, masks.SIDE * masks.SIDE)
+    back = counts.select(*KEYS, masks.expand_counts(masks.compress_counts("counts")).alias("counts"))
+    return masks.tight_boxes(masks.counts_to_runs(back, KEYS), KEYS)
+
+
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of each record's boxes, shrunk and moved near the origin of a 64 pixel image so that some touch."""
-    side, z = 64, F.col("z")
-    d = view(spark, sf_dir, _TRUE).select("rec", (z % 5 + z * 9 % 31).alias("x1"), (z % 5 + z * 17 % 29).alias("y1")).withColumn("x2", F.col("x1") + 5).withColumn("y2", F.col("y1") + 4)
+    side = 64
+    d = view(spark, sf_dir, _PARTS)
     return masks.component_boxes(masks.box_runs(d, ["rec"], side).distinct(), ["rec"], side, side)
 
 
@@ -62,7 +107,7 @@ def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("v", F.when(F.col("event_id") % 17 == 0, float("inf")).otherwise(F.col("value")))
-    s = metrics.summary(d, "v", ["event_type"])
+    s = metrics.summary(d, "v", ["event_type"], few=True)
     return s.select("event_type", "n", "n_inf", *(F.round(c, 6).alias(c) for c in ("mean", "std", "least", "most", "median")))
 
 
@@ -76,6 +121,15 @@ q AS (SELECT rec, z, coalesce((a.x2 - a.x1 + 1) * (a.y2 - a.y1 + 1), 0) AS gt_ar
   coalesce(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1), 0) AS overlap FROM a FULL JOIN b USING (rec, z)),
 s AS (SELECT rec, z, gt_area, pred_area, CASE WHEN gt_area = 0 OR pred_area = 0 THEN 0 ELSE overlap END AS shared FROM q),
 m AS (SELECT *, 2 * shared / (gt_area + pred_area)::DOUBLE AS dice, CASE WHEN pred_area = 0 THEN 0 ELSE shared / pred_area::DOUBLE END AS precision, CASE WHEN gt_area = 0 THEN 0 ELSE shared / gt_area::DOUBLE END AS recall FROM s)"""
+#: Distances of the edge pixels of each box to the other box's edge, by its sides.
+_FAR = """CASE WHEN x BETWEEN o.x1 AND o.x2 AND y BETWEEN o.y1 AND o.y2 THEN least(x - o.x1, o.x2 - x, y - o.y1, o.y2 - y)::DOUBLE
+  ELSE sqrt(pow(greatest(o.x1 - x, x - o.x2, 0), 2) + pow(greatest(o.y1 - y, y - o.y2, 0), 2)) END"""
+_SIDES = f"WITH {plain(LR)}, a AS (SELECT rec, g AS z, x1, y1, x2, y2 FROM gt), b AS (SELECT rec, p AS z, x1, y1, x2, y2 FROM pr WHERE x1 >= 0 AND y1 >= 0)"
+_HD = f"""u AS (SELECT 0 AS side, * FROM a UNION ALL SELECT 1, * FROM b),
+e AS (SELECT side, rec, z, unnest(range(x1, x2 + 1)) AS x, y1 AS y FROM u UNION ALL SELECT side, rec, z, unnest(range(x1, x2 + 1)), y2 FROM u
+  UNION ALL SELECT side, rec, z, x1, unnest(range(y1 + 1, y2)) FROM u UNION ALL SELECT side, rec, z, x2, unnest(range(y1 + 1, y2)) FROM u),
+f AS (SELECT e.rec, e.z, {_FAR} AS d FROM e JOIN u o ON o.rec = e.rec AND o.z = e.z AND o.side <> e.side),
+h AS (SELECT rec, z, round(quantile_cont(d, 0.95), 6) AS hd95 FROM f GROUP BY rec, z)"""
 _EV = "WITH e AS (SELECT *, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v FROM events)"
 
 SQL = {
@@ -84,12 +138,29 @@ SQL = {
     "mask_iou": f"{_Q} SELECT rec, z, round(shared / (gt_area + pred_area - shared)::DOUBLE, 6) AS iou FROM m",
     "mask_dice_volume": f"""{_Q} SELECT rec, count(*) AS n_slices, round(avg(dice), 6) AS mean_dice, round(2 * sum(shared) / sum(gt_area + pred_area)::DOUBLE, 6) AS dice,
       CASE WHEN sum(pred_area) = 0 THEN 0 ELSE round(sum(shared) / sum(pred_area)::DOUBLE, 6) END AS precision, CASE WHEN sum(gt_area) = 0 THEN 0 ELSE round(sum(shared) / sum(gt_area)::DOUBLE, 6) END AS recall FROM m GROUP BY rec""",
-    "dice_hit_rates": f"""{_Q} SELECT gt_area > 0 AS gt_positive, count(*) AS n, round(avg(dice), 6) AS mean, round(median(dice), 6) AS median, round(count(*) FILTER (dice >= 0.5) / count(*)::DOUBLE, 6) AS hit_5,
+    "dice_hit_rates": f"""{_Q} SELECT gt_area > 0 AS gt_positive, count(*) AS n, round(avg(dice), 6) AS mean, round(stddev_pop(dice), 6) AS std, round(median(dice), 6) AS median, round(count(*) FILTER (dice >= 0.5) / count(*)::DOUBLE, 6) AS hit_5,
       round(count(*) FILTER (dice >= 0.7) / count(*)::DOUBLE, 6) AS hit_7, round(count(*) FILTER (dice >= 0.8) / count(*)::DOUBLE, 6) AS hit_8 FROM m GROUP BY ALL""",
+    "hd95": f"{_SIDES}, {_HD}, k AS (SELECT DISTINCT rec, z FROM u) SELECT rec, z, hd95, hd95 IS NULL AS undefined FROM k LEFT JOIN h USING (rec, z)",
+    "case_metrics": f"""{_Q} SELECT rec, count(*) AS n_slices, round(avg(dice), 6) AS mean_dice, round(2 * sum(shared) / sum(gt_area + pred_area)::DOUBLE, 6) AS dice,
+      CASE WHEN sum(pred_area) = 0 THEN 0 ELSE round(sum(shared) / sum(pred_area)::DOUBLE, 6) END AS precision, round(sum(shared) / sum(gt_area)::DOUBLE, 6) AS recall, sum(pred_area) = 0 AS no_hd95
+      FROM m WHERE gt_area > 0 GROUP BY rec""",
+    "slice_metrics": f"""{_Q}, {_HD}
+      SELECT rec, z, round(dice, 6) AS dice, round(precision, 6) AS precision, round(recall, 6) AS recall, hd95 FROM m LEFT JOIN h USING (rec, z) WHERE gt_area > 0""",
+    "mask_algebra": f"""{_Q}, w AS (SELECT sum(shared) AS i, sum(gt_area) AS g, sum(pred_area) AS p FROM s) SELECT unnest(['and', 'or', 'xor', 'minus']) AS how, unnest([i, g + p - i, g + p - 2 * i, g - i])::BIGINT AS pixels FROM w""",
+    "mask_morphology": f"""WITH {plain(LR)}, b AS (SELECT rec, g AS z, x2 - x1 + 1 AS w, y2 - y1 + 1 AS h, (greatest(x1 - 2, 0) - x1) + 2 AS l, (greatest(y1 - 2, 0) - y1) + 2 AS t FROM gt)
+      SELECT rec, z, (w * h + 4 * (w + h) + 4 - CASE l WHEN 0 THEN 0 WHEN 1 THEN h ELSE 2 * h + 2 END - CASE t WHEN 0 THEN 0 WHEN 1 THEN w ELSE 2 * w + 2 END
+        + CASE WHEN l = 2 AND t = 2 THEN 1 ELSE 0 END)::BIGINT AS grown, ((w - 4) * (h - 4))::BIGINT AS shrunk FROM b""",
+    "rle_compressed": f"WITH {plain(LR)} SELECT rec, g AS z, ((x2 - x1 + 1) * (y2 - y1 + 1))::BIGINT AS area, x1, y1, x2, y2 FROM gt",
+    "connected_components": f"""WITH RECURSIVE {plain(LR)}, b AS (SELECT rec, g, g % 5 + g * 9 % 31 AS x1, g % 5 + g * 17 % 29 AS y1, g % 5 + g * 9 % 31 + 5 AS x2, g % 5 + g * 17 % 29 + 4 AS y2 FROM gt),
+      n AS (SELECT p.rec, p.g AS a, q.g AS b FROM b p JOIN b q USING (rec) WHERE p.x1 <= q.x2 + 1 AND q.x1 <= p.x2 + 1 AND p.y1 <= q.y2 + 1 AND q.y1 <= p.y2 + 1
+        AND NOT ((p.x1 = q.x2 + 1 OR q.x1 = p.x2 + 1) AND (p.y1 = q.y2 + 1 OR q.y1 = p.y2 + 1))),
+      r AS (SELECT rec, a, b FROM n UNION SELECT r.rec, r.a, n.b FROM r JOIN n ON n.rec = r.rec AND n.a = r.b), l AS (SELECT rec, a AS g, min(b) AS label FROM r GROUP BY ALL),
+      c AS (SELECT rec, label, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, arg_min(x1, (y1, x1)) AS first FROM b JOIN l USING (rec, g) GROUP BY ALL)
+      SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY y1, first) - 1 AS part, x1, y1, x2, y2 FROM c""",
     "rle_roundtrip": f"""WITH {plain(LR)}, r AS (SELECT rec, g AS z, y2 - y1 + 1 AS h, unnest(range(x1, x2 + 1)) * 512 + y1 AS start, x2 - x1 + 1 AS w FROM gt)
       SELECT rec, z, count(*) AS n_runs, sum(h)::BIGINT AS area, sum(start * h)::BIGINT AS moment, (max(w) * 2 + 1)::BIGINT AS n_counts FROM r GROUP BY rec, z""",
     "metric_summary": f"{_EV} SELECT event_type, count(v) AS n, count(*) - count(v) AS n_inf, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS least, round(max(v), 6) AS most, round(median(v), 6) AS median FROM e GROUP BY ALL",
     "finite_p95": f"{_EV} SELECT user_id, round(quantile_cont(v, 0.95), 6) AS p95, format('{{:.2f}}', least(max(v), 100.0)::DOUBLE) AS capped FROM e GROUP BY ALL",
 }
 
-QUERIES = {name: globals()[name] for name in (*SQL, "hd95", "connected_components")}
+QUERIES = {name: globals()[name] for name in (*SQL, "simulated_masks")}

@@ -83,7 +83,7 @@ def countdown_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = view(spark, sf_dir, f"WITH {ANNOS} SELECT o_orderkey AS rec, CAST(o_custkey % 40 AS INT) AS a FROM an WHERE o_orderkey % 20 = 0")
+    d = view(spark, sf_dir, f"WITH {ANNOS} SELECT o_orderkey AS rec, CAST(o_custkey % 40 AS INT) AS a FROM an")
     ords = F.sequence(F.lit(0), F.lit(9))
     area = F.transform(ords, lambda i: ((F.col("rec") * 7 + i * 13) % 5).cast("int"))
     dice = F.transform(ords, lambda i: ((F.col("rec") * 3 + i * 7) % 10) / 10.0)
@@ -129,7 +129,7 @@ POINTER_SQL = f"""WITH RECURSIVE {plain(CALLS)}, r AS (SELECT DISTINCT rec, 0::B
     coalesce(c.name = 'scroll' AND c.delta <> 0 AND (r.ptr + c.delta < 0 OR r.ptr + c.delta > 9), false),
     CASE WHEN c.name = 'scroll' THEN r.ptr IS NOT NULL AND c.delta <> 0 WHEN c.name IN ('add_bbox', 'add_point') THEN coalesce(r.ptr = c.z, false) ELSE c.name <> 'malformed' END
   FROM r JOIN calls c ON c.rec = r.rec AND c.pos = r.pos + 1), s AS (SELECT * FROM r WHERE pos > 0)"""
-_NAV = f"""{POINTER_SQL}, o AS (SELECT *, sum(CASE WHEN name IN ('add_bbox', 'add_point') THEN 1 ELSE 0 END) OVER (PARTITION BY rec, ptr ORDER BY pos) AS overlay FROM s WHERE ok AND ptr IS NOT NULL),
+_NAV = f"""{POINTER_SQL}, o AS (SELECT *, sum(CASE WHEN name IN ('add_bbox', 'add_point') THEN 1 ELSE 0 END) OVER (PARTITION BY rec, ptr ORDER BY pos) AS overlay FROM s WHERE (ok OR name = 'scroll') AND ptr IS NOT NULL),
 n AS (SELECT *, lag(overlay) OVER w AS last, row_number() OVER w - 1 AS before FROM o WHERE name IN ('get_slice', 'scroll') WINDOW w AS (PARTITION BY rec, ptr ORDER BY pos)),
 v AS (SELECT *, last IS NULL OR last <> overlay AS changed FROM n)"""
 _REW = f"""{_NAV}, st AS (SELECT rec, sum(CASE WHEN name = 'scroll' THEN CASE WHEN clamped THEN -0.02 WHEN abs(delta) <= 2 THEN 0.01 ELSE 0 END
@@ -137,8 +137,8 @@ _REW = f"""{_NAV}, st AS (SELECT rec, sum(CASE WHEN name = 'scroll' THEN CASE WH
 g AS (SELECT rec, count(DISTINCT ptr) FILTER (ok AND name = 'add_bbox' AND ptr % 2 = 0) AS e, count(DISTINCT ptr) FILTER (ok AND name = 'add_bbox' AND ptr % 2 = 1) AS o,
   coalesce(sum(least(0.3::DOUBLE, greatest(0::DOUBLE, (z / 20.0::DOUBLE + delta / 10.0::DOUBLE) - z / 20.0::DOUBLE))) FILTER (ok AND name = 'add_point'), 0) AS r_dice_gain,
   coalesce(avg(z / 10.0::DOUBLE) FILTER (ok AND name = 'add_bbox'), 0) AS r_bbox_iou, count(*) FILTER (name <> 'malformed') AS n FROM s GROUP BY rec),
-w AS (SELECT rec, coalesce(r_nav_style, 0) AS r_nav_style, e / 5.0::DOUBLE - 0.5 * (o / 5.0::DOUBLE) AS r_coverage, r_dice_gain, r_bbox_iou, -0.01::DOUBLE * greatest(n - 45, 0) AS r_efficiency FROM g LEFT JOIN st USING (rec))"""
-_CASE = f"""WITH {plain(ANNOS)}, cs AS (SELECT o_orderkey AS rec, (o_custkey % 40)::INT AS a FROM an WHERE o_orderkey % 20 = 0),
+w AS (SELECT rec, coalesce(r_nav_style, 0) AS r_nav_style, e / 5.0::DOUBLE - 0.5::DOUBLE * o AS r_coverage, r_dice_gain, r_bbox_iou, -0.01::DOUBLE * greatest(n - 45, 0) AS r_efficiency FROM g LEFT JOIN st USING (rec))"""
+_CASE = f"""WITH {plain(ANNOS)}, cs AS (SELECT o_orderkey AS rec, (o_custkey % 40)::INT AS a FROM an),
 od AS (SELECT rec, a, unnest(range(10)) AS i FROM cs), oa AS (SELECT *, a + 3 * i AS z, (rec * 7 + i * 13) % 5 AS area, (rec * 3 + i * 7) % 10 / 10.0::DOUBLE AS dice FROM od)"""
 _ADV = "(o_totalprice - avg(o_totalprice) OVER w) / nullif(stddev_pop(o_totalprice) OVER w, 0)"
 
@@ -155,12 +155,13 @@ SQL = {
       e AS (SELECT rec, arg_max(v, pos) AS v, arg_max(ends, pos) AS ends, arg_max(last, pos) AS last, max(pos) AS n FROM r GROUP BY rec),
       f AS (SELECT rec, v || ['run_medsam2_count=0'] || CASE WHEN ends <> 1 THEN ['finish_count=' || ends] WHEN last <> n THEN ['finish_not_last'] ELSE [] END AS v FROM e)
       SELECT rec, len(v)::BIGINT AS n, array_to_string(v, ',') AS violations FROM f""",
-    "validate_trajectory": f"""WITH {plain(CALLS)}, l AS (SELECT *, last_value(CASE WHEN name = 'get_slice' THEN z END IGNORE NULLS) OVER w AS looked, last_value(CASE WHEN name IN ('get_slice', 'scroll') THEN name END IGNORE NULLS) OVER w AS moved
+    "validate_trajectory": f"""WITH {plain(CALLS)}, l AS (SELECT *, last_value(CASE WHEN name IN ('get_slice', 'scroll', 'run_medsam2') THEN {{'name': name, 'z': z}} END IGNORE NULLS) OVER w AS moved
       FROM calls WINDOW w AS (PARTITION BY rec ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-      g AS (SELECT rec, count(*) FILTER (name = 'malformed') AS bad, count(*) FILTER (name = 'scroll' AND delta = 0) AS still, count(*) FILTER (name = 'add_bbox' AND moved = 'get_slice' AND looked <> z) AS blind, count(*) FILTER (name = 'finish') AS ends,
+      g AS (SELECT rec, count(*) FILTER (name = 'malformed') AS bad, count(*) FILTER (name = 'run_medsam2') AS runs, count(*) FILTER (name = 'scroll' AND delta = 0) AS still,
+        count(*) FILTER (name IN ('add_bbox', 'add_point') AND moved.name = 'get_slice' AND moved.z <> z) AS blind, count(*) FILTER (name = 'finish') AS ends,
         arg_min(name, pos) FILTER (name IN ('get_slice', 'scroll')) AS first, arg_max(name, pos) AS last FROM l GROUP BY rec)
-      SELECT rec, CASE WHEN bad > 0 THEN 'malformed call' WHEN still > 0 THEN 'scroll by 0' WHEN first <> 'get_slice' THEN 'first navigation is not get_slice' WHEN blind > 0 THEN 'add_bbox on a slice not viewed'
-        WHEN ends <> 1 THEN 'not one finish' WHEN last <> 'finish' THEN 'finish is not last' ELSE 'ok' END AS reason FROM g""",
+      SELECT rec, CASE WHEN bad > 0 THEN 'malformed call' WHEN runs > 1 THEN 'run_medsam2 more than once' WHEN still > 0 THEN 'scroll by 0' WHEN first <> 'get_slice' THEN 'first navigation is not get_slice'
+        WHEN blind > 0 THEN 'annotation of a slice not viewed' WHEN ends <> 1 THEN 'not one finish' WHEN last <> 'finish' THEN 'finish is not last' ELSE 'ok' END AS reason FROM g""",
     "reward_components": f"{_REW} SELECT rec, " + ", ".join(f"round({c}, 6)::DOUBLE AS {c}" for c in ("r_nav_style", "r_coverage", "r_dice_gain", "r_bbox_iou", "r_efficiency")) + " FROM w",
     "reward_combined": f"""{_REW}, t AS (SELECT rec, rec % 4 <> 0 AS gate, 0.7::DOUBLE * ((rec % 11) / 10.0::DOUBLE) + 0.3::DOUBLE * ((rec % 7) / 6.0::DOUBLE) + r_efficiency AS base,
       0.20::DOUBLE * r_bbox_iou + 0.15::DOUBLE * r_dice_gain + 0.10::DOUBLE * r_coverage + 0.05::DOUBLE * r_nav_style AS shaped FROM w)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.masks import compress_counts, run_counts
+
 
 def write_split_records(d: DataFrame, path: str, split: str = "split") -> None:
     """JSON lines, a folder for each split."""
@@ -21,6 +23,47 @@ def write_metrics(d: DataFrame, path: str, digits: int = 4) -> None:
     metrics_rows(d, digits).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def write_records(d: DataFrame, path: str) -> None:
+    """JSON lines, such as the results of cases or the predictions of images; absent fields are left out."""
+    d.write.mode("overwrite").json(path)
+
+
+def write_counted(d: DataFrame, skipped: DataFrame, path: str, reason: str) -> DataFrame:
+    """Writes records as JSON lines; one row with the rows in, out, and skipped by reason."""
+    write_records(d, path)
+    out = d.agg(F.count("*").alias("written"))
+    why = skipped.groupBy(reason).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("skipped"), F.map_from_entries(F.collect_list(F.struct(reason, "n"))).alias("reasons"))
+    return out.crossJoin(why).select((F.col("written") + F.col("skipped")).alias("read"), "written", "skipped", "reasons")  # single rows
+
+
+def write_masks(runs: DataFrame, path: str, height: int, width: int, keys: tuple[str, str] = ("anno_id", "z")) -> None:
+    """Masks as Parquet rows (anno_id, z, size, counts) with compressed run lengths; runs: the keys, start, length."""
+    d = run_counts(runs, list(keys), height * width)
+    d.select(*keys, F.array(F.lit(height), F.lit(width)).alias("size"), compress_counts("counts").alias("counts")).write.mode("overwrite").parquet(path)
+
+
+def metadata_lines(expressions: DataFrame) -> DataFrame:
+    """(vid, video): a JSON text for each video with its expressions, frames, height and width.
+
+    expressions: vid, eid, caption, obj_id, frames, img_h, img_w.
+    """
+    each = F.struct("eid", F.struct(F.col("caption").alias("exp"), "obj_id").alias("e"))
+    g = expressions.groupBy("vid").agg(F.array_sort(F.collect_list(each)).alias("e"), F.first("frames").alias("frames"), F.first("img_h").alias("height"), F.first("img_w").alias("width"))
+    video = F.struct(F.map_from_entries("e").alias("expressions"), "frames", "height", "width")
+    return g.select("vid", F.to_json(video).alias("video"))
+
+
+def write_metadata(expressions: DataFrame, path: str) -> None:
+    """The metadata of videos as JSON lines (vid, video)."""
+    metadata_lines(expressions).write.mode("overwrite").json(path)
+
+
+def split_totals(expressions: DataFrame, split: str = "split") -> DataFrame:
+    """Videos, expressions, and expressions with any mask (n_masks over 0) of each split and in all."""
+    g = expressions.rollup(split).agg(F.count_distinct("vid").alias("videos"), F.count("*").alias("expressions"), F.count_if(F.col("n_masks") > 0).alias("with_masks"))
+    return g.withColumn(split, F.coalesce(F.col(split), F.lit("all")))
+
+
 def outcome_counts(d: DataFrame, split: str, outcome: str, outcomes: list[str]) -> DataFrame:
     """Rows of each outcome by split and in all."""
     return d.rollup(split).agg(F.count("*").alias("n"), *(F.count_if(F.col(outcome) == o).alias(o) for o in outcomes)).withColumn(split, F.coalesce(F.col(split), F.lit("all")))
