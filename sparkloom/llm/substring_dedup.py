@@ -1,16 +1,18 @@
 """Removal of repeated passages by recompression.
 
-Every block of documents is parsed in the same rounds: runs of two equal
-words get one name, then adjacent symbols are paired by a coin that hangs on
-their names alone.  A name is a hash of what it stands for, so it is the same
-in all documents without any exchange.  Equal passages get equal symbols but
-for a few at either end, whose words `parse_loss` bounds.  Hence two equal
-windows share a symbol boundary in their first words, and the words that
-follow it to the end of what both must have are a key for it.
-
-1. Each block sends the keys of its boundaries; keys found once are done with.
-2. Around the shared ones the blocks hash every whole window (128 bits); the
-   windows found twice or more are verified repeats.
+All documents are parsed in the same rounds: runs of two equal words get one
+name, then adjacent symbols are paired by a coin that hangs on their names
+alone, and a pair's name hangs on its two parts' names.  So names are global
+without any exchange: equal passages get equal symbols but for a few at either
+end, whose words `parse_loss` bounds.  Two equal windows hence share a symbol
+boundary in their first words and all symbols from there on up to their last
+words.
+
+1. At each boundary a block sends the sequence of the high-level symbols that
+   lie in the words which equal windows must share; sequences found once are
+   done with.
+2. Around the shared ones the blocks hash every whole window (128 bits), its
+   ends included; the windows found twice or more are verified repeats.
 3. Each block takes the words of its verified windows out of its documents.
 
 Only packed keys travel; a block sends a key once, so a passage that many
@@ -44,23 +46,33 @@ def parse_loss(rounds: int) -> int:
     return 2 + sum(2**r // 2 for r in range(1, rounds + 1))
 
 
+def shared_words(window: int, rounds: int) -> int:
+    """Words of equal windows that are parsed alike in any case, from their first shared boundary on."""
+    return window - 2 * parse_loss(rounds)
+
+
 def pair_rounds(window: int) -> int:
-    """The most pair rounds after which equal windows still share a boundary."""
+    """The most pair rounds after which equal windows still share a whole symbol of the longest kind."""
     rounds = 0
-    while 2 * parse_loss(rounds + 1) + 1 <= window:
+    while shared_words(window, rounds + 1) >= 2 ** (rounds + 1):
         rounds += 1
     return rounds
 
 
 def recompress(names: np.ndarray, first: np.ndarray, rounds: int) -> np.ndarray:
-    """Starts of the highest symbols, as word positions.
+    """Starts of the highest symbols, as word positions."""
+    return parse(names, first, rounds)[0]
+
+
+def parse(names: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts, as word positions, and names of the highest symbols.
 
     names: a hash for each word; first: true where a document begins, which
     no symbol crosses.
     """
     start = np.arange(len(names))
     if len(names) < 2:
-        return start
+        return start, names
     same = np.r_[False, (names[1:] == names[:-1]) & ~first[1:]]
     heads = np.flatnonzero(~same)
     run = np.diff(np.r_[heads, len(names)])
@@ -80,7 +92,19 @@ def recompress(names: np.ndarray, first: np.ndarray, rounds: int) -> np.ndarray:
         keep = np.ones(len(names), bool)
         keep[pair + 1] = False
         names, length, first, start = names[keep], length[keep], first[keep], start[keep]
-    return start
+    return start, names
+
+
+#: An odd number and its inverse among the 64-bit ones: powers of the two cancel out.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def chain_hashes(names: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each sequence names[begin:end], whatever its place, and of its length."""
+    power = lambda base, n: np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * power(_STEP, len(names))[:-1], dtype=np.uint64)])
+    return mix((sums[end] - sums[begin]) * power(_BACK, len(names))[begin] ^ (end - begin).astype(np.uint64))
 
 
 class _Words:
@@ -92,14 +116,18 @@ class _Words:
         self.end = np.repeat(self.offsets[1:], np.diff(self.offsets))
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of symbol boundaries and the keys of what follows them."""
+        """Symbol boundaries, and the sequences of whole symbols in the words from there that equal windows share."""
         rounds = pair_rounds(window)
-        size = window - parse_loss(rounds)
         first = np.zeros(len(self.hashes), bool)
         first[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
-        at = recompress(self.hashes, first, rounds)
-        at = at[at + size <= self.end[at]] if len(at) else at
-        return at, ngram_hashes(self.hashes, size, 1)[at]
+        start, names = parse(self.hashes, first, rounds)
+        if not len(start):
+            return start, names
+        # places among the starts, the last one closing the last symbol
+        edges = np.r_[start, len(self.hashes)]
+        stop = np.searchsorted(edges, start + shared_words(window, rounds), side="right") - 1
+        at = np.flatnonzero(start + window - parse_loss(rounds) <= self.end[start])
+        return start[at], chain_hashes(names, at, stop[at])
 
     def whole(self, window: int) -> np.ndarray:
         """Where a window of the same document starts."""
@@ -226,8 +254,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, digest: bool = False
     null doc_id stays null.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    if window < 2 * parse_loss(1) + 1:
-        raise ValueError(f"a window needs {2 * parse_loss(1) + 1} words at least")
+    if not pair_rounds(window):
+        raise ValueError(f"a window needs {2 * parse_loss(1) + 2} words at least")
     scratch, blocks = Scratch(spark, "substring_dedup"), block_count(docs)
     taken = ("doc_id", "text", "n_words", "n_removed")
     source = docs.select("doc_id", "text", *(docs[f"`{c}`"] for c in docs.columns if c not in taken))
