@@ -201,7 +201,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sizes = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     share = F.when(F.col("quality") == 1, F.lit(min(1.0, sample / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, sample / max(1, sizes.get(0, 0)))))
-    few = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * sample)
+    few = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * sample)
     few = scratch.save(few, "labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
     rows = scratch.save(with_rates(text_statistics(rows)), "rated").filter(~F.col("base_failed"))
@@ -224,8 +224,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUM
     docs: doc_id, text; labels: doc_id, quality (1 good, 0 bad; of several the
     lowest counts, null ones do not).  A null text counts as empty and fails
     the base limits.  Without labels no rule is learned and the base limits
-    decide.  Equal rows get equal results.  Other columns are ignored.  An
-    empty table gives an empty result.
+    decide.  Equal rows get equal results.  Long texts are read whole.  Other
+    columns are ignored.  An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rules = learn_rules(labelled_sample(docs, labels, scratch, sample))

@@ -31,15 +31,18 @@ FOLDS, HELD_OUT = 4, 2
 #: Labelled documents of each class in the sample, about.
 SAMPLE_DOCUMENTS = 3000
 
-#: Lengths of word beginnings in the lexicon, and entries at most.
+#: Lengths of word beginnings in the lexicon, and its entries at most, the surest first; sf0.1 has 10.
 BEGINNINGS = (4, 5, 6)
-LEXICON = 2000
+LEXICON = 20_000
 
 #: The least log odds of an entry, also less DEVIATIONS standard errors, and its least toxic documents.
 LEAST_WEIGHT, LEAST_SURE, DEVIATIONS, LEAST_DOCUMENTS = 2.5, 1.0, 2.33, 4
 
-#: Exception phrases at most, and the least clean documents of one.
-EXCEPTIONS, LEAST_CLEAN = 2000, 3
+#: Exception phrases at most, the commonest first, and the least clean documents of one.
+EXCEPTIONS, LEAST_CLEAN = 20_000, 3
+
+#: Cells to the unit in which a sample's features are counted for the fit.
+GRID = 64
 
 THRESHOLD = 0.3
 
@@ -167,29 +170,33 @@ def _phrases(lexicon: Lexicon):
 
 
 def _measured(lexicon: Lexicon):
+    """Features of a sample as a histogram: cells with their rows and the features' sums."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             lines, n = folded_texts(part.column("text"))
             x = np.array([lexicon.features(*z) for z in zip(lines, n.tolist(), strict=True)]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), part.column("toxic")], names=["a", "b", "toxic"])
+            cell = np.rint(x * GRID).astype(np.int64)
+            columns = [pa.array(cell[:, 0]), pa.array(cell[:, 1]), part.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "toxic", "a", "b"])
 
     return run
 
 
-def fit_curve(x: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
-    """Intercept and slopes of a ridge logistic fit, set to the share of toxic rows among all."""
+def fit_curve(x: np.ndarray, toxic: np.ndarray, share: float, count: np.ndarray) -> np.ndarray:
+    """Intercept and slopes of a ridge logistic fit, set to the share of toxic rows among all; rows count `count` times."""
     design = np.column_stack([np.ones(len(x)), x])
     beta, ridge = np.zeros(design.shape[1]), np.diag([1e-6, 1e-2, 1e-2])
-    n1, n0 = max(toxic.sum(), 1), max((1 - toxic).sum(), 1)
+    n1, n0 = max((count * toxic).sum(), 1), max((count * (1 - toxic)).sum(), 1)
     shift = np.log(max(share, 1e-6) / max(1 - share, 1e-6)) - np.log(n1 / n0)
 
     def loss(b: np.ndarray) -> float:
         z = design @ b
-        return float((np.logaddexp(0, z) - toxic * z).sum() + b @ ridge @ b / 2)
+        return float((count * (np.logaddexp(0, z) - toxic * z)).sum() + b @ ridge @ b / 2)
 
     for _ in range(50):  # Newton steps, halved while they do not lower the loss
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p) + 1e-9)[:, None]) + ridge, design.T @ (toxic - p) - ridge @ beta)
+        step = np.linalg.solve(design.T @ (design * (count * (p * (1 - p) + 1e-9))[:, None]) + ridge, design.T @ (count * (toxic - p)) - ridge @ beta)
         size = 1.0
         while size > 1e-6 and loss(beta + size * step) > loss(beta):
             size /= 2
@@ -199,12 +206,12 @@ def fit_curve(x: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     return beta + np.r_[shift, 0, 0]
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries_most: int = LEXICON, exceptions_most: int = EXCEPTIONS) -> Lexicon:
     """Lexicon, exceptions and curve from about `sample` labelled documents of each class.
 
     The sampled labels, twice `sample` rows or so whatever the input, are
     broadcast; what reaches the driver is bounded by the lexicon's size and
-    the sample's.
+    the cells of a histogram, however often a document is repeated.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -214,7 +221,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUM
     share = sizes[1] / (sizes[0] + sizes[1])
     most = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / sizes[1]))).otherwise(F.lit(min(1.0, sample / sizes[0])))
     few = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < most * (1 << 20))
-    few = scratch.save(few.limit(4 * sample), "labels")
+    few = scratch.save(few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * sample), "labels")
     rows = scratch.save(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic"), "sample")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
@@ -225,14 +232,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUM
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     entries = entries.withColumn("weight", weight).withColumn("sure", weight - DEVIATIONS * error)
     top = entries.filter((F.col("toxic") >= LEAST_DOCUMENTS) & (F.col("weight") >= LEAST_WEIGHT) & (F.col("sure") >= LEAST_SURE))
-    top = top.orderBy(F.desc("sure"), "entry").limit(LEXICON).select("entry", "weight").collect()
+    top = top.orderBy(F.desc("sure"), "entry").limit(entries_most).select("entry", "weight").collect()
     lexicon = Lexicon({r[0]: r[1] for r in top}, set(), np.zeros(3))
     phrases = rows.mapInArrow(_phrases(lexicon), schema).groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     phrases = phrases.filter((F.col("clean") >= LEAST_CLEAN) & (F.col("toxic") == 0))
-    spared = {r[0] for r in phrases.orderBy(F.desc("clean"), "entry").limit(EXCEPTIONS).collect()}
+    spared = {r[0] for r in phrases.orderBy(F.desc("clean"), "entry").limit(exceptions_most).collect()}
     lexicon = Lexicon(lexicon.weights, spared, np.zeros(3))
-    seen = np.array([tuple(r) for r in rows.mapInArrow(_measured(lexicon), "a double, b double, toxic int").collect()])
-    return Lexicon(lexicon.weights, spared, fit_curve(seen[:, :2], seen[:, 2], share))
+    cells = rows.mapInArrow(_measured(lexicon), "i long, j long, toxic int, a double, b double").groupBy("i", "j", "toxic")
+    seen = np.array([tuple(r) for r in cells.agg(F.avg("a"), F.avg("b"), F.count("*")).orderBy("i", "j", "toxic").collect()], float)
+    return Lexicon(lexicon.weights, spared, fit_curve(seen[:, 3:5], seen[:, 2], share, seen[:, 5]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, threshold: float = THRESHOLD) -> DataFrame:
@@ -243,7 +251,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_
     of several labels of a document the highest counts, null ones do not.  A
     null or empty text has the score of a text without lexicon words.
     Without both classes among the labels all scores are alike and low.
-    Other columns are ignored.  An empty table gives an empty result.
+    Long texts are read whole.  Equal texts have equal scores, rows that
+    repeat a doc_id each their own.  Other columns are ignored.  An empty
+    table gives an empty result.
     """
     fold = row_crc() % folds == held_out
     lexicon = learn_lexicon(docs, labels.filter(~fold))
