@@ -5,7 +5,9 @@ bucket of the context's frequency c(v), a power of two.  The maximum-likelihood
 counts come from all training documents.  The weights of each bucket are
 learned by expectation-maximisation on held-out counts: the documents of every
 block are scored with the block's own counts deleted from the totals, and what
-the estimates then are is kept as a histogram of bounded size.
+the estimates then are is kept as a histogram of bounded size: each cell of
+half an octave has its tokens' number and the means of the estimates' logs, so
+that rounding enters only in the second order.
 
 Counts are gathered by hash block: a block of documents sends each distinct
 key once, the key's owner sums them up, and the blocks that sent it get the
@@ -26,8 +28,8 @@ from .common import CHUNK_SCHEMA, Scratch, block_count, bucket_order, chunks, ha
 #: Documents with this remainder of crc32(doc_id) are not learned from.
 FOLDS, HELD_OUT = 7, 2
 
-#: Context buckets, and histogram cells for each estimate at two to the octave.
-BUCKETS, CELLS = 24, 64
+#: Context buckets, the last of them open, and histogram cells for each estimate at two to the octave, down to 2^-63.
+BUCKETS, CELLS = 40, 128
 
 EM_ROUNDS = 60
 
@@ -95,14 +97,14 @@ def context_bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
 
 
-def _cell(p: np.ndarray) -> np.ndarray:
-    """Histogram cell of an estimate: 0 for zero, else by half octaves."""
-    with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(np.rint(-2 * np.log2(p)), 0, CELLS - 2) + 1, 0).astype(np.int64)
+def _log(p: np.ndarray) -> np.ndarray:
+    """Logs to base 2; 0 for an estimate of zero, which has a cell of its own."""
+    return np.log2(np.where(p > 0, p, 1.0))
 
 
-def _cell_value(cell: np.ndarray) -> np.ndarray:
-    return np.where(cell > 0, 2.0 ** (-(cell - 1) / 2), 0.0)
+def _cell(p: np.ndarray) -> np.ndarray:
+    """Histogram cell of an estimate: 0 for zero, else by half octaves."""
+    return np.where(p > 0, np.clip(np.rint(-2 * _log(p)), 0, CELLS - 2) + 1, 0).astype(np.int64)
 
 
 def _deleted(buckets: int, documents: int, tokens: int):
@@ -117,22 +119,27 @@ def _deleted(buckets: int, documents: int, tokens: int):
         high = left / np.maximum(context, 1)
         low = (word - own_word) / max(tokens - int(block.learn.sum()), 1)
         code = (context_bucket(context) * CELLS + _cell(high)) * CELLS + _cell(low)
-        cell, n = np.unique(code[block.learn], return_counts=True)
-        return pa.table([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+        cell, at, n = np.unique(code[block.learn], return_inverse=True, return_counts=True)
+        logs = [np.bincount(at, _log(p)[block.learn], len(cell)) for p in (high, low)]
+        return pa.table([pa.array(cell, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in logs)], names=["cell", "n", "high", "low"])
 
     return run
 
 
-def learn_weights(cells: list[tuple[int, int]], vocabulary: int) -> np.ndarray:
+def learn_weights(cells: list[tuple[int, int, float, float]], vocabulary: int) -> np.ndarray:
     """Weights of pair, word and uniform estimate in each context bucket, by EM.
 
-    cells: (cell, tokens) of the deleted estimates.  A bucket without tokens
-    takes the weights of the next lower one that has some.
+    cells: (cell, tokens, sums of the logs of pair and word estimate) of the
+    deleted estimates.  A bucket without tokens takes the weights of the next
+    lower one that has some.  A context that was never seen has no pair
+    estimate, so its weight there is zero and the others add up to one.
     """
     weights = np.tile([0.3, 0.6, 0.1], (BUCKETS, 1))
-    code, n = (np.array(x, np.int64) for x in zip(*cells, strict=True)) if cells else (np.zeros(0, np.int64),) * 2
-    bucket, high, low = code // CELLS // CELLS, _cell_value(code // CELLS % CELLS), _cell_value(code % CELLS)
-    p = np.stack([high, low, np.full(len(code), 1 / (vocabulary + 1))], axis=1)
+    code, n, high, low = (np.array(x) for x in zip(*cells, strict=True)) if cells else (np.zeros(0),) * 4
+    code, n = code.astype(np.int64), n.astype(np.float64)
+    bucket = code // CELLS // CELLS
+    estimate = lambda cell, logs: np.where(cell > 0, 2.0 ** (logs / np.maximum(n, 1)), 0.0)
+    p = np.stack([estimate(code // CELLS % CELLS, high), estimate(code % CELLS, low), np.full(len(code), 1 / (vocabulary + 1))], axis=1)
     for _ in range(EM_ROUNDS):
         post = p * weights[bucket]
         post *= (n / np.maximum(post.sum(axis=1), 1e-300))[:, None]
@@ -142,8 +149,9 @@ def learn_weights(cells: list[tuple[int, int]], vocabulary: int) -> np.ndarray:
     seen = set(bucket.tolist())
     for b in range(1, BUCKETS):
         if b not in seen:
-            weights[b] = weights[b - 1]
-    return weights
+            weights[b] = weights[b - 1] if b > 1 or 0 in seen else weights[b]
+    weights[0] = [0, *(weights[0][1:] / weights[0][1:].sum())]
+    return weights if vocabulary else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
 
 def _scores(buckets: int, documents: int, tokens: int, vocabulary: int, weights: np.ndarray):
@@ -167,12 +175,13 @@ def interpolated_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HEL
     Tokens are the lower-cased (A-Z) words and one end.  Returns doc_id,
     held_out (crc32 of doc_id has the remainder held_out), n_tokens, n_known
     (tokens that training has), train_tokens, base_score (add-one words) and
-    score (the mixture).
+    score (the mixture, whose probabilities of all words after a context, the
+    unknown one among them, add up to one).
 
     A null or empty text is one end.  Equal rows count each for itself.  A
     null doc_id counts as the empty text in the fold.  Other columns are
     ignored.  Without training documents both scores rest on the uniform
-    part.  An empty table gives an empty result.
+    part.  Long texts are read whole.  An empty table gives an empty result.
     """
     scratch, blocks = Scratch(docs.sparkSession, "language_model"), block_count(docs)
     fold = (row_crc() % folds) == held_out
@@ -184,8 +193,8 @@ def interpolated_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HEL
     vocabulary, tokens = int(sums[0] or 0), int(sums[1] or 0)
     documents = source.filter(~F.col("held_out")).count()
     known = totals.filter("block is not null").select("kind", "bucket", "block", "totals", "size").groupBy("block")
-    cells = parts.groupBy("block").cogroup(known).applyInArrow(_deleted(blocks, documents, tokens), "cell long, n long")
-    cells = scratch.save(cells.groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    cells = parts.groupBy("block").cogroup(known).applyInArrow(_deleted(blocks, documents, tokens), "cell long, n long, high double, low double")
+    cells = scratch.save(cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "high", "low"))), "cells")
     weights = learn_weights([tuple(r) for r in cells.orderBy("cell").collect()], vocabulary)
     out = parts.groupBy("block").cogroup(known).applyInArrow(
         _scores(blocks, documents, tokens, vocabulary, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
