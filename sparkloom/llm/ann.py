@@ -7,13 +7,15 @@ matching prefix, which varies from tree to tree and query to query, and then
 all trees ascend together, one bit at a time, until enough candidates share a
 prefix with the query in some tree.  Candidates are scored by exact cosine.
 
-Vectors are dealt into blocks of bounded size, queries likewise; each pair of
-a vector block and a query block is one task's work, and the best few of each
-pair are merged by a window.
+Vectors are dealt into blocks of bounded size.  Each block's forest is built
+once, in the task that has its vectors, and the queries are streamed past it;
+the best few of each block are merged by a window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +29,10 @@ TREES, BITS = 32, 48
 
 #: The ascent stops once candidates number this share of a block, or all of it.
 #: Ten thousand near-random vectors of 64 dimensions need as much for a recall over 0.9.
-SHARE = 0.5
-
-#: Fewest candidates of a block for a query, as far as it has them.
-LEAST = 1000
+SHARE = 0.55
 
-#: Vectors and queries in a block at most, and numbers in a block of vectors.
-BLOCK_ROWS, QUERY_ROWS, BLOCK_VALUES = 20_000, 4_000, 8_000_000
+#: Vectors in a block at most, and numbers in it; queries that are looked up together.
+BLOCK_ROWS, BLOCK_VALUES, QUERY_ROWS = 20_000, 8_000_000, 256
 
 SEED = 20_240_601
 
@@ -94,43 +93,78 @@ class PrefixForest:
         return found
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1)
+def _matrix(columns: list[pa.Array]) -> np.ndarray:
+    """Vectors as rows, each divided by a power of two so that no square over- or underflows; cosines do not change."""
+    flat = np.concatenate([np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64) for c in columns])
+    x = flat.reshape(sum(len(c) for c in columns), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+class _Block:
+    """The vectors of one block with their forest."""
+
+    def __init__(self, columns: list[pa.Array], ids: np.ndarray, k: int, share: float, trees: int, bits: int):
+        self.x, self.ids, self.k = _matrix(columns), ids, k
+        self.norm = np.sqrt((self.x * self.x).sum(axis=1))
+        self.unit = self.x / self.norm[:, None]
+        self.forest = PrefixForest(self.unit, trees, bits)
+        self.distinct, self.group = np.unique(ids, return_inverse=True)
+        self.single = len(self.distinct) == len(ids)
+        self.least = max(k + 1, int(share * len(self.distinct)))
+
+    def search(self, columns: list[pa.Array], own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query id, vec_id, score) of the k nearest rows found for each query, one row for each vec_id."""
+        y = _matrix(columns)
+        norm = np.sqrt((y * y).sum(axis=1))
+        unit = y / norm[:, None]
+        for i, rows in enumerate(self.forest.candidates(unit, self.least, None if self.single else self.group)):
+            rows = rows[self.ids[rows] != own[i]]
+            near = self.unit[rows] @ unit[i]
+            if len(rows) > 4 * self.k:  # ties at the edge stay in
+                best = near
+                if not self.single:  # the edge is that of the nearest rows of k vec_ids
+                    best = np.full(len(self.distinct), -np.inf)
+                    np.maximum.at(best, self.group[rows], near)
+                edge = np.partition(best, -min(self.k, len(best)))[-min(self.k, len(best))] - 1e-9
+                rows = rows[near >= edge]
+            score = (self.x[rows] * y[i]).sum(axis=1) / (self.norm[rows] * norm[i])
+            best = np.lexsort((self.ids[rows], -score))
+            if not self.single:
+                best = best[np.sort(np.unique(self.ids[rows[best]], return_index=True)[1])]
+            best = best[: self.k]
+            yield np.full(len(best), own[i]), self.ids[rows[best]], score[best]
 
 
 def _search(k: int, share: float, trees: int, bits: int):
-    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not vectors.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        x, ids = _matrix(vectors.column("v")), vectors.column("vec_id").to_numpy()
-        y, own = _matrix(queries.column("v")), queries.column("vec_id").to_numpy()
-        nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
-        ux, uy = x / nx[:, None], y / ny[:, None]
-        forest = PrefixForest(ux, trees, bits)
-        distinct, group = np.unique(ids, return_inverse=True)
-        single = len(distinct) == len(ids)
-        out: list[list[np.ndarray]] = []
-        for a in range(0, len(y), 256):
-            for i, rows in enumerate(forest.candidates(uy[a : a + 256], max(LEAST, k + 1, int(share * len(distinct))), None if single else group), a):
-                rows = rows[ids[rows] != own[i]]
-                near = ux[rows] @ uy[i]
-                if len(rows) > 4 * k:  # ties at the edge stay in
-                    best = near
-                    if not single:  # the edge is that of the nearest rows of k vec_ids
-                        best = np.full(len(distinct), -np.inf)
-                        np.maximum.at(best, group[rows], near)
-                    edge = np.partition(best, -min(k, len(best)))[-min(k, len(best))] - 1e-9
-                    rows = rows[near >= edge]
-                score = (x[rows] * y[i]).sum(axis=1) / (nx[rows] * ny[i])
-                best = np.lexsort((ids[rows], -score))
-                if not single:
-                    best = best[np.sort(np.unique(ids[rows[best]], return_index=True)[1])]
-                best = best[:k]
-                out.append([np.full(len(best), own[i]), ids[rows[best]], score[best]])
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    """For rows (dim, block, query, vec_id, v) sorted by block, vectors before queries: the nearest in each block."""
+    names = ["query_id", "vec_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        held: list[tuple[pa.Array, np.ndarray]] = []
+        block: _Block | None = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "block", "query")])
+            cuts = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+            edges = [0, *cuts.tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                dim, number, query = keys[:, a].tolist()
+                part = batch.slice(a, b - a)
+                if (dim, number) != at:
+                    at, held, block = (dim, number), [], None
+                ids = part.column("vec_id").to_numpy()
+                if not query:
+                    held.append((part.column("v"), ids))
+                    continue
+                if not held and block is None:
+                    continue
+                if block is None:
+                    block, held = _Block([v for v, _ in held], np.concatenate([i for _, i in held]), k, share, trees, bits), []
+                for q in range(0, len(ids), QUERY_ROWS):
+                    found = list(block.search([part.column("v").slice(q, QUERY_ROWS)], ids[q : q + QUERY_ROWS]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
 
     return run
 
@@ -149,17 +183,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
     1, ties to the smaller vec_id), vec_id and score, the cosine in double
     precision on the given vectors.  Null, zero, non-finite vectors, and null
     ids, take no part; vectors of another dimension than a query's are not
-    compared with it.  Of rows that share a vec_id the nearest counts.
-    A query without candidates has no rows, an empty table gives none.
+    compared with it.  Of rows that share a vec_id the nearest counts, of
+    queries that share one too.  Components of any size are compared without
+    overflow.  A query without candidates has no rows, an empty table gives
+    none.
     """
-    part = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable("v")).withColumn("dim", F.size("v"))
-    x, y = part(vectors), part(queries)
+    part = lambda df: df.select(df["vec_id"].cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable("v")).withColumn("dim", F.size("v"))
+    x, y = part(vectors).dropDuplicates(["vec_id", "v"]), part(queries).dropDuplicates(["vec_id", "v"])
     n, widest = x.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
-    rows, columns = max(1, -(-n // max(1, min(BLOCK_ROWS, BLOCK_VALUES // widest)))), max(1, -(-y.count() // QUERY_ROWS))
-    x = x.withColumn("xb", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("yb", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    y = y.withColumn("yb", F.pmod(F.xxhash64("vec_id"), F.lit(columns)).cast("int")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    keys = ("dim", "xb", "yb")
-    found = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(_search(k, share, trees, bits), "query_id long, vec_id long, score double")
+    blocks = max(1, -(-n // max(1, min(BLOCK_ROWS, BLOCK_VALUES // widest))))
+    x = x.select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("query"), "vec_id", "v")
+    y = y.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("query"), "vec_id", "v")
+    met = x.unionByName(y).repartition("dim", "block").sortWithinPartitions("dim", "block", "query")
+    found = met.mapInArrow(_search(k, share, trees, bits), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
