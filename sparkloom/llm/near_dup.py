@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, join_hashes, keep_rows, mix, ngram_hashes, row_marks, split_words, word_hashes
 from .components import connected_components
-from .simhash import bit_fingerprints, fingerprint_links
+from .simhash import bit_fingerprints, fingerprint_links, stars
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
@@ -31,8 +31,11 @@ DISTANCE = 3
 #: Bands and rows of a band: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^30 = 0.99999.
 BANDS, ROWS = 30, 5
 
-#: Hash values of a signature, and how many agree at the least: at a similarity of 0.8 all but 2 in 10 million pairs have more.
-VALUES, AGREE = BANDS * ROWS, 0.63
+#: Hash values behind the bands, and in the longer signatures of classes that share a bucket.
+VALUES, SIGNS = BANDS * ROWS, 512
+
+#: Standard deviations below its mean at which an agreement of signatures still counts: one similar pair in a million has less.
+DEVIATIONS = 4.8
 
 #: Classes of a bucket that one task compares with each other, or with as many others.
 NODE_CLASSES = 1024
@@ -73,11 +76,11 @@ def set_keys(grams: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return out
 
 
-def min_hashes(grams: np.ndarray, edge: np.ndarray, values: int = VALUES) -> np.ndarray:
+def min_hashes(grams: np.ndarray, edge: np.ndarray, values: int = VALUES, seed: int = SEED) -> np.ndarray:
     """The least hash of each set that is not empty under each of many hash functions: sets x values."""
     start = edge[:-1][np.diff(edge) > 0]
     out = np.zeros((len(start), values), np.uint64)
-    odd = np.random.default_rng(SEED).integers(0, 1 << 64, (2, values), np.uint64) | np.uint64(1)
+    odd = np.random.default_rng(seed).integers(0, 1 << 64, (2, values), np.uint64) | np.uint64(1)
     for i in range(values if len(start) else 0):
         out[:, i] = np.minimum.reduceat((grams ^ odd[0, i]) * odd[1, i], start)
     return out
@@ -98,63 +101,102 @@ def _marks(shingle: int):
             full = np.diff(edge) > 0
             least = min_hashes(grams, edge)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(full)] * BANDS, pa.int32()), pa.array(band_keys(least).ravel().view(np.int64)))
-            # one byte of each least hash; the product's high bits are the well mixed ones
-            low = (least >> np.uint64(40)).astype(np.uint8)
-            place = np.cumsum(full) - 1
-            signs = pa.array([low[k].tobytes() if f else b"" for k, f in zip(place.tolist(), full.tolist(), strict=True)], pa.binary())
             columns = [part.column("doc_id"), part.column("row1"), part.column("row2"), pa.array(set_keys(grams, edge).view(np.int64)), pa.array(np.diff(edge), pa.int64())]
-            columns += [pa.array(bit_fingerprints(grams, edge).view(np.int64)), lists, signs]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row1", "row2", "key", "n", "fp", "bands", "signs"])
+            columns += [pa.array(bit_fingerprints(grams, edge).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row1", "row2", "key", "n", "fp", "bands"])
 
     return run
 
 
-def _likely(similarity: float):
-    """For rows (band, hash, a, b, side, key, n, label, signs) sorted by node: pairs of different labels that may be similar.
-
-    In a node of two chunks only pairs across them are compared.
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte of each of many least hashes, the bands cut to 32 bits, for rows (key, grams)."""
+    for batch in batches:
+        sets = batch.column("grams")
+        grams, edge = sets.flatten().to_numpy().view(np.uint64), sets.offsets.to_numpy().astype(np.int64)
+        edge = edge - edge[0]
+        # the product's middle bits: well mixed, and not small as those of a least value's top are
+        signs = (min_hashes(grams, edge, SIGNS, SEED + 1) >> np.uint64(32)).astype(np.uint8)
+        bands = band_keys(min_hashes(grams, edge)).astype(np.uint32)
+        columns = [batch.column("key"), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (signs, bands))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "signs", "bands"])
+
+
+def _tree(n: int, label: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """Places of the pairs, best first, that connect what all pairs connect; label says what is connected already."""
+    comp, kept = np.unique(label, return_inverse=True)[1], []
+    order = np.lexsort((j, i, -agree))
+    i, j = i[order], j[order]
+    while True:
+        live = np.flatnonzero(comp[i] != comp[j])
+        if not len(live):
+            return order[np.unique(np.concatenate([np.zeros(0, np.int64), *kept]))]
+        # each part takes its best pair
+        ends = np.concatenate([comp[i[live]], comp[j[live]]])
+        at = np.concatenate([live, live])
+        first = np.lexsort((at, ends))
+        best = np.unique(at[first][np.r_[True, np.diff(ends[first]) != 0]])
+        kept.append(best)
+        comp = stars(n, comp[i[best]], comp[j[best]])[comp]
+
+
+def _compare(similarity: float, tree: bool):
+    """For rows (band, hash, a, b, side, key, n, label, signs, bands) sorted by node: pairs of different labels that may be similar.
+
+    In a node of two chunks only pairs across them are compared.  With tree:
+    the best pairs that connect what all likely ones do; else all of them,
+    each in the first band that it shares.
     """
-    agree = int(AGREE / SIMILARITY * similarity * VALUES)
+    least = (similarity - DEVIATIONS * (similarity * (1 - similarity) / SIGNS) ** 0.5) * SIGNS
 
-    def pairs(side: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
+    def pairs(band: int, side: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndarray, signs: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((key, side))
-        side, key, n, label, signs = side[order], key[order], n[order], label[order], signs[order]
-        two = side[0] != side[-1]
-        first, second = [], []
-        for i in range(int((side == side[0]).sum()) if two else len(key)):
-            j = int((side == side[0]).sum()) if two else i + 1
+        side, key, n, label, signs, bands = side[order], key[order], n[order], label[order], signs[order], bands[order]
+        cut = int((side == side[0]).sum()) if side[0] != side[-1] else 0
+        found = []
+        for i in range(cut or len(key)):
+            j = cut or i + 1
             at = np.flatnonzero((label[j:] != label[i]) & (np.minimum(n[j:], n[i]) >= similarity * np.maximum(n[j:], n[i]) - 1e-9)) + j
-            at = at[(signs[at] == signs[i]).sum(axis=1) >= agree]
-            first.append(np.full(len(at), key[i]))
-            second.append(key[at])
-        x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (first, second))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            agree = (signs[at] == signs[i]).sum(axis=1)
+            at, agree = at[agree >= least], agree[agree >= least]
+            if not tree:
+                own = (bands[at] == bands[i]).argmax(axis=1) == band
+                at, agree = at[own], agree[own]
+            found.append(np.stack([np.full(len(at), i), at, agree]))
+        i, j, agree = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        if tree and len(i):
+            keep = _tree(len(key), label, i, j, agree)
+            i, j = i[keep], j[keep]
+        x, y = key[i], key[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        node = ("band", "hash", "a", "b")
+
+        def edges(rows: pa.Table) -> np.ndarray:
+            return np.flatnonzero(np.any([np.diff(rows.column(c).to_numpy()) != 0 for c in node], axis=0)) + 1
 
-        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            numbers = [rows.column(c).to_numpy() for c in ("band", "hash", "a", "b")]
-            edge = np.r_[0, np.flatnonzero(np.any([np.diff(c) != 0 for c in numbers], axis=0)) + 1, rows.num_rows]
-            side, key, n, label = (rows.column(c).to_numpy() for c in ("side", "key", "n", "label"))
-            signs = np.frombuffer(b"".join(rows.column("signs").to_pylist()), np.uint8).reshape(-1, VALUES)
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
+        def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            cut = np.r_[0, edges(rows), rows.num_rows]
+            band, side, key, n, label = (rows.column(c).to_numpy() for c in ("band", "side", "key", "n", "label"))
+            signs = np.frombuffer(b"".join(rows.column("signs").to_pylist()), np.uint8).reshape(-1, SIGNS)
+            bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS)
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e - s > 1:
-                    yield pairs(side[s:e], key[s:e], n[s:e], label[s:e], signs[s:e])
+                    yield pairs(int(band[s]), side[s:e], key[s:e], n[s:e], label[s:e], signs[s:e], bands[s:e])
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(b.num_rows for b in held) < 8 * NODE_CLASSES:
+            if sum(b.num_rows for b in held) < 4 * NODE_CLASSES:
                 continue
             rows = pa.Table.from_batches(held)
-            numbers = [rows.column(c).to_numpy() for c in ("band", "hash", "a", "b")]
-            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in numbers], axis=0)) + 1
+            cuts = edges(rows)
             if len(cuts):  # the last node may go on in the next batch
-                yield from flush(rows.slice(0, int(cuts[-1])))
+                yield from compared(rows.slice(0, int(cuts[-1])))
                 held = rows.slice(int(cuts[-1])).combine_chunks().to_batches()
         if held:
-            yield from flush(pa.Table.from_batches(held))
+            yield from compared(pa.Table.from_batches(held))
 
     return run
 
@@ -190,19 +232,18 @@ def _index_pairs(classes: DataFrame, scratch: Scratch, similarity: float) -> Dat
     return near.unionByName(same.select("a", F.col("key").alias("b"))).distinct()
 
 
-def _compared(rest: DataFrame, marked: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Pairs (a, b) of each bucket's classes with different labels whose signatures agree enough.
+def _compared(rest: DataFrame, signatures: DataFrame, similarity: float, tree: bool) -> DataFrame:
+    """Pairs (a, b) of the buckets' classes with different labels that may be similar; see `_compare`.
 
     A bucket's classes are dealt to chunks, and each two chunks of a bucket to
     a node, so that no task holds more than two chunks of one.
     """
-    signs = marked.join(rest.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("signs").alias("signs"))
     sizes = rest.groupBy("band", "hash").agg(F.ceil(F.count("*") / NODE_CLASSES).cast("int").alias("chunks"))
     d = rest.join(sizes, ["band", "hash"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     nodes = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("a"), F.greatest("chunk", k).alias("b")))
-    d = d.withColumn("node", F.explode(nodes)).select("band", "hash", "node.a", "node.b", F.col("chunk").alias("side"), "key", "n", "label").join(signs, "key")
+    d = d.withColumn("node", F.explode(nodes)).select("band", "hash", "node.a", "node.b", F.col("chunk").alias("side"), "key", "n", "label").join(signatures, "key")
     at = ["band", "hash", "a", "b"]
-    return d.repartition(*at).sortWithinPartitions(*at).select(*at, "side", "key", "n", "label", "signs").mapInArrow(_likely(similarity), "a long, b long")
+    return d.repartition(*at).sortWithinPartitions(*at).select(*at, "side", "key", "n", "label", "signs", "bands").mapInArrow(_compare(similarity, tree), "a long, b long")
 
 
 def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
@@ -213,8 +254,8 @@ def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, s
     bands = marked.filter("n > 0").select("key", "n", F.posexplode("bands").alias("band", "hash")).distinct()
     bands = scratch.save(bands, "bands")
     shared = bands.groupBy("band", "hash").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most")
-    shared = scratch.save(shared.select("band", "hash", "least"), "shared")
-    found = scratch.save(bands.join(shared, ["band", "hash"]), "candidates")
+    shared = scratch.save(shared.select("band", "hash"), "shared")
+    found = scratch.save(bands.join(shared, ["band", "hash"], "left_semi"), "candidates")
     scratch.drop("bands")
     wanted = found.select("key").union(first.select("a")).union(first.select("b")).distinct()
     sets = docs.select("text").mapInArrow(_sets(shingle), "key long, grams array<long>")
@@ -223,26 +264,26 @@ def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, s
 
     def apart(name: str) -> DataFrame:
         """The candidates of buckets whose classes are not all connected yet, with their labels."""
-        labels = connected_components(links, Scratch(spark, "near_dup_stars")).select(F.col("node").alias("key"), "label")
-        d = found.join(labels, "key", "left").select("band", "hash", "key", "n", "least", F.coalesce("label", "key").alias("label"))
+        labels = connected_components(links, Scratch(spark, "near_dup_labels")).select(F.col("node").alias("key"), "label")
+        d = found.join(labels, "key", "left").select("band", "hash", "key", "n", F.coalesce("label", "key").alias("label"))
         open_ = d.groupBy("band", "hash").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band", "hash")
         return scratch.save(d.join(open_, ["band", "hash"], "left_semi"), name)
 
-    rest = apart("rest-index")
-    heads = rest.filter(F.col("key") == F.col("least")).select("band", "hash", F.col("n").alias("m"), F.col("label").alias("head"))
-    stars = rest.filter(F.col("key") != F.col("least")).join(heads, ["band", "hash"]).filter((F.col("label") != F.col("head")) & _alike(F.col("m"), F.col("n"), similarity))
-    stars = scratch.save(stars.select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), "stars")
-    links = links.unionByName(scratch.save(_verified(stars, sets, similarity), "links-stars"))
-    rest = apart("rest-stars")
-    pairs = scratch.save(_compared(rest, marked, scratch, similarity).distinct().join(stars, ["a", "b"], "left_anti"), "likely")
-    return links.unionByName(scratch.save(_verified(pairs, sets, similarity), "links-rest"))
+    rest = apart("rest-0")
+    signatures = sets.join(rest.select("key").distinct(), "key", "left_semi").mapInArrow(_signatures, "key long, signs binary, bands binary")
+    signatures = scratch.save(signatures, "signatures")
+    pairs = _compared(rest, signatures, similarity, tree=True).distinct().join(first, ["a", "b"], "left_anti")
+    tried = scratch.save(pairs, "tree")
+    links = links.unionByName(scratch.save(_verified(tried, sets, similarity), "links-tree"))
+    pairs = _compared(apart("rest-1"), signatures, similarity, tree=False).join(first.unionByName(tried), ["a", "b"], "left_anti")
+    return links.unionByName(scratch.save(_verified(scratch.save(pairs, "leftovers"), sets, similarity), "links-rest"))
 
 
 def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, row1, row2 (the row's hash), key and label (of its group) of every row."""
     scratch = Scratch(docs.sparkSession, "near_dup")
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row_marks(docs).alias("m")).select("doc_id", "text", "m.*")
-    schema = "doc_id long, row1 long, row2 long, key long, n long, fp long, bands array<long>, signs binary"
+    schema = "doc_id long, row1 long, row2 long, key long, n long, fp long, bands array<long>"
     marked = scratch.save(source.mapInArrow(_marks(shingle), schema), "marks")
     labels = connected_components(_links(docs, marked, scratch, shingle, similarity), Scratch(docs.sparkSession, "near_dup_labels"))
     classes = marked.select("key").distinct().join(labels.select(F.col("node").alias("key"), "label"), "key", "left")

@@ -162,7 +162,7 @@ class GrayIndex:
         return query[near], group[near]
 
 
-def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least connected row of each row."""
     label = np.arange(n)
     while len(a):
@@ -185,7 +185,7 @@ def _leaf_links(distance: int):
     def links(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((gray_rank(fp), node))
         fp, node = fp[order], node[order]
-        label = _stars(len(fp), *GrayIndex(fp, node).links(distance))
+        label = stars(len(fp), *GrayIndex(fp, node).links(distance))
         move = np.flatnonzero(label != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(fp[label[move]].view(np.int64)), pa.array(fp[move].view(np.int64))], names=["a", "b"])
 
