@@ -37,6 +37,13 @@ def upsample(n: int, target: int) -> list[int]:
     return [i for i in range(n) for _ in range(target // n)] + list(range(target % n))
 
 
+def upsampled(places: Column, target: int) -> Column:
+    """Places of a deeper stack as a column: each one in whole repeats, then the first ones again."""
+    n = F.size(places)
+    each = F.flatten(F.transform(places, lambda p: F.array_repeat(p, F.floor(F.lit(target) / n).cast("int"))))
+    return F.when(n >= target, F.slice(places, 1, target)).when(n > 0, F.concat(each, F.slice(places, F.lit(1), (F.lit(target) % n).cast("int")))).otherwise(places)
+
+
 def hash_uniform(seed: int, salt: str, *key: str) -> Column:
     """A number in [0, 1) that depends on the key alone: 28 bits of an MD5."""
     text = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in key), F.lit(salt))

@@ -67,6 +67,33 @@ def scale_by_mode(value: Column, side: Column, mode: Column, largest: Column) ->
     )
 
 
+def scale_box(b: Box, width: Column, height: Column, rows_first: bool = False) -> Column:
+    """A box in thousandths as pixels of an image; rows_first: its corners are given as y, x."""
+    x1, y1, x2, y2 = (b[1], b[0], b[3], b[2]) if rows_first else b
+    return box_struct(scale_thousandths(x1, width), scale_thousandths(y1, height), scale_thousandths(x2, width), scale_thousandths(y2, height))
+
+
+def to_square(b: Box, width: Column, height: Column, side: int = 512) -> Column:
+    """A box of an image in a square one, in single precision."""
+    put = lambda v, old: (v * F.lit(float(side)) / old).cast("float")
+    return box_struct(put(b[0], width), put(b[1], height), put(b[2], width), put(b[3], height))
+
+
+def slice_iou(iou: Column, known: Column) -> Column:
+    """An overlap to three digits; 0 where the slice has no mask or does not exist."""
+    return F.when(F.coalesce(known, F.lit(False)), F.bround(iou, 3)).otherwise(F.lit(0.0))
+
+
+def overlap_class(pred: Column, truth: Column) -> Column:
+    """A pixel's class in an overlap map: hit, missed, false or none."""
+    return F.when(pred & truth, "hit").when(truth, "missed").when(pred, "false").otherwise("none")
+
+
+def blend(value: Column, color: Column, share: float = 0.45) -> Column:
+    """A channel's value under a translucent color, cut down to a whole number."""
+    return F.least(F.greatest((value * F.lit(1 - share) + color * F.lit(share)), F.lit(0.0)), F.lit(255.0)).cast("int")
+
+
 def scale_thousandths(value: Column, side: Column) -> Column:
     return value / F.lit(1000.0) * side
 

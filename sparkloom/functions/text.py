@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import textwrap
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The forms that boxes and calls take in a text.
 DECIMAL, SIGNED = r"(\d+(?:\.\d+)?)", r"([-+]?\d*\.?\d+)"
@@ -37,6 +41,46 @@ def plain_boxes(text: Column) -> Column:
     return F.coalesce(boxes_of(text, UNSIGNED_BOX), boxes_of(F.lit(""), UNSIGNED_BOX))
 
 
+def referred_boxes(text: Column) -> Column:
+    """(name, box) of each marked object that its marked box follows."""
+    pattern = rf"<\|object_ref_start\|>(.*?)<\|object_ref_end\|>\s*{MARKED_BOX}"
+    names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    parts = [F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)), lambda x: x.cast("double")) for i in (2, 3, 4, 5)]
+    box = lambda i: F.struct(*(F.get(p, i).alias(n) for p, n in zip(parts, ("x1", "y1", "x2", "y2"), strict=True)))
+    return F.transform(names, lambda name, i: F.struct(F.trim(name).alias("name"), box(i).alias("box")))
+
+
+def slice_of(text: Column) -> Column:
+    """(slice, slices) of a grounding prompt's "slice n out of m"; nulls where it has none."""
+    part = lambda i: F.regexp_extract(text, r"slice (\d+) out of (\d+)", i).try_cast("int")
+    return F.struct(part(1).alias("slice"), part(2).alias("slices"))
+
+
+def color_places(names: Column, colors: int = 8) -> Column:
+    """A color's number for each name: names in the order of their first appearance, around again after the last."""
+    first = F.array_distinct(names)
+    return F.transform(names, lambda n: ((F.array_position(first, n) - 1) % colors).cast("int"))
+
+
+@F.pandas_udf(T.StringType())
+def wrapped(texts: pd.Series) -> pd.Series:
+    """Texts broken into lines of 60 characters at most, between words where there are any."""
+    return texts.map(lambda t: "\n".join(textwrap.wrap(t, 60)), na_action="ignore")
+
+
+def label_caption(label: Column, names: Column, terms: Column, place: Column) -> Column:
+    """A label's description: one of its term's, by place; else a sentence with its name; null for the background.
+
+    names: a map from labels to names; terms: a map to arrays of descriptions,
+    asked for the name, the name in lower case, the label and that in lower case.
+    """
+    key = F.trim(F.coalesce(F.try_element_at(names, label), label))
+    found = F.coalesce(*(F.when(F.size(F.try_element_at(terms, k)) > 0, F.try_element_at(terms, k)) for k in (key, F.lower(key), label, F.lower(label))))
+    some = F.get(found, F.pmod(place, F.size(found)).cast("int"))
+    plain = F.concat(F.lit("The "), F.when(key != "", key).otherwise(label), F.lit(" in the MRI scan."))
+    return F.when((F.coalesce(label, F.lit("")) == "") | (F.lower(label) == "background"), F.lit(None)).otherwise(F.coalesce(some, plain))
+
+
 def json_boxes(text: Column) -> Column:
     """Boxes of the JSON list between the first [ and the last ]; null unless all items are boxes.
 

@@ -176,14 +176,18 @@ def loss_weights(content: Column, rules: list[tuple[str, float]], rest: float =
 
     A matched stretch has its rule's weight, what lies between the rest's.
     """
-    cut = F.array(F.struct(content.alias("text"), F.lit(None).cast("double").alias("weight")))
-    for pattern, weight in rules:
+    none = F.lit(None).cast("double").alias("weight")
 
-        def split(piece: Column, pattern: str = pattern, weight: float = weight) -> Column:
+    def splitter(pattern: str, weight: float):
+        def split(piece: Column) -> Column:
             hits = F.regexp_extract_all(piece["text"], F.lit(f"({pattern})"), F.lit(1))
             between = F.split(F.regexp_replace(piece["text"], pattern, "\u0000"), "\u0000", -1)
-            parts = F.transform(between, lambda t, i: F.array(F.struct(t.alias("text"), F.lit(None).cast("double").alias("weight")), F.struct(F.get(hits, i).alias("text"), F.lit(weight).cast("double").alias("weight"))))
+            parts = F.transform(between, lambda t, i: F.array(F.struct(t.alias("text"), none), F.struct(F.get(hits, i).alias("text"), F.lit(weight).cast("double").alias("weight"))))
             return F.when(piece["weight"].isNotNull(), F.array(piece)).otherwise(F.filter(F.flatten(parts), lambda p: p["text"].isNotNull() & (p["text"] != "")))
 
-        cut = F.flatten(F.transform(cut, split))
+        return split
+
+    cut = F.array(F.struct(content.alias("text"), none))
+    for pattern, weight in rules:
+        cut = F.flatten(F.transform(cut, splitter(pattern, weight)))
     return F.transform(cut, lambda p: F.struct(p["text"].alias("text"), F.coalesce(p["weight"], F.lit(rest)).alias("weight")))

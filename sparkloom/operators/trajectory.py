@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The tour's first scrolls, the jump from which a step is a get_slice, the Dice to pass.
@@ -65,23 +66,50 @@ def plan_messages(plans: DataFrame) -> DataFrame:
     return m.select("rec", F.size("m").cast("bigint").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["content"]), "\n").alias("content"))
 
 
-def merge_turns(messages: DataFrame) -> DataFrame:
+def merge_turns(messages: DataFrame, form: str = "tags", tools: Column | None = None) -> DataFrame:
     """(rec, turn, role, content): neighbouring assistant and tool_call messages as one assistant turn.
 
-    Calls stand in <tool_call> tags; a tool_response is a user turn in
-    <tool_response> tags.  messages: rec, pos, role, content.
+    form tags: calls stand in <tool_call> tags, a tool_response is a user turn
+    in <tool_response> tags; form react: a call is an Action and its Action
+    Input, a response an Observation.  tools: a text that opens each record as
+    a system turn 0.  messages: rec, pos, role, content.
     """
-    from pyspark.sql import Window as W
-
     own = F.when(F.col("role") == "tool_call", "assistant").when(F.col("role") == "tool_response", "user").otherwise(F.col("role"))
-    tag = lambda t: F.concat(F.lit(f"<{t}>\n"), F.col("content"), F.lit(f"\n</{t}>"))
-    text = F.when(F.col("role") == "tool_call", tag("tool_call")).when(F.col("role") == "tool_response", tag("tool_response")).otherwise(F.col("content"))
+    if form == "react":
+        call = F.concat(F.lit("Action: "), F.get_json_object("content", "$.name"), F.lit("\nAction Input: "), F.coalesce(F.get_json_object("content", "$.arguments"), F.lit("{}")))
+        answer = F.concat(F.lit("Observation: "), F.col("content"))
+    else:
+        tag = lambda t: F.concat(F.lit(f"<{t}>\n"), F.col("content"), F.lit(f"\n</{t}>"))
+        call, answer = tag("tool_call"), tag("tool_response")
+    text = F.when(F.col("role") == "tool_call", call).when(F.col("role") == "tool_response", answer).otherwise(F.col("content"))
     at = W.partitionBy("rec").orderBy("pos")
     d = messages.select("rec", "pos", own.alias("role"), text.alias("content"))
     d = d.withColumn("new", F.coalesce((F.lag("role").over(at) != F.col("role")).cast("int"), F.lit(1)))
     d = d.withColumn("turn", F.sum("new").over(at))
     g = d.groupBy("rec", "turn").agg(F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("c"))
-    return g.select("rec", "turn", "role", F.array_join(F.transform("c", lambda x: x["content"]), "\n").alias("content"))
+    out = g.select("rec", "turn", "role", F.array_join(F.transform("c", lambda x: x["content"]), "\n").alias("content"))
+    if tools is None:
+        return out
+    opening = messages.select("rec").distinct().select("rec", F.lit(0).cast("bigint").alias("turn"), F.lit("system").alias("role"), tools.alias("content"))
+    return opening.unionByName(out)
+
+
+def media_tokens(t: Column, h: Column, w: Column, merge: int = 2) -> Column:
+    """Tokens of an image or a video of a grid t x h x w, merged in squares."""
+    return F.floor(t * h * w / (merge * merge)).cast("int")
+
+
+def audio_tokens(frames: Column) -> Column:
+    """Tokens of a sound: its frames halved twice, rounded as convolutions of stride two do."""
+    half = F.floor((frames - 1) / 2) + 1
+    return (F.floor((half - 2) / 2) + 1).cast("int")
+
+
+def expand_aligned(ids: Column, labels: Column, weights: Column, media: int, sizes: Column) -> Column:
+    """(ids, labels, weights) with the k-th media id repeated sizes[k] times, and what belongs to it as often."""
+    rows = F.transform(ids, lambda x, i: F.struct(x.alias("id"), F.get(labels, i).alias("label"), F.get(weights, i).alias("weight"), F.size(F.filter(F.slice(ids, 1, i), lambda y: y == media)).alias("k")))
+    times = lambda r: F.when(r["id"] == media, F.coalesce(F.get(sizes, r["k"]), F.lit(1))).otherwise(F.lit(1))
+    return F.flatten(F.transform(rows, lambda r: F.array_repeat(F.struct(r["id"].alias("id"), r["label"].alias("label"), r["weight"].alias("weight")), times(r))))
 
 
 def expand_placeholders(ids: Column, media: int, sizes: Column) -> Column:

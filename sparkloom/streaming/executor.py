@@ -8,6 +8,7 @@ replay in order gives what the batch fold gives.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,50 +64,46 @@ def execute_stream(calls: DataFrame, slices: int = 10) -> DataFrame:
     return calls.groupBy("rec").transformWithStateInPandas(SlicePointer(slices), OUTPUT, "Append", "none")
 
 
-def execute_stream_fold(calls: DataFrame, slices: int = 10) -> DataFrame:
-    """The same with the older state interface."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which all executors share; it goes away with the driver's JVM.
 
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ptr = state.get[0] if state.exists else -1
-        rows = pd.concat(list(batches)).sort_values("pos")
-        out = []
-        for pos, name, z, delta in zip(rows["pos"], rows["name"], rows["z"], rows["delta"], strict=True):
-            clamped, ok = False, name != "malformed"
-            if name == "get_slice":
-                ok = 0 <= z < slices
-                ptr = int(z) if ok else ptr
-            elif name == "scroll":
-                ok = ptr >= 0 and delta != 0
-                if ok:
-                    target, ptr = ptr + int(delta), max(0, min(slices - 1, ptr + int(delta)))
-                    clamped = ptr != target
-            elif name in ("add_bbox", "add_point"):
-                ok = ptr == z
-            out.append((key[0], int(pos), name, None if ptr < 0 else ptr, clamped, bool(ok)))
-        state.update((ptr,))
-        frame = pd.DataFrame(out, columns=["rec", "pos", "name", "ptr", "clamped", "ok"])
-        frame["ptr"] = frame["ptr"].astype("Int32")
-        yield frame
-
-    return calls.groupBy("rec").applyInPandasWithState(run, OUTPUT, "ptr int", "append", "NoTimeout")
+    Only a local master may do without that setting.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return folder
 
 
 def replay(spark: SparkSession, folder: str, schema: str, slices: int = 10) -> DataFrame:
     """Run the executor over the Parquet files of a folder as a stream and read its sink."""
     calls = spark.readStream.schema(schema).parquet(folder)
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    out = f"{place}/stream-{abs(hash(folder)) % 10**9}-{spark.sparkContext.applicationId}-{id(calls)}"
-    query = execute_stream_fold(calls, slices).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    out, store = shared_folder(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    # state of this kind needs the store with column families
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = execute_stream(calls, slices).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(store)
+        else:
+            spark.conf.set(store, before)
     query.awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{out}/rows")
 
 
 def stream_executor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of calls; same steps as the batch fold."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    calls = view(spark, sf_dir, CALL_ROWS)
-    folder = f"{place}/calls-{spark.sparkContext.applicationId}-{id(calls)}"
-    calls.write.mode("overwrite").parquet(folder)
+    folder = shared_folder(spark, "calls")
+    view(spark, sf_dir, CALL_ROWS).write.mode("overwrite").parquet(folder)
     d = replay(spark, folder, "rec bigint, pos bigint, name string, z int, delta int")
     return d.select("rec", "pos", "name", F.coalesce("ptr", F.lit(-1)).alias("ptr"), "clamped", "ok")
 
