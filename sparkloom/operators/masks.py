@@ -116,7 +116,7 @@ def volume_scores(slices: DataFrame, keys: list[str]) -> DataFrame:
     return v.select(*keys, "n_slices", "mean_dice", dice(s, g, p).alias("dice"), ratio(s, p).alias("precision"), ratio(s, g).alias("recall"))
 
 
-def case_scores(truth: DataFrame, pred: DataFrame, annotated: DataFrame, keys: list[str], slice_key: str, width: int = SIDE, height: int = SIDE) -> tuple[DataFrame, DataFrame]:
+def case_scores(truth: DataFrame, pred: DataFrame, annotated: DataFrame, keys: list[str], slice_key: str, height: int = SIDE) -> tuple[DataFrame, DataFrame]:
     """Measures of the annotated slices, and of the volumes of these slices stacked in order.
 
     annotated: keys and slice_key of the slices that have a true mask; one
@@ -129,13 +129,13 @@ def case_scores(truth: DataFrame, pred: DataFrame, annotated: DataFrame, keys: l
     base = annotated.select(*both).distinct()
     slices = base.join(mask_scores(t, p, both), both, "left").fillna(0, ["gt_area", "pred_area", "shared"])
     slices = _measures(slices.select(*both, "gt_area", "pred_area", "shared"), both)
-    far = base.join(hausdorff(t, p, both, width, height).select(*both, "hd95", "undefined"), both, "left")
+    far = base.join(hausdorff(t, p, both, height).select(*both, "hd95", "undefined"), both, "left")
     # neither mask has a pixel: the distance is 0
     far = far.select(*both, F.when(F.col("undefined").isNull(), 0.0).otherwise(F.col("hd95")).alias("hd95"))
     slices = slices.join(far, both)
     volume = _measures(slices.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("gt_area", "pred_area", "shared"))), keys)
     counts = slices.groupBy(*keys).agg(F.count("*").alias("n_slices"), F.avg("dice").alias("mean_dice"))
-    deep = volume_hausdorff(t, p, base, keys, slice_key, width, height)
+    deep = volume_hausdorff(t, p, base, keys, slice_key, height)
     return slices, volume.join(counts, keys).join(deep, keys)
 
 
@@ -208,15 +208,77 @@ def squared_distances(points: np.ndarray) -> np.ndarray:
 
 def hausdorff_95(a: np.ndarray, b: np.ndarray) -> float:
     """95th percentile of the distances from either surface to the other, in any dimension; inf if one mask is empty."""
-    if not a.any() and not b.any():
-        return 0.0
-    if not a.any() or not b.any():
-        return float("inf")
-    # nothing lies outside the box around both masks, so its edge is surface where the whole image has one
-    both = a | b
-    box = tuple(slice(at[0], at[-1] + 1) for at in (np.flatnonzero(both.any(axis=tuple(j for j in range(both.ndim) if j != i))) for i in range(both.ndim)))
-    p, q = (surface(m[box]) for m in (a, b))
-    return float(np.percentile(np.sqrt(np.concatenate([squared_distances(q)[p], squared_distances(p)[q]])), 95))
+    return surface_distance(np.argwhere(surface(a)), np.argwhere(surface(b)))
+
+
+def surface_points(runs: np.ndarray, flat: bool) -> np.ndarray:
+    """Surface pixels (depth, column, row) of a mask from its runs (depth, column, first row, length).
+
+    A pixel is inside if its neighbours in all directions are in the mask; a
+    flat mask has no neighbours in depth.
+    """
+    if not runs.size:
+        return np.zeros((0, 3), np.int64)
+    n = runs[3]
+    first = np.repeat(np.arange(len(n)), n)
+    z, x = runs[0][first], runs[1][first]
+    y = runs[2][first] + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+    low = np.array([z.min(), x.min(), y.min()])
+    z, x, y = z - low[0] + 1, x - low[1] + 1, y - low[2] + 1
+    rows, columns = y.max() + 2, x.max() + 2
+    code = np.sort((z * columns + x) * rows + y)
+    inside = np.ones(len(code), bool)
+    for step in (1, rows) if flat else (1, rows, rows * columns):
+        for other in (code + step, code - step):
+            inside &= code[np.minimum(np.searchsorted(code, other), len(code) - 1)] == other
+    edge = code[~inside]
+    return np.stack([edge // rows // columns, edge // rows % columns, edge % rows], axis=1) + low - 1
+
+
+#: Pairs of a point and a run of points up to which their distances are taken one by one, and in one step.
+PAIRS, STEP_PAIRS = 50_000_000, 500_000
+
+
+def _point_runs(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points as runs along their last axis: the other coordinates, first and last place."""
+    points = points[np.lexsort(points.T[::-1])]
+    step = np.diff(points, axis=0)
+    first = np.flatnonzero(np.r_[True, (step[:, :-1] != 0).any(axis=1) | (step[:, -1] != 1)])
+    last = np.r_[first[1:], len(points)] - 1
+    return points[first, :-1], points[first, -1], points[last, -1]
+
+
+def _nearest_run(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to the nearest of the others, which go as runs."""
+    at, low, high = _point_runs(others)
+    out, size = np.empty(len(points)), max(1, STEP_PAIRS // len(low))
+    for i in range(0, len(points), size):
+        x = points[i : i + size]
+        y = x[:, -1:]
+        d = np.maximum(np.maximum(low - y, y - high), 0) ** 2
+        for axis in range(at.shape[1]):
+            d += (x[:, axis : axis + 1] - at[:, axis]) ** 2
+        out[i : i + size] = d.min(axis=1)
+    return out
+
+
+def surface_distance(p: np.ndarray, q: np.ndarray) -> float:
+    """95th percentile of the distances of either set of points to the other; 0 if both are empty, inf if one is.
+
+    Many points go through a transform of the box around them.
+    """
+    if not len(p) or not len(q):
+        return 0.0 if len(p) == len(q) else float("inf")
+    if max(len(p) * len(_point_runs(q)[1]), len(q) * len(_point_runs(p)[1])) > PAIRS:
+        low, high = np.minimum(p.min(axis=0), q.min(axis=0)), np.maximum(p.max(axis=0), q.max(axis=0))
+        at = [tuple((x - low).T) for x in (p, q)]
+        on = [np.zeros(high - low + 1, bool) for _ in range(2)]
+        for grid, place in zip(on, at, strict=True):
+            grid[place] = True
+        far = np.concatenate([squared_distances(on[1])[at[0]], squared_distances(on[0])[at[1]]])
+    else:
+        far = np.concatenate([_nearest_run(p, q), _nearest_run(q, p)])
+    return float(np.percentile(np.sqrt(far), 95))
 
 
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -278,63 +340,47 @@ def _with(schema: str, keys: DataFrame) -> str:
     return ", ".join([*(f"{n} {t}" for n, t in keys.dtypes), schema])
 
 
-def _distance_columns(batch: pa.RecordBatch, keys: list[str], values: list[float]) -> pa.RecordBatch:
-    ok = np.isfinite(values)
-    columns = [batch.column(k) for k in keys]
-    columns += [pa.array([v if o else None for v, o in zip(values, ok, strict=True)], pa.float64()), pa.array(~ok)]
-    return pa.RecordBatch.from_arrays(columns, names=[*keys, "hd95", "undefined"])
+def _run_arrays(column: pa.Array, height: int) -> Iterator[np.ndarray]:
+    """Depth, pixel column, first row and length of the runs of each mask of a list column; flat ones have depth 0."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    edge, runs = column.offsets.to_numpy(), column.values
+    start, length = (runs.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "length"))
+    depth = runs.field("depth").to_numpy(zero_copy_only=False).astype(np.int64) if runs.type.get_field_index("depth") >= 0 else np.zeros(len(start), np.int64)
+    for i, ok in enumerate(column.is_valid().to_numpy(zero_copy_only=False)):
+        s = slice(edge[i], edge[i + 1]) if ok else slice(0, 0)
+        yield np.stack([depth[s], start[s] // height, start[s] % height, length[s]])
 
 
-def hausdorff(truth: DataFrame, pred: DataFrame, keys: list[str], width: int = SIDE, height: int = SIDE) -> DataFrame:
-    """hd95 of each key's two masks; null and undefined = true where one is empty."""
-    d = _one_row(truth, keys, "a").join(_one_row(pred, keys, "b"), keys, "full_outer")
+def _distances(d: DataFrame, keys: list[str], height: int, flat: bool) -> DataFrame:
+    """hd95 of the masks a and b of each row; null and undefined = true where one is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(_masks(batch.column("a"), width, height), _masks(batch.column("b"), width, height), strict=True)
-            yield _distance_columns(batch, keys, [hausdorff_95(x, y) for x, y in pairs])
+            pairs = zip(_run_arrays(batch.column("a"), height), _run_arrays(batch.column("b"), height), strict=True)
+            values = [surface_distance(surface_points(x, flat), surface_points(y, flat)) for x, y in pairs]
+            ok = np.isfinite(values)
+            columns = [pa.array([v if o else None for v, o in zip(values, ok, strict=True)], pa.float64()), pa.array(~ok)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns], names=[*keys, "hd95", "undefined"])
 
     return d.mapInArrow(run, _with("hd95 double, undefined boolean", d.select(*keys)))
 
 
-def volume_hausdorff(truth: DataFrame, pred: DataFrame, slices: DataFrame, keys: list[str], slice_key: str, width: int = SIDE, height: int = SIDE) -> DataFrame:
+def hausdorff(truth: DataFrame, pred: DataFrame, keys: list[str], height: int = SIDE) -> DataFrame:
+    """hd95 of each key's two masks; null and undefined = true where one is empty."""
+    return _distances(_one_row(truth, keys, "a").join(_one_row(pred, keys, "b"), keys, "full_outer"), keys, height, flat=True)
+
+
+def volume_hausdorff(truth: DataFrame, pred: DataFrame, slices: DataFrame, keys: list[str], slice_key: str, height: int = SIDE) -> DataFrame:
     """hd95 of each volume's stacked slices, one step of depth from slice to slice of `slices`.
 
-    A volume is one row: its runs, with the place of their slice.  Runs do not
-    cross pixel columns, so a volume is dense only within its own box.
+    A volume is one row: its runs, with the place of their slice.
     """
     place = F.row_number().over(W.partitionBy(*keys).orderBy(slice_key)) - 1
     at = slices.select(*keys, slice_key, place.alias("depth"))
     deep = lambda d, name: d.join(at, [*keys, slice_key]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("depth", "start", "length"))).alias(name))
     d = slices.select(*keys).distinct().join(deep(truth, "a"), keys, "left").join(deep(pred, "b"), keys, "left")
-
-    def volume(runs: np.ndarray, low: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        out = np.zeros(shape, bool)
-        for z, x, y, n in zip(*(runs - np.array([*low, 0])[:, None]), strict=True):
-            out[z, x, y : y + n] = True
-        return out
-
-    def boxes(column: pa.Array) -> Iterator[np.ndarray]:
-        """Depth, pixel column, first row and length of each volume's runs."""
-        edge, runs = column.offsets.to_numpy(), column.values
-        depth, start, length = (runs.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("depth", "start", "length"))
-        for i, ok in enumerate(column.is_valid().to_numpy(zero_copy_only=False)):
-            s = slice(edge[i], edge[i + 1]) if ok else slice(0, 0)
-            yield np.stack([depth[s], start[s] // height, start[s] % height, length[s]])
-
-    def distance(p: np.ndarray, q: np.ndarray) -> float:
-        if not p.size or not q.size:
-            return 0.0 if p.size == q.size else float("inf")
-        both = np.concatenate([p, q], axis=1)
-        low = both[:3].min(axis=1)
-        high = np.r_[both[:2].max(axis=1) + 1, (both[2] + both[3]).max()]
-        return hausdorff_95(volume(p, low, high - low), volume(q, low, high - low))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _distance_columns(batch, keys, [distance(p, q) for p, q in zip(boxes(batch.column("a")), boxes(batch.column("b")), strict=True)])
-
-    return d.mapInArrow(run, _with("hd95 double, undefined boolean", d.select(*keys)))
+    return _distances(d, keys, height, flat=False)
 
 
 def _mapped(runs: DataFrame, keys: list[str], change, width: int, height: int) -> DataFrame:

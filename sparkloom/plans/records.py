@@ -99,6 +99,14 @@ SQL = {
     "review_text": f"""{GLOBAL_SQL}, q AS (SELECT rec, g, floor(iou * 100) / 100 AS iou FROM m), f AS (SELECT rec, count(*) AS n, string_agg(g::VARCHAR, ', ' ORDER BY g) AS zs FROM q WHERE iou < 0.75 GROUP BY rec),
       t AS (SELECT rec, string_agg('  Z=' || g || CASE WHEN iou < 0.75 THEN ': FAIL (IoU=' || format('{{:.2f}}', iou) || ' < 0.75) — re-annotating.' ELSE ': PASS (IoU=' || format('{{:.2f}}', iou) || ')' END, chr(10) ORDER BY g) AS body FROM q GROUP BY rec)
       SELECT rec, 'Review complete. Checking bbox quality:' || chr(10) || body || CASE WHEN n IS NULL THEN '' ELSE chr(10) || chr(10) || 'Correcting ' || n || ' slice(s): Z=[' || zs || '].' END AS review FROM t LEFT JOIN f USING (rec)""",
+    "validate_records": f"""WITH {plain(CALLS)}, c AS (SELECT *, max(pos) OVER (PARTITION BY rec) AS last FROM calls WHERE name <> 'scroll'),
+      k AS (SELECT rec, pos, name = 'get_slice' AS asked, CASE WHEN name = 'malformed' THEN NULL WHEN pos = last AND rec % 2 = 0 THEN 'finish_bbox_annotation' WHEN name = 'get_slice' THEN 'add_bbox' ELSE name END AS name, z FROM c
+        WHERE (name <> 'malformed' OR rec % 5 = 0) AND (name = 'get_slice' OR pos = last OR rec % 3 = 0)),
+      g AS (SELECT rec, count(*) FILTER (name IS NULL) AS bad, count(*) FILTER (name NOT IN ('add_bbox', 'finish_bbox_annotation')) AS other, count(*) FILTER (name = 'add_bbox' AND z <= 1) AS wrong, count(*) AS calls,
+        count(*) FILTER (asked) AS answers, count(*) FILTER (name = 'add_bbox') AS boxes, max({{'pos': pos, 'name': name}}).name AS last FROM k GROUP BY rec),
+      v AS (SELECT CASE WHEN bad > 0 THEN 'tool call is not JSON' WHEN other > 0 THEN 'unknown tool' WHEN wrong > 0 THEN 'box corners' WHEN calls <> answers + 1 AND boxes <> answers THEN 'responses missing'
+        WHEN last IS DISTINCT FROM 'finish_bbox_annotation' THEN 'finish is not last' ELSE 'ok' END AS reason FROM g)
+      SELECT reason, count(*) AS n FROM v GROUP BY reason""",
     "pr_curve": f"""{GLOBAL_SQL}, c AS (SELECT rec % 7 AS grp, iou, row_number() OVER w AS rank, sum(CASE WHEN iou >= 0.5 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp FROM m WINDOW w AS (PARTITION BY rec % 7 ORDER BY iou DESC, rec, g)),
       n AS (SELECT rec % 7 AS grp, count(*) AS n_gt FROM gt GROUP BY ALL), p AS (SELECT grp, rank, tp / rank::DOUBLE AS p, tp / n_gt::DOUBLE AS r, max(tp / rank::DOUBLE) OVER (PARTITION BY grp ORDER BY rank) AS e FROM c JOIN n USING (grp))
       SELECT grp, count(*) AS n, round(sum(p), 4) AS precision, round(max(r), 6) AS recall, round(sum(e), 4) AS envelope FROM p GROUP BY grp""",
@@ -112,4 +120,4 @@ SQL = {
     "sample_records": "SELECT p_partkey, p_name FROM part WHERE p_size > 10 ORDER BY md5('42|' || p_partkey), p_partkey LIMIT 50",
 }
 
-QUERIES = {name: globals()[name] for name in (*SQL, "validate_records")}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -83,7 +83,7 @@ def test_distance_of_volumes(spark):
         volumes[rec] = stacks
     truth, pred = (spark.createDataFrame(rows[k], "rec long, z long, start long, length long") for k in (0, 1))
     annotated = spark.createDataFrame([(rec, z) for rec in range(4) for z in (2, 5, 9)], "rec long, z long")
-    slices, cases = masks.case_scores(truth, pred, annotated, ["rec"], "z", 11, 8)
+    slices, cases = masks.case_scores(truth, pred, annotated, ["rec"], "z", 8)
     got = {x["rec"]: x for x in cases.collect()}
     for rec, (a, b) in volumes.items():
         assert got[rec]["n_slices"] == 3 and got[rec]["dice"] == pytest.approx(2 * (a & b).sum() / (a.sum() + b.sum()))
@@ -100,6 +100,20 @@ def test_compressed_lengths(counts):
     assert masks.from_compressed(masks.to_compressed(counts)) == counts
 
 
+def test_distances_by_pairs_and_by_transform(monkeypatch):
+    r = np.random.default_rng(8)
+    for shape in ((9, 12), (4, 9, 12)):
+        a, b = (r.random(shape) < 0.4 for _ in range(2))
+        pairs = masks.hausdorff_95(a, b)
+        monkeypatch.setattr(masks, "PAIRS", 0)
+        assert masks.hausdorff_95(a, b) == pytest.approx(pairs) == pytest.approx(_hd95(a, b))
+        monkeypatch.undo()
+    flat = r.random((8, 11)) < 0.6
+    start, length = masks.runs_of(flat)
+    got = masks.surface_points(np.stack([np.zeros_like(start), start // 8, start % 8, length]), True)
+    assert {(y, x) for _, x, y in got.tolist()} == {tuple(p) for p in np.argwhere(masks.surface(flat)).tolist()}
+
+
 def test_compressed_lengths_of_known_texts():
     """Texts as the usual tools write them."""
     assert masks.to_compressed([6, 1, 40, 4, 5, 4, 5, 4, 21]) == "61X13mN000`0"
