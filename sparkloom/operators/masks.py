@@ -325,15 +325,18 @@ def _one_row(runs: DataFrame, keys: list[str], name: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias(name))
 
 
-def _masks(column: pa.Array, width: int, height: int) -> Iterator[np.ndarray]:
-    """The dense masks of a list column of runs, one after the other."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    edge, runs = column.offsets.to_numpy(), column.values
-    start, length = (runs.field(n).to_numpy(zero_copy_only=False) for n in ("start", "length"))
-    for i, ok in enumerate(column.is_valid().to_numpy(zero_copy_only=False)):
-        a, b = (edge[i], edge[i + 1]) if ok else (0, 0)
-        yield dense(start[a:b], length[a:b], width, height)
+def _masks(column: pa.Array, width: int, height: int, margin: int = 0) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Each mask of a list column of runs as a dense array of its own box, with the box's first column and row.
+
+    The box has a margin, as far as the image has room for it.
+    """
+    for _, x, y, n in _run_arrays(column, height):
+        if not len(x):
+            yield np.zeros((0, 0), bool), 0, 0
+            continue
+        left, top = max(int(x.min()) - margin, 0), max(int(y.min()) - margin, 0)
+        right, bottom = min(int(x.max()) + margin + 1, width), min(int((y + n).max()) + margin, height)
+        yield dense((x - left) * (bottom - top) + y - top, n, right - left, bottom - top), left, top
 
 
 def _with(schema: str, keys: DataFrame) -> str:
@@ -383,17 +386,21 @@ def volume_hausdorff(truth: DataFrame, pred: DataFrame, slices: DataFrame, keys:
     return _distances(d, keys, height, flat=False)
 
 
-def _mapped(runs: DataFrame, keys: list[str], change, width: int, height: int) -> DataFrame:
-    """Runs of change(mask, seed) for each mask; the seed hangs on the key alone."""
+#: Pixels by which a changed mask may grow.
+GROWTH = 3
+
+
+def _mapped(runs: DataFrame, keys: list[str], change, width: int, height: int, growth: int = GROWTH) -> DataFrame:
+    """Runs of change(mask, seed) for each mask; the seed hangs on the key alone, and no mask grows by more than `growth`."""
     d = _one_row(runs, keys, "a").withColumn("seed", F.xxhash64(*keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, starts, lengths = [], [], []
-            for i, (mask, seed) in enumerate(zip(_masks(batch.column("a"), width, height), batch.column("seed").to_pylist(), strict=True)):
-                s, n = runs_of(change(mask, seed & (1 << 63) - 1))
+            for i, ((mask, left, top), seed) in enumerate(zip(_masks(batch.column("a"), width, height, growth + 1), batch.column("seed").to_pylist(), strict=True)):
+                s, n = runs_of(change(mask, seed & (1 << 63) - 1)) if mask.size else (np.zeros(0, np.int64),) * 2
                 rows.append(np.full(len(s), i))
-                starts.append(s)
+                starts.append((s // max(len(mask), 1) + left) * height + s % max(len(mask), 1) + top)
                 lengths.append(n)
             at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             columns = [batch.column(k).take(at) for k in keys] + [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in (starts, lengths)]
@@ -414,7 +421,7 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def morph(runs: DataFrame, keys: list[str], times: int, grow: bool, width: int = SIDE, height: int = SIDE) -> DataFrame:
     """Runs of the masks grown or shrunk by `times` pixels in the four directions."""
-    return _mapped(runs, keys, lambda mask, _: dilate(mask, times) if grow else erode(mask, times), width, height)
+    return _mapped(runs, keys, lambda mask, _: dilate(mask, times) if grow else erode(mask, times), width, height, times)
 
 
 def simulated(runs: DataFrame, keys: list[str], width: int = SIDE, height: int = SIDE) -> DataFrame:
@@ -437,7 +444,8 @@ def component_boxes(runs: DataFrame, keys: list[str], width: int = SIDE, height:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, k, *box) for i, mask in enumerate(_masks(batch.column("a"), width, height)) for k, box in enumerate(components(mask))]
+            parts = ((i, k, box, left, top) for i, (mask, left, top) in enumerate(_masks(batch.column("a"), width, height)) for k, box in enumerate(components(mask)))
+            found = [(i, k, b[0] + left, b[1] + top, b[2] + left, b[3] + top) for i, k, b, left, top in parts]
             at, *rest = (pa.array([f[j] for f in found], pa.int64()) for j in range(6))
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *rest], names=[*keys, "part", "x1", "y1", "x2", "y2"])
 
