@@ -45,6 +45,9 @@ QUICK, SCALE = 49, 1e4
 #: Words whose probabilities a worker keeps at hand, and words that go through one pass together.
 CACHE_WORDS, PASS_WORDS = 200_000, 20_000
 
+#: UTF-8 bytes of text that are scored together.
+SCORE_BYTES = 1 << 20
+
 START, UNDETERMINED = "▁", "und"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -313,7 +316,7 @@ def identify(docs: DataFrame, vocabulary: str, folds: int = FOLDS, held_out: int
     names = kinds.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, most=SCORE_BYTES):
             if langs:
                 total, n = state.value.text_scores(part.column("text"))
                 best = total.argmax(axis=1)
