@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op9_nearest_neighbours
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .html_text import op8_html_extraction
 from .language_id import op5_language_id
 from .language_model import op7_lm_scoring
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op10_source_mixing": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
