@@ -11,6 +11,7 @@ from .filter_audit import OP11_SQL, op11_filter_audit
 from .html_text import op8_html_extraction
 from .language_id import op5_language_id
 from .language_model import op7_lm_scoring
+from .lexical_search import OP13_SQL, op13_ranked_search
 from .mixing import OP10_SQL, op10_source_mixing
 from .packing import op4_packing
 from .quality import op6_quality_rules
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op10_source_mixing": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
