@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op9_nearest_neighbours
 from .filter_audit import OP11_SQL, op11_filter_audit
 from .html_text import op8_html_extraction
+from .jaccard_join import OP12_SQL, op12_jaccard_join
 from .language_id import op5_language_id
 from .language_model import op7_lm_scoring
 from .lexical_search import OP13_SQL, op13_ranked_search
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_ranked_search": op13_ranked_search,
 }
 
@@ -38,5 +40,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op10_source_mixing": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_jaccard_join": OP12_SQL,
     "op13_ranked_search": OP13_SQL,
 }
