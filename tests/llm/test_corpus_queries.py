@@ -30,10 +30,11 @@ def docs(spark):
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "labels", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.sql(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, SF).toPandas()
-    order = lambda d: d[sorted(d.columns)].sort_values("doc_id").reset_index(drop=True)
+    order = lambda d: d[sorted(d.columns)].sort_values(sorted(d.columns)).reset_index(drop=True)
     pd.testing.assert_frame_equal(order(got), order(want))
 
 
