@@ -31,6 +31,9 @@ from .common import Scratch, chunks, read, split_words
 #: One term, as a Java and Python regular expression: ASCII letters and digits and all beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: A leaf of a shard's tree has two to the power of this documents; they are scored together.
+LEAF_BITS = 5
+
 #: Rows that a search returns for each item.
 TOP = 10
 
@@ -79,9 +82,10 @@ class WaveletTree:
 
     term, doc, impact: one entry for each posting.  Level by level the
     sequence is split into the lower and the upper half of each node's
-    places, in the order that it has.  left[d] counts the entries that go to
-    lower halves before each place of level d, impacts[d] are the impacts in
-    the level's order.
+    places, in the order that it has, down to leaves of a few documents.
+    left[d] counts the entries that go to lower halves before each place of
+    level d, impacts[d] are the impacts in the level's order, low the places
+    inside the leaves.
     """
 
     def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray, docs: int):
@@ -89,53 +93,66 @@ class WaveletTree:
         term, doc, impact = term[order], doc[order].astype(np.int64), impact[order]
         self.terms, first = np.unique(term, return_index=True)
         self.starts = np.r_[first, len(term)].astype(np.int64)
-        self.depth = max(docs - 1, 0).bit_length()
-        self.left, self.impacts, self.begins = [], [impact], []
+        self.depth = max(max(docs - 1, 0).bit_length() - LEAF_BITS, 0)
+        doc, low = doc >> LEAF_BITS, doc & ((1 << LEAF_BITS) - 1)
+        # one entry more: a span that is empty at the end has a first one too
+        self.left, self.impacts, self.begins = [], [np.append(impact, 0)], []
         for d in range(self.depth):
             node, upper = doc >> (self.depth - d), doc >> (self.depth - d - 1) & 1
             self.left.append(np.r_[0, np.cumsum(1 - upper)].astype(np.int32))
             self.begins.append(np.searchsorted(node, np.arange(1 << d)))
             order = np.argsort(node * 2 + upper, kind="stable")
-            doc, impact = doc[order], impact[order]
-            self.impacts.append(impact)
+            doc, low, impact = doc[order], low[order], impact[order]
+            self.impacts.append(np.append(impact, 0))
         self.begins.append(np.searchsorted(doc, np.arange(1 << self.depth)))
+        self.low = low
 
-    def ranges(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For terms that have postings: their places in `terms`, and where their postings start and end."""
+    def ranges(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For terms that have postings: their places in `terms`, and where their postings start (first row) and end."""
         if not len(self.terms):
-            return np.zeros((3, 0), np.int64)
+            return np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         found = np.flatnonzero(self.terms[at] == terms)
-        return found, self.starts[at[found]], self.starts[at[found] + 1]
-
-    def halves(self, level: int, node: int, a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-        """The ranges a..b of a node in its lower and in its upper half, on the next level."""
-        rank, begin, below = self.left[level], int(self.begins[level][node]), self.begins[level + 1]
-        low, high = int(below[2 * node]), int(below[2 * node + 1])
-        la, lb = rank[a] - rank[begin], rank[b] - rank[begin]
-        return (low + la, low + lb), (high + (a - begin) - la, high + (b - begin) - lb)
+        return found, np.stack([self.starts[at[found]], self.starts[at[found] + 1]])
+
+    def halves(self, level: int, node: int, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The spans of a node's terms in its lower and in its upper half, on the next level."""
+        rank, begin, below = self.left[level], self.begins[level][node], self.begins[level + 1]
+        lower = rank[spans]
+        return lower + (below[2 * node] - rank[begin]), spans - lower + (below[2 * node + 1] - begin + rank[begin])
+
+    def bound(self, level: int, spans: np.ndarray, weights: np.ndarray) -> int:
+        """What a document of the node scores at most: its terms' first impacts."""
+        return int(np.dot(self.impacts[level][spans[0]] * (spans[1] > spans[0]), weights))
+
+    def leaf(self, node: int, spans: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of a leaf's documents."""
+        size = spans[1] - spans[0]
+        at = np.repeat(spans[1] - np.cumsum(size), size) + np.arange(size.sum())
+        scores = np.zeros(1 << LEAF_BITS, np.int64)
+        np.add.at(scores, self.low[at], self.impacts[self.depth][at] * np.repeat(weights, size))
+        return (node << LEAF_BITS) + np.arange(len(scores)), scores
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: int = 0) -> list[tuple[int, int]]:
         """The k best (score, doc) with scores above 0 and not under least, best first, equal ones by doc."""
-        found, a, b = self.ranges(terms)
+        found, spans = self.ranges(terms)
         out: list[tuple[int, int]] = []
-        if not len(found):
-            return out
-        heap = [(-int((weights[found] * self.impacts[0][a]).sum()), 0, 0, weights[found], a, b)]
+        w, least = weights[found], max(least, 1)
+        heap = [(-self.bound(0, spans, w), 0, 0, spans)]
         # of equal bounds the higher node comes first, as it may hold a smaller place; then the smaller place
-        while heap and len(out) < k:
-            bound, level, node, w, a, b = heappop(heap)
-            if -bound < max(least, 1):
-                break
-            if level == self.depth:
+        while heap and len(out) < k and -heap[0][0] >= least:
+            bound, level, node, spans = heappop(heap)
+            if level > self.depth:
                 out.append((-bound, node))
-                continue
-            for side, (x, y) in enumerate(self.halves(level, node, a, b)):
-                keep = y > x
-                if keep.any():
-                    x, y, v = x[keep], y[keep], w[keep]
-                    best = int((v * self.impacts[level + 1][x]).sum())
-                    heappush(heap, (-best, level + 1, 2 * node + side, v, x, y))
+            elif level == self.depth:
+                places, scores = self.leaf(node, spans, w)
+                for i in np.flatnonzero(scores >= least).tolist():
+                    heappush(heap, (-int(scores[i]), level + 1, int(places[i]), None))
+            else:
+                for side, part in enumerate(self.halves(level, node, spans)):
+                    best = self.bound(level + 1, part, w)
+                    if best >= least:
+                        heappush(heap, (-best, level + 1, 2 * node + side, part))
         return out
 
 

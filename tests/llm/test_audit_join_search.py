@@ -218,17 +218,18 @@ def test_search_of_empty_tables(spark):
     assert lexical_search.search_documents(nothing, full[1]).count() == 0
 
 
-def test_wavelet_tree_keeps_postings_by_impact_in_every_node():
+@pytest.mark.parametrize("leaf", [0, 2])
+def test_wavelet_tree_keeps_postings_by_impact_in_every_node(monkeypatch, leaf):
     r = np.random.default_rng(1)
+    monkeypatch.setattr(lexical_search, "LEAF_BITS", leaf)
     for docs in (1, 2, 5, 64, 77):
         pair = np.unique(r.integers(0, 9 * docs, 6 * docs))
         term, doc, impact = pair // docs, pair % docs, r.integers(1, 9, len(pair))
         tree = lexical_search.WaveletTree(term, doc, impact, docs)
         for t in np.unique(term):
-            _, a, b = tree.ranges(np.array([t]))
-            nodes = [(0, a, b)]
+            nodes = [(0, tree.ranges(np.array([t]))[1])]
             for level in range(tree.depth):
-                nodes = [(2 * n + s, x, y) for n, a, b in nodes for s, (x, y) in enumerate(tree.halves(level, n, a, b))]
-                for n, x, y in nodes:
-                    inside = (term == t) & (doc >> (tree.depth - level - 1) == n)
-                    assert sorted(impact[inside], reverse=True) == tree.impacts[level + 1][int(x[0]) : int(y[0])].tolist()
+                nodes = [(2 * n + side, x) for n, spans in nodes for side, x in enumerate(tree.halves(level, n, spans))]
+                for n, x in nodes:
+                    inside = (term == t) & (doc >> (tree.depth - level - 1 + leaf) == n)
+                    assert sorted(impact[inside], reverse=True) == tree.impacts[level + 1][int(x[0, 0]) : int(x[1, 0])].tolist()
