@@ -54,21 +54,6 @@ def histories(steps: DataFrame, slices: int = 10) -> DataFrame:
     return d.withColumn("unvisited", F.array_except(F.sequence(F.lit(0), F.lit(slices - 1)), "visited"))
 
 
-def overlay_changes(steps: DataFrame) -> DataFrame:
-    """For each valid navigation: visits of that slice before, and whether its overlay changed since the last.
-
-    A slice's overlay is the number of annotations drawn on it so far; a first
-    visit counts as changed.  A scroll by 0 is refused, yet it looks at the
-    slice in view again.
-    """
-    at = W.partitionBy("rec", "ptr").orderBy("pos")
-    d = steps.filter("ptr is not null and (ok or name = 'scroll')")
-    drawn = F.sum(F.when(F.col("name").isin("add_bbox", "add_point"), 1).otherwise(0)).over(at.rowsBetween(W.unboundedPreceding, 0))
-    nav = d.withColumn("overlay", drawn).filter(F.col("name").isin("get_slice", "scroll"))
-    last = F.lag("overlay").over(at)
-    return nav.select("rec", "pos", "name", "ptr", "clamped", (F.row_number().over(at) - 1).alias("before"), (last.isNull() | (last != F.col("overlay"))).alias("changed"))
-
-
 def gate_violations(calls: DataFrame, slices: int = 10) -> DataFrame:
     """(rec, violations): all rules that a trace breaks, in call order, then those on its whole."""
     seq = calls.groupBy("rec").agg(ordered(F.struct("pos", "name", "z", "delta")).alias("s"))

@@ -25,12 +25,16 @@ FINISH = ("finish", "finish_3d_segmentation")
 NAVIGATION = ("get_slice", "scroll")
 
 _STEP = (
-    "struct<pos:bigint,name:string,z:int,delta:int,prev:int,ptr:int,ok:boolean,clamped:boolean,decision:boolean,changed:boolean,again:boolean,iou:double,gain:double,images:int,response:string>"
+    "struct<pos:bigint,name:string,z:int,delta:int,prev:int,ptr:int,ok:boolean,clamped:boolean,decision:boolean,changed:boolean,again:boolean,iou:double,gain:double,fix:double,"
+    "visited:array<int>,annotated:array<int>,overlay:array<string>,boxes:array<array<int>>,dice:array<double>,refined:array<double>>"
 )
 _STATE = (
     f"struct<ptr:int,visited:array<int>,annotated:array<int>,overlay:array<string>,read:array<string>,boxes:array<array<int>>,dice:array<double>,refined:array<double>,done:boolean,out:array<{_STEP}>>"
 )
 
+#: What a step is known by; the rest of it is the state that its answer needs.
+STEP_COLUMNS = ("rec", "pos", "name", "z", "delta", "prev", "ptr", "ok", "clamped", "decision", "changed", "again", "iou", "gain")
+
 
 def _put(array: Column, place: Column, value: Column, when: Column) -> Column:
     """The array with one entry set, where the condition holds."""
@@ -43,20 +47,21 @@ def call_iou(box: Column, tight: Column) -> Column:
     return F.when(tight.isNull() | box.isNull(), F.lit(0.0)).otherwise(score(box_iou(own, box_of(tight))))
 
 
-def _look(s: dict[str, Column], sampled: Column, place: Column, clamped: Column) -> Column:
+def _look() -> Column:
     """What a look at a slice answers: its overlays, the stack's ends, and the history."""
     flag = lambda c: F.when(c, "true").otherwise("false")
-    state = F.get(s["overlay"], place)
-    box, masked, refined = F.get(s["boxes"], place), state.isin("mask", "refined_mask"), state == "refined_mask"
+    sampled, place = F.col("sampled"), F.col("ptr")
+    state = F.get("overlay", place)
+    box, masked, refined = F.get("boxes", place), state.isin("mask", "refined_mask"), state == "refined_mask"
     overlays = F.concat_ws(
         ", ", fill('"has_bbox": {a}, "has_mask": {b}, "has_refined_mask": {c}', a=flag(box.isNotNull()), b=flag(masked), c=flag(refined)), F.when(box.isNotNull(), fill('"bbox": {box}', box=listed(box))),
-        F.when(masked, fill('"mask_dice": {d}', d=F.coalesce(F.get(s["dice"], place), F.lit(0.0)))), F.when(refined, fill('"refined_dice": {d}', d=F.coalesce(F.get(s["refined"], place), F.lit(0.0)))),
+        F.when(masked, fill('"mask_dice": {d}', d=F.coalesce(F.get("dice", place), F.lit(0.0)))), F.when(refined, fill('"refined_dice": {d}', d=F.coalesce(F.get("refined", place), F.lit(0.0)))),
     )
-    left = F.array_except(F.sequence(F.lit(0), F.size(sampled) - 1), s["visited"])
+    left = F.array_except(F.sequence(F.lit(0), F.size(sampled) - 1), "visited")
     return fields(
         z_index=F.get(sampled, place), ordinal=place, slice_image=quoted("<image>"), sampled_z_list=listed(sampled), overlays=F.concat(F.lit("{"), overlays, F.lit("}")),
-        boundary=fields(at_start=flag(place == 0), at_end=flag(place == F.size(sampled) - 1), clamped=flag(clamped)),
-        history=fields(visited_ordinals=listed(s["visited"]), annotated_ordinals=listed(F.array_sort(s["annotated"])), unvisited_ordinals=listed(left)),
+        boundary=fields(at_start=flag(place == 0), at_end=flag(place == F.size(sampled) - 1), clamped=flag(F.col("clamped"))),
+        history=fields(visited_ordinals=listed(F.col("visited")), annotated_ordinals=listed(F.array_sort("annotated")), unvisited_ordinals=listed(left)),
     )
 
 
@@ -64,15 +69,8 @@ def _error(text: Column, **more: Column) -> Column:
     return fields(error=quoted(text), **more)
 
 
-def navigate(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs = KNOBS) -> DataFrame:
-    """Steps of each record up to its finish, with the response to each call.
-
-    A slice that is not sampled, a scroll before any look or by 0, and an
-    annotation of another slice than the one in view are answered by an error
-    and change nothing; so is an unknown tool.  decision: the call counts as a
-    move; changed: the slice's overlay is not what its last look showed;
-    again: the slice was seen before; iou, gain: of boxes and points.
-    """
+def _folded(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs) -> DataFrame:
+    """Each step up to a record's finish with the state that its answer needs, and the case's columns."""
     seq = calls.groupBy("rec").agg(ordered(F.struct("pos", "name", "z", "delta", "box", "refined")).alias("s"))
     d = cases.join(seq, "rec")
     n = F.size("sampled")
@@ -100,46 +98,70 @@ def navigate(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs = KNOBS) ->
         overlay, boxes, dice, refined = s["overlay"], s["boxes"], s["dice"], s["refined"]
         changed = ~F.coalesce(F.get(s["read"], ptr) == F.get(overlay, ptr), F.lit(False))
         drawn, corrected, spread = box & ok, point & ok, run & ok
-        tight = F.get(F.col("tight"), prev)
-        iou = F.when(drawn, call_iou(x["box"], tight))
+        iou = F.when(drawn, call_iou(x["box"], F.get(F.col("tight"), prev)))
         before = F.when(F.get(F.col("tight"), found).isNull(), F.lit(0.0)).otherwise(F.coalesce(F.get(refined, found), F.get(dice, found), F.lit(0.0)))
         after = F.when(corrected, F.coalesce(x["refined"], F.lit(0.0))).otherwise(F.coalesce(F.get(refined, found), before))
         gain = F.when(point, F.least(F.greatest(after - before, F.lit(0.0)), F.lit(knobs.gain_clip)))
         known = lambda i: F.get(F.col("dices"), i).isNotNull()
-        new = {
-            "ptr": ptr, "visited": F.when(look, F.concat(s["visited"], F.array(ptr))).otherwise(s["visited"]),
-            "annotated": F.when(drawn, F.array_union(s["annotated"], F.array(prev))).otherwise(s["annotated"]),
-            "overlay": F.transform(overlay, lambda v, i: F.when(drawn & (i == prev), "bbox").when(corrected & (i == prev), "refined_mask").when(spread & known(i), "mask").otherwise(v)),
-            "boxes": _put(boxes, prev, x["box"], drawn), "dice": F.when(spread, F.transform(F.col("dices"), lambda v, i: F.coalesce(score(v), F.get(dice, i)))).otherwise(dice),
-            "refined": _put(refined, prev, score(x["refined"]), corrected),
-        }
-        entry = lambda v, i: fields(z_index=v, ordinal=i, mask_image=F.when(known(i), '"<image>"').otherwise("null"), dice_with_gt=F.when(known(i), F.when(F.get(F.col("tight"), i).isNull(), F.lit(0.0)).otherwise(score(F.get(F.col("dices"), i)))).otherwise(F.lit(-1.0)))
-        current = F.coalesce(F.get(sampled, prev).cast("string"), F.lit("None"))
-        response = (
-            F.when(look, _look({**new, "overlay": overlay, "boxes": boxes, "dice": dice, "refined": refined, "annotated": s["annotated"]}, sampled, ptr, clamped))
-            .when(drawn, fields(z_index=x["z"], bbox_image=quoted("<image>"), iou_with_gt=iou))
-            .when(spread, fields(status=quoted("propagation_complete"), key_z=x["z"], slices=listed(F.transform(sampled, entry))))
-            .when(corrected, fields(z_index=x["z"], mask_image=quoted("<image>"), dice_with_gt=F.coalesce(score(x["refined"]), F.lit(0.0))))
-            .when(jump, _error(F.lit(w.ERRORS["get_slice"]), sampled_z_list=listed(sampled)))
-            .when(scroll & prev.isNull(), _error(F.lit(w.ERRORS["unset"])))
-            .when(scroll, _error(F.lit(w.ERRORS["still"])))
-            .when(box | point, _error(fill(w.ERRORS["elsewhere"], z=x["z"], name=name, current=current)))
-            .when(~name.isin(*FINISH), _error(fill(w.ERRORS["unknown"], name=name)))
-        )
-        images = F.when(look | drawn | corrected, F.lit(1)).when(spread, F.size(F.filter(F.col("dices"), lambda v: v.isNotNull()))).otherwise(F.lit(0))
+        visited = F.when(look, F.concat(s["visited"], F.array(ptr))).otherwise(s["visited"])
         row = {
             "pos": x["pos"], "name": name, "z": x["z"], "delta": x["delta"], "prev": prev, "ptr": ptr, "ok": ok, "clamped": clamped, "decision": decision, "changed": decision & changed,
-            "again": decision & F.array_contains(s["visited"], ptr), "iou": iou, "gain": gain, "images": images, "response": response,
+            "again": decision & F.array_contains(s["visited"], ptr), "iou": iou, "gain": gain, "fix": x["refined"],
+            "visited": visited, "annotated": s["annotated"], "overlay": overlay, "boxes": boxes, "dice": dice, "refined": refined,
+        }
+        new = {
+            "ptr": ptr, "visited": visited, "annotated": F.when(drawn, F.array_union(s["annotated"], F.array(prev))).otherwise(s["annotated"]),
+            "overlay": F.transform(overlay, lambda v, i: F.when(drawn & (i == prev), "bbox").when(corrected & (i == prev), "refined_mask").when(spread & known(i), "mask").otherwise(v)),
+            # a look that fails still shows the slice in view
+            "read": _put(s["read"], ptr, F.get(overlay, ptr), jump | scroll), "boxes": _put(boxes, prev, x["box"], drawn),
+            "dice": F.when(spread, F.transform(F.col("dices"), lambda v, i: F.coalesce(score(v), F.get(dice, i)))).otherwise(dice), "refined": _put(refined, prev, score(x["refined"]), corrected),
+            "done": name.isin(*FINISH), "out": F.concat(s["out"], F.array(F.struct(*(v.alias(k) for k, v in row.items())).cast(_STEP))),
         }
-        step_row = F.struct(*(v.alias(k) for k, v in row.items())).cast(_STEP)
-        new["read"] = _put(s["read"], ptr, F.get(overlay, ptr), decision)
-        new["done"] = name.isin(*FINISH)
-        new["out"] = F.concat(s["out"], F.array(step_row))
-        order = ("ptr", "visited", "annotated", "overlay", "read", "boxes", "dice", "refined", "done", "out")
-        return F.when(s["done"], s).otherwise(F.struct(*(new[k].alias(k) for k in order)).cast(_STATE))
+        return F.when(s["done"], s).otherwise(F.struct(*(v.alias(k) for k, v in new.items())).cast(_STATE))
 
     folded = F.aggregate("s", begin, step)
-    return d.select("rec", folded.alias("f")).select("rec", F.explode("f.out").alias("m")).select("rec", "m.*")
+    return d.select("rec", "sampled", "tight", "dices", folded["out"].alias("out")).select("rec", "sampled", "tight", "dices", F.inline("out"))
+
+
+def _answer() -> Column:
+    """The response to a step of `_folded`; null to a finish."""
+    name, z, sampled, ok = F.col("name"), F.col("z"), F.col("sampled"), F.col("ok")
+    jump, scroll, box, point, run = (name == k for k in ("get_slice", "scroll", "add_bbox", "add_point", "run_medsam2"))
+    known = lambda i: F.get("dices", i).isNotNull()
+    entry = lambda v, i: fields(z_index=v, ordinal=i, mask_image=F.when(known(i), '"<image>"').otherwise("null"), dice_with_gt=F.when(known(i), F.when(F.get("tight", i).isNull(), F.lit(0.0)).otherwise(score(F.get("dices", i)))).otherwise(F.lit(-1.0)))
+    current = F.coalesce(F.get(sampled, F.col("prev")).cast("string"), F.lit("None"))
+    return (
+        F.when(ok & (jump | scroll), _look())
+        .when(ok & box, fields(z_index=z, bbox_image=quoted("<image>"), iou_with_gt=F.col("iou")))
+        .when(ok & run, fields(status=quoted("propagation_complete"), key_z=z, slices=listed(F.transform(sampled, entry))))
+        .when(ok & point, fields(z_index=z, mask_image=quoted("<image>"), dice_with_gt=F.coalesce(score(F.col("fix")), F.lit(0.0))))
+        .when(jump, _error(F.lit(w.ERRORS["get_slice"]), sampled_z_list=listed(sampled)))
+        .when(scroll & F.col("prev").isNull(), _error(F.lit(w.ERRORS["unset"])))
+        .when(scroll, _error(F.lit(w.ERRORS["still"])))
+        .when(box | point, _error(fill(w.ERRORS["elsewhere"], z=z, name=name, current=current)))
+        .when(~name.isin(*FINISH), _error(fill(w.ERRORS["unknown"], name=name)))
+    )
+
+
+def states(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs = KNOBS) -> DataFrame:
+    """Steps of each record up to its finish, without responses; see `navigate`."""
+    return _folded(calls, cases, knobs).select(*STEP_COLUMNS)
+
+
+def navigate(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs = KNOBS) -> DataFrame:
+    """Steps of each record up to its finish, with the response to each call.
+
+    A slice that is not sampled, a scroll before any look or by 0, and an
+    annotation of another slice than the one in view are answered by an error
+    and change nothing; so is an unknown tool.  decision: the call counts as a
+    move; changed: the slice's overlay (raw, bbox, mask or refined_mask) is
+    not what its last look showed; again: the slice was seen before; iou,
+    gain: of boxes and points.
+    """
+    look, drawn = F.col("ok") & F.col("name").isin(*NAVIGATION), F.col("ok") & F.col("name").isin("add_bbox", "add_point")
+    spread = F.col("ok") & (F.col("name") == "run_medsam2")
+    images = F.when(look | drawn, F.lit(1)).when(spread, F.size(F.filter("dices", lambda v: v.isNotNull()))).otherwise(F.lit(0))
+    return _folded(calls, cases, knobs).select(*STEP_COLUMNS, images.alias("images"), _answer().alias("response"))
 
 
 def annotate(calls: DataFrame, cases: DataFrame) -> DataFrame:

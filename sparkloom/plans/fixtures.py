@@ -39,6 +39,9 @@ calls AS (SELECT user_id AS rec, CAST(pos AS BIGINT) AS pos, CASE WHEN event_typ
 
 CALL_ROWS = f"WITH {CALLS} SELECT * FROM calls"
 
+# the same on four of ten slices, with propagations
+MOVES = f"""{CALLS}, mv AS (SELECT rec, pos, CASE WHEN name = 'malformed' AND z % 2 = 0 THEN 'run_medsam2' ELSE name END AS name, CAST(z % 4 * 3 AS INT) AS z, delta FROM calls)"""
+
 # texts around whole numbers, with and without boxes
 TEXTS = """tx AS (SELECT o_orderkey AS id, CASE CAST(o_orderkey % 6 AS INT)
   WHEN 0 THEN concat('boxes: [', CAST(o_custkey AS STRING), ', 2, ', CAST(o_custkey + 9 AS STRING), ', 11.5]')

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import agent, rewards, trajectory
-from .fixtures import ANNOS, CALL_ROWS, CALLS, LR, plain, view
+from ..operators import agent, replay, rewards, trajectory
+from .fixtures import ANNOS, CALL_ROWS, CALLS, LR, MOVES, plain, view
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +23,22 @@ def history_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("rec", "pos", *(F.size(c).cast("bigint").alias(f"n_{c}") for c in ("visited", "annotated", "unvisited")))
 
 
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executed calls on ten slices: few of them are asked for, so that boxes and propagations repeat on slices seen before."""
+    calls = view(spark, sf_dir, f"WITH {MOVES} SELECT * FROM mv").withColumns({"box": F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), "refined": F.col("z") / 10.0})
+    ten = lambda f: F.transform(F.sequence(F.lit(0), F.lit(9)), f)
+    tight = ten(lambda i: F.struct(*(F.lit(v).alias(k) for k, v in (("x1", 1), ("y1", 2), ("x2", 3), ("y2", 4)))))
+    cases = calls.select("rec").distinct().select("rec", F.sequence(F.lit(0), F.lit(9)).alias("sampled"), tight.alias("tight"), ten(lambda i: F.when(i % 3 < 2, F.lit(0.5))).alias("dices"))
+    return replay.states(calls, cases)
+
+
 def overlay_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agent.overlay_changes(_steps(spark, sf_dir)).select("rec", "pos", "ptr", "changed")
+    return _states(spark, sf_dir).filter("decision").select("rec", "pos", "ptr", "changed")
 
 
 def revisit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = agent.overlay_changes(_steps(spark, sf_dir))
-    return d.groupBy("rec").agg(F.count_if(F.col("before") > 0).alias("revisits"), F.count_if((F.col("before") > 0) & ~F.col("changed")).alias("unchanged"), F.count_if("clamped").alias("clamped"))
+    d = _states(spark, sf_dir).filter("decision")
+    return d.groupBy("rec").agg(F.count_if("again").alias("revisits"), F.count_if(F.col("again") & ~F.col("changed")).alias("unchanged"), F.count_if("clamped").alias("clamped"))
 
 
 def gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +52,8 @@ def validate_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reward components of each trace; slices with an even number stand for lesions."""
-    steps = _steps(spark, sf_dir)
-    prev = F.lag("ptr").over(W.partitionBy("rec").orderBy("pos"))
-    nav = agent.overlay_changes(steps).join(steps.withColumn("prev", prev).select("rec", "pos", "prev", "delta"), ["rec", "pos"])
-    style = rewards.navigation_style(nav)
+    steps = _states(spark, sf_dir)
+    style = rewards.navigation_style(steps.filter("decision"))
     even = F.array(*(F.lit(i) for i in range(0, 10, 2)))
     odd = F.array(*(F.lit(i) for i in range(1, 10, 2)))
     drawn = F.array_sort(F.collect_set(F.when(F.col("ok") & (F.col("name") == "add_bbox"), F.col("ptr"))))
@@ -129,11 +136,19 @@ POINTER_SQL = f"""WITH RECURSIVE {plain(CALLS)}, r AS (SELECT DISTINCT rec, 0::B
     coalesce(c.name = 'scroll' AND c.delta <> 0 AND (r.ptr + c.delta < 0 OR r.ptr + c.delta > 9), false),
     CASE WHEN c.name = 'scroll' THEN r.ptr IS NOT NULL AND c.delta <> 0 WHEN c.name IN ('add_bbox', 'add_point') THEN coalesce(r.ptr = c.z, false) ELSE c.name <> 'malformed' END
   FROM r JOIN calls c ON c.rec = r.rec AND c.pos = r.pos + 1), s AS (SELECT * FROM r WHERE pos > 0)"""
-_NAV = f"""{POINTER_SQL}, o AS (SELECT *, sum(CASE WHEN name IN ('add_bbox', 'add_point') THEN 1 ELSE 0 END) OVER (PARTITION BY rec, ptr ORDER BY pos) AS overlay FROM s WHERE (ok OR name = 'scroll') AND ptr IS NOT NULL),
-n AS (SELECT *, lag(overlay) OVER w AS last, row_number() OVER w - 1 AS before FROM o WHERE name IN ('get_slice', 'scroll') WINDOW w AS (PARTITION BY rec, ptr ORDER BY pos)),
-v AS (SELECT *, last IS NULL OR last <> overlay AS changed FROM n)"""
+_NAV = f"""WITH RECURSIVE {plain(MOVES)}, r AS (SELECT DISTINCT rec, 0::BIGINT AS pos, '' AS name, 0 AS z, 0 AS delta, NULL::INT AS prev, NULL::INT AS ptr, false AS clamped, false AS ok, false AS decision, false AS changed, false AS again,
+    list_transform(range(10), lambda i: 'raw') AS overlay, list_transform(range(10), lambda i: NULL::VARCHAR) AS shown, []::INT[] AS seen FROM mv
+  UNION ALL SELECT rec, pos, name, z, delta, prev, ptr, clamped, ok, decision, decision AND shown[ptr + 1] IS DISTINCT FROM overlay[ptr + 1], decision AND list_contains(seen, ptr),
+    list_transform(range(10), lambda i: CASE WHEN ok AND name = 'add_bbox' AND i = prev THEN 'bbox' WHEN ok AND name = 'add_point' AND i = prev THEN 'refined_mask' WHEN name = 'run_medsam2' AND i % 3 < 2 THEN 'mask' ELSE overlay[i + 1] END),
+    CASE WHEN name IN ('get_slice', 'scroll') AND ptr IS NOT NULL THEN list_transform(range(10), lambda i: CASE WHEN i = ptr THEN overlay[i + 1] ELSE shown[i + 1] END) ELSE shown END,
+    CASE WHEN ok AND name IN ('get_slice', 'scroll') THEN list_append(seen, ptr) ELSE seen END
+  FROM (SELECT c.*, r.ptr AS prev, CASE WHEN c.name = 'get_slice' THEN c.z WHEN c.name = 'scroll' AND c.delta <> 0 AND r.ptr IS NOT NULL THEN least(9, greatest(0, r.ptr + c.delta)) ELSE r.ptr END AS ptr,
+      coalesce(c.name = 'scroll' AND c.delta <> 0 AND (r.ptr + c.delta < 0 OR r.ptr + c.delta > 9), false) AS clamped, c.name = 'get_slice' OR (c.name = 'scroll' AND r.ptr IS NOT NULL) AS decision,
+      CASE WHEN c.name = 'scroll' THEN r.ptr IS NOT NULL AND c.delta <> 0 WHEN c.name IN ('add_bbox', 'add_point') THEN coalesce(r.ptr = c.z, false) ELSE c.name <> 'malformed' END AS ok, r.overlay, r.shown, r.seen
+    FROM r JOIN mv c ON c.rec = r.rec AND c.pos = r.pos + 1)),
+s AS (SELECT * FROM r WHERE pos > 0), v AS (SELECT * FROM s WHERE decision)"""
 _REW = f"""{_NAV}, st AS (SELECT rec, sum(CASE WHEN name = 'scroll' THEN CASE WHEN clamped THEN -0.02 WHEN abs(delta) <= 2 THEN 0.01 ELSE 0 END
-  ELSE CASE WHEN prev IS NULL OR abs(ptr - prev) >= 3 THEN 0.01 ELSE 0 END + CASE WHEN before > 0 AND NOT changed THEN -0.05 ELSE 0 END END::DOUBLE) AS r_nav_style FROM v GROUP BY rec),
+  ELSE CASE WHEN prev IS NULL OR abs(ptr - prev) >= 3 THEN 0.01 ELSE 0 END + CASE WHEN again AND NOT changed THEN -0.05 ELSE 0 END END::DOUBLE) AS r_nav_style FROM v GROUP BY rec),
 g AS (SELECT rec, count(DISTINCT ptr) FILTER (ok AND name = 'add_bbox' AND ptr % 2 = 0) AS e, count(DISTINCT ptr) FILTER (ok AND name = 'add_bbox' AND ptr % 2 = 1) AS o,
   coalesce(sum(least(0.3::DOUBLE, greatest(0::DOUBLE, (z / 20.0::DOUBLE + delta / 10.0::DOUBLE) - z / 20.0::DOUBLE))) FILTER (ok AND name = 'add_point'), 0) AS r_dice_gain,
   coalesce(avg(z / 10.0::DOUBLE) FILTER (ok AND name = 'add_bbox'), 0) AS r_bbox_iou, count(*) FILTER (name <> 'malformed') AS n FROM s GROUP BY rec),
@@ -147,7 +162,7 @@ SQL = {
     "history_sets": f"""{POINTER_SQL}, k AS (SELECT * FROM s WHERE ok), h AS (SELECT a.rec, a.pos, count(DISTINCT b.ptr) FILTER (b.name IN ('get_slice', 'scroll')) AS n_visited, count(DISTINCT b.ptr) FILTER (b.name = 'add_bbox') AS n_annotated
       FROM k a JOIN k b ON a.rec = b.rec AND b.pos <= a.pos GROUP BY ALL) SELECT rec, pos, n_visited, n_annotated, 10 - n_visited AS n_unvisited FROM h""",
     "overlay_change": f"{_NAV} SELECT rec, pos, ptr, changed FROM v",
-    "revisit_flags": f"{_NAV} SELECT rec, count(*) FILTER (before > 0) AS revisits, count(*) FILTER (before > 0 AND NOT changed) AS unchanged, count(*) FILTER (clamped) AS clamped FROM v GROUP BY rec",
+    "revisit_flags": f"{_NAV} SELECT rec, count(*) FILTER (again) AS revisits, count(*) FILTER (again AND NOT changed) AS unchanged, count(*) FILTER (clamped) AS clamped FROM v GROUP BY rec",
     "gate_violations": f"""WITH RECURSIVE {plain(CALLS)}, r AS (SELECT DISTINCT rec, 0::BIGINT AS pos, NULL::INT AS ptr, false AS seen, []::VARCHAR[] AS v, 0 AS ends, 0::BIGINT AS last FROM calls
       UNION ALL SELECT c.rec, c.pos, CASE WHEN c.name = 'get_slice' THEN c.z WHEN c.name = 'scroll' AND r.ptr IS NOT NULL THEN least(9, greatest(0, r.ptr + c.delta)) ELSE r.ptr END, r.seen OR c.name = 'get_slice',
         CASE WHEN c.name = 'scroll' AND NOT r.seen THEN list_append(v, 'scroll_before_first_get_slice') WHEN c.name IN ('add_bbox', 'add_point') AND coalesce(r.ptr <> c.z, true) THEN list_append(v, c.name || '_z_mismatch_at_' || (c.pos - 1)) ELSE v END,

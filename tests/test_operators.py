@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions import arrays, geometry, text
-from sparkloom.operators import agent, annotations, losses, masks, matching, metrics, rewards, trajectory
+from sparkloom.operators import agent, annotations, losses, masks, matching, metrics, replay, rewards, trajectory
 from sparkloom.sources import readers, writers
 from sparkloom.streaming import executor
 
@@ -87,6 +87,19 @@ def test_pointer(spark):
     assert [(r["ptr"], r["clamped"], r["ok"]) for r in got] == [(None, False, False), (7, False, True), (9, True, True), (9, False, False), (9, False, False)]
 
 
+def test_overlay_state_of_looks(spark):
+    """A look compares what is drawn now with what its slice's last look showed: a state, not a count."""
+    names = ["get_slice", "add_bbox", "get_slice", "add_bbox", "get_slice", "run_medsam2", "get_slice", "add_point", "get_slice", "get_slice", "scroll", "add_bbox", "get_slice", "get_slice"]
+    at = [4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 0, 4, 99, 4]
+    d = spark.createDataFrame([(1, i, n, z, 0, [1, 2, 3, 4], 0.5) for i, (n, z) in enumerate(zip(names, at, strict=True))], "rec long, pos long, name string, z int, delta int, box array<int>, refined double")
+    cases = spark.createDataFrame([(1, [4, 5], [None, None], [0.5, None])], "rec long, sampled array<int>, tight array<struct<x1:int,y1:int,x2:int,y2:int>>, dices array<double>")
+    got = replay.states(d, cases).orderBy("pos").collect()
+    # a box again is the same state, propagation and points change it; a look that fails has seen the slice in view
+    assert [(r["pos"], r["changed"]) for r in got if r["decision"]] == [(0, True), (2, True), (4, False), (6, True), (8, True), (9, False), (10, False), (13, False)]
+    assert [r["again"] for r in got if r["decision"]] == [False] + [True] * 7
+    assert rewards.navigation_style(replay.states(d, cases).filter("decision")).first()[1] == pytest.approx(0.01 - 0.05 * 3 + 0.01)
+
+
 def test_gate(spark):
     got = agent.gate_violations(calls(spark, ("scroll", 0, 1), ("get_slice", 3, 0), ("run_medsam2", 3, 0), ("finish", 0, 0))).first()
     assert got["violations"] == ["scroll_before_first_get_slice"]
@@ -98,10 +111,10 @@ def test_plan(spark):
     n = {r["op"]: r["n"] for r in plan.groupBy("op").agg(F.count("*").alias("n")).collect()}
     assert n == {"get_slice": 9, "scroll": 16, "add_bbox": 10, "run_medsam2": 1, "finish": 1}
     steps = agent.pointer_steps(plan.select("rec", F.col("seq").cast("long").alias("pos"), F.col("op").alias("name"), "z", "delta"))
-    from pyspark.sql import Window as W
-
-    nav = agent.overlay_changes(steps).join(steps.withColumn("prev", F.lag("ptr").over(W.partitionBy("rec").orderBy("pos"))).select("rec", "pos", "prev", "delta"), ["rec", "pos"])
-    assert rewards.navigation_style(nav).first()["r_nav_style"] == pytest.approx(0.14)
+    nobody = F.array_repeat(F.lit(None), 10)
+    cases = d.select("rec", "sampled", nobody.cast("array<struct<x1:int,y1:int,x2:int,y2:int>>").alias("tight"), nobody.cast("array<double>").alias("dices"))
+    moves = replay.states(steps.withColumns({"box": F.lit(None).cast("array<int>"), "refined": F.lit(None).cast("double")}), cases).filter("decision")
+    assert rewards.navigation_style(moves).first()["r_nav_style"] == pytest.approx(0.14)
     assert agent.gate_violations(steps).first()["violations"] == []
 
 
