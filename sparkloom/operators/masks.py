@@ -84,16 +84,20 @@ def _measures(d: DataFrame, keys: list[str]) -> DataFrame:
     return d.select(*keys, g, p, s, dice(s, g, p).alias("dice"), mask_iou(s, g, p).alias("iou"), ratio(s, p).alias("precision"), ratio(s, g).alias("recall"))
 
 
-def combine(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Runs of the pixels in both masks (and), either (or), one (xor) or only the first (minus).
+RUNS = "array<struct<start:bigint,length:bigint>>"
+
+
+def _combined(runs: Column, how: str) -> Column:
+    """The runs, in order, of the pixels that the sides of swept runs cover as asked.
 
-    The sorted edges of both cut the pixels into stretches; a stretch stays if
-    the sides that cover it fit.  Neighbouring stretches are one run.
+    The sorted edges of both sides cut the pixels into stretches; a stretch
+    stays if the sides that cover it fit.  Neighbouring stretches are one run.
     """
-    test = {"and": lambda x, y: x & y, "or": lambda x, y: x | y, "xor": lambda x, y: x != y, "minus": lambda x, y: x & ~y}[how]
+    tests = {"and": lambda x, y: x & y, "or": lambda x, y: x | y, "xor": lambda x, y: x != y, "minus": lambda x, y: x & ~y, "less": lambda x, y: ~x & y}
+    test = tests[how]
     edge = lambda r, at, by: F.struct(r[at].alias("at"), F.when(r["side"] == 0, by).otherwise(0).alias("x"), F.when(r["side"] == 1, by).otherwise(0).alias("y"))
-    edges = F.array_sort(F.concat(F.transform("runs", lambda r: edge(r, "start", 1)), F.transform("runs", lambda r: edge(r, "end", -1))))
-    state = "struct<at:bigint,x:int,y:int,open:bigint,out:array<struct<start:bigint,length:bigint>>>"
+    edges = F.array_sort(F.concat(F.transform(runs, lambda r: edge(r, "start", 1)), F.transform(runs, lambda r: edge(r, "end", -1))))
+    state = f"struct<at:bigint,x:int,y:int,open:bigint,out:{RUNS}>"
     begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(None).alias("open"), F.array().alias("out")).cast(state)
 
     def step(s: Column, e: Column) -> Column:
@@ -106,7 +110,18 @@ def combine(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
         return F.struct(e["at"].alias("at"), (s["x"] + e["x"]).alias("x"), (s["y"] + e["y"]).alias("y"), open_.alias("open"), out.alias("out")).cast(state)
 
     last = lambda s: F.when(s["open"].isNotNull(), F.concat(s["out"], F.array(F.struct(s["open"].alias("start"), (s["at"] - s["open"]).alias("length"))))).otherwise(s["out"])
-    return _swept(a, b, keys).select(*keys, F.explode(F.aggregate(edges, begin, step, last)).alias("r")).select(*keys, "r.*")
+    return F.aggregate(edges, begin, step, last)
+
+
+def combine(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Runs of the pixels in both masks (and), either (or), one (xor), only the first (minus) or only the second (less)."""
+    return _swept(a, b, keys).select(*keys, F.explode(_combined(F.col("runs"), how)).alias("r")).select(*keys, "r.*")
+
+
+def differences(truth: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, missed and false: the runs that a prediction lacks and that it has too much, for every key of either side."""
+    runs = F.col("runs")
+    return _swept(truth, pred, keys).select(*keys, _combined(runs, "minus").alias("missed"), _combined(runs, "less").alias("false"))
 
 
 def volume_scores(slices: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,13 +19,15 @@ def plain(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 
 
+# pr are predicted boxes, pc the same clipped at the image's corner
 LR = """lr AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
   l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM {lineitem}),
 bx AS (SELECT l_orderkey AS rec, CAST(rn AS BIGINT) AS rn, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_partkey * 7 % 400 AS bx1, l_suppkey * 13 % 400 AS by1,
   l_partkey * 7 % 400 + 8 + CAST(l_quantity AS BIGINT) AS bx2, l_suppkey * 13 % 400 + 8 + CAST(l_linenumber AS BIGINT) * 6 AS by2 FROM lr),
 gt AS (SELECT rec, rn AS g, bx1 AS x1, by1 AS y1, bx2 AS x2, by2 AS y2 FROM bx WHERE l_returnflag <> 'R'),
 pr AS (SELECT rec, rn AS p, bx1 + (l_partkey + l_suppkey) % 11 - 5 AS x1, by1 + l_partkey % 7 - 3 AS y1, bx2 + l_partkey % 5 AS x2, by2 + l_suppkey % 5 AS y2
-  FROM bx WHERE l_linestatus = 'F')"""
+  FROM bx WHERE l_linestatus = 'F'),
+pc AS (SELECT rec, p, greatest(x1, 0) AS x1, greatest(y1, 0) AS y1, x2, y2 FROM pr)"""
 
 GT, PR = f"WITH {LR} SELECT * FROM gt", f"WITH {LR} SELECT * FROM pr"
 

@@ -93,7 +93,7 @@ def box_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tight_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of true boxes with the tight boxes of predicted masks, which do not widen their far edges."""
     keys = ["rec", "z"]
-    pred = masks.tight_boxes(masks.box_runs(view(spark, sf_dir, f"WITH {LR} SELECT rec, p AS z, x1, y1, x2, y2 FROM pr WHERE x1 >= 0 AND y1 >= 0"), keys), keys)
+    pred = masks.tight_boxes(masks.box_runs(view(spark, sf_dir, f"WITH {LR} SELECT rec, p AS z, x1, y1, x2, y2 FROM pc"), keys), keys)
     true = view(spark, sf_dir, f"WITH {LR} SELECT rec, g AS z, x1 AS a1, y1 AS b1, x2 AS a2, y2 AS b2 FROM gt")
     d = true.join(pred, keys, "left")
     iou = geometry.tight_box_iou(tuple(F.col(c) for c in ("a1", "b1", "a2", "b2")), tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.col("area").isNull())
@@ -103,7 +103,7 @@ def tight_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of each class of the overlap map, by record."""
     keys = ["rec", "z"]
-    true, pred = (masks.box_runs(view(spark, sf_dir, f"WITH {LR} SELECT rec, {n} AS z, x1, y1, x2, y2 FROM {t} WHERE x1 >= 0 AND y1 >= 0"), keys) for n, t in (("g", "gt"), ("p", "pr")))
+    true, pred = (masks.box_runs(view(spark, sf_dir, f"WITH {LR} SELECT rec, {n} AS z, x1, y1, x2, y2 FROM {t}"), keys) for n, t in (("g", "gt"), ("p", "pc")))
     out = None
     for kind, how, a, b in (("hit", "and", true, pred), ("missed", "minus", true, pred), ("false", "minus", pred, true)):
         d = masks.combine(a, b, keys, how).groupBy("rec").agg(F.sum("length").cast("bigint").alias("pixels")).withColumn("kind", F.lit(kind))
@@ -236,8 +236,8 @@ SQL = {
       CASE WHEN g % 3 > 0 THEN round_even(x1 / 512.0::DOUBLE, 3) ELSE 0 END::DOUBLE AS iou, CASE WHEN x1 % 2 = 0 AND y1 % 3 = 0 THEN 'hit' WHEN y1 % 3 = 0 THEN 'missed' WHEN x1 % 2 = 0 THEN 'false' ELSE 'none' END AS kind,
       floor(x1 % 256 * 0.55::DOUBLE + 255.0::DOUBLE * 0.45::DOUBLE)::INT AS red FROM gt""",
     "tight_overlaps": f"""WITH {plain(LR)}, j AS (SELECT a.rec, a.g AS z, b.x1 IS NULL AS none, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
-      FROM gt a LEFT JOIN (SELECT * FROM pr WHERE x1 >= 0 AND y1 >= 0) b ON a.rec = b.rec AND a.g = b.p) SELECT rec, z, CASE WHEN none THEN 1 WHEN i > 0 THEN round(i / (s - i)::DOUBLE, 6) ELSE 0 END::DOUBLE AS iou FROM j""",
-    "overlap_map": f"""WITH {plain(LR)}, a AS (SELECT rec, g AS z, x1, y1, x2, y2 FROM gt), b AS (SELECT rec, p AS z, x1, y1, x2, y2 FROM pr WHERE x1 >= 0 AND y1 >= 0),
+      FROM gt a LEFT JOIN pc b ON a.rec = b.rec AND a.g = b.p) SELECT rec, z, CASE WHEN none THEN 1 WHEN i > 0 THEN round(i / (s - i)::DOUBLE, 6) ELSE 0 END::DOUBLE AS iou FROM j""",
+    "overlap_map": f"""WITH {plain(LR)}, a AS (SELECT rec, g AS z, x1, y1, x2, y2 FROM gt), b AS (SELECT rec, p AS z, x1, y1, x2, y2 FROM pc),
       q AS (SELECT rec, coalesce((a.x2 - a.x1 + 1) * (a.y2 - a.y1 + 1), 0) AS ga, coalesce((b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1), 0) AS pa, CASE WHEN a.x1 IS NULL OR b.x1 IS NULL THEN 0
         ELSE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1) END AS sh FROM a FULL JOIN b USING (rec, z)),
       s AS (SELECT rec, unnest(['hit', 'missed', 'false']) AS kind, unnest([sum(sh), sum(ga - sh), sum(pa - sh)])::BIGINT AS pixels FROM q GROUP BY rec) SELECT * FROM s WHERE pixels > 0""",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import masks, metrics
+from ..operators import masks, metrics, points
 from .fixtures import LR, plain, view
 
 _TRUE = f"WITH {LR} SELECT rec, g AS z, x1, y1, x2, y2 FROM gt"
-_PRED = f"WITH {LR} SELECT rec, p AS z, x1, y1, x2, y2 FROM pr WHERE x1 >= 0 AND y1 >= 0"
+_PRED = f"WITH {LR} SELECT rec, p AS z, x1, y1, x2, y2 FROM pc"
 _PARTS = f"WITH {LR} SELECT rec, g % 5 + g * 9 % 31 AS x1, g % 5 + g * 17 % 29 AS y1, g % 5 + g * 9 % 31 + 5 AS x2, g % 5 + g * 17 % 29 + 4 AS y2 FROM gt"
 KEYS = ["rec", "z"]
 
@@ -116,7 +116,7 @@ def finite_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summary(d, "v", ["user_id"]).select("user_id", F.round("p95", 6).alias("p95"), F.format_string("%.2f", F.least("most", F.lit(100.0))).alias("capped"))
 
 
-_Q = f"""WITH {plain(LR)}, a AS (SELECT rec, g AS z, x1, y1, x2, y2 FROM gt), b AS (SELECT rec, p AS z, x1, y1, x2, y2 FROM pr WHERE x1 >= 0 AND y1 >= 0),
+_Q = f"""WITH {plain(LR)}, a AS (SELECT rec, g AS z, x1, y1, x2, y2 FROM gt), b AS (SELECT rec, p AS z, x1, y1, x2, y2 FROM pc),
 q AS (SELECT rec, z, coalesce((a.x2 - a.x1 + 1) * (a.y2 - a.y1 + 1), 0) AS gt_area, coalesce((b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1), 0) AS pred_area,
   coalesce(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1), 0) AS overlap FROM a FULL JOIN b USING (rec, z)),
 s AS (SELECT rec, z, gt_area, pred_area, CASE WHEN gt_area = 0 OR pred_area = 0 THEN 0 ELSE overlap END AS shared FROM q),
@@ -124,7 +124,7 @@ m AS (SELECT *, 2 * shared / (gt_area + pred_area)::DOUBLE AS dice, CASE WHEN pr
 #: Distances of the edge pixels of each box to the other box's edge, by its sides.
 _FAR = """CASE WHEN x BETWEEN o.x1 AND o.x2 AND y BETWEEN o.y1 AND o.y2 THEN least(x - o.x1, o.x2 - x, y - o.y1, o.y2 - y)::DOUBLE
   ELSE sqrt(pow(greatest(o.x1 - x, x - o.x2, 0), 2) + pow(greatest(o.y1 - y, y - o.y2, 0), 2)) END"""
-_SIDES = f"WITH {plain(LR)}, a AS (SELECT rec, g AS z, x1, y1, x2, y2 FROM gt), b AS (SELECT rec, p AS z, x1, y1, x2, y2 FROM pr WHERE x1 >= 0 AND y1 >= 0)"
+_SIDES = f"WITH {plain(LR)}, a AS (SELECT rec, g AS z, x1, y1, x2, y2 FROM gt), b AS (SELECT rec, p AS z, x1, y1, x2, y2 FROM pc)"
 _HD = f"""u AS (SELECT 0 AS side, * FROM a UNION ALL SELECT 1, * FROM b),
 e AS (SELECT side, rec, z, unnest(range(x1, x2 + 1)) AS x, y1 AS y FROM u UNION ALL SELECT side, rec, z, unnest(range(x1, x2 + 1)), y2 FROM u
   UNION ALL SELECT side, rec, z, x1, unnest(range(y1 + 1, y2)) FROM u UNION ALL SELECT side, rec, z, x2, unnest(range(y1 + 1, y2)) FROM u),
@@ -132,6 +132,24 @@ f AS (SELECT e.rec, e.z, {_FAR} AS d FROM e JOIN u o ON o.rec = e.rec AND o.z =
 h AS (SELECT rec, z, round(quantile_cont(d, 0.95), 6) AS hd95 FROM f GROUP BY rec, z)"""
 _EV = "WITH e AS (SELECT *, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v FROM events)"
 
+def error_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correction points on missed and false pixels of every pair of masks."""
+    d = points.error_points(*_runs(spark, sf_dir), KEYS)
+    d = d.select("rec", "z", F.inline(F.arrays_zip(d["points"].alias("p"), d["labels"].alias("label"))))
+    return d.select("rec", "z", "label", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+_DRAWN = lambda i: f"('0x' || substr(md5(concat_ws('|', '42', rec, z, label, '{i}')), 1, 15))::BIGINT % (n - k + {i + 1})"
+# pixel columns of either box less those of the other, in at most two pieces
+_ERRORS = f"""{_SIDES}, w AS (SELECT rec, z, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM a FULL JOIN b USING (rec, z)),
+c AS (SELECT rec, z, 1 AS label, x, ay1 AS y1, ay2 AS y2, CASE WHEN x BETWEEN bx1 AND bx2 THEN by1 END AS o1, by2 AS o2 FROM (SELECT *, unnest(range(ax1, ax2 + 1)) AS x FROM w WHERE ax1 IS NOT NULL)
+  UNION ALL SELECT rec, z, 0, x, by1, by2, CASE WHEN x BETWEEN ax1 AND ax2 THEN ay1 END, ay2 FROM (SELECT *, unnest(range(bx1, bx2 + 1)) AS x FROM w WHERE bx1 IS NOT NULL)),
+p AS (SELECT rec, z, label, x * 512 + y1 AS start, CASE WHEN o1 IS NULL THEN y2 ELSE least(y2, o1 - 1) END - y1 + 1 AS length FROM c UNION ALL SELECT rec, z, label, x * 512 + greatest(y1, o2 + 1), y2 - greatest(y1, o2 + 1) + 1 FROM c WHERE o1 IS NOT NULL),
+s AS (SELECT *, sum(length) OVER (PARTITION BY rec, z, label ORDER BY start) - length AS before FROM p WHERE length > 0),
+n AS (SELECT rec, z, label, sum(length)::BIGINT AS n, CASE label WHEN 1 THEN 3 ELSE 2 END AS k FROM s GROUP BY ALL), h AS (SELECT *, {_DRAWN(0)} AS d0, {_DRAWN(1)} AS e1, {_DRAWN(2)} AS e2 FROM n),
+i AS (SELECT *, CASE WHEN e1 = d0 THEN n - k + 1 ELSE e1 END AS d1 FROM h), j AS (SELECT *, CASE WHEN e2 IN (d0, d1) THEN n - k + 2 ELSE e2 END AS d2 FROM i),
+r AS (SELECT rec, z, label, unnest(CASE WHEN n <= k THEN range(n) WHEN k = 3 THEN [d0, d1, d2] ELSE [d0, d1] END) AS r FROM j)"""
+
 SQL = {
     "mask_area_bbox": f"WITH {plain(LR)} SELECT rec, g AS z, ((x2 - x1 + 1) * (y2 - y1 + 1))::BIGINT AS area, x1, y1, x2, y2 FROM gt",
     "mask_dice_slice": f"{_Q} SELECT rec, z, gt_area, pred_area, shared, round(dice, 6) AS dice, round(precision, 6) AS precision, round(recall, 6) AS recall FROM m",
@@ -151,6 +169,7 @@ SQL = {
       SELECT rec, z, (w * h + 4 * (w + h) + 4 - CASE l WHEN 0 THEN 0 WHEN 1 THEN h ELSE 2 * h + 2 END - CASE t WHEN 0 THEN 0 WHEN 1 THEN w ELSE 2 * w + 2 END
         + CASE WHEN l = 2 AND t = 2 THEN 1 ELSE 0 END)::BIGINT AS grown, ((w - 4) * (h - 4))::BIGINT AS shrunk FROM b""",
     "rle_compressed": f"WITH {plain(LR)} SELECT rec, g AS z, ((x2 - x1 + 1) * (y2 - y1 + 1))::BIGINT AS area, x1, y1, x2, y2 FROM gt",
+    "error_points": f"{_ERRORS} SELECT rec, z, label, ((start + r - before) // 512)::INT AS x, ((start + r - before) % 512)::INT AS y FROM r JOIN s USING (rec, z, label) WHERE r >= before AND r < before + length",
     "connected_components": f"""WITH RECURSIVE {plain(LR)}, b AS (SELECT rec, g, g % 5 + g * 9 % 31 AS x1, g % 5 + g * 17 % 29 AS y1, g % 5 + g * 9 % 31 + 5 AS x2, g % 5 + g * 17 % 29 + 4 AS y2 FROM gt),
       n AS (SELECT p.rec, p.g AS a, q.g AS b FROM b p JOIN b q USING (rec) WHERE p.x1 <= q.x2 + 1 AND q.x1 <= p.x2 + 1 AND p.y1 <= q.y2 + 1 AND q.y1 <= p.y2 + 1
         AND NOT ((p.x1 = q.x2 + 1 OR q.x1 = p.x2 + 1) AND (p.y1 = q.y2 + 1 OR q.y1 = p.y2 + 1))),

@@ -125,7 +125,7 @@ def abort_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rewards of masks -----------------------------------------------------------
 
 _TRUE = f"WITH {LR} SELECT rec, g AS z, x1, y1, x2, y2 FROM gt"
-_PRED = f"WITH {LR} SELECT rec, p AS z, x1, y1, x2, y2 FROM pr WHERE x1 >= 0 AND y1 >= 0"
+_PRED = f"WITH {LR} SELECT rec, p AS z, x1, y1, x2, y2 FROM pc"
 
 
 def mask_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ SQL = {
         round(sum(CASE WHEN name = 'add_bbox' AND z % 2 = 0 THEN round_even(1200 / (1200 + 40 * (z % 3))::DOUBLE, 3) WHEN name = 'add_bbox' THEN 0 WHEN name = 'run_medsam2' THEN 0.2 WHEN name = 'add_point' THEN CASE WHEN z % 2 = 0 THEN z / 10.0 ELSE 0 END END::DOUBLE), 4) AS total,
         count(*) FILTER (name = 'scroll') AS errors FROM c WHERE name IN ('add_bbox', 'run_medsam2', 'add_point', 'finish', 'scroll') GROUP BY name""",
     "abort_rows": "SELECT DISTINCT user_id AS rec, 0.0::DOUBLE AS r_dice, 0 AS gate, 'timeout' AS violations, 0::BIGINT AS num_turns, false AS finished FROM events WHERE user_id % 3 = 0",
-    "mask_rewards": f"""WITH {plain(LR)}, a AS (SELECT rec, g AS z, x1, y1, x2, y2 FROM gt), b AS (SELECT rec, p AS z, x1, y1, x2, y2 FROM pr WHERE x1 >= 0 AND y1 >= 0),
+    "mask_rewards": f"""WITH {plain(LR)}, a AS (SELECT rec, g AS z, x1, y1, x2, y2 FROM gt), b AS (SELECT rec, p AS z, x1, y1, x2, y2 FROM pc),
       q AS (SELECT rec, z, coalesce((a.x2 - a.x1 + 1) * (a.y2 - a.y1 + 1), 0) AS ga, coalesce((b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1), 0) AS pa,
         CASE WHEN a.x1 IS NULL OR b.x1 IS NULL THEN 0 ELSE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1) END AS sh FROM a FULL JOIN b USING (rec, z)),
       s AS (SELECT rec, z, ga, 2 * sh / (ga + pa)::DOUBLE AS dice FROM q), e AS (SELECT DISTINCT rec FROM bx),
