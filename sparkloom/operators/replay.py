@@ -143,6 +143,14 @@ def _answer() -> Column:
     )
 
 
+def answered(steps: DataFrame, *more: str) -> DataFrame:
+    """Steps that carry their case and the state they met, a batch's or a stream's, with images and response instead."""
+    ok, name = F.col("ok"), F.col("name")
+    one = ok & (name.isin(*NAVIGATION) | name.isin("add_bbox", "add_point"))
+    images = F.when(one, F.lit(1)).when(ok & (name == "run_medsam2"), F.size(F.filter("dices", lambda v: v.isNotNull()))).otherwise(F.lit(0))
+    return steps.select(*more, *STEP_COLUMNS, images.alias("images"), _answer().alias("response"))
+
+
 def states(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs = KNOBS) -> DataFrame:
     """Steps of each record up to its finish, without responses; see `navigate`."""
     return _folded(calls, cases, knobs).select(*STEP_COLUMNS)
@@ -158,10 +166,7 @@ def navigate(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs = KNOBS) ->
     not what its last look showed; again: the slice was seen before; iou,
     gain: of boxes and points.
     """
-    look, drawn = F.col("ok") & F.col("name").isin(*NAVIGATION), F.col("ok") & F.col("name").isin("add_bbox", "add_point")
-    spread = F.col("ok") & (F.col("name") == "run_medsam2")
-    images = F.when(look | drawn, F.lit(1)).when(spread, F.size(F.filter("dices", lambda v: v.isNotNull()))).otherwise(F.lit(0))
-    return _folded(calls, cases, knobs).select(*STEP_COLUMNS, images.alias("images"), _answer().alias("response"))
+    return answered(_folded(calls, cases, knobs))
 
 
 def annotate(calls: DataFrame, cases: DataFrame) -> DataFrame:

@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annotation, detection, forms, learning, records, segmentation, traces, trajectories
-from ..streaming import executor
+from . import annotation, detection, forms, learning, records, segmentation, streams, traces, trajectories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (detection, annotation, segmentation, traces, trajectories, learning, records, forms, executor):
+for _module in (detection, annotation, segmentation, traces, trajectories, learning, records, forms, streams):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.SQL)
 

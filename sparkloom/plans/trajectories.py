@@ -87,36 +87,40 @@ _REPLAY = f"""WITH {CALLS} SELECT rec, pos, CASE WHEN name = 'malformed' AND z %
   CASE WHEN name = 'add_bbox' THEN ARRAY(CAST(10 + z AS INT), 20, CAST(40 + z AS INT), 60) END AS box, CASE WHEN name = 'add_point' THEN CAST(z AS DOUBLE) / 10.0 END AS refined FROM calls"""
 
 
-def _replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     calls = view(spark, sf_dir, _REPLAY)
     tight = lambda i: F.when(i % 2 == 0, F.struct((10 + i).alias("x1"), F.lit(20).alias("y1"), (40 + i + i % 3).alias("x2"), F.lit(60).alias("y2")))
     cases = calls.select("rec").distinct().select("rec", _ten(lambda i: i + 3).alias("sampled"), _ten(tight).alias("tight"), _ten(lambda i: F.when(i % 3 < 2, i / 20.0)).alias("dices"))
     return calls, cases
 
 
-def executor_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = replay.navigate(*_replayed(spark, sf_dir))
+def told_steps(d: DataFrame) -> DataFrame:
+    """Steps with what their responses say."""
     error = F.coalesce(F.get_json_object("response", "$.error"), F.lit(""))
     shown = F.coalesce(F.size(F.from_json(F.get_json_object("response", "$.history.visited_ordinals"), "array<int>")), F.lit(-1))
     dice = F.get_json_object("response", "$.dice_with_gt").cast("double")
     return d.select("rec", "pos", "name", F.coalesce("ptr", F.lit(-1)).alias("ptr"), "ok", "clamped", "images", error.alias("error"), shown.alias("visited"), F.round("iou", 3).alias("iou"), dice.alias("dice"))
 
 
+def executor_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told_steps(replay.navigate(*replayed(spark, sf_dir)))
+
+
 def executor_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = replay.telemetry(replay.navigate(*_replayed(spark, sf_dir)))
+    d = replay.telemetry(replay.navigate(*replayed(spark, sf_dir)))
     return d.select("rec", "num_turns", "n_add_bbox", "n_add_point", "n_run_medsam2", "n_finish", "boundary_clamp_count", F.round("r_bbox_iou", 6).alias("r_bbox_iou"))
 
 
 def annotation_executor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses of the form without navigation, by tool."""
-    calls, cases = _replayed(spark, sf_dir)
+    calls, cases = replayed(spark, sf_dir)
     d = replay.annotate(calls.filter(F.col("name").isin("add_bbox", "run_medsam2", "add_point", "finish", "scroll")), cases)
     number = F.coalesce(F.get_json_object("response", "$.iou_with_gt"), F.get_json_object("response", "$.dice_with_gt"), F.get_json_object("response", "$.slices[4].dice_with_gt")).cast("double")
     return d.groupBy("name").agg(F.count("*").alias("n"), F.sum("images").cast("bigint").alias("images"), F.round(F.sum(number), 4).alias("total"), F.count_if(F.get_json_object("response", "$.error").isNotNull()).alias("errors"))
 
 
 def abort_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, _ = _replayed(spark, sf_dir)
+    calls, _ = replayed(spark, sf_dir)
     requests = calls.select("rec").distinct()
     d = replay.abort_rows(requests, requests.filter("rec % 3 <> 0"), "timeout")
     return d.select("rec", "r_dice", "gate", F.array_join("gate_violations", ",").alias("violations"), "num_turns", "finished")

@@ -1,8 +1,12 @@
-"""The slice-navigation executor as a stateful stream.
-
-One key is one trajectory; its state is the slice pointer and the number of
-steps.  Calls of a micro-batch are taken in the order of their position, so a
-replay in order gives what the batch fold gives.
+"""The executor of tool calls as a stateful stream.
+
+One key is one record.  Its state is the next position and the slice in view,
+a map of slices (overlay, what their last look showed, box, Dice), the lists
+of slices visited and annotated, and a map of calls that came before their
+turn.  A call is executed when all before it were, whatever the micro-batches
+they come in.  An event-time timer follows the record's last call: when the
+watermark passes it, a record without a finish ends in an abort row, and the
+state of every record goes.
 """
 
 from __future__ import annotations
@@ -11,57 +15,163 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..plans.fixtures import CALL_ROWS, view
-from ..plans.traces import POINTER_SQL
+from ..functions.wording import score
+from ..operators import replay
+from ..operators.replay import FINISH
+from ..operators.rewards import KNOBS, RewardKnobs
 
-OUTPUT = "rec bigint, pos bigint, name string, ptr int, clamped boolean, ok boolean"
+CASE = "sampled array<int>, tight array<struct<x1:int,y1:int,x2:int,y2:int>>, dices array<double>"
+OUTPUT = (
+    f"event string, rec bigint, {CASE}, pos bigint, name string, z int, delta int, prev int, ptr int, ok boolean, clamped boolean, decision boolean, changed boolean, again boolean, called array<int>, gain double, fix double, "
+    "visited array<int>, annotated array<int>, overlay array<string>, boxes array<array<int>>, dice array<double>, refined array<double>"
+)
+FIELDS = [x.split()[0] for x in OUTPUT.split(", ")]
+_CALL = "name string, z int, delta int, box array<int>, refined double, rounded double"
+_SLICE = "overlay string, shown string, box array<int>, dice double, refined double"
 
 
-class SlicePointer(StatefulProcessor):
-    """Pointer of one trajectory over `slices` slices."""
+class RecordExecutor(StatefulProcessor):
+    """Executes the calls of one record in the order of their positions; see `execute_stream`."""
 
-    def __init__(self, slices: int = 10):
-        self.slices = slices
+    def __init__(self, silence: int, first: int, knobs: RewardKnobs):
+        self.silence, self.first, self.clip = silence, first, knobs.gain_clip
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("pointer", "ptr int, steps bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ptr, steps = self.state.get() if self.state.exists() else (None, 0)
-        calls = pd.concat(list(rows)).sort_values("pos")
-        out = []
-        for pos, name, z, delta in zip(calls["pos"], calls["name"], calls["z"], calls["delta"], strict=True):
-            clamped, ok = False, name != "malformed"
-            if name == "get_slice":
-                ok = 0 <= z < self.slices
-                ptr = int(z) if ok else ptr
-            elif name == "scroll":
-                ok = ptr is not None and delta != 0
-                if ok:
-                    target = ptr + int(delta)
-                    ptr = max(0, min(self.slices - 1, target))
-                    clamped = ptr != target
-            elif name in ("add_bbox", "add_point"):
-                ok = ptr == z
-            out.append((key[0], int(pos), name, ptr, clamped, ok))
-            steps += 1
-        self.state.update((ptr, steps))
-        frame = pd.DataFrame(out, columns=["rec", "pos", "name", "ptr", "clamped", "ok"])
-        frame["ptr"] = frame["ptr"].astype("Int32")
-        yield frame
-
-    def close(self) -> None:
-        pass
-
-
-def execute_stream(calls: DataFrame, slices: int = 10) -> DataFrame:
-    """Steps of a stream of calls rec, pos, name, z, delta."""
-    return calls.groupBy("rec").transformWithStateInPandas(SlicePointer(slices), OUTPUT, "Append", "none")
+        self.handle = handle
+        self.at = handle.getValueState("at", "next bigint, ptr int, done boolean, last bigint")
+        self.waiting = handle.getMapState("waiting", "pos bigint", _CALL)
+        self.slices = handle.getMapState("slices", "ordinal int", _SLICE)
+        self.visited = handle.getListState("visited", "ordinal int")
+        self.annotated = handle.getListState("annotated", "ordinal int")
+
+    def _clear(self) -> None:
+        for state in (self.waiting, self.slices, self.visited, self.annotated):
+            state.clear()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        turn, self.ptr, done, last = self.at.get() if self.at.exists() else (self.first, None, False, -1)
+        if not done and self.at.exists() and last + self.silence <= timerValues.getCurrentWatermarkInMs():
+            # it was over before these calls came
+            done = True
+            self._clear()
+            yield self._abort(key[0])
+        came, case = {}, None
+        for row in rows:
+            case, last = row, max(last, row.ms)
+            if not done and row.pos is not None and row.pos >= turn:
+                came.setdefault(row.pos, (row.name, row.z, row.delta, row.box, row.refined, row.rounded))
+        if came:
+            self.known = {i[0]: list(v) for i, v in self.slices.iterator()}
+            self.seen, self.drawn = [x[0] for x in self.visited.get()], [x[0] for x in self.annotated.get()]
+            before = len(self.seen), len(self.drawn)
+            while not done:
+                call = came.pop(turn, None)
+                if call is None:
+                    if not self.waiting.containsKey((turn,)):
+                        break
+                    call = self.waiting.getValue((turn,))
+                    self.waiting.removeKey((turn,))
+                yield self._step(key[0], turn, case, *call)
+                turn, done = turn + 1, call[0] in FINISH
+            if done:
+                self._clear()
+            else:
+                for pos, call in came.items():
+                    if not self.waiting.containsKey((pos,)):
+                        self.waiting.updateValue((pos,), call)
+                for i, v in self.known.items():
+                    self.slices.updateValue((i,), tuple(v))
+                for state, places in ((self.visited, self.seen[before[0] :]), (self.annotated, self.drawn[before[1] :])):
+                    if places:  # a state store takes no empty list
+                        state.appendList([(i,) for i in places])
+        self.at.update((turn, self.ptr, done, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.silence)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        done = self.at.exists() and self.at.get()[2]
+        self._clear()
+        self.at.clear()
+        if not done:
+            yield self._abort(key[0])
+
+    def _abort(self, rec: int) -> Row:
+        return Row(**{f: {"event": "abort", "rec": rec}.get(f) for f in FIELDS})
+
+    def _step(self, rec: int, pos: int, case: Row, name: str, z: int, delta: int, box: list, refined: float, rounded: float) -> Row:
+        """One call on the state in memory: the row that tells it, with the state that it met."""
+        sampled, tight, dices, rounds, prev, known = list(case.sampled), case.tight, case.dices, case.rounds, self.ptr, self.known
+        size = len(sampled)
+        found = sampled.index(z) if z in sampled else None
+        look, clamped, ptr = False, False, prev
+        if name == "get_slice":
+            look = found is not None
+            ptr = found if look else prev
+        elif name == "scroll" and prev is not None and delta:
+            look, ptr = True, min(max(prev + delta, 0), size - 1)
+            clamped = ptr != prev + delta
+        here = prev is not None and sampled[prev] == z
+        drawn, corrected, spread = name == "add_bbox" and here, name == "add_point" and here, name == "run_medsam2"
+        decision = look or (name == "scroll" and prev is not None)
+        at = lambda i, k: known[i][k] if i in known else ("raw" if k == 0 else None)
+        gain = None
+        if name == "add_point":
+            none = found is None or tight[found] is None
+            shown = None if found is None else at(found, 4)
+            old = 0.0 if none else next((x for x in (shown, at(found, 3)) if x is not None), 0.0)
+            new = (refined or 0.0) if corrected else (old if shown is None else shown)
+            gain = min(max(new - old, 0.0), self.clip)
+        met = {k: [at(i, c) for i in range(size)] for k, c in (("overlay", 0), ("boxes", 2), ("dice", 3), ("refined", 4))}
+        out = dict(
+            event="step", rec=rec, sampled=sampled, tight=tight, dices=dices, pos=pos, name=name, z=z, delta=delta, prev=prev, ptr=ptr, ok=look or drawn or corrected or spread or name in FINISH,
+            clamped=clamped, decision=decision, changed=decision and at(ptr, 1) != at(ptr, 0), again=decision and ptr in self.seen, called=box if drawn else None, gain=gain, fix=refined,
+            visited=self.seen + [ptr] * look, annotated=list(self.drawn), **met,
+        )
+        self.ptr = ptr
+        own = lambda i: known.setdefault(i, ["raw", None, None, None, None])
+        if look:
+            self.seen.append(ptr)
+        if name in ("get_slice", "scroll") and ptr is not None:
+            own(ptr)[1] = at(ptr, 0)
+        if drawn:
+            own(prev)[0], own(prev)[2] = "bbox", box
+            if prev not in self.drawn:
+                self.drawn.append(prev)
+        if corrected:
+            own(prev)[0], own(prev)[4] = "refined_mask", rounded
+        if spread:
+            for i in (i for i in range(size) if dices[i] is not None):
+                own(i)[0], own(i)[3] = "mask", rounds[i]
+        return Row(**{f: out[f] for f in FIELDS})
+
+
+def execute_stream(calls: DataFrame, cases: DataFrame, silence: int = 3_600_000, first: int = 0, knobs: RewardKnobs = KNOBS) -> DataFrame:
+    """event (step or abort), then the columns of `replay.navigate`, for a stream of calls.
+
+    calls: a stream of rec, pos, name, z, delta, box, refined and ts, with a
+    watermark on ts; cases: a table as `replay.navigate` takes it.  Positions
+    count from `first`; a position that comes again, or after the finish, is
+    ignored.  A record whose last call is `silence` milliseconds under the
+    watermark is over: without a finish it gives one abort row with nothing
+    but rec, and calls that still waited for one before them are dropped.
+    """
+    fixed = cases.select(F.col("rec").cast("bigint").alias("rec"), "sampled", "tight", "dices", F.transform("dices", lambda v: score(v)).alias("rounds"))
+    own = calls.select(F.col("rec").cast("bigint").alias("rec"), "pos", "name", "z", "delta", "box", "refined", score(F.col("refined")).alias("rounded"), "ts", F.unix_millis("ts").alias("ms"))
+    told = own.join(fixed, "rec").groupBy("rec").transformWithState(RecordExecutor(silence, first, knobs), OUTPUT, "Append", "EventTime")
+    iou = F.when(F.col("ok") & (F.col("name") == "add_bbox"), replay.call_iou(F.col("called"), F.get("tight", F.col("prev"))))
+    steps = told.withColumn("iou", iou)
+    return replay.answered(steps, "event")
+
+
+def aborted(events: DataFrame, reason: str = "timeout") -> DataFrame:
+    """The zero rows (see `replay.abort_rows`) of the records that a stream has given up."""
+    lost = events.filter("event = 'abort'").select("rec")
+    return replay.abort_rows(lost, lost.limit(0), reason)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -82,42 +192,41 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
-def replay(spark: SparkSession, folder: str, schema: str, slices: int = 10) -> DataFrame:
-    """Run the executor over the Parquet files of a folder as a stream and read its sink."""
-    calls = spark.readStream.schema(schema).parquet(folder)
+def run_stream(stream: DataFrame) -> DataFrame:
+    """All that a stream gives for what its sources hold now, from a Parquet sink."""
+    spark = stream.sparkSession
     out, store = shared_folder(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store, None)
     # state of this kind needs the store with column families
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        query = execute_stream(calls, slices).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+        query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     finally:
         if before is None:
             spark.conf.unset(store)
         else:
             spark.conf.set(store, before)
     query.awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{out}/rows")
-
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
-def stream_executor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of calls; same steps as the batch fold."""
-    folder = shared_folder(spark, "calls")
-    view(spark, sf_dir, CALL_ROWS).write.mode("overwrite").parquet(folder)
-    d = replay(spark, folder, "rec bigint, pos bigint, name string, z int, delta int")
-    return d.select("rec", "pos", "name", F.coalesce("ptr", F.lit(-1)).alias("ptr"), "clamped", "ok")
 
+def replay_calls(calls: DataFrame, cases: DataFrame, batches: int = 3, first: int = 0) -> DataFrame:
+    """Events of a finished table of calls, as `execute_stream` takes them, played in batches that mix all positions.
 
-def windowed_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of each kind in windows of an hour: the same expression serves streams with a watermark."""
-    d = spark.read.parquet(f"{sf_dir}/events.parquet")
-    g = d.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return g.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", "total")
-
-
-SQL = {
-    "stream_executor": f"{POINTER_SQL} SELECT rec, pos, name, coalesce(ptr, -1) AS ptr, clamped, ok FROM s",
-    "windowed_activity": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-}
-
-QUERIES = {"stream_executor": stream_executor, "windowed_activity": windowed_activity}
+    A last call of nobody, later than all, moves the watermark past the others,
+    so that every record without a finish is given up.
+    """
+    spark, folder = calls.sparkSession, shared_folder(calls.sparkSession, "calls")
+    calls = calls.withColumn("rec", F.col("rec").cast("bigint"))
+    calls.repartition(batches, F.xxhash64("rec", "pos")).write.mode("append").parquet(folder)
+    ms = F.unix_millis("ts")
+    edge = calls.agg(F.min("rec").alias("rec"), F.min(ms).alias("least"), F.max(ms).alias("most")).first()
+    span = (edge["most"] or 0) - (edge["least"] or 0)
+    # once the batches are through, the watermark passes the last call's silence
+    last = {"rec": F.lit((edge["rec"] or 0) - 1), "ts": F.timestamp_millis(F.lit((edge["most"] or 0) + span + 60_000))}
+    end = spark.range(1).select(*((last[c] if c in last else F.lit(None)).cast(t).alias(c) for c, t in calls.dtypes))
+    end.write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    # the batches are out of order by as much as the whole table spans
+    stream = stream.withWatermark("ts", f"{span + 1000} milliseconds")
+    return run_stream(execute_stream(stream, cases, 1000, first))

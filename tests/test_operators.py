@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from sparkloom.functions import arrays, geometry, text
 from sparkloom.operators import agent, annotations, losses, masks, matching, metrics, replay, rewards, trajectory
 from sparkloom.sources import readers, writers
-from sparkloom.streaming import executor
 
 
 def one(spark, column, **values):
@@ -174,12 +173,3 @@ def test_registry(spark):
     r = readers.Registry()
     r.register("n", lambda s: s.range(50))
     assert r.load(spark, "n#7").count() == 7 and r.load(spark, "n").count() == 50
-
-
-def test_stream_with_state(spark, tmp_path):
-    steps = calls(spark, ("get_slice", 7, 0), ("scroll", 0, 5), ("add_bbox", 9, 0), ("malformed", 0, 0))
-    steps.write.parquet(str(tmp_path / "in"))
-    q = executor.execute_stream(spark.readStream.schema(steps.schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.read.schema(executor.OUTPUT).parquet(str(tmp_path / "out")).orderBy("pos").collect()
-    assert [(r["ptr"], r["clamped"], r["ok"]) for r in got] == [(7, False, True), (9, True, True), (9, False, True), (9, False, False)]
