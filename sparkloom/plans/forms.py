@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, geometry, text
 from ..operators import annotations as an
 from ..operators import losses, masks, metrics, registry, trajectory
-from ..sources import readers, writers
+from ..sources import readers, volumes, writers
 from ..streaming.executor import shared_folder
 from .fixtures import ANNOS, CALLS, LR, TEXTS, plain, view
 from .learning import _S, _pairs, _vectors
@@ -213,6 +213,23 @@ def mask_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.mask_areas(readers.read_masks(spark, folder), ["anno_id", "z"])
 
 
+def volume_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order counts as volumes of 12 x 5 x 7 in .npy files, read again along the last axis."""
+    folder = shared_folder(spark, "volumes")
+    d = view(spark, sf_dir, "SELECT concat('v', CAST(o_custkey % 8 AS STRING)) AS file, CAST(o_orderkey % 12 AS INT) AS z, CAST(o_orderkey % 5 * 7 + o_custkey % 7 AS INT) AS i FROM {orders}")
+    counts = F.map_from_entries(F.collect_list(F.struct("i", "n")))
+    known = d.groupBy("file", "z", "i").agg(F.count("*").cast("int").alias("n")).groupBy("file", "z").agg(counts.alias("counts"))
+    whole = d.select("file").distinct().select("file", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("z")).join(known, ["file", "z"], "left")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(34)), lambda i: F.coalesce(F.col("counts")[i], F.lit(0)))
+    size = (F.lit(n).alias(k) for k, n in (("depth", 12), ("height", 5), ("width", 7)))
+    volumes.write_volumes(whole.select("file", "z", *size, pixels.alias("pixels")), folder, "int")
+    r = volumes.read_volumes(spark, folder, axis="axial", values="int")
+    name = F.regexp_extract("file", r"([^/]+)\.npy$", 1)
+    moment = F.aggregate(F.transform("pixels", lambda v, i: v.cast("bigint") * i), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    total = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return r.select(name.alias("file"), "z", "height", "width", total.alias("total"), moment.alias("moment"))
+
+
 def metadata_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Videos' metadata as JSON, by the keys of its parts."""
     d = view(spark, sf_dir, f"WITH {ANNOS} SELECT vid, eid, caption FROM an").select("vid", "eid", "caption", F.lit("1").alias("obj_id"), F.array(F.lit("00000"), F.lit("00001")).alias("frames"), F.lit(512).alias("img_h"), F.lit(512).alias("img_w"))
@@ -262,6 +279,9 @@ SQL = {
       SELECT coalesce(split, 'all') AS split, count(DISTINCT vid) AS videos, count(*) AS expressions, count(*) FILTER (m > 0) AS with_masks FROM q GROUP BY ROLLUP (split)""",
     "record_files": """WITH q AS (SELECT * FROM conversations WHERE turn % 4 <> 3) SELECT count(*) AS n, count(*) FILTER (conv_id % 7 = 0) AS unreadable, sum(CASE WHEN conv_id % 7 > 0 THEN turn END)::BIGINT AS turns, 0::BIGINT AS repeated, true AS some, 15::BIGINT AS first FROM q""",
     "mask_files": f"WITH {plain(LR)} SELECT rec AS anno_id, g AS z, ((x2 - x1 + 1) * (y2 - y1 + 1))::BIGINT AS area FROM gt",
+    "volume_slices": """WITH q AS (SELECT 'v' || (o_custkey % 8) AS file, (o_custkey % 7)::INT AS z, (o_orderkey % 12 * 5 + o_orderkey % 5)::BIGINT AS spot FROM orders),
+      g AS (SELECT DISTINCT 'v' || (o_custkey % 8) AS file, unnest(range(7))::INT AS z FROM orders)
+      SELECT file, z, 12 AS height, 5 AS width, count(spot) AS total, coalesce(sum(spot), 0)::BIGINT AS moment FROM g LEFT JOIN q USING (file, z) GROUP BY file, z""",
     "metadata_files": f"WITH {plain(ANNOS)} SELECT vid, count(*) AS expressions, 512 AS height, string_agg(eid, ',' ORDER BY eid) AS eids FROM an GROUP BY vid",
 }
 SQL["named_losses"] = """WITH p AS (SELECT a.vec_id // 2 AS pair, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, CASE WHEN (a.vec_id // 2) % 3 = 0 THEN 1 ELSE 0 END AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),

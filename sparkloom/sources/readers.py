@@ -183,37 +183,6 @@ def windowed(values: np.ndarray, level: float, width: float, normalize: bool = T
     return np.clip(out, 0, 255).astype(np.uint8)
 
 
-def read_volumes(
-    spark: SparkSession, path: str, level: float | None = None, width: float | None = None, axis: str = "axial", n: int | None = None, first: int = 0, last: int | None = None,
-    sampling: str = "uniform", normalize: bool = True, seed: int = 42,
-) -> DataFrame:
-    """(file, place, z, height, width, pixels): slices of .npy volumes along an axis.
-
-    place counts the slices that are read, z is a slice's number in the
-    volume.  Volumes are three-dimensional, or have a leading dimension of 1.
-    With level and width the values are cut to the window and scaled to 0..255.
-    """
-    if width is not None and width <= 0:
-        raise ValueError("the window's width is over 0")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                volume = np.load(io.BytesIO(content), allow_pickle=False)
-                if volume.ndim == 4 and volume.shape[0] == 1:
-                    volume = volume[0]
-                if volume.ndim != 3:
-                    raise ValueError(f"{file} has {volume.ndim} dimensions")
-                stack = np.moveaxis(volume, AXES[axis], 0)
-                for place, z in enumerate(slice_places(len(stack), n, first, last, sampling, seed)):
-                    s = stack[z] if level is None or width is None else windowed(stack[z], level, width, normalize)
-                    row = (file, place, z, s.shape[0], s.shape[1], s.astype(np.float64).ravel())
-                    yield pd.DataFrame([row], columns=["file", "place", "z", "height", "width", "pixels"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, place int, z int, height int, width int, pixels array<double>")
-
-
 RUNS = "start bigint, length bigint"
 
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.operators import annotations, masks, metrics
-from sparkloom.sources import readers, writers
+from sparkloom.sources import readers, volumes, writers
 
 PIXELS = st.lists(st.tuples(st.integers(0, 7), st.integers(0, 10)), max_size=40)
 
@@ -195,10 +195,10 @@ def test_volumes_by_axis(spark, tmp_path):
     volume = np.arange(2 * 3 * 4.0).reshape(2, 3, 4)
     np.save(tmp_path / "v.npy", volume[None])
     for axis, stack in (("axial", volume.transpose(2, 0, 1)), ("coronal", volume), ("sagittal", volume.transpose(1, 0, 2))):
-        got = readers.read_volumes(spark, str(tmp_path), axis=axis).orderBy("place").collect()
+        got = volumes.read_volumes(spark, str(tmp_path), axis=axis).orderBy("place").collect()
         assert [r["pixels"] for r in got] == [s.ravel().tolist() for s in stack]
-    assert [r["z"] for r in readers.read_volumes(spark, str(tmp_path), n=10).orderBy("place").collect()] == [0, 0, 1, 1, 2, 2, 3, 3, 0, 1]
-    assert [r["z"] for r in readers.read_volumes(spark, str(tmp_path), n=2, first=1).orderBy("place").collect()] == [1, 3]
+    assert [r["z"] for r in volumes.read_volumes(spark, str(tmp_path), n=10).orderBy("place").collect()] == [0, 0, 1, 1, 2, 2, 3, 3, 0, 1]
+    assert [r["z"] for r in volumes.read_volumes(spark, str(tmp_path), n=2, first=1).orderBy("place").collect()] == [1, 3]
     drawn = readers.slice_places(50, 7, sampling="random", seed=1)
     assert drawn == sorted(set(drawn)) and len(drawn) == 7 and readers.slice_places(50, 5, 10, 20) == [10, 12, 14, 16, 19]
     assert readers.windowed(np.array([-2000.0, -600.0, 5000.0]), -600, 1600).tolist() == [0, 127, 255]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import arrays, geometry, text
 from sparkloom.operators import agent, annotations, losses, masks, matching, metrics, replay, rewards, trajectory
-from sparkloom.sources import readers, writers
+from sparkloom.sources import readers, volumes, writers
 
 
 def one(spark, column, **values):
@@ -155,7 +155,7 @@ def test_metadata_and_volumes(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(meta))
     assert readers.read_expressions(spark, str(tmp_path / "m.json")).first()["caption"] == "kidney"
     np.save(tmp_path / "v.npy", np.arange(24.0).reshape(2, 3, 4))
-    v = readers.read_volumes(spark, str(tmp_path), level=12, width=24, axis="coronal").orderBy("z").collect()
+    v = volumes.read_volumes(spark, str(tmp_path), level=12, width=24, axis="coronal").orderBy("z").collect()
     assert len(v) == 2 and v[0]["pixels"][:2] == [0.0, 10.0] and (v[1]["height"], v[1]["width"]) == (3, 4)
 
 
