@@ -296,29 +296,6 @@ def surface_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.percentile(np.sqrt(far), 95))
 
 
-def components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Tight boxes x1, y1, x2, y2 of the 4-connected parts, by first pixel row after row."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        low = np.where(mask, label, mask.size + 1)
-        best = low.copy()
-        best[1:] = np.minimum(best[1:], low[:-1])
-        best[:-1] = np.minimum(best[:-1], low[1:])
-        best[:, 1:] = np.minimum(best[:, 1:], low[:, :-1])
-        best[:, :-1] = np.minimum(best[:, :-1], low[:, 1:])
-        best = np.where(mask, best, 0)
-        jump = np.concatenate([[0], best.ravel()])[best]  # a pixel's label names a pixel: take that one's
-        best = np.where(mask, np.minimum(best, jump), 0)
-        if (best == label).all():
-            break
-        label = best
-    out = []
-    for k in np.unique(label[mask]):
-        y, x = np.nonzero(label == k)
-        out.append((int(x.min()), int(y.min()), int(x.max()), int(y.max())))
-    return out
-
-
 def dilate(mask: np.ndarray, times: int = 1) -> np.ndarray:
     for _ in range(times):
         grown = mask.copy()
@@ -453,20 +430,6 @@ def corrected(runs: DataFrame, keys: list[str], width: int = SIDE, height: int =
     return _mapped(runs, keys, lambda mask, seed: dilate(mask, seed % 2), width, height)
 
 
-def component_boxes(runs: DataFrame, keys: list[str], width: int = SIDE, height: int = SIDE) -> DataFrame:
-    """A row for each connected part of each mask."""
-    d = _one_row(runs, keys, "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = ((i, k, box, left, top) for i, (mask, left, top) in enumerate(_masks(batch.column("a"), width, height)) for k, box in enumerate(components(mask)))
-            found = [(i, k, b[0] + left, b[1] + top, b[2] + left, b[3] + top) for i, k, b, left, top in parts]
-            at, *rest = (pa.array([f[j] for f in found], pa.int64()) for j in range(6))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *rest], names=[*keys, "part", "x1", "y1", "x2", "y2"])
-
-    return d.mapInArrow(run, _with("part bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint", d.select(*keys)))
-
-
 def to_compressed(counts: list[int] | np.ndarray) -> str:
     """Alternating lengths as the compressed text of the usual run-length files.
 

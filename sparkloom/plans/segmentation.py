@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import masks, metrics, points
+from ..operators import masks, metrics, parts, points
 from .fixtures import LR, plain, view
 
 _TRUE = f"WITH {LR} SELECT rec, g AS z, x1, y1, x2, y2 FROM gt"
 _PRED = f"WITH {LR} SELECT rec, p AS z, x1, y1, x2, y2 FROM pc"
 _PARTS = f"WITH {LR} SELECT rec, g % 5 + g * 9 % 31 AS x1, g % 5 + g * 17 % 29 AS y1, g % 5 + g * 9 % 31 + 5 AS x2, g % 5 + g * 17 % 29 + 4 AS y2 FROM gt"
+_PARTS_DEEP = _PARTS.replace(" FROM gt", ", g % 4 * 2 AS z FROM gt")
 KEYS = ["rec", "z"]
 
 
@@ -94,7 +95,14 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of each record's boxes, shrunk and moved near the origin of a 64 pixel image so that some touch."""
     side = 64
     d = view(spark, sf_dir, _PARTS)
-    return masks.component_boxes(masks.box_runs(d, ["rec"], side).distinct(), ["rec"], side, side)
+    return parts.component_boxes(masks.box_runs(d, ["rec"], side), ["rec"], side)
+
+
+def volume_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in depth of the same boxes, each on two slices of its record's volume."""
+    side = 64
+    d = view(spark, sf_dir, _PARTS_DEEP).withColumn("z", F.explode(F.sequence("z", F.col("z") + 1)))
+    return parts.volume_components(masks.box_runs(d, ["rec", "z"], side), ["rec"], "z", side)
 
 
 def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +184,14 @@ SQL = {
       r AS (SELECT rec, a, b FROM n UNION SELECT r.rec, r.a, n.b FROM r JOIN n ON n.rec = r.rec AND n.a = r.b), l AS (SELECT rec, a AS g, min(b) AS label FROM r GROUP BY ALL),
       c AS (SELECT rec, label, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, arg_min(x1, (y1, x1)) AS first FROM b JOIN l USING (rec, g) GROUP BY ALL)
       SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY y1, first) - 1 AS part, x1, y1, x2, y2 FROM c""",
+    # boxes of two slices: one connects to others that touch it on a slice or lie over it on the next
+    "volume_parts": f"""WITH RECURSIVE {plain(LR)}, b AS (SELECT rec, g, g % 4 * 2 AS z, g % 5 + g * 9 % 31 AS x1, g % 5 + g * 17 % 29 AS y1, g % 5 + g * 9 % 31 + 5 AS x2, g % 5 + g * 17 % 29 + 4 AS y2 FROM gt),
+      n AS (SELECT p.rec, p.g AS a, q.g AS b FROM b p JOIN b q USING (rec) WHERE p.z = q.z AND p.x1 <= q.x2 + 1 AND q.x1 <= p.x2 + 1 AND p.y1 <= q.y2 + 1 AND q.y1 <= p.y2 + 1
+        AND NOT ((p.x1 = q.x2 + 1 OR q.x1 = p.x2 + 1) AND (p.y1 = q.y2 + 1 OR q.y1 = p.y2 + 1)) OR abs(p.z - q.z) = 2 AND p.x1 <= q.x2 AND q.x1 <= p.x2 AND p.y1 <= q.y2 AND q.y1 <= p.y2),
+      r AS (SELECT rec, a, b FROM n UNION SELECT r.rec, r.a, n.b FROM r JOIN n ON n.rec = r.rec AND n.a = r.b), l AS (SELECT rec, a AS g, min(b) AS label FROM r GROUP BY ALL),
+      c AS (SELECT rec, label, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, min(z) AS z1, max(z) + 1 AS z2, min((z, y1, x1)) AS first FROM b JOIN l USING (rec, g) GROUP BY ALL),
+      px AS (SELECT rec, label, count(*) AS pixels FROM (SELECT DISTINCT rec, label, z, x, unnest(range(y1, y2 + 1)) AS y FROM (SELECT rec, label, zz AS z, unnest(range(x1, x2 + 1)) AS x, y1, y2 FROM (SELECT *, unnest([z, z + 1]) AS zz FROM b JOIN l USING (rec, g)))) GROUP BY ALL)
+      SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY first) - 1 AS part, x1, y1, x2, y2, z1, z2, pixels FROM c JOIN px USING (rec, label)""",
     "rle_roundtrip": f"""WITH {plain(LR)}, r AS (SELECT rec, g AS z, y2 - y1 + 1 AS h, unnest(range(x1, x2 + 1)) * 512 + y1 AS start, x2 - x1 + 1 AS w FROM gt)
       SELECT rec, z, count(*) AS n_runs, sum(h)::BIGINT AS area, sum(start * h)::BIGINT AS moment, (max(w) * 2 + 1)::BIGINT AS n_counts FROM r GROUP BY rec, z""",
     "metric_summary": f"{_EV} SELECT event_type, count(v) AS n, count(*) - count(v) AS n_inf, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS least, round(max(v), 6) AS most, round(median(v), 6) AS median FROM e GROUP BY ALL",
