@@ -1,24 +1,27 @@
-"""SimHash near-duplicates at a similarity of word shingles, with an exact way for the rest.
+"""SimHash near-duplicates, completed by MinHash bands, at a similarity of word shingles.
 
 Texts of equal shingle sets are one class.  The classes' SimHash fingerprints
 go through the Gray-order index of `simhash`; the links that it finds are
 verified by the Jaccard similarity of the whole shingle sets.  Texts of a
 similarity of 0.8 differ in ten bits of 64 on average, which no index over 64
 bits finds without comparing most pairs.  So MinHash bands propose the pairs
-that the index has left apart: a bucket's classes are held against its least
-one, and what that leaves apart against every other class of the bucket that
-is not yet linked to it, whatever the bucket's size.
+that the index has left apart, whatever a bucket's size.  Inside bounded nodes
+parity bitmaps bound how much two sets differ, which rules out nearly all
+pairs under the threshold and none over it: first the closest pairs that
+connect what may be connected are verified, then what is still apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import Bounds, bit_count_of, node_pairs, parities, whole_nodes
 from .common import Scratch, chunks, join_hashes, keep_rows, mix, ngram_hashes, row_marks, split_words, word_hashes
 from .components import connected_components
 from .simhash import bit_fingerprints, fingerprint_links, stars
@@ -31,11 +34,11 @@ DISTANCE = 3
 #: Bands and rows of a band: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^30 = 0.99999.
 BANDS, ROWS = 30, 5
 
-#: Hash values behind the bands, and in the longer signatures of classes that share a bucket.
-VALUES, SIGNS = BANDS * ROWS, 512
+#: Hash values behind the bands.
+VALUES = BANDS * ROWS
 
-#: Standard deviations below its mean at which an agreement of signatures still counts: one similar pair in a million has less.
-DEVIATIONS = 4.8
+#: Bits of a class's parity bitmap for each shingle: with four a pair of similarity under 0.79 is ruled out as a rule.
+TOKEN_BITS = 4
 
 #: Classes of a bucket that one task compares with each other, or with as many others.
 NODE_CLASSES = 1024
@@ -109,16 +112,16 @@ def _marks(shingle: int):
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A byte of each of many least hashes, the bands cut to 32 bits, for rows (key, grams)."""
+    """A parity bitmap, and the bands cut to 32 bits, for rows (key, grams)."""
     for batch in batches:
         sets = batch.column("grams")
         grams, edge = sets.flatten().to_numpy().view(np.uint64), sets.offsets.to_numpy().astype(np.int64)
         edge = edge - edge[0]
-        # the product's middle bits: well mixed, and not small as those of a least value's top are
-        signs = (min_hashes(grams, edge, SIGNS, SEED + 1) >> np.uint64(32)).astype(np.uint8)
+        size = bit_count_of(np.diff(edge), TOKEN_BITS)
+        bits = [parities(mix(grams[a:b].copy()), int(n)).tobytes() for a, b, n in zip(edge[:-1], edge[1:], size, strict=True)]
         bands = band_keys(min_hashes(grams, edge)).astype(np.uint32)
-        columns = [batch.column("key"), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (signs, bands))]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "signs", "bands"])
+        columns = [batch.column("key"), pa.array(bits, pa.binary()), pa.array([r.tobytes() for r in bands], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "bits", "bands"])
 
 
 def _tree(n: int, label: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> np.ndarray:
@@ -139,64 +142,29 @@ def _tree(n: int, label: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.nda
         comp = stars(n, comp[i[best]], comp[j[best]])[comp]
 
 
-def _compare(similarity: float, tree: bool):
-    """For rows (band, hash, a, b, side, key, n, label, signs, bands) sorted by node: pairs of different labels that may be similar.
+def _compare(bounds: Bounds, tree: bool):
+    """For rows (band, hash, a, b, side, key, n, label, bits, bands) sorted by node: pairs of different labels that may be similar.
 
-    In a node of two chunks only pairs across them are compared.  With tree:
-    the best pairs that connect what all likely ones do; else all of them,
-    each in the first band that it shares.
+    The bitmaps' bound rules out no similar pair.  In a node of two chunks
+    only pairs across them are compared.  With tree: the closest pairs that
+    connect what all that may be similar do; else all of these, each in the
+    first band that it shares.
     """
-    least = (similarity - DEVIATIONS * (similarity * (1 - similarity) / SIGNS) ** 0.5) * SIGNS
-
-    def pairs(band: int, side: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndarray, signs: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((key, side))
-        side, key, n, label, signs, bands = side[order], key[order], n[order], label[order], signs[order], bands[order]
-        cut = int((side == side[0]).sum()) if side[0] != side[-1] else 0
-        found = []
-        for i in range(cut or len(key)):
-            j = cut or i + 1
-            at = np.flatnonzero((label[j:] != label[i]) & (np.minimum(n[j:], n[i]) >= similarity * np.maximum(n[j:], n[i]) - 1e-9)) + j
-            agree = (signs[at] == signs[i]).sum(axis=1)
-            at, agree = at[agree >= least], agree[agree >= least]
-            if not tree:
-                own = (bands[at] == bands[i]).argmax(axis=1) == band
-                at, agree = at[own], agree[own]
-            found.append(np.stack([np.full(len(at), i), at, agree]))
-        i, j, agree = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        if tree and len(i):
-            keep = _tree(len(key), label, i, j, agree)
-            i, j = i[keep], j[keep]
-        x, y = key[i], key[j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        node = ("band", "hash", "a", "b")
-
-        def edges(rows: pa.Table) -> np.ndarray:
-            return np.flatnonzero(np.any([np.diff(rows.column(c).to_numpy()) != 0 for c in node], axis=0)) + 1
-
-        def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            cut = np.r_[0, edges(rows), rows.num_rows]
-            band, side, key, n, label = (rows.column(c).to_numpy() for c in ("band", "side", "key", "n", "label"))
-            signs = np.frombuffer(b"".join(rows.column("signs").to_pylist()), np.uint8).reshape(-1, SIGNS)
-            bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS)
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                if e - s > 1:
-                    yield pairs(int(band[s]), side[s:e], key[s:e], n[s:e], label[s:e], signs[s:e], bands[s:e])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) < 4 * NODE_CLASSES:
-                continue
-            rows = pa.Table.from_batches(held)
-            cuts = edges(rows)
-            if len(cuts):  # the last node may go on in the next batch
-                yield from compared(rows.slice(0, int(cuts[-1])))
-                held = rows.slice(int(cuts[-1])).combine_chunks().to_batches()
-        if held:
-            yield from compared(pa.Table.from_batches(held))
+        for nodes in whole_nodes(batches, ["band", "hash", "a", "b"], 4 * NODE_CLASSES):
+            for node in nodes:
+                if node.num_rows < 2:
+                    continue
+                side, key, n, label = (node.column(c).to_numpy() for c in ("side", "key", "n", "label"))
+                i, j, differ = node_pairs(side, n, label, np.zeros(len(key), np.int64), node.column("bits").to_pylist(), bounds)
+                if tree and len(i):
+                    keep = _tree(len(key), label, i, j, -differ)
+                else:
+                    bands = np.frombuffer(b"".join(node.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS)
+                    keep = (bands[i] == bands[j]).argmax(axis=1) == node.column("band")[0].as_py()
+                x, y = key[i[keep]], key[j[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
 
     return run
 
@@ -242,8 +210,9 @@ def _compared(rest: DataFrame, signatures: DataFrame, similarity: float, tree: b
     d = rest.join(sizes, ["band", "hash"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     nodes = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("a"), F.greatest("chunk", k).alias("b")))
     d = d.withColumn("node", F.explode(nodes)).select("band", "hash", "node.a", "node.b", F.col("chunk").alias("side"), "key", "n", "label").join(signatures, "key")
-    at = ["band", "hash", "a", "b"]
-    return d.repartition(*at).sortWithinPartitions(*at).select(*at, "side", "key", "n", "label", "signs", "bands").mapInArrow(_compare(similarity, tree), "a long, b long")
+    at, part = ["band", "hash", "a", "b"], Fraction(similarity).limit_denominator(10_000)
+    bounds = Bounds(part.numerator, part.denominator)
+    return d.repartition(*at).sortWithinPartitions(*at).select(*at, "side", "key", "n", "label", "bits", "bands").mapInArrow(_compare(bounds, tree), "a long, b long")
 
 
 def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
@@ -270,7 +239,7 @@ def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, s
         return scratch.save(d.join(open_, ["band", "hash"], "left_semi"), name)
 
     rest = apart("rest-0")
-    signatures = sets.join(rest.select("key").distinct(), "key", "left_semi").mapInArrow(_signatures, "key long, signs binary, bands binary")
+    signatures = sets.join(rest.select("key").distinct(), "key", "left_semi").mapInArrow(_signatures, "key long, bits binary, bands binary")
     signatures = scratch.save(signatures, "signatures")
     pairs = _compared(rest, signatures, similarity, tree=True).distinct().join(first, ["a", "b"], "left_anti")
     tried = scratch.save(pairs, "tree")
@@ -312,5 +281,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, similari
     A null doc_id comes last; of rows that share the smallest id, one chosen
     by a hash of the row stays, the same in every run.  Rows of one doc_id
     whose texts do not link are in different groups, and each may stay.
+
+    A pair is found by chance: one of similarity 0.8 that the index has not
+    found shares no band with a probability of 1e-5 and is then missed, more
+    similar ones with less.  Pairs that meet are never lost.
     """
     return keep_rows(docs, _marked(docs, shingle, similarity))

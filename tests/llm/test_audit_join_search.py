@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import filter_audit, jaccard_join, lexical_search
+from sparkloom.llm import bitmaps, filter_audit, jaccard_join, lexical_search
 
 WORD, TERM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(lexical_search.TERM)
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one two"), (6, "One TWO"), (None, "one two"), (None, None), (7, "x " * 50_000), (7, "x " * 50_000), (8, "one")]
@@ -143,7 +143,7 @@ def test_join_with_other_bounds_and_odd_rows(spark, monkeypatch):
 
 
 def test_prefix_bounds_hold_for_linked_pairs():
-    r, bounds = np.random.default_rng(3), jaccard_join.Bounds()
+    r, bounds = np.random.default_rng(3), bitmaps.Bounds(90, 100)
     for _ in range(300):
         n = int(r.integers(1, 300))
         x = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
@@ -155,10 +155,10 @@ def test_prefix_bounds_hold_for_linked_pairs():
         assert len(np.intersect1d(x[: bounds.prefix(n)[0]], y[: bounds.prefix(m)[0]]))
         both = np.intersect1d(x[: bounds.long_prefix(n)[0]], y[: bounds.long_prefix(m)[0]])
         assert len(both) >= max(bounds.shared(n)[0], bounds.shared(m)[0])
-        bits = int(jaccard_join.bit_count_of(np.array(min(len(x), len(y)))))
-        differ = np.bitwise_count(jaccard_join.parities(x, bits) ^ jaccard_join.parities(y, bits)).sum()
+        bits = int(bitmaps.bit_count_of(np.array(min(len(x), len(y)))))
+        differ = np.bitwise_count(bitmaps.parities(x, bits) ^ bitmaps.parities(y, bits)).sum()
         assert differ <= len(x) + len(y) - 2 * shared and not bounds.apart(n, m, differ)[0]
-        assert (jaccard_join.folded(jaccard_join.parities(x, 2 * bits)) == jaccard_join.parities(x, bits)).all()
+        assert (bitmaps.folded(bitmaps.parities(x, 2 * bits)) == bitmaps.parities(x, bits)).all()
 
 
 def test_families_under_the_threshold_verify_few_pairs(spark, monkeypatch):
