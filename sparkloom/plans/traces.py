@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import agent, replay, rewards, trajectory
+from ..operators import agent, reinforcement, replay, rewards, trajectory
+from ..sources import writers
+from ..streaming.executor import shared_folder
 from .fixtures import ANNOS, CALL_ROWS, CALLS, LR, MOVES, plain, view
 
 
@@ -131,6 +133,35 @@ def rl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("rec", text.alias("prompt"), show("lesion").alias("lesion_ordinals"), show("other").alias("non_lesion_ordinals"), key.alias("oracle_key_z"))
 
 
+def _rl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a prompt each, some unreadable, against the annotations of two thirds of the volumes."""
+    d = view(spark, sf_dir, f"WITH {ANNOS} SELECT o_orderkey AS rec, vid, caption, o_custkey AS c FROM an")
+    sampled = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.col("c") % 40 + 3 * i).cast("string")), ", ")
+    named = F.when(F.col("rec") % 5 > 0, F.concat(F.lit('The target structure is: "'), "caption", F.lit('". '))).otherwise("")
+    content = F.concat(named, F.lit("Sampled Z list (10): ["), sampled, F.lit("]"))
+    image = F.concat(F.lit("/data/renders/"), F.when(F.col("rec") % 7 > 0, F.concat("vid", F.lit("_z003_raw.png"))).otherwise("scan.png"))
+    message = F.struct(F.lit("user").alias("role"), content.alias("content"))
+    entries = d.select("rec", F.array(message, F.struct(F.lit("assistant").alias("role"), F.lit("done").alias("content"))).alias("messages"), F.array(F.lit("/data/x.jpg"), image).alias("images"))
+    areas = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda z: F.when((F.col("c") + z) % 6 > 0, (F.col("c") * 7 + z * 13) % 5).cast("bigint"))
+    return reinforcement.rl_records(entries, d.filter("c % 3 <> 1").select("vid", "caption", F.col("rec").alias("anno_id"), areas.alias("areas")))
+
+
+def rl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    show = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    d = _rl(spark, sf_dir)
+    known = F.col("reason").isNull()
+    return d.select("rec", F.coalesce("reason", F.lit("")).alias("reason"), "anno_id", F.size("messages").alias("n_messages"), *(F.when(known, show(c)).alias(c) for c in ("sampled_z", "lesion_ordinals", "non_lesion_ordinals")), F.when(known, F.col("oracle_key_z")).alias("oracle_key_z"))
+
+
+def rl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the same, told while they are written, and what the files hold."""
+    folder = shared_folder(spark, "rl")
+    counts = writers.write_sifted(_rl(spark, sf_dir), folder, reinforcement.REASONS)
+    back = spark.read.schema("anno_id long, oracle_key_z long, images array<string>").json(folder)
+    told = (F.lit(counts[k]).alias(name) for k, name in (("read", "n_read"), ("written", "n_written"), (reinforcement.UNREADABLE, "n_unreadable"), (reinforcement.UNKNOWN, "n_unknown"), ("other", "n_other")))
+    return back.agg(F.count("*").alias("n_rows"), F.sum("anno_id").alias("anno_ids"), F.sum("oracle_key_z").alias("key_zs"), F.count_if(F.size("images") > 0).alias("with_images")).select(*told, "n_rows", "anno_ids", "key_zs", "with_images")
+
+
 POINTER_SQL = f"""WITH RECURSIVE {plain(CALLS)}, r AS (SELECT DISTINCT rec, 0::BIGINT AS pos, '' AS name, 0 AS z, 0 AS delta, NULL::INT AS prev, NULL::INT AS ptr, false AS clamped, false AS ok FROM calls
   UNION ALL SELECT c.rec, c.pos, c.name, c.z, c.delta, r.ptr, CASE WHEN c.name = 'get_slice' THEN c.z WHEN c.name = 'scroll' AND r.ptr IS NOT NULL AND c.delta <> 0 THEN least(9, greatest(0, r.ptr + c.delta)) ELSE r.ptr END,
     coalesce(c.name = 'scroll' AND c.delta <> 0 AND (r.ptr + c.delta < 0 OR r.ptr + c.delta > 9), false),
@@ -157,7 +188,17 @@ _CASE = f"""WITH {plain(ANNOS)}, cs AS (SELECT o_orderkey AS rec, (o_custkey % 4
 od AS (SELECT rec, a, unnest(range(10)) AS i FROM cs), oa AS (SELECT *, a + 3 * i AS z, (rec * 7 + i * 13) % 5 AS area, (rec * 3 + i * 7) % 10 / 10.0::DOUBLE AS dice FROM od)"""
 _ADV = "(o_totalprice - avg(o_totalprice) OVER w) / nullif(stddev_pop(o_totalprice) OVER w, 0)"
 
+_RL = f"""WITH {plain(ANNOS)}, e AS (SELECT o_orderkey AS rec, vid, caption, o_custkey AS c, o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AS readable FROM an),
+k AS (SELECT vid, caption, max(rec) AS anno_id FROM e WHERE c % 3 <> 1 GROUP BY ALL), j AS (SELECT e.*, k.anno_id FROM e LEFT JOIN k ON readable AND e.vid = k.vid AND e.caption = k.caption),
+z AS (SELECT rec, c, i, (c % 40 + 3 * i)::INT AS z FROM (SELECT rec, c, unnest(range(10)) AS i FROM e)), a AS (SELECT *, CASE WHEN (c + z) % 6 > 0 THEN (c * 7 + z * 13) % 5 ELSE 0 END AS area FROM z WHERE z < 60 UNION ALL SELECT *, 0 FROM z WHERE z >= 60),
+g AS (SELECT rec, string_agg(z::VARCHAR, ',' ORDER BY i) AS zs, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (area > 0), '') AS l, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (area = 0), '') AS o, arg_max(z, (area, -i)) FILTER (area > 0) AS key FROM a GROUP BY rec),
+q AS (SELECT j.rec, CASE WHEN NOT readable THEN '{reinforcement.UNREADABLE}' WHEN anno_id IS NULL THEN '{reinforcement.UNKNOWN}' ELSE '' END AS reason, anno_id, zs, l, o, key FROM j JOIN g USING (rec))"""
+
 SQL = {
+    "rl_records": f"""{_RL} SELECT rec, reason, anno_id, 1 AS n_messages, CASE WHEN reason = '' THEN zs END AS sampled_z, CASE WHEN reason = '' THEN l END AS lesion_ordinals, CASE WHEN reason = '' THEN o END AS non_lesion_ordinals,
+      CASE WHEN reason = '' THEN key END AS oracle_key_z FROM q""",
+    "rl_files": f"""{_RL} SELECT count(*) AS n_read, count(*) FILTER (reason = '') AS n_written, count(*) FILTER (reason = '{reinforcement.UNREADABLE}') AS n_unreadable, count(*) FILTER (reason = '{reinforcement.UNKNOWN}') AS n_unknown, 0::BIGINT AS n_other,
+      count(*) FILTER (reason = '') AS n_rows, sum(anno_id)::BIGINT AS anno_ids, sum(CASE WHEN reason = '' THEN key END)::BIGINT AS key_zs, 0::BIGINT AS with_images FROM q""",
     "pointer_fold": f"{POINTER_SQL} SELECT rec, pos, name, coalesce(ptr, -1) AS ptr, clamped, ok FROM s",
     "history_sets": f"""{POINTER_SQL}, k AS (SELECT * FROM s WHERE ok), h AS (SELECT a.rec, a.pos, count(DISTINCT b.ptr) FILTER (b.name IN ('get_slice', 'scroll')) AS n_visited, count(DISTINCT b.ptr) FILTER (b.name = 'add_bbox') AS n_annotated
       FROM k a JOIN k b ON a.rec = b.rec AND b.pos <= a.pos GROUP BY ALL) SELECT rec, pos, n_visited, n_annotated, 10 - n_visited AS n_unvisited FROM h""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.masks import compress_counts, run_counts
@@ -28,12 +28,19 @@ def write_records(d: DataFrame, path: str) -> None:
     d.write.mode("overwrite").json(path)
 
 
-def write_counted(d: DataFrame, skipped: DataFrame, path: str, reason: str) -> DataFrame:
-    """Writes records as JSON lines; one row with the rows in, out, and skipped by reason."""
-    write_records(d, path)
-    out = d.agg(F.count("*").alias("written"))
-    why = skipped.groupBy(reason).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("skipped"), F.map_from_entries(F.collect_list(F.struct(reason, "n"))).alias("reasons"))
-    return out.crossJoin(why).select((F.col("written") + F.col("skipped")).alias("read"), "written", "skipped", "reasons")  # single rows
+def write_sifted(d: DataFrame, path: str, reasons: tuple[str, ...], reason: str = "reason") -> dict[str, int]:
+    """Writes the rows without a reason as JSON lines; returns how many were read, written, and skipped by reason.
+
+    Counts are observed while the rows are written, so nothing is computed
+    twice and the counts are those of the files; a write that fails gives
+    none.  Reasons beyond `reasons` count as `other`.
+    """
+    seen, why = Observation(), F.col(reason)
+    named = [F.count_if(why == r).alias(r) for r in reasons]
+    other = F.count_if(why.isNotNull() & ~F.coalesce(why.isin(*reasons), F.lit(False))).alias("other")
+    told = d.observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(why.isNull()).alias("written"), *named, other)
+    write_records(told.filter(why.isNull()).drop(reason), path)
+    return seen.get
 
 
 def write_masks(runs: DataFrame, path: str, height: int, width: int, keys: tuple[str, str] = ("anno_id", "z")) -> None:

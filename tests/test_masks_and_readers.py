@@ -257,10 +257,26 @@ def test_gray_images(spark, tmp_path):
 
 
 def test_written_counts(spark, tmp_path):
-    done = spark.createDataFrame([(1,), (2,)], "rec int")
-    skipped = spark.createDataFrame([(3, "no slices"), (4, "no slices"), (5, "no caption")], "rec int, reason string")
-    row = writers.write_counted(done, skipped, str(tmp_path / "out"), "reason").first()
-    assert (row["read"], row["written"], row["skipped"], row["reasons"]) == (5, 2, 3, {"no slices": 2, "no caption": 1}) and spark.read.json(str(tmp_path / "out")).count() == 2
+    rows = [(1, None), (2, None), (3, "no slices"), (4, "no slices"), (5, "no caption"), (6, "else")]
+    d = spark.createDataFrame(rows, "rec int, reason string")
+    counts = writers.write_sifted(d, str(tmp_path / "out"), ("no slices", "no caption", "never"))
+    assert counts == {"read": 6, "written": 2, "no slices": 2, "no caption": 1, "never": 0, "other": 1}
+    assert sorted(r["rec"] for r in spark.read.json(str(tmp_path / "out")).collect()) == [1, 2]
+    bad = d.withColumn("rec", F.when(F.col("rec") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("rec")))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_sifted(bad, str(tmp_path / "none"), ())
+    assert not list((tmp_path / "none").glob("*.json")) if (tmp_path / "none").exists() else True
+    assert writers.write_sifted(d.limit(0), str(tmp_path / "empty"), ())["read"] == 0
+
+
+def test_split_records_and_metric_files(spark, tmp_path):
+    d = spark.createDataFrame([("train", 1, "é"), ("val", 2, None), ("train", 3, "x")], "split string, rec int, text string")
+    writers.write_split_records(d, str(tmp_path / "s"))
+    assert sorted(p.name for p in (tmp_path / "s").glob("split=*")) == ["split=train", "split=val"]
+    assert sorted(tuple(r) for r in spark.read.schema("rec int, text string").json(str(tmp_path / "s" / "split=train")).collect()) == [(1, "é"), (3, "x")]
+    writers.write_metrics(spark.createDataFrame([("a", 0.12345, float("inf")), ("b", None, 2.0)], "k string, x double, y double").coalesce(1), str(tmp_path / "m"))
+    lines = [x for p in (tmp_path / "m").glob("*.csv") for x in p.read_text().splitlines()]
+    assert lines == ["k,x,y", "a,0.1235,", "b,,2.0000"]
 
 
 @pytest.mark.parametrize("n", [1, 2, 9, 30_000])
