@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.arrays import hash_uniform
-from ..operators import matching, metrics
+from ..operators import corrections, matching, metrics
 from .fixtures import GT, LR, PR, plain, view
 
 THRESHOLD = 0.5
@@ -96,6 +96,14 @@ def inject_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("rec", "g", *(F.col(f"b.{c}").cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")), F.round(iou, 6).alias("iou"), (iou < 0.75).alias("redo"))
 
 
+def redrawn_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First boxes with one failure in every second record, and what their review draws again."""
+    side = F.lit(512).cast("bigint")
+    d = corrections.corrected_boxes(view(spark, sf_dir, GT), "rec", "g", side, side, fail=F.col("rec") % 2 == 0)
+    boxes = [F.col(f"{b}.{c}").alias(f"{b}_{c}") for b in ("first", "final") for c in ("x1", "y1", "x2", "y2")]
+    return d.select("rec", "g", "failed", F.round("iou", 6).alias("iou"), "redrawn", *boxes)
+
+
 _IOU = """CASE WHEN greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0 THEN
   CAST(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS DOUBLE) /
   ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))
@@ -117,6 +125,14 @@ o AS (SELECT rec, p, g, dx, dy, sqrt(dx * dx + dy * dy) AS distance, row_number(
 _U = lambda i: f"(('0x' || substr(md5(concat_ws('|', '42', rec, g, 'jitter{i}')), 1, 7))::BIGINT::DOUBLE / {1 << 28}.0)"
 _MOVE = lambda v, s, i: f"trunc({v} + ({_U(i)} * 2 - 1) * ({s}) * 0.05)::BIGINT"
 
+# a box's four moved corners as a struct, the second ones beyond the first
+_MOVED = lambda v, s, name, i, share: f"trunc({v} + ((('0x' || substr(md5(concat_ws('|', '42', rec, g, '{name}{i}')), 1, 7))::BIGINT::DOUBLE / {1 << 28}.0) * 2 - 1) * ({s}) * {share})::BIGINT"
+_LOW = lambda v, s, name, i, share: f"least(greatest({_MOVED(v, s, name, i, share)}, 0), 511)"
+_JITTERED = lambda name, share: (
+    f"{{'x1': {_LOW('x1', 'x2 - x1', name, 0, share)}, 'y1': {_LOW('y1', 'y2 - y1', name, 1, share)}, 'x2': least(greatest({_MOVED('x2', 'x2 - x1', name, 2, share)}, {_LOW('x1', 'x2 - x1', name, 0, share)} + 1), 511), "
+    f"'y2': least(greatest({_MOVED('y2', 'y2 - y1', name, 3, share)}, {_LOW('y1', 'y2 - y1', name, 1, share)} + 1), 511)}}"
+)
+
 SQL = {
     "pair_iou": f"{_PAIRS} SELECT rec, g, p, round(iou, 6) AS iou FROM pairs",
     "greedy_match_global": f"{GLOBAL_SQL} SELECT rec, g, p, round(iou, 6) AS iou FROM m",
@@ -146,6 +162,12 @@ SQL = {
     "jitter_boxes": f"""WITH {plain(LR)}, a AS (SELECT rec, g, least(greatest({_MOVE('x1', 'x2 - x1', 0)}, 0), 511) AS u1, least(greatest({_MOVE('y1', 'y2 - y1', 1)}, 0), 511) AS v1,
       {_MOVE('x2', 'x2 - x1', 2)} AS u2, {_MOVE('y2', 'y2 - y1', 3)} AS v2 FROM gt)
       SELECT rec, g, u1 AS x1, v1 AS y1, least(greatest(u2, u1 + 1), 511) AS x2, least(greatest(v2, v1 + 1), 511) AS y2 FROM a""",
+    "redrawn_boxes": f"""WITH {plain(LR)}, o AS (SELECT *, rec % 2 = 0 AND row_number() OVER (PARTITION BY rec ORDER BY md5(concat_ws('|', '42', rec, g)), g) = 1 AS failed FROM gt),
+      j AS (SELECT *, {_JITTERED('jitter', 0.05)} AS first, {_JITTERED('again', 0.02)} AS second FROM o),
+      b AS (SELECT rec, g, failed, first, second, CASE WHEN failed THEN least(x1 + floor((x2 - x1) * 0.30::DOUBLE)::BIGINT, 511) ELSE first.x1 END AS x1, CASE WHEN failed THEN least(y1 + floor((y2 - y1) * 0.30::DOUBLE)::BIGINT, 511) ELSE first.y1 END AS y1,
+        CASE WHEN failed THEN least(x2 + floor((x2 - x1) * 0.30::DOUBLE)::BIGINT, 511) ELSE first.x2 END AS x2, CASE WHEN failed THEN least(y2 + floor((y2 - y1) * 0.30::DOUBLE)::BIGINT, 511) ELSE first.y2 END AS y2 FROM j),
+      q AS (SELECT b.*, {_IOU} AS iou FROM gt a JOIN b USING (rec, g))
+      SELECT rec, g, failed, round(iou, 6) AS iou, iou < 0.75 AS redrawn, x1 AS first_x1, y1 AS first_y1, x2 AS first_x2, y2 AS first_y2, {", ".join(f"CASE WHEN iou < 0.75 THEN second.{c} ELSE {c} END AS final_{c}" for c in ("x1", "y1", "x2", "y2"))} FROM q""",
     "inject_failure": f"""WITH {plain(LR)}, b AS (SELECT rec, g, least(x1 + floor((x2 - x1) * 0.30::DOUBLE)::BIGINT, 419) AS x1, least(y1 + floor((y2 - y1) * 0.30::DOUBLE)::BIGINT, 419) AS y1,
       least(x2 + floor((x2 - x1) * 0.30::DOUBLE)::BIGINT, 419) AS x2, least(y2 + floor((y2 - y1) * 0.30::DOUBLE)::BIGINT, 419) AS y2 FROM gt), q AS (SELECT b.*, {_IOU} AS iou FROM gt a JOIN b USING (rec, g))
       SELECT rec, g, x1, y1, x2, y2, round(iou, 6) AS iou, iou < 0.75 AS redo FROM q""",
