@@ -6,9 +6,12 @@ the same set everywhere in this package; a null text has no words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +95,25 @@ class Scratch:
         self._delete(f"{self.root}/{name}")
 
 
+def trimmed(run: Callable) -> Callable:
+    """A map over Arrow batches after which the Python worker gives its free memory back.
+
+    Workers stay for the next stages; what the allocators keep of a stage
+    would count beside what these need.
+    """
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return kept
+
+
 def _hashable(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return all(_hashable(f.dataType) for f in kind)

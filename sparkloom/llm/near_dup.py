@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import Bounds, bit_count_of, node_pairs, parities, whole_nodes
-from .common import Scratch, chunks, join_hashes, keep_rows, mix, ngram_hashes, row_marks, split_words, word_hashes
+from .common import Scratch, chunks, join_hashes, keep_rows, mix, ngram_hashes, row_marks, split_words, trimmed, word_hashes
 from .components import connected_components
 from .simhash import bit_fingerprints, fingerprint_links, stars
 
@@ -212,7 +212,7 @@ def _compared(rest: DataFrame, signatures: DataFrame, similarity: float, tree: b
     d = d.withColumn("node", F.explode(nodes)).select("band", "hash", "node.a", "node.b", F.col("chunk").alias("side"), "key", "n", "label").join(signatures, "key")
     at, part = ["band", "hash", "a", "b"], Fraction(similarity).limit_denominator(10_000)
     bounds = Bounds(part.numerator, part.denominator)
-    return d.repartition(*at).sortWithinPartitions(*at).select(*at, "side", "key", "n", "label", "bits", "bands").mapInArrow(_compare(bounds, tree), "a long, b long")
+    return d.repartition(*at).sortWithinPartitions(*at).select(*at, "side", "key", "n", "label", "bits", "bands").mapInArrow(trimmed(_compare(bounds, tree)), "a long, b long")
 
 
 def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
@@ -227,7 +227,7 @@ def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, s
     found = scratch.save(bands.join(shared, ["band", "hash"], "left_semi"), "candidates")
     scratch.drop("bands")
     wanted = found.select("key").union(first.select("a")).union(first.select("b")).distinct()
-    sets = docs.select("text").mapInArrow(_sets(shingle), "key long, grams array<long>")
+    sets = docs.select("text").mapInArrow(trimmed(_sets(shingle)), "key long, grams array<long>")
     sets = scratch.save(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
     links = scratch.save(_verified(first, sets, similarity), "links-index")
 
@@ -239,7 +239,7 @@ def _links(docs: DataFrame, marked: DataFrame, scratch: Scratch, shingle: int, s
         return scratch.save(d.join(open_, ["band", "hash"], "left_semi"), name)
 
     rest = apart("rest-0")
-    signatures = sets.join(rest.select("key").distinct(), "key", "left_semi").mapInArrow(_signatures, "key long, bits binary, bands binary")
+    signatures = sets.join(rest.select("key").distinct(), "key", "left_semi").mapInArrow(trimmed(_signatures), "key long, bits binary, bands binary")
     signatures = scratch.save(signatures, "signatures")
     pairs = _compared(rest, signatures, similarity, tree=True).distinct().join(first, ["a", "b"], "left_anti")
     tried = scratch.save(pairs, "tree")
@@ -253,7 +253,7 @@ def _marked(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near_dup")
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row_marks(docs).alias("m")).select("doc_id", "text", "m.*")
     schema = "doc_id long, row1 long, row2 long, key long, n long, fp long, bands array<long>"
-    marked = scratch.save(source.mapInArrow(_marks(shingle), schema), "marks")
+    marked = scratch.save(source.mapInArrow(trimmed(_marks(shingle)), schema), "marks")
     labels = connected_components(_links(docs, marked, scratch, shingle, similarity), Scratch(docs.sparkSession, "near_dup_labels"))
     classes = marked.select("key").distinct().join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
     classes = scratch.save(classes.select("key", F.coalesce("label", "key").alias("label")), "classes")
