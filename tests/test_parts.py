@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sparkloom.operators import masks, parts
+from sparkloom.operators import parts
 
 
 def dense_parts(volume):

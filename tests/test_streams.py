@@ -3,8 +3,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
-
 from sparkloom.operators import replay
 from sparkloom.streaming import executor
 
