@@ -7,9 +7,14 @@ a draw costs the mask's runs, whatever the pixels in them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import strips
 from .masks import SIDE, differences
 
 #: Points on missed and on false pixels at most.
@@ -62,10 +67,27 @@ def error_points(truth: DataFrame, pred: DataFrame, keys: list[str], seed: int =
     there are no more.  Equal masks have no points.  A missing side is an
     empty mask.  Both masks meet in one shuffle by the keys.
     """
-    d = differences(truth, pred, keys)
-    ranks = lambda runs, k, label: draw_ranks(pixels(F.col(runs)), k, seed, *(F.col(c) for c in keys), F.lit(label))
+    d = differences(truth, pred, keys, height)
+    ranks = lambda side, k, label: draw_ranks(F.col(f"n_{side}"), k, seed, *(F.col(c) for c in keys), F.lit(label))
     d = d.select(*keys, "missed", "false", ranks("missed", missed, 1).alias("r1"), ranks("false", false, 0).alias("r0"))
-    d = d.select(*keys, pixels_at(F.col("missed"), F.col("r1")).alias("m"), pixels_at(F.col("false"), F.col("r0")).alias("f"))
-    spot = lambda p: F.array(F.floor(p / height).cast("int"), (p % height).cast("int"))
-    labels = F.concat(F.array_repeat(F.lit(1), F.size("m")), F.array_repeat(F.lit(0), F.size("f")))
-    return d.select(*keys, F.transform(F.concat("m", "f"), spot).alias("points"), labels.alias("labels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, spots = batch.num_rows, []
+            for side, rank in (("missed", "r1"), ("false", "r0")):
+                values, counts = strips.lists(batch.column(side))
+                start, length, columns = (values.field(k).to_numpy(zero_copy_only=False) for k in ("start", "length", "columns"))
+                own = strips.cut(np.repeat(np.arange(n), counts), start, length, columns, height)
+                drawn, size = strips.lists(batch.column(rank))
+                row = np.repeat(np.arange(n), size)
+                spots.append((row, *strips.pixels_of_ranks(own, n, row, drawn.to_numpy(zero_copy_only=False))))
+            row = np.concatenate([s[0] for s in spots])
+            order = np.argsort(row, kind="stable")
+            x, y = (np.concatenate([s[k] for s in spots])[order].astype(np.int32) for k in (1, 2))
+            label = np.repeat(np.array([1, 0], np.int32), [len(s[0]) for s in spots])[order]
+            each = np.bincount(row, minlength=n)
+            points = strips.listed(strips.listed(np.stack([x, y], axis=1).ravel(), np.full(len(x), 2)), each)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), points, strips.listed(label, each)], names=[*keys, "points", "labels"])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in d.select(*keys).dtypes)
+    return d.mapInArrow(run, f"{fields}, points array<array<int>>, labels array<int>")

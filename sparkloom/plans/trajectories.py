@@ -135,7 +135,7 @@ _PRED = f"WITH {LR} SELECT rec, p AS z, x1, y1, x2, y2 FROM pc"
 def mask_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices 1 to 6 of each record with the first twice; the key slice is 2, or 9, which few records have."""
     keys = ["rec", "z"]
-    truth, pred = (masks.box_runs(view(spark, sf_dir, q), keys) for q in (_TRUE, _PRED))
+    truth, pred = (masks.box_strips(view(spark, sf_dir, q), keys) for q in (_TRUE, _PRED))
     cases = view(spark, sf_dir, f"WITH {LR} SELECT DISTINCT rec FROM bx")
     cases = cases.select("rec", F.array(*(F.lit(z).cast("bigint") for z in (1, 1, 2, 3, 4, 5, 6))).alias("sampled"), F.when(F.col("rec") % 5 == 0, 9).otherwise(2).cast("bigint").alias("key_z"))
     return rewards.dice_rewards(cases, truth, pred).select("rec", F.round("r_dice", 6).alias("r_dice"), F.round("r_key_dice", 6).alias("r_key_dice"))
