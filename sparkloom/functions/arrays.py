@@ -58,3 +58,8 @@ def hash_order(seed: int, *key: str) -> Column:
 def ordered(column: Column) -> Column:
     """The group's structs as one array in the order of their first fields."""
     return F.array_sort(F.collect_list(column))
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with the value made once: an expression inside a lambda, or used twice, would be computed anew each time."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -117,7 +117,8 @@ def _folded(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs) -> DataFrame
             "dice": F.when(spread, F.transform(F.col("dices"), lambda v, i: F.coalesce(score(v), F.get(dice, i)))).otherwise(dice), "refined": _put(refined, prev, score(x["refined"]), corrected),
             "done": name.isin(*FINISH), "out": F.concat(s["out"], F.array(F.struct(*(v.alias(k) for k, v in row.items())).cast(_STEP))),
         }
-        return F.when(s["done"], s).otherwise(F.struct(*(v.alias(k) for k, v in new.items())).cast(_STATE))
+        # no cast of the whole state: it would copy all steps so far at each step
+        return F.when(s["done"], s).otherwise(F.struct(*(v.alias(k) for k, v in new.items())))
 
     folded = F.aggregate("s", begin, step)
     return d.select("rec", "sampled", "tight", "dices", folded["out"].alias("out")).select("rec", "sampled", "tight", "dices", F.inline("out"))

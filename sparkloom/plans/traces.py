@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import agent, reinforcement, replay, rewards, trajectory
 from ..sources import writers
 from ..streaming.executor import shared_folder
-from .fixtures import ANNOS, CALL_ROWS, CALLS, LR, MOVES, plain, view
+from .fixtures import ANNOS, CALL_ROWS, CALLS, LR, MOVES, dealt, plain, view
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def history_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executed calls on ten slices: few of them are asked for, so that boxes and propagations repeat on slices seen before."""
-    calls = view(spark, sf_dir, f"WITH {MOVES} SELECT * FROM mv").withColumns({"box": F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), "refined": F.col("z") / 10.0})
+    calls = dealt(view(spark, sf_dir, f"WITH {MOVES} SELECT * FROM mv"), "rec").withColumns({"box": F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), "refined": F.col("z") / 10.0})
     ten = lambda f: F.transform(F.sequence(F.lit(0), F.lit(9)), f)
     tight = ten(lambda i: F.struct(*(F.lit(v).alias(k) for k, v in (("x1", 1), ("y1", 2), ("x2", 3), ("y2", 4)))))
     cases = calls.select("rec").distinct().select("rec", F.sequence(F.lit(0), F.lit(9)).alias("sampled"), tight.alias("tight"), ten(lambda i: F.when(i % 3 < 2, F.lit(0.5))).alias("dices"))

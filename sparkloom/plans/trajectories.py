@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import wording
 from ..operators import annotations as an
 from ..operators import builders, grounding, masks, records, registry, replay, rewards
-from .fixtures import ANNOS, CALLS, LR, plain, view
+from .fixtures import ANNOS, CALLS, LR, dealt, plain, view
 
 # cases with ten slices: areas, boxes and Dice values by formula
 _CASES = f"""WITH {ANNOS} SELECT o_orderkey AS rec, vid, caption AS priority, CAST(o_custkey % 40 AS INT) AS a FROM an"""
@@ -37,7 +37,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     category = F.when(rec % 4 == 0, "organ").when(rec % 4 == 1, "lesion").when(rec % 4 == 2, "cyst").otherwise("other")
     caption = F.concat(F.lower("priority"), F.lit(" kidney"))
-    return view(spark, sf_dir, _CASES).select(
+    return dealt(view(spark, sf_dir, _CASES), "rec").select(
         "rec", "vid", caption.alias("caption"), category.alias("category"), F.lit("/data/JPEGImages").alias("root"), F.lit("/data/renders").alias("renders"), a.alias("first"), (a + 27).alias("last"), F.lit(28).alias("n_slices"), _ten(entry).alias("o")
     )
 
@@ -88,7 +88,7 @@ _REPLAY = f"""WITH {CALLS} SELECT rec, pos, CASE WHEN name = 'malformed' AND z %
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    calls = view(spark, sf_dir, _REPLAY)
+    calls = dealt(view(spark, sf_dir, _REPLAY), "rec")
     tight = lambda i: F.when(i % 2 == 0, F.struct((10 + i).alias("x1"), F.lit(20).alias("y1"), (40 + i + i % 3).alias("x2"), F.lit(60).alias("y2")))
     cases = calls.select("rec").distinct().select("rec", _ten(lambda i: i + 3).alias("sampled"), _ten(tight).alias("tight"), _ten(lambda i: F.when(i % 3 < 2, i / 20.0)).alias("dices"))
     return calls, cases
