@@ -7,11 +7,16 @@ order), tight (true boxes by ordinal, null where no mask is true) and dices
 (of the propagated masks by ordinal, null where there is none).
 
 A trajectory's state hangs on all its calls so far, so it is a fold over the
-record's ordered calls; one shuffle by record brings them together.
+record's ordered calls; one shuffle by record brings them together, and the
+records of an Arrow batch are folded side by side (`execution`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,28 +24,16 @@ from ..functions import wording as w
 from ..functions.arrays import ordered
 from ..functions.geometry import box_iou, box_of
 from ..functions.wording import fields, fill, listed, quoted, score
+from . import execution, strips
 from .rewards import KNOBS, RewardKnobs
 
 FINISH = ("finish", "finish_3d_segmentation")
 NAVIGATION = ("get_slice", "scroll")
 
-_STEP = (
-    "struct<pos:bigint,name:string,z:int,delta:int,prev:int,ptr:int,ok:boolean,clamped:boolean,decision:boolean,changed:boolean,again:boolean,iou:double,gain:double,fix:double,"
-    "visited:array<int>,annotated:array<int>,overlay:array<string>,boxes:array<array<int>>,dice:array<double>,refined:array<double>>"
-)
-_STATE = (
-    f"struct<ptr:int,visited:array<int>,annotated:array<int>,overlay:array<string>,read:array<string>,boxes:array<array<int>>,dice:array<double>,refined:array<double>,done:boolean,out:array<{_STEP}>>"
-)
-
-#: What a step is known by; the rest of it is the state that its answer needs.
+#: What a step is known by; the rest of it is what its answer needs.
 STEP_COLUMNS = ("rec", "pos", "name", "z", "delta", "prev", "ptr", "ok", "clamped", "decision", "changed", "again", "iou", "gain")
 
 
-def _put(array: Column, place: Column, value: Column, when: Column) -> Column:
-    """The array with one entry set, where the condition holds."""
-    return F.transform(array, lambda x, i: F.when(when & (i == place), value).otherwise(x))
-
-
 def call_iou(box: Column, tight: Column) -> Column:
     """Overlap of a called box [x1, y1, x2, y2] with a slice's true tight box, to three digits; 0 without a mask."""
     own = tuple(F.get(box, F.lit(i)) for i in range(4))
@@ -51,11 +44,11 @@ def _look() -> Column:
     """What a look at a slice answers: its overlays, the stack's ends, and the history."""
     flag = lambda c: F.when(c, "true").otherwise("false")
     sampled, place = F.col("sampled"), F.col("ptr")
-    state = F.get("overlay", place)
-    box, masked, refined = F.get("boxes", place), state.isin("mask", "refined_mask"), state == "refined_mask"
+    state, box = F.col("shown"), F.col("shown_box")
+    masked, refined = state.isin("mask", "refined_mask"), state == "refined_mask"
     overlays = F.concat_ws(
         ", ", fill('"has_bbox": {a}, "has_mask": {b}, "has_refined_mask": {c}', a=flag(box.isNotNull()), b=flag(masked), c=flag(refined)), F.when(box.isNotNull(), fill('"bbox": {box}', box=listed(box))),
-        F.when(masked, fill('"mask_dice": {d}', d=F.coalesce(F.get("dice", place), F.lit(0.0)))), F.when(refined, fill('"refined_dice": {d}', d=F.coalesce(F.get("refined", place), F.lit(0.0)))),
+        F.when(masked, fill('"mask_dice": {d}', d=F.coalesce("shown_dice", F.lit(0.0)))), F.when(refined, fill('"refined_dice": {d}', d=F.coalesce("shown_refined", F.lit(0.0)))),
     )
     left = F.array_except(F.sequence(F.lit(0), F.size(sampled) - 1), "visited")
     return fields(
@@ -69,59 +62,36 @@ def _error(text: Column, **more: Column) -> Column:
     return fields(error=quoted(text), **more)
 
 
-def _folded(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs) -> DataFrame:
-    """Each step up to a record's finish with the state that its answer needs, and the case's columns."""
-    seq = calls.groupBy("rec").agg(ordered(F.struct("pos", "name", "z", "delta", "box", "refined")).alias("s"))
-    d = cases.join(seq, "rec")
-    n = F.size("sampled")
-    none = lambda kind: F.transform(F.col("sampled"), lambda _: F.lit(None).cast(kind))
-    begin = F.struct(
-        F.lit(None).cast("int").alias("ptr"), F.array().cast("array<int>").alias("visited"), F.array().cast("array<int>").alias("annotated"),
-        F.transform(F.col("sampled"), lambda _: F.lit("raw")).alias("overlay"), none("string").alias("read"), none("array<int>").alias("boxes"), none("double").alias("dice"), none("double").alias("refined"),
-        F.lit(False).alias("done"), F.array().cast(f"array<{_STEP}>").alias("out"),
-    ).cast(_STATE)
-
-    def step(s: Column, x: Column) -> Column:
-        sampled, name, prev = F.col("sampled"), x["name"], s["ptr"]
-        found = F.array_position(sampled, x["z"]).cast("int") - 1
-        here = F.coalesce(F.get(sampled, prev) == x["z"], F.lit(False))
-        jump, scroll, box, point, run = (name == k for k in ("get_slice", "scroll", "add_bbox", "add_point", "run_medsam2"))
-        target = prev + x["delta"]
-        moved = F.least(F.greatest(target, F.lit(0)), n - 1)
-        ok = F.when(jump, found >= 0).when(scroll, prev.isNotNull() & (x["delta"] != 0)).when(box | point, here).otherwise(run | name.isin(*FINISH))
-        ok = F.coalesce(ok, F.lit(False))
-        clamped = F.coalesce(scroll & ok & (moved != target), F.lit(False))
-        ptr = F.when(jump & ok, found).when(scroll & ok, moved).otherwise(prev)
-        look = ok & (jump | scroll)
-        # a scroll by 0 is refused, yet it is a move that was decided on
-        decision = look | F.coalesce(scroll & prev.isNotNull(), F.lit(False))
-        overlay, boxes, dice, refined = s["overlay"], s["boxes"], s["dice"], s["refined"]
-        changed = ~F.coalesce(F.get(s["read"], ptr) == F.get(overlay, ptr), F.lit(False))
-        drawn, corrected, spread = box & ok, point & ok, run & ok
-        iou = F.when(drawn, call_iou(x["box"], F.get(F.col("tight"), prev)))
-        before = F.when(F.get(F.col("tight"), found).isNull(), F.lit(0.0)).otherwise(F.coalesce(F.get(refined, found), F.get(dice, found), F.lit(0.0)))
-        after = F.when(corrected, F.coalesce(x["refined"], F.lit(0.0))).otherwise(F.coalesce(F.get(refined, found), before))
-        gain = F.when(point, F.least(F.greatest(after - before, F.lit(0.0)), F.lit(knobs.gain_clip)))
-        known = lambda i: F.get(F.col("dices"), i).isNotNull()
-        visited = F.when(look, F.concat(s["visited"], F.array(ptr))).otherwise(s["visited"])
-        row = {
-            "pos": x["pos"], "name": name, "z": x["z"], "delta": x["delta"], "prev": prev, "ptr": ptr, "ok": ok, "clamped": clamped, "decision": decision, "changed": decision & changed,
-            "again": decision & F.array_contains(s["visited"], ptr), "iou": iou, "gain": gain, "fix": x["refined"],
-            "visited": visited, "annotated": s["annotated"], "overlay": overlay, "boxes": boxes, "dice": dice, "refined": refined,
-        }
-        new = {
-            "ptr": ptr, "visited": visited, "annotated": F.when(drawn, F.array_union(s["annotated"], F.array(prev))).otherwise(s["annotated"]),
-            "overlay": F.transform(overlay, lambda v, i: F.when(drawn & (i == prev), "bbox").when(corrected & (i == prev), "refined_mask").when(spread & known(i), "mask").otherwise(v)),
-            # a look that fails still shows the slice in view
-            "read": _put(s["read"], ptr, F.get(overlay, ptr), jump | scroll), "boxes": _put(boxes, prev, x["box"], drawn),
-            "dice": F.when(spread, F.transform(F.col("dices"), lambda v, i: F.coalesce(score(v), F.get(dice, i)))).otherwise(dice), "refined": _put(refined, prev, score(x["refined"]), corrected),
-            "done": name.isin(*FINISH), "out": F.concat(s["out"], F.array(F.struct(*(v.alias(k) for k, v in row.items())).cast(_STEP))),
-        }
-        # no cast of the whole state: it would copy all steps so far at each step
-        return F.when(s["done"], s).otherwise(F.struct(*(v.alias(k) for k, v in new.items())))
-
-    folded = F.aggregate("s", begin, step)
-    return d.select("rec", "sampled", "tight", "dices", folded["out"].alias("out")).select("rec", "sampled", "tight", "dices", F.inline("out"))
+#: What a step's answer needs of the state that it met, of looks alone: what the slice shows, and the slices visited and annotated.
+MET = "fix double, shown string, shown_box array<int>, shown_dice double, shown_refined double, visited array<int>, annotated array<int>"
+
+
+def _folded(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs, met: bool) -> DataFrame:
+    """Each step up to a record's finish; met: with the case's columns and the state that its answer needs."""
+    own = {"pos": "bigint", "name": "string", "z": "int", "delta": "int", "box": "array<int>", "refined": "double"}
+    call = F.struct(*(F.col(c).cast(t).alias(c) for c, t in own.items()), score(F.col("refined")).alias("rounded"))
+    seq = calls.groupBy("rec").agg(ordered(call).alias("s"))
+    d = cases.join(seq, "rec").select("rec", "sampled", "tight", "dices", F.transform("dices", lambda v: score(v)).alias("rounds"), "s")
+    kept = ["rec", "sampled", "tight", "dices"] if met else ["rec"]
+    truth = d.schema["tight"].dataType.elementType.simpleString()
+    steps = (
+        "pos bigint, name string, z int, delta int, prev int, ptr int, ok boolean, clamped boolean, decision boolean, changed boolean, again boolean, "
+        f"gain double, called array<int>, truth {truth}" + (f", {MET}" if met else "")
+    )
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            values, counts = strips.lists(batch.column("s"))
+            edge = np.r_[0, np.cumsum(counts)]
+            for i, j in execution.stretches(counts, batch.column("sampled")):
+                case = batch.slice(i, j - i)
+                of, columns = execution.fold(values.slice(edge[i], edge[j] - edge[i]), counts[i:j], *(case.column(c) for c in ("sampled", "tight", "rounds")), knobs.gain_clip, met)
+                at = pa.array(of)
+                yield pa.RecordBatch.from_arrays([*(case.column(c).take(at) for c in kept), *columns.values()], names=[*kept, *columns])
+
+    told = d.mapInArrow(batches, ", ".join([*(f"{c} {t}" for c, t in d.select(*kept).dtypes), steps]))
+    iou = F.when(F.col("ok") & (F.col("name") == "add_bbox"), call_iou(F.col("called"), F.col("truth")))
+    return told.withColumn("iou", iou).drop("called", "truth")
 
 
 def _answer() -> Column:
@@ -145,7 +115,7 @@ def _answer() -> Column:
 
 
 def answered(steps: DataFrame, *more: str) -> DataFrame:
-    """Steps that carry their case and the state they met, a batch's or a stream's, with images and response instead."""
+    """Steps that carry their case and what a look shows, a batch's or a stream's, with images and response instead."""
     ok, name = F.col("ok"), F.col("name")
     one = ok & (name.isin(*NAVIGATION) | name.isin("add_bbox", "add_point"))
     images = F.when(one, F.lit(1)).when(ok & (name == "run_medsam2"), F.size(F.filter("dices", lambda v: v.isNotNull()))).otherwise(F.lit(0))
@@ -154,7 +124,7 @@ def answered(steps: DataFrame, *more: str) -> DataFrame:
 
 def states(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs = KNOBS) -> DataFrame:
     """Steps of each record up to its finish, without responses; see `navigate`."""
-    return _folded(calls, cases, knobs).select(*STEP_COLUMNS)
+    return _folded(calls, cases, knobs, False).select(*STEP_COLUMNS)
 
 
 def navigate(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs = KNOBS) -> DataFrame:
@@ -167,7 +137,7 @@ def navigate(calls: DataFrame, cases: DataFrame, knobs: RewardKnobs = KNOBS) ->
     not what its last look showed; again: the slice was seen before; iou,
     gain: of boxes and points.
     """
-    return answered(_folded(calls, cases, knobs))
+    return answered(_folded(calls, cases, knobs, True))
 
 
 def annotate(calls: DataFrame, cases: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def executor_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def executor_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = replay.telemetry(replay.navigate(*replayed(spark, sf_dir)))
+    d = replay.telemetry(replay.states(*replayed(spark, sf_dir)))
     return d.select("rec", "num_turns", "n_add_bbox", "n_add_point", "n_run_medsam2", "n_finish", "boundary_clamp_count", F.round("r_bbox_iou", 6).alias("r_bbox_iou"))
 
 
