@@ -39,13 +39,17 @@ KNOBS = RewardKnobs()
 
 def navigation_style(navigation: DataFrame, knobs: RewardKnobs = KNOBS) -> DataFrame:
     """(rec, r_nav_style) from moves: the rows of `replay.states` that are decisions."""
+    return navigation.groupBy("rec").agg(F.sum(move_style(knobs)).alias("r_nav_style"))
+
+
+def move_style(knobs: RewardKnobs = KNOBS) -> Column:
+    """What one move adds to r_nav_style."""
     step = F.abs(F.col("delta"))
     jump = F.when(F.col("prev").isNull(), F.lit(99)).otherwise(F.abs(F.col("ptr") - F.col("prev")))
     scroll = F.when(F.col("clamped"), F.lit(-knobs.clamp_penalty)).when(step <= 2, F.lit(knobs.nav_reward)).otherwise(F.lit(0.0))
     far = F.when(jump >= 3, F.lit(knobs.nav_reward)).otherwise(F.lit(0.0))
     again = F.when(F.col("again") & ~F.col("changed"), F.lit(-knobs.revisit_penalty)).otherwise(F.lit(0.0))
-    each = F.when(F.col("name") == "scroll", scroll).otherwise(far + again)
-    return navigation.groupBy("rec").agg(F.sum(each).alias("r_nav_style"))
+    return F.when(F.col("name") == "scroll", scroll).otherwise(far + again)
 
 
 def coverage(annotated: Column, lesion: Column, other: Column, knobs: RewardKnobs = KNOBS) -> Column:

@@ -54,16 +54,16 @@ def validate_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reward components of each trace; slices with an even number stand for lesions."""
     steps = _states(spark, sf_dir)
-    style = rewards.navigation_style(steps.filter("decision"))
     even = F.array(*(F.lit(i) for i in range(0, 10, 2)))
     odd = F.array(*(F.lit(i) for i in range(1, 10, 2)))
     drawn = F.array_sort(F.collect_set(F.when(F.col("ok") & (F.col("name") == "add_bbox"), F.col("ptr"))))
     gain = rewards.clipped_gain((F.col("z") / 20.0), (F.col("z") / 20.0 + F.col("delta") / 10.0))
     points = F.sum(F.when(F.col("ok") & (F.col("name") == "add_point"), gain).otherwise(0.0))
     box = F.avg(F.when(F.col("ok") & (F.col("name") == "add_bbox"), F.col("z") / 10.0))
-    g = steps.groupBy("rec").agg(drawn.alias("drawn"), points.alias("r_dice_gain"), F.coalesce(box, F.lit(0.0)).alias("r_bbox_iou"), F.count_if(F.col("name") != "malformed").alias("n"))
+    style = F.coalesce(F.sum(F.when(F.col("decision"), rewards.move_style())), F.lit(0.0))
+    g = steps.groupBy("rec").agg(drawn.alias("drawn"), points.alias("r_dice_gain"), F.coalesce(box, F.lit(0.0)).alias("r_bbox_iou"), F.count_if(F.col("name") != "malformed").alias("n"), style.alias("r_nav_style"))
     g = g.withColumn("r_coverage", rewards.coverage(F.col("drawn"), even, odd)).withColumn("r_efficiency", rewards.efficiency(F.col("n")))
-    return g.join(style, "rec", "left").fillna(0.0, ["r_nav_style"]).drop("drawn")
+    return g.drop("drawn")
 
 
 def reward_components(spark: SparkSession, sf_dir: str) -> DataFrame:
