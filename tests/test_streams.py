@@ -1,6 +1,7 @@
 """The executor as a stream against the batch fold."""
 
 import datetime as dt
+import json
 import random
 
 from sparkloom.operators import replay
@@ -72,3 +73,38 @@ def test_silence_is_told_by_event_time(spark):
     events = executor.run_stream(executor.execute_stream(stream, cases_of(spark, [1, 2]), silence=60_000)).select("event", "rec", "pos").collect()
     assert sorted(tuple(x) for x in events if x["event"] == "step" and x["rec"] == 1) == [("step", 1, i) for i in range(4)]
     assert [tuple(x) for x in events if x["rec"] == 2 or x["event"] == "abort"] == [("step", 2, 0), ("abort", 2, None)]
+
+
+def test_state_is_read_and_written_once_a_batch():
+    """Whatever a record's calls, waiting ones among them, a micro-batch costs it one read and one write of state, and one timer for its life."""
+    told = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            told.append("get")
+            return self.value
+
+        def update(self, value):
+            told.append("update")
+            self.value = value
+
+        def registerTimer(self, ms):  # noqa: N802
+            told.append("timer")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return -1
+
+    call = lambda pos, **x: executor.Row(pos=pos, ms=pos, call=json.dumps({"places": [0], "truth": True, "size": 2, "z": 10, **x}))
+    run = executor.RecordExecutor(1000, 0, executor.KNOBS)
+    run.init(Handle())
+    first = list(run.handleInputRows((1,), iter([call(p, name="get_slice") for p in range(30, 0, -1)]), Times()))
+    assert not first and told == ["get", "update", "timer"]
+    # the first call frees those that waited; one that comes again is not taken twice
+    (row,) = run.handleInputRows((1,), iter([call(0, name="get_slice"), call(5, name="finish")]), Times())
+    assert [x["pos"] for x in json.loads(row.steps)] == list(range(31)) and told[3:] == ["get", "update"]
