@@ -62,3 +62,12 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
         monkeypatch.setattr(fixtures, "TASK_ROWS", most)
         for query in (segmentation.mask_dice_slice, segmentation.simulated_masks):
             assert query(spark, SF).rdd.getNumPartitions() == -(-n // most)
+
+
+def test_areas_of_changes_are_those_of_their_masks(spark):
+    a = table(spark, 5, range(60))
+    changes = {"grown": masks.morphed(2, True), "shrunk": masks.morphed(1, False), "simulated": masks.as_simulated, "corrected": masks.as_corrected}
+    got = {r["k"]: r for r in masks.changed_areas(a, ["k"], changes, 11, 8).collect()}
+    for name, d in (("grown", masks.morph(a, ["k"], 2, True, 11, 8)), ("shrunk", masks.morph(a, ["k"], 1, False, 11, 8)), ("simulated", masks.simulated(a, ["k"], 11, 8)), ("corrected", masks.corrected(a, ["k"], 11, 8))):
+        assert {k: r[name] for k, r in got.items() if r[name]} == {r["k"]: r["area"] for r in masks.mask_areas(d, ["k"]).collect()}
+    assert len(got) == 60 and any(r["shrunk"] == 0 for r in got.values())
