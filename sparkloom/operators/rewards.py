@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .masks import mask_scores
+from .masks import sampled_dice
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def coverage(annotated: Column, lesion: Column, other: Column, knobs: RewardKnob
     return recall - knobs.false_positive * hit(other)
 
 
-def dice_rewards(cases: DataFrame, truth: DataFrame, pred: DataFrame, key_z: str = "key_z") -> DataFrame:
+def dice_rewards(cases: DataFrame, truth: DataFrame, pred: DataFrame | None, key_z: str = "key_z") -> DataFrame:
     """(rec, r_dice, r_key_dice) from the run tables of true and final masks, keyed by rec and z.
 
     cases: rec, sampled and the key slice.  r_dice is the mean Dice over the
@@ -67,12 +67,7 @@ def dice_rewards(cases: DataFrame, truth: DataFrame, pred: DataFrame, key_z: str
     each time; r_key_dice that of the key slice, if it has a true mask.  Both
     are 0 where nothing counts.
     """
-    scores = mask_scores(truth, pred, ["rec", "z"]).select("rec", F.col("z").cast("bigint").alias("z"), "dice", "gt_area")
-    each = cases.select("rec", F.col(key_z).cast("bigint").alias("key"), F.explode_outer(F.transform("sampled", lambda z: z.cast("bigint"))).alias("z"))
-    d = each.join(scores, ["rec", "z"], "left")
-    mean = d.groupBy("rec").agg(F.coalesce(F.avg("dice"), F.lit(0.0)).alias("r_dice"))
-    key = cases.select("rec", F.col(key_z).cast("bigint").alias("z")).join(scores.filter("gt_area > 0"), ["rec", "z"], "left")
-    return mean.join(key.select("rec", F.coalesce("dice", F.lit(0.0)).alias("r_key_dice")), "rec")
+    return sampled_dice(cases, truth, pred, key_z).select("rec", "r_dice", "r_key_dice")
 
 
 def efficiency(calls: Column, knobs: RewardKnobs = KNOBS) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import wording
 from ..operators import annotations as an
 from ..operators import builders, grounding, masks, records, registry, replay, rewards
-from .fixtures import ANNOS, CALLS, LR, dealt, plain, view
+from .fixtures import ANNOS, CALLS, LR, SIDES, dealt, plain, view
 
 # cases with ten slices: areas, boxes and Dice values by formula
 _CASES = f"""WITH {ANNOS} SELECT o_orderkey AS rec, vid, caption AS priority, CAST(o_custkey % 40 AS INT) AS a FROM an"""
@@ -128,17 +128,13 @@ def abort_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rewards of masks -----------------------------------------------------------
 
-_TRUE = f"WITH {LR} SELECT rec, g AS z, x1, y1, x2, y2 FROM gt"
-_PRED = f"WITH {LR} SELECT rec, p AS z, x1, y1, x2, y2 FROM pc"
-
 
 def mask_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices 1 to 6 of each record with the first twice; the key slice is 2, or 9, which few records have."""
-    keys = ["rec", "z"]
-    truth, pred = (masks.box_strips(view(spark, sf_dir, q), keys) for q in (_TRUE, _PRED))
+    runs = masks.box_strips(view(spark, sf_dir, SIDES), ["rec", "z", "side"])
     cases = view(spark, sf_dir, f"WITH {LR} SELECT DISTINCT rec FROM bx")
     cases = cases.select("rec", F.array(*(F.lit(z).cast("bigint") for z in (1, 1, 2, 3, 4, 5, 6))).alias("sampled"), F.when(F.col("rec") % 5 == 0, 9).otherwise(2).cast("bigint").alias("key_z"))
-    return rewards.dice_rewards(cases, truth, pred).select("rec", F.round("r_dice", 6).alias("r_dice"), F.round("r_key_dice", 6).alias("r_key_dice"))
+    return rewards.dice_rewards(cases, runs, None).select("rec", F.round("r_dice", 6).alias("r_dice"), F.round("r_key_dice", 6).alias("r_key_dice"))
 
 
 def named_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:

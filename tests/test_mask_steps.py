@@ -71,3 +71,14 @@ def test_areas_of_changes_are_those_of_their_masks(spark):
     for name, d in (("grown", masks.morph(a, ["k"], 2, True, 11, 8)), ("shrunk", masks.morph(a, ["k"], 1, False, 11, 8)), ("simulated", masks.simulated(a, ["k"], 11, 8)), ("corrected", masks.corrected(a, ["k"], 11, 8))):
         assert {k: r[name] for k, r in got.items() if r[name]} == {r["k"]: r["area"] for r in masks.mask_areas(d, ["k"]).collect()}
     assert len(got) == 60 and any(r["shrunk"] == 0 for r in got.values())
+
+
+def test_rewards_without_joins(spark, capsys):
+    """Samples repeated, missing and unknown; a key slice without a true mask; cases without masks, masks without a case."""
+    assert "Join" not in plan(trajectories.mask_rewards(spark, SF), capsys)
+    box = "rec long, z long, start long, length long, columns long"
+    truth = spark.createDataFrame([(1, 1, 0, 4, 2), (1, 2, 0, 4, 1), (2, -7, 0, 2, 1), (4, 1, 0, 2, 1), (5, None, 0, 2, 1)], box)
+    pred = spark.createDataFrame([(1, 1, 0, 4, 1), (1, 3, 0, 4, 1), (2, -7, 0, 2, 1), (2, 9, 0, 2, 1)], box)
+    cases = spark.createDataFrame([(1, [1, 1, 2, 8, None], 1), (2, [-7, 9], 9), (3, [1], 1), (4, None, 1), (5, [1], None), (None, [1], 1)], "rec long, sampled array<long>, key_z long")
+    got = {r["rec"]: (r["r_dice"], r["r_key_dice"]) for r in rewards.dice_rewards(cases, truth, pred).collect()}
+    assert got == {1: (pytest.approx((2 / 3 + 2 / 3 + 0) / 3), pytest.approx(2 / 3)), 2: (0.5, 0.0), 3: (0.0, 0.0), 4: (0.0, 0.0), 5: (0.0, 0.0)}
