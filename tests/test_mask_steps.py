@@ -64,6 +64,12 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
             assert query(spark, SF).rdd.getNumPartitions() == -(-n // most)
 
 
+@pytest.mark.parametrize("query", [segmentation.mask_morphology, segmentation.simulated_masks])
+def test_areas_of_changes_from_one_pass(spark, capsys, query):
+    told = plan(query(spark, SF), capsys)
+    assert "Join" not in told and told.count("MapInArrow") == 1
+
+
 def test_areas_of_changes_are_those_of_their_masks(spark):
     a = table(spark, 5, range(60))
     changes = {"grown": masks.morphed(2, True), "shrunk": masks.morphed(1, False), "simulated": masks.as_simulated, "corrected": masks.as_corrected}
