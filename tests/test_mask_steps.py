@@ -88,3 +88,21 @@ def test_rewards_without_joins(spark, capsys):
     cases = spark.createDataFrame([(1, [1, 1, 2, 8, None], 1), (2, [-7, 9], 9), (3, [1], 1), (4, None, 1), (5, [1], None), (None, [1], 1)], "rec long, sampled array<long>, key_z long")
     got = {r["rec"]: (r["r_dice"], r["r_key_dice"]) for r in rewards.dice_rewards(cases, truth, pred).collect()}
     assert got == {1: (pytest.approx((2 / 3 + 2 / 3 + 0) / 3), pytest.approx(2 / 3)), 2: (0.5, 0.0), 3: (0.0, 0.0), 4: (0.0, 0.0), 5: (0.0, 0.0)}
+
+
+def test_distances_of_masks_with_both_sides_only(monkeypatch):
+    r = np.random.default_rng(9)
+    images = [[r.random((9, 12)) < p for p in (0.3, 0.0, 0.5, 0.0, 0.6)], [r.random((9, 12)) < p for p in (0.4, 0.5, 0.0, 0.0, 0.2)]]
+    parts = []
+    for own in images:
+        for k, m in enumerate(own):
+            start, n = masks.runs_of(m)
+            parts.append(strips.cut(np.full(len(start), k), start, n, np.ones_like(start), 9))
+    side = np.repeat([0, 1], [sum(len(p.x) for p in parts[:5]), sum(len(p.x) for p in parts[5:])])
+    seen, surface = set(), strips.surface
+    monkeypatch.setattr(strips, "surface", lambda s, deep=False: seen.update(s.plane.tolist()) or surface(s, deep))
+    want = pytest.approx([masks.hausdorff_95(x, y) for x, y in zip(*images, strict=True)])
+    for few in (16, 0):
+        monkeypatch.setattr(strips, "FEW_STRIPS", few)
+        assert strips.distances_95(strips.joined(*parts), side, 5) == want
+    assert seen == {0, 4}
