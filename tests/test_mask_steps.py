@@ -90,6 +90,22 @@ def test_rewards_without_joins(spark, capsys):
     assert got == {1: (pytest.approx((2 / 3 + 2 / 3 + 0) / 3), pytest.approx(2 / 3)), 2: (0.5, 0.0), 3: (0.0, 0.0), 4: (0.0, 0.0), 5: (0.0, 0.0)}
 
 
+def test_masks_are_read_as_strips(spark, tmp_path, capsys):
+    """A box is one row when it is read again; masks of unlike heights come from one scan."""
+    boxes = lambda h: masks.box_strips(spark.createDataFrame([(h, z, 2, z, 5, z + 3) for z in range(4)], "anno_id long, z long, x1 long, y1 long, x2 long, y2 long"), ["anno_id", "z"], h)
+    for h in (8, 9):
+        writers.write_masks(boxes(h), str(tmp_path / f"height={h}"), h, 11)
+    d = readers.read_masks(spark, str(tmp_path / "height=*"), wide=True)
+    assert rows(d.select("anno_id", "z", "start", "length", "columns")) == rows(boxes(8).unionByName(boxes(9)))
+    assert {(r["anno_id"], r["height"], r["width"]) for r in d.collect()} == {(8, 8, 11), (9, 9, 11)}
+    single = readers.read_masks(spark, str(tmp_path / "height=*"))
+    assert single.count() == 4 * d.count() and rows(masks.mask_areas(single, ["anno_id", "z"])) == rows(masks.mask_areas(d, ["anno_id", "z"]))
+    assert "Union" not in plan(d, capsys)
+    own = table(spark, 7, range(6)).select(F.col("k").alias("anno_id"), F.col("k").alias("z"), "start", "length")
+    writers.write_masks(own, str(tmp_path / "random"), 8, 11)
+    assert rows(readers.read_masks(spark, str(tmp_path / "random")).select(own.columns)) == rows(own)
+
+
 def test_distances_of_masks_with_both_sides_only(monkeypatch):
     r = np.random.default_rng(9)
     images = [[r.random((9, 12)) < p for p in (0.3, 0.0, 0.5, 0.0, 0.6)], [r.random((9, 12)) < p for p in (0.4, 0.5, 0.0, 0.0, 0.2)]]
