@@ -113,11 +113,6 @@ def listed(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: x.cast("string")), ", ", "null"), F.lit("]"))
 
 
-def spread(points: Column) -> Column:
-    """[[1, 2], [3, 4]]."""
-    return listed(F.transform(points, listed))
-
-
 def fields(**columns: Column | str) -> Column:
     """A JSON object of values that are JSON already, with spaces after commas and colons."""
     pairs = [F.concat(F.lit(f'"{name}": '), text(value)) for name, value in columns.items()]
@@ -135,10 +130,3 @@ def tool_call(name: str | Column, arguments: Column | None = None) -> Column:
 def score(value: Column, digits: int = 3) -> Column:
     """A number rounded half to even, as Python writes it."""
     return F.bround(value.cast("double"), digits)
-
-
-def task(category: Column) -> Column:
-    out = F.lit(OTHER_TASK)
-    for name, words in TASKS.items():
-        out = F.when(category == name, F.lit(words)).otherwise(out)
-    return out

@@ -24,13 +24,14 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec, a = F.col("rec"), F.col("a")
     ints = lambda *v: F.array(*(x.cast("int") if isinstance(x, Column) else F.lit(x) for x in v))
 
-    def entry(i: Column) -> Column:
-        area = ((rec * 7 + i * 13) % 5 * 100).cast("int")
+    # what several fields need is made first: entries of an array are not compiled, and would compute it for each of them
+    base = _ten(lambda i: F.struct(i.alias("i"), ((rec * 7 + i * 13) % 5 * 100).cast("int").alias("area"), (((rec + i * 3) % 50 + 50) / 100.0).alias("iou"), ((rec * 3 + i * 7) % 10 / 10.0).alias("dice"), (a + 3 * i).alias("z")))
+
+    def entry(x: Column) -> Column:
+        i, z, area, iou, dice = (x[c] for c in ("i", "z", "area", "iou", "dice"))
         shows = area > 0
-        iou = ((rec + i * 3) % 50 + 50) / 100.0
-        dice = (rec * 3 + i * 7) % 10 / 10.0
         return F.struct(
-            (a + 3 * i).alias("z"), F.format_string("%05d", a + 3 * i).alias("frame"), area.alias("area"), F.when(shows, ints(10 + i, 20 + i, 50 + i + area / 100, 60 + i)).alias("box"),
+            z.alias("z"), F.lpad(z.cast("string"), 5, "0").alias("frame"), area.alias("area"), F.when(shows, ints(10 + i, 20 + i, 50 + i + area / 100, 60 + i)).alias("box"),
             F.when(shows & (iou < 0.75), ints(11 + i, 20 + i, 50 + i, 61 + i)).alias("again"), F.when(shows, iou).alias("iou"), F.when(shows & (iou < 0.75), F.lit(0.9375)).alias("iou_again"),
             F.when(shows, dice).alias("dice"), F.when(shows & (dice < 0.7), F.lit(0.95)).alias("fixed"), F.when(shows, F.array(ints(30 + i, 40), ints(31, 41 + i))).alias("points"), F.when(shows, ints(1, 0)).alias("labels"),
         )
@@ -38,14 +39,14 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.when(rec % 4 == 0, "organ").when(rec % 4 == 1, "lesion").when(rec % 4 == 2, "cyst").otherwise("other")
     caption = F.concat(F.lower("priority"), F.lit(" kidney"))
     return dealt(view(spark, sf_dir, _CASES), "rec").select(
-        "rec", "vid", caption.alias("caption"), category.alias("category"), F.lit("/data/JPEGImages").alias("root"), F.lit("/data/renders").alias("renders"), a.alias("first"), (a + 27).alias("last"), F.lit(28).alias("n_slices"), _ten(entry).alias("o")
+        "rec", "vid", caption.alias("caption"), category.alias("category"), F.lit("/data/JPEGImages").alias("root"), F.lit("/data/renders").alias("renders"), a.alias("first"), (a + 27).alias("last"), F.lit(28).alias("n_slices"), F.transform(base, entry).alias("o")
     )
 
 
 def _told(built: DataFrame, form: str) -> DataFrame:
     """A record as its opening, its last analysis, its numbers and the validator's verdict."""
     spoken = F.filter("messages", lambda m: m["role"] == "assistant")
-    d = records.validate_entries(built, form)
+    d = records.validate_entries(built, form, "verdict" if "verdict" in built.columns else None)
     return d.select(
         "rec", F.size("messages").cast("bigint").alias("n_messages"), F.size("images").cast("bigint").alias("n_images"), F.get("messages", F.lit(0))["content"].alias("opening"),
         F.element_at(spoken, -1)["content"].alias("closing"), F.element_at("images", -1).alias("last_image"), F.size(F.array_distinct(F.transform("messages", lambda m: m["role"]))).cast("bigint").alias("roles"), "reason",
